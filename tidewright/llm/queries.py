@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, sharding, url_filter
+from . import byte_bpe, language, quality, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.shard_rows(docs, "doc_id")
@@ -26,14 +31,29 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, model, keep=("held_out",))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.train(docs.where("not held_out"), byte_bpe.read_file(vocabulary_path()))
+    return language.identify(docs, model, keep=("held_out",))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_file(vocabulary_path())
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks)
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
+    "op7_language": op7_language,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
