@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, quality, sharding, toxicity, url_filter
+from . import byte_bpe, decontamination, language, quality, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=("held_out",))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_file(vocabulary_path())
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks)
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op7_language": op7_language,
+    "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -81,7 +86,22 @@ _OP4_SQL = rf"""
                            WHEN ends_with(dotted, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM m)
     SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM w"""
 
+_OP9_SQL = rf"""
+    WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{decontamination.WORD}') AS w FROM documents),
+         bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{decontamination.WORD}') AS w FROM benchmark),
+         bl AS (SELECT item_id, w, least(len(w), 10) AS size FROM bw WHERE len(w) > 0),
+         win AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM bl)),
+         sizes AS (SELECT DISTINCT size FROM bl),
+         dwin AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS words FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes WHERE len(w) >= size)),
+         hit AS (SELECT DISTINCT doc_id, item_id, i, size FROM dwin JOIN win USING (size, words)),
+         pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+         it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+    SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
 ORACLE_SQL = {
     "op3_sharding": _op3_sql(),
     "op4_url_filter": _OP4_SQL,
+    "op9_decontamination": _OP9_SQL,
 }
