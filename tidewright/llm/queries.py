@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language, quality, sharding, toxicity, url_filter
+from . import byte_bpe, decontamination, language, near_dedup, quality, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_url_filter": op4_url_filter,
@@ -86,6 +91,21 @@ _OP4_SQL = rf"""
                            WHEN ends_with(dotted, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM m)
     SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM w"""
 
+_OP1_SQL = rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+         sets AS (SELECT doc_id, len(s) AS n, list_sort(s) AS s FROM s),
+         reps AS (SELECT s, any_value(n) AS n, min(doc_id) AS rep FROM sets WHERE n > 0 GROUP BY s),
+         x AS (SELECT rep, n, unnest(s) AS g FROM reps),
+         i AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep),
+         l AS (SELECT a, b FROM i WHERE 100 * k >= 85 * (na + nb - k)),
+         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+         r(n, c) AS (SELECT rep, rep FROM reps UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n AND r.c < e.b),
+         m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+    SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, coalesce(m.c, d.doc_id) = d.doc_id AS kept
+    FROM sets d LEFT JOIN reps ON reps.s = d.s LEFT JOIN m ON m.n = reps.rep"""
+
 _OP9_SQL = rf"""
     WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{decontamination.WORD}') AS w FROM documents),
          bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{decontamination.WORD}') AS w FROM benchmark),
@@ -101,6 +121,7 @@ _OP9_SQL = rf"""
     FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 ORACLE_SQL = {
+    "op1_minhash_dedup": _OP1_SQL,
     "op3_sharding": _op3_sql(),
     "op4_url_filter": _OP4_SQL,
     "op9_decontamination": _OP9_SQL,

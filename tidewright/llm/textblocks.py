@@ -148,10 +148,10 @@ def shingle_hashes(word_hashes: np.ndarray, doc: np.ndarray, n_docs: int, width:
         rows = np.flatnonzero(short)
         salted = []
         for r in rows:
-            h = _U(int(counts[r]))
-            for w in word_hashes[first[r] : first[r] + counts[r]]:
-                h = mix64(np.array([h * _U(0xE7037ED1A0B428DB) + w], dtype=np.uint64))[0]
-            salted.append(h)
+            h = counts[r : r + 1].astype(np.uint64)
+            for w in word_hashes[first[r] : first[r] + counts[r], None]:
+                h = mix64(h * _U(0xE7037ED1A0B428DB) + w)
+            salted.append(h[0])
         hashes = np.concatenate([hashes, np.array(salted, dtype=np.uint64)])
         owners = np.concatenate([owners, rows])
         order = np.argsort(owners, kind="stable")
