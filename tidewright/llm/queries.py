@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language, near_dedup, quality, sharding, toxicity, url_filter
+from . import byte_bpe, chunk_dedup, decontamination, language, near_dedup, quality, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, model, keep=("held_out",))
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.train(docs.where("not held_out"), byte_bpe.read_file(vocabulary_path()))
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
+    "op6_chunk_dedup": op6_chunk_dedup,
     "op7_language": op7_language,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
