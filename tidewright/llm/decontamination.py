@@ -90,7 +90,8 @@ def contamination(
     candidates = met.join(_small(prefix), ["token", "width"]).where((start >= 0) & (start + F.col("size") <= F.col("n")))
     per_doc = candidates.groupBy("_key").agg(F.collect_set(F.struct(start.alias("start"), "size", "item", "wanted")).alias("c")).withColumnRenamed("_key", "_at")
 
-    own = docs.select(docs[key].alias("_key"), *[docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)], docs[text].alias("_text"))
+    held_as = {key: "_key", text: "_text"} | {c: f"_keep{i}" for i, c in enumerate(keep) if c not in (key, text)}
+    own = docs.select(*[docs[c].alias(name) for c, name in held_as.items()])
     joined = own.join(per_doc, F.col("_key").eqNullSafe(F.col("_at")), "left").withColumn("w", words_of(F.col("_text")))
     held = F.filter(F.coalesce("c", F.array().cast(per_doc.schema["c"].dataType)), lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["size"]), " ") == x["wanted"])
     judged = joined.withColumn("n_words", F.size("w")).withColumn("hits", held)
@@ -102,7 +103,7 @@ def contamination(
     )
     items = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item"])))
     return judged.select(
-        F.col("_key").alias(key), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
+        F.col("_key").alias(key), *[F.col(held_as[c]).alias(c) for c in keep],
         F.col("n_words").cast("bigint").alias("n_words"), cover.cast("bigint").alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
