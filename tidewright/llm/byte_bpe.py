@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import textblocks as tb
+from .runtime import arrow_map
 
 #: Slices longer than this are merged one by one with a heap.
 LONG_SLICE = 64
@@ -431,4 +432,4 @@ def encode_documents(df: DataFrame, ranks: bytes, key: str = "doc_id", text: str
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if keep_ids else "")
-    return df.select(df[key], df[text]).mapInArrow(over, schema)
+    return arrow_map(df.select(df[key], df[text]), over, schema)

@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes; a chunk ends where some of its bits are all
-set and no such place lies just before.  Whether a place is an end depends on
-the few bytes before it only, so an insertion moves the ends around it and no
-others, and a passage is cut alike wherever it stands.  A chunk whose digest
+A gear hash rolls over the bytes; a chunk ends where the hash is larger than
+at all places near before and not smaller than at those near behind.  Whether
+a place is an end depends on a few bytes around it only, so an insertion moves
+the ends around it and no others, and a passage is cut alike wherever it
+stands.  A chunk whose digest
 also occurs in a document with a smaller id is a duplicate.  Runs of adjacent
 duplicates of enough bytes are removed; shorter ones, which ordinary phrases
 make by chance, stay.
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import cut
+from .runtime import arrow_map, cut
 
-#: Bytes that the gear hash sees, bits of it that must be set, and the least bytes from one candidate to the next.
-WINDOW, BITS, LEAST_GAP = 16, 5, 8
+#: Bytes that the gear hash sees, and places on either side among which an end has the largest hash.
+WINDOW, RADIUS = 16, 16
 #: Bytes of adjacent duplicate chunks from which they are removed.
 LEAST_RUN = 100
 
@@ -41,14 +42,18 @@ def chunk_ends(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     while step < WINDOW:  # h is the sum of the last 2 * step gear values, shifted by age
         h[step:] += h[:-step] << np.uint32(step)
         step *= 2
-    mask = np.uint32(((1 << BITS) - 1) << (WINDOW - BITS))
-    at = np.flatnonzero((h & mask) == mask) + 1
-    doc = np.searchsorted(offs, at - 1, "right") - 1
-    inside = at - offs[doc] >= WINDOW  # before that the hash has seen another text
-    at, doc = at[inside], doc[inside]
-    apart = np.ones(len(at), dtype=bool)
-    apart[1:] = (np.diff(at) >= LEAST_GAP) | (doc[1:] != doc[:-1])
-    at = at[apart]
+    # largest value of each 2 * RADIUS + 1 places; 0 stands for places outside a text or with another text in the window
+    place = np.arange(n) - offs[np.searchsorted(offs, np.arange(n), "right") - 1]
+    h = np.where(place >= WINDOW - 1, (h & np.uint32((1 << WINDOW) - 1)) + np.uint32(1), np.uint32(0))
+    padded = np.concatenate([np.zeros(RADIUS, np.uint32), h, np.zeros(RADIUS, np.uint32)])
+    most, step = padded, 1
+    while 2 * step <= RADIUS:
+        most = np.maximum(most[:-step], most[step:])
+        step *= 2
+    if step < RADIUS:
+        most = np.maximum(most[: -(RADIUS - step)], most[RADIUS - step :])
+    before, behind = most[:n], most[RADIUS + 1 : RADIUS + 1 + n]  # of the RADIUS places on either side
+    at = np.flatnonzero((h > before) & (h >= behind) & (h > 0)) + 1
     for _ in range(3):  # move behind the code point
         at = at + ((at < n) & ((data[np.minimum(at, n - 1)] & 0xC0) == 0x80))
     return np.unique(np.concatenate([at, offs[1:][np.diff(offs) > 0]]))
@@ -75,7 +80,7 @@ def _chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(digest[once, 0]), pa.array(digest[once, 1]), pa.array(ids[first:end][doc[once]])], names=["hi", "lo", "doc"])
 
     rows = docs.where(docs[key].isNotNull()).select(docs[key].cast("bigint"), docs[text])
-    return rows.mapInArrow(over, "hi bigint, lo bigint, doc bigint")
+    return arrow_map(rows, over, "hi bigint, lo bigint, doc bigint")
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, least_run: int = LEAST_RUN) -> DataFrame:
@@ -131,7 +136,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
 
     columns = ["n_bytes", "n_chunks", "n_dup_chunks", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(over, f"{kinds}, n_bytes bigint, n_chunks bigint, n_dup_chunks bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    return arrow_map(joined, over, f"{kinds}, n_bytes bigint, n_chunks bigint, n_dup_chunks bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, dup: np.ndarray, least_run: int) -> tuple[np.ndarray, np.ndarray]:

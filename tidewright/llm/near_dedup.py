@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import components, cut
+from .runtime import arrow_map, components, cut, ship
 
 #: Words of a shingle; percent of the union that must be shared.
 WIDTH, PERCENT = 5, 85
@@ -84,7 +84,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key], docs[text]).mapInArrow(over, f"`{key}` {kind}, n_shingles bigint, set_id binary, a array<bigint>, b array<bigint>")
+    return arrow_map(docs.select(docs[key], docs[text]), over, f"`{key}` {kind}, n_shingles bigint, set_id binary, a array<bigint>, b array<bigint>")
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -164,6 +164,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, key: str, text: str, wid
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": node[order[linked]], "b": node[order[root[linked]]]})
 
+    ship(docs.sparkSession)
     return spread.groupBy("component", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 

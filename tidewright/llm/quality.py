@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textblocks as tb
+from .runtime import arrow_map
 
 #: Base rule: fewest words, and most percent of words in repeated 3-word windows.
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
@@ -175,4 +176,4 @@ def judge_quality(
 
     picked = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(names)], df[text].alias("t"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return picked.mapInArrow(over, f"{kinds}, {SCHEMA}")
+    return arrow_map(picked, over, f"{kinds}, {SCHEMA}")

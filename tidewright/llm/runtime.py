@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +28,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(df: DataFrame, columns: list[str], function: Callable[..., pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function(batch)`` over Arrow batches of the named columns, empty batches left out."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
-
-    return df.select(*columns).mapInArrow(over, schema)
+def ship(spark: SparkSession) -> None:
+    """Sends the package's source to the executors, once for a context, so that workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._tidewright_shipped = True
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with the package shipped."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import cut
+from .runtime import arrow_map, cut
 
 #: Bytes of a string that counts as repeated, and of those by which anchors are picked.
 THRESHOLD, SEED = 50, 16
@@ -134,10 +134,10 @@ def repeated_starts(main: DataFrame) -> DataFrame:
     """
     half = THRESHOLD // 2
     by_seed = Window.partitionBy("seed")
-    seeds = main.select("doc", "t", "copy").mapInArrow(_anchor_rows, "seed bigint, doc bigint").repartition("seed")
+    seeds = arrow_map(main.select("doc", "t", "copy"), _anchor_rows, "seed bigint, doc bigint").repartition("seed")
     shared = seeds.select("seed", "doc", F.min("doc").over(by_seed).alias("a"), F.max("doc").over(by_seed).alias("z")).where("a < z")
     lists = shared.groupBy("doc").agg(F.collect_list("seed").alias("seeds")).withColumnRenamed("doc", "_d")
-    contexts = main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "seeds").mapInArrow(_context_rows, "seed bigint, context binary, doc bigint, lo int, n int")
+    contexts = arrow_map(main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "seeds"), _context_rows, "seed bigint, context binary, doc bigint, lo int, n int")
     ranked = contexts.repartition("seed").withColumn("first", F.min("doc").over(Window.partitionBy("seed", "context")))
     ranked = ranked.withColumn("a", F.min("first").over(by_seed)).withColumn("z", F.max("first").over(by_seed))
     whole = F.expr("shiftleft(1L, n) - 1")
@@ -205,4 +205,4 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if with_bytes else [])]
-    return joined.mapInArrow(over, f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_bytes binary" if with_bytes else ""))
+    return arrow_map(joined, over, f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_bytes binary" if with_bytes else ""))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .runtime import arrow_map
 
 #: Buckets of the feature hash.
 BUCKETS = 1 << 20
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             [pa.array(np.append(some, -1)), pa.array(np.append(count[0][some], n[0])), pa.array(np.append(count[1][some], n[1]))], names=["bucket", "n0", "n1"]
         )
 
-    counts = rows.select("_text", "_y").mapInArrow(counting, "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = arrow_map(rows.select("_text", "_y"), counting, "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # at most BUCKETS + 1 rows reach the driver
     table = counts.toArrow()
     bucket, n0, n1 = (table[c].to_numpy() for c in ("bucket", "n0", "n1"))
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(truth[first:end]), pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["y", "own", "other"])
 
     drawn = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("_text", "_y")
-    sample = drawn.mapInArrow(sampling, "y boolean, own binary, other binary").toArrow()
+    sample = arrow_map(drawn, sampling, "y boolean, own binary, other binary").toArrow()
     return _fit(chosen, sample, counterfactual)
 
 
@@ -239,4 +240,4 @@ def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
 
     picked = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(names)], df[text].alias("t"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return picked.mapInArrow(over, f"{kinds}, score double, predicted int")
+    return arrow_map(picked, over, f"{kinds}, score double, predicted int")

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .runtime import arrow_map
+
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: What holds for a URL that no rule fits.
@@ -108,4 +110,4 @@ def judge_urls(df: DataFrame, url: str = "url", key: str = "page_id", rules=RULE
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key], df[url]).mapInArrow(over, f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    return arrow_map(df.select(df[key], df[url]), over, f"`{key}` {kind}, host string, path string, rule string, verdict string")
