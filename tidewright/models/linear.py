@@ -387,7 +387,8 @@ class glm(lm):  # noqa: N801
             self._aic_sum, self._log_weights, self._sum_weights = pearson[1], float(pearson[2] or 0.0), float(first[2])
             base = mean if self.formula.intercept else None
             null_mu = F.lit(base) if base is not None else fam.linkinv(F.col("o"))
-            self.null_deviance = float(rows.agg(F.sum(F.col("w") * fam.dev(F.col("y"), null_mu))).first()[0])
+            null = rows.agg(F.sum(F.col("w") * fam.dev(F.col("y"), null_mu))).first()[0]
+            self.null_deviance = math.inf if null is None else float(null)  # a mean of infinity, where a link has no other
             if self.formula.offsets and self.formula.intercept and self.formula.terms:
                 only = " + ".join(["1", *(f"offset({o})" for o in self.formula.offsets)])
                 self.null_deviance = glm(f"{self.formula.response} ~ {only}", self.data, fam, self.weights).deviance()

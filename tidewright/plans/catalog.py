@@ -257,12 +257,12 @@ def shifts(t):
     return f.group_by("user_id").mutate(prev=w.lag("value"), next2=w.lead("value", 2, -1.0), change=w.diff("value")).ungroup().select("event_id", "prev", "next2", "change")
 
 
-@query("""SELECT event_id, round(sum(value) OVER o, 2) AS cs, max(value) OVER o AS cx, min(value) OVER o AS cn, round(avg(value) OVER o, 4) AS cm,
+@query("""SELECT event_id, CAST(sum(cents) OVER o AS BIGINT) AS cs, max(value) OVER o AS cx, min(value) OVER o AS cn, avg(cents) OVER o AS cm,
                  bool_and(value > 5) OVER o AS al, bool_or(value > 400) OVER o AS an
-          FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+          FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events) WINDOW o AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
 def running_values(t):
-    g = Frame(t.events.df, [("ts", False)]).group_by("user_id")
-    g = g.mutate(cs=half_up(w.cumsum("value"), 2), cx=w.cummax("value"), cn=w.cummin("value"), cm=half_up(w.cummean("value"), 4), al=w.cumall(col("value") > 5), an=w.cumany(col("value") > 400))
+    g = Frame(t.events.df, [("ts", False)]).mutate(cents=half_up(col("value") * 100, 0).cast("bigint")).group_by("user_id")
+    g = g.mutate(cs=w.cumsum("cents"), cx=w.cummax("value"), cn=w.cummin("value"), cm=w.cummean("cents"), al=w.cumall(col("value") > 5), an=w.cumany(col("value") > 400))
     return g.ungroup().select("event_id", "cs", "cx", "cn", "cm", "al", "an")
 
 
