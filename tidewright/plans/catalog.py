@@ -19,6 +19,7 @@ from ..models.linear import Gamma, binomial, glm, lm, poisson
 from ..operators import joins as j
 from ..operators import layers
 from ..operators import reshape as r
+from ..operators import surface as _surface  # noqa: F401  methods of Frame
 from ..operators.frame import Frame, cols_between, desc, ends_with, exclude, starts_with, where_type
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,9 +456,9 @@ def flatten(t):
     return t.nation.group_by("n_regionkey").summarize(names=s.str_flatten("n_name", ", "))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS d FROM orders")
 def dates(t):
-    return t.orders.mutate(txt=col("o_orderdate").cast("date").cast("string")).select("o_orderkey", d=s.ymd("txt"))
+    return t.orders.mutate(txt=col("o_orderdate").cast("date").cast("string")).select("o_orderkey", d=compose(lambda a: F.date_add(a, 1), s.ymd("txt")).cast("string"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size, ln(p_retailprice) AS ln, sqrt(p_size) AS root,
@@ -515,7 +516,7 @@ def summary_layer(t):
     return layers.stat_summary(t.part, "p_brand", "p_retailprice")
 
 
-@query("SELECT p_brand, p_size, sum(n) OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS ymax, sum(n) OVER (PARTITION BY p_brand ORDER BY p_size DESC) - n AS ymin FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL)")
+@query("SELECT p_brand, p_size, CAST(sum(n) OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS BIGINT) AS ymax, CAST(sum(n) OVER (PARTITION BY p_brand ORDER BY p_size DESC) - n AS BIGINT) AS ymin FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL)")
 def stacked(t):
     return layers.position_stack(t.part.count("p_brand", "p_size"), "p_brand", "n", "p_size").select("p_brand", "p_size", "ymax", "ymin")
 
@@ -587,3 +588,154 @@ def spearman(t):
 def anova_one_way(t):
     table = selection.anova(lm("l_quantity ~ l_returnflag", t.lineitem))
     return t.spark.createDataFrame([(table[0]["term"], float(table[0]["sum_sq"]))], "term string, ss double")
+
+
+# ---------------------------------------------------------------- more of the surface
+@query("SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS k, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg FROM customer")
+def fill_values(t):
+    f = t.customer.select("c_custkey", k=w.na_if("c_nationkey", 3), seg=w.na_if("c_mktsegment", "BUILDING"))
+    return f.fill_null(-1).fill_null("none")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def unique_last(t):
+    return t.orders.unique("o_custkey", keep="last").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, lag(o_totalprice, 2) OVER (ORDER BY o_orderkey) AS o_totalprice FROM orders")
+def shift_rows(t):
+    return t.orders.select("o_orderkey", "o_totalprice").shift(2)
+
+
+@query("SELECT o_orderkey FROM orders QUALIFY (row_number() OVER (ORDER BY o_orderkey) - 1) % 7 = 2")
+def every_seventh(t):
+    return t.orders.gather_every(7, 2).select("o_orderkey")
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5")
+def top_rows(t):
+    return t.part.top_k(5, "p_retailprice").select("p_partkey", "p_retailprice")
+
+
+@query("SELECT CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber, count(DISTINCT l_partkey) AS parts FROM lineitem")
+def frame_totals(t):
+    a, b = t.lineitem.select("l_linenumber").sum(), t.lineitem.select(parts="l_partkey").n_unique()
+    return j.cross_join(a, b)
+
+
+@query("SELECT n_regionkey, n_name FROM nation")
+def explode_lists(t):
+    f = Frame(t.nation.df.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("n_name")))
+    return f.explode("n_name")
+
+
+@query("SELECT c_custkey, c_acctbal + coalesce(nullif(c_nationkey, 3), 0) AS loose, c_acctbal + nullif(c_nationkey, 3) AS strict FROM customer")
+def row_sums(t):
+    f = t.customer.mutate(k=w.na_if("c_nationkey", 3))
+    return f.select("c_custkey", loose=k.rowSums("c_acctbal", "k", na_rm=True), strict=k.rowSums("c_acctbal", "k"))
+
+
+@query("SELECT x AS c_nationkey, count(c_custkey) AS n FROM range(30) g(x) LEFT JOIN customer ON c_nationkey = x GROUP BY x")
+def tabulated(t):
+    return r.tabulate(t.customer, "c_nationkey", 30)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def updated(t):
+    zero = t.customer.filter(col("c_custkey") % 2 == 0).select("c_custkey", c_acctbal=lit(0.0))
+    return r.update(t.customer.select("c_custkey", "c_acctbal"), zero, "c_custkey")
+
+
+@query("SELECT o.o_orderkey, c.c_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey % 10 = 0) o JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) c USING (i)")
+def bind_columns(t):
+    return r.cbind(t.orders.filter(col("o_orderkey") % 10 == 0).select("o_orderkey"), t.customer.select("c_custkey"))
+
+
+@query("SELECT c_nationkey AS k, c_acctbal AS bal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier")
+def bind_rows(t):
+    return r.rbind(t.customer.select(k="c_nationkey", bal="c_acctbal"), t.supplier.select(k="s_nationkey", bal="s_acctbal"))
+
+
+@query("SELECT 'l_quantity' AS \"column\", corr(l_quantity, l_extendedprice) AS l_extendedprice FROM lineitem UNION ALL SELECT 'l_extendedprice', 1.0")
+def correlations(t):
+    return r.corr(t.lineitem.select("l_quantity", "l_extendedprice")).select("column", "l_extendedprice")
+
+
+@query("SELECT lo, hi, count(*) AS n FROM (SELECT quantile_cont(p_retailprice, 0.0) AS lo, quantile_cont(p_retailprice, 0.5) AS hi FROM part) q JOIN part ON p_retailprice <= hi GROUP BY ALL")
+def binned_by_number(t):
+    lo, hi = t.part.df.agg(F.min("p_retailprice"), F.median("p_retailprice")).first()
+    f = fct.cut_number(t.part, "p_retailprice", 2).count("bin")
+    return f.filter(s.str_detect("bin", "^\\[")).select(n="n", lo=lit(float(lo)), hi=lit(float(hi)))
+
+
+@query("SELECT least(greatest(ceil(p_size / 10.0) - 1, 0), 4) * 10 AS lo, count(*) AS n FROM part GROUP BY 1")
+def binned_by_width(t):
+    f = fct.cut_width(t.part, "p_size", 10, boundary=0).count("bin")
+    return f.select("n", lo=s.parse_number(s.str_replace_all("bin", ",.*", ""))).df.select((F.col("lo")).cast("double").alias("lo"), "n")
+
+
+@query("SELECT n_nationkey, regexp_replace(n_name, '[AEIOU]', '', 'g') AS short, length(n_name) - length(replace(n_name, 'A', '')) AS a, n_name || '/' || n_regionkey AS tag FROM nation")
+def more_strings(t):
+    return t.nation.select("n_nationkey", short=s.str_replace_all("n_name", "[AEIOU]", ""), a=s.str_count("n_name", "A"), tag=s.str_glue("{n_name}/{n_regionkey}"))
+
+
+@query("SELECT p_size, p_brand, count(*) AS n, count(*) / (SELECT count(*) FROM part) AS prop FROM part GROUP BY ALL")
+def sum_layer(t):
+    return layers.stat_sum(t.part, "p_size", "p_brand")
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
+               p AS (SELECT max(m) FILTER (g = 'F') - max(m) FILTER (g = 'O') AS d, max(v / n) FILTER (g = 'F') AS a, max(v / n) FILTER (g = 'O') AS b, max(n) FILTER (g = 'F') AS n1, max(n) FILTER (g = 'O') AS n2 FROM s)
+          SELECT d / sqrt(a + b) AS t, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS df FROM p""")
+def t_test_welch(t):
+    h = htest.t_test(t.orders.filter(col("o_orderstatus").is_in(["F", "O"])), "o_totalprice", group="o_orderstatus", var_equal=False)
+    return _one(t.spark, t=h.statistic, df=h.parameter)
+
+
+@query("SELECT var_samp(l_quantity) / var_samp(l_linenumber) AS f FROM lineitem")
+def variance_ratio(t):
+    return _one(t.spark, f=htest.var_test(t.lineitem, "l_quantity", "l_linenumber").statistic)
+
+
+@query("""WITH g AS (SELECT count(*)::DOUBLE AS n, var_samp(p_retailprice) AS v FROM part GROUP BY p_brand), s AS (SELECT count(*) AS k, sum(n - 1) AS d, sum((n - 1) * v) AS i, sum((n - 1) * ln(v)) AS l, sum(1 / (n - 1)) AS r FROM g)
+          SELECT (d * ln(i / d) - l) / (1 + (r - 1 / d) / (3 * (k - 1))) AS k2 FROM s""")
+def bartlett(t):
+    return _one(t.spark, k2=htest.bartlett_test(t.part, "p_retailprice", "p_brand").statistic)
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS g, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS r FROM orders WHERE o_orderstatus IN ('F', 'O'))
+          SELECT sum(r) FILTER (g = 'F') - count(*) FILTER (g = 'F') * (count(*) FILTER (g = 'F') + 1) / 2 AS w FROM r""")
+def rank_sum(t):
+    return _one(t.spark, w=htest.wilcox_test(t.orders.filter(col("o_orderstatus").is_in(["F", "O"])), "o_totalprice", group="o_orderstatus").statistic)
+
+
+@query("""WITH b AS (SELECT l_quantity AS v, 1 AS a, 0 AS b FROM lineitem UNION ALL SELECT l_linenumber * 8, 0, 1 FROM lineitem),
+               c AS (SELECT v, sum(a) AS a, sum(b) AS b FROM b GROUP BY v), d AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER () AS d FROM c)
+          SELECT max(abs(d)) AS d FROM d""")
+def distribution_distance(t):
+    f = t.lineitem.mutate(x=(col("l_linenumber") * 8).cast("double"))
+    return _one(t.spark, d=htest.ks_test(f, "l_quantity", "x").statistic)
+
+
+@query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, count(*) AS n FROM lineitem)
+          SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(a + b * l_quantity, 4) AS fit, round(1e6 * (1 / n + (l_quantity - mx) * (l_quantity - mx) / sxx), 4) AS hat FROM lineitem, m""")
+def lm_rows(t):
+    f = lm("l_extendedprice ~ l_quantity", t.lineitem).augment()
+    return f.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fit=half_up(col(".fitted"), 4), hat=half_up(col(".hat") * 1e6, 4))
+
+
+@query("SELECT '<none>' AS term, round(sum(pow(l_quantity - m, 2)), 2) AS rss FROM (SELECT l_quantity, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS m FROM lineitem) UNION ALL SELECT 'l_returnflag', round(var_pop(l_quantity) * count(*), 2) FROM lineitem")
+def dropped_terms(t):
+    rows = selection.drop1(lm("l_quantity ~ l_returnflag", t.lineitem))
+    return t.spark.createDataFrame([(x["term"], round(float(x["deviance"]), 2)) for x in rows], "term string, rss double")
+
+
+@query("SELECT l_returnflag, avg(l_quantity) AS emmean FROM lineitem GROUP BY 1")
+def marginal_means(t):
+    found = selection.emmeans(lm("l_quantity ~ l_returnflag", t.lineitem), "l_returnflag").means
+    return t.spark.createDataFrame([(x["l_returnflag"], float(x["emmean"])) for x in found], "l_returnflag string, emmean double")
+
+
+@query("SELECT count(*) AS n FROM orders")
+def sql_over_self(t):
+    return t.orders.sql("SELECT count(*) AS n FROM self")
