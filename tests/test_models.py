@@ -112,3 +112,18 @@ def test_hypothesis_tests(spark):
     tea = Frame(spark.createDataFrame([("m", "m")] * 3 + [("m", "t")] + [("t", "m")] + [("t", "t")] * 3, "a string, b string"))
     assert htest.fisher_test(tea, "a", "b").p_value == pytest.approx(0.4857, abs=1e-4)
     assert htest.chisq_test(tea, "a", "b").statistic == pytest.approx(0.5)
+
+
+def test_local_and_bootstrap_fits(spark):
+    from tidewright.models.smooth import loess, lowess, mean_cl_boot, stat_smooth
+
+    x = np.linspace(0, 10, 60)
+    assert np.allclose(loess(x, 3 + 2 * x - x**2, span=0.5), 3 + 2 * x - x**2) and np.allclose(lowess(x, 1 + x), 1 + x)
+    bent = 1 + x + np.where(np.arange(60) == 30, 50, 0)
+    assert abs(loess(x, bent, span=0.4, degree=1, family="symmetric")[30] - (1 + x[30])) < 0.5
+    f = Frame(spark.createDataFrame([(g, float(a), float(2 * a)) for g in "ab" for a in x], "g string, x double, y double"))
+    out = stat_smooth(f, "x", "y", ["g"], n=5).df.toPandas()
+    assert len(out) == 10 and np.allclose(out.y, 2 * out.x)
+    row = mean_cl_boot(f, "g", "x", reps=400).df.toPandas().set_index("g").loc["a"]
+    se = x.std(ddof=1) / math.sqrt(60)
+    assert row.y == pytest.approx(5) and row.ymin == pytest.approx(5 - 1.96 * se, abs=0.35) and row.ymax == pytest.approx(5 + 1.96 * se, abs=0.35)

@@ -225,3 +225,48 @@ def test_set_operations_and_sql(df):
     assert {row[0]: row[1] for row in got(r.corr(df.select("x", "y")), "column", "y")} == {"x": pytest.approx(1.0), "y": pytest.approx(1.0)}
     assert got(r.describe(df.select("x")).filter(statistic="50%"), "x") == [(3.5,)]
     assert df.df.select(F.lit(1)).count() == 6
+
+
+def test_surface(spark, df):
+    import tidewright.operators.surface  # noqa: F401
+
+    nulls = frame(spark, "i int, x double, s string", (0, 1.0, "a"), (1, None, None), (2, 3.0, "c"), (3, float("nan"), "d"), order=["i"])
+    assert got(nulls.fill_null(0.0).fill_nan(-1.0).arrange("i"), "x") == [(1.0,), (0.0,), (3.0,), (-1.0,)]
+    assert [x[0] for x in got(nulls.drop_nans().interpolate("x").arrange("i"), "x")] == [1.0, 2.0, 3.0]
+    assert got(nulls.null_count(), "x", "s") == [(1, 1)] and got(nulls.fill_null(strategy="forward").arrange("i"), "s") == [("a",), ("a",), ("c",), ("d",)]
+    assert got(df.gather_every(2).arrange("x"), "x") == [(1,), (3,), (5,)] and got(df.reverse(), "x")[0] == (6,) and got(df.slice(1, 2), "x") == [(2,), (3,)]
+    assert got(df.top_k(2, "x").arrange("x"), "x") == [(5,), (6,)] and got(df.quantile(0.5), "x") == [(4,)]
+    assert got(df.unique("g", keep="last").arrange("x"), "x") == [(3,), (6,)] and got(df.with_columns(x=col("x") * 0, z=col("x")).arrange("z"), "x", "z")[0] == (0, 1)
+    assert df.equals(df.reverse()) and not df.equals(df.filter(g="a")) and len(df.partition_by("g")) == 2
+    lists = Frame(spark.createDataFrame([(1, [1, 2], ["x", "y"]), (2, [], [])], "i int, a array<int>, b array<string>"))
+    assert sorted(got(lists.explode("a", "b")), key=str) == [(1, 1, "x"), (1, 2, "y"), (2, None, None)]
+    assert df.insert_column(1, "k", lit(1)).columns == ["g", "k", "x", "y"] and got(df.sum()) == [(21, 210)] and df.clear().nrow() == 0
+
+
+def test_io(spark, tmp_path):
+    from tidewright.sources import io
+
+    inline = io.read_csv(spark, "# c\na,b\n1,x\nNA,y\n", comment="#")
+    assert got(inline) == [(1, "x"), (None, "y")] or [tuple(map(str, t)) for t in got(inline)] == [("1", "x"), ("None", "y")]
+    f = frame(spark, "a int, b string", (1, "x"), (2, None))
+    io.write_parquet(f, str(tmp_path / "p"))
+    io.write_csv(f, str(tmp_path / "c"))
+    io.write_ndjson(f, str(tmp_path / "j"))
+    assert sorted(got(io.read_parquet(spark, str(tmp_path / "p"), "a"))) == [(1, "x"), (2, None)] and io.read_parquet_schema(spark, str(tmp_path / "p")) == {"a": "int", "b": "string"}
+    assert sorted(got(io.read_csv(spark, str(tmp_path / "c"), schema="a int, b string"), "a")) == [(1,), (2,)] and sorted(got(io.read_ndjson(spark, str(tmp_path / "j")), "a")) == [(1,), (2,)]
+    assert got(io.ts(spark, [5, 6], 2000, 12), "value") == [(5.0,), (6.0,)] and sorted(got(io.from_dict(spark, {"u": [1, 2]}))) == [(1,), (2,)]
+
+
+def test_streams(spark, tmp_path):
+    from tidewright.functions.expr import n as size
+    from tidewright.streaming import windows
+
+    rows = [(dt.datetime(2024, 1, 1, 0, m), "a" if m % 2 else "b", 1.0) for m in range(0, 60, 7)]
+    spark.createDataFrame(rows, "t timestamp, k string, v double").write.parquet(str(tmp_path / "in"))
+    stream = windows.stream_parquet(spark, str(tmp_path / "in"), "t timestamp, k string, v double")
+    made = windows.windowed_summary(stream, "t", "30 minutes", "10 minutes", ["k"], c=size())
+    q = made.writeStream.format("memory").queryName("made").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    batch = windows.windowed_summary(spark.read.parquet(str(tmp_path / "in")), "t", "30 minutes", "10 minutes", ["k"], c=size())
+    assert sorted(map(tuple, spark.table("made").collect())) == sorted(map(tuple, batch.collect())) and sum(r["c"] for r in batch.collect()) == len(rows)

@@ -201,8 +201,11 @@ def position_stack(frame: Frame, x: str, y: str, group: str, fill: bool = False)
     """ymin and ymax of bars on top of each other, the last group at the bottom; ``fill`` makes heights sum to 1."""
     w = Window.partitionBy(quote(x))
     top = F.sum(quote(y)).over(w.orderBy(F.col(quote(group)).desc()).rowsBetween(Window.unboundedPreceding, 0))
-    scale = F.sum(quote(y)).over(w) if fill else F.lit(1)
-    return frame._new(frame.df.withColumn("ymax", top / scale).withColumn("ymin", (top - F.col(quote(y))) / scale))
+    bottom = top - F.col(quote(y))
+    if fill:
+        total = F.sum(quote(y)).over(w)
+        top, bottom = F.try_divide(top, total), F.try_divide(bottom, total)
+    return frame._new(frame.df.withColumn("ymax", top).withColumn("ymin", bottom))
 
 
 def position_dodge(frame: Frame, x: str, group: str, width: float = 0.9) -> Frame:
