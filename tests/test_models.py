@@ -127,3 +127,15 @@ def test_local_and_bootstrap_fits(spark):
     row = mean_cl_boot(f, "g", "x", reps=400).df.toPandas().set_index("g").loc["a"]
     se = x.std(ddof=1) / math.sqrt(60)
     assert row.y == pytest.approx(5) and row.ymin == pytest.approx(5 - 1.96 * se, abs=0.35) and row.ymax == pytest.approx(5 + 1.96 * se, abs=0.35)
+
+
+def test_generics(data):
+    from tidewright.models import generics as g
+
+    m = lm("y ~ x + z", data[0])
+    assert g.coef(m) == m.coefficients() and g.nobs(m) == 200 and g.df_residual(m) == 197 and g.terms(m)["labels"] == ["x", "z"] and g.formula(m) == "y ~ x + z"
+    bigger = g.update(m, ". ~ . + g")
+    assert [r["value"] for r in g.AIC(m, bigger)] == [m.AIC(), bigger.AIC()] and g.BIC(m) > g.AIC(m) and g.logLik(bigger) > g.logLik(m)
+    assert g.model_matrix("~ x + g", data[0]).columns == ["(Intercept)", "x", "gb", "gc"] and g.model_matrix(m).columns == ["(Intercept)", "x", "z"]
+    assert g.resid(m).df.agg({"`.resid`": "sum"}).first()[0] == pytest.approx(0, abs=1e-7) and g.hatvalues(m).df.agg({"`.hat`": "sum"}).first()[0] == pytest.approx(3)
+    assert g.glance(m)["r_squared"] == m.r_squared and len(g.residual_summary(m)) == 5 and g.dfbetas(m).columns == m.names

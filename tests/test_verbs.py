@@ -270,3 +270,19 @@ def test_streams(spark, tmp_path):
     q.stop()
     batch = windows.windowed_summary(spark.read.parquet(str(tmp_path / "in")), "t", "30 minutes", "10 minutes", ["k"], c=size())
     assert sorted(map(tuple, spark.table("made").collect())) == sorted(map(tuple, batch.collect())) and sum(r["c"] for r in batch.collect()) == len(rows)
+
+
+def test_vectors_and_summary(spark, df):
+    from tidewright.functions import vectors as v
+    from tidewright.operators.summary import format_pval, significance_code, summary
+
+    assert v.seq(3) == [0, 1, 2] and v.seq(1, 3) == [1, 2, 3] and v.seq(0, 1, by=0.25) == [0, 0.25, 0.5, 0.75, 1] and v.seq(0, 1, length_out=3) == [0, 0.5, 1]
+    assert v.rep([1, 2], 2) == [1, 2, 1, 2] and v.rep([1, 2], each=2) == [1, 1, 2, 2] and v.rep([1, 2], [2, 1]) == [1, 1, 2] and v.rep(7, length_out=3) == [7, 7, 7]
+    v.set_seed(1)
+    assert sorted(v.sample(5)) == [1, 2, 3, 4, 5] and len(v.sample("abc", 2)) == 2 and v.sample([1, 2], 1, prob=[0, 1]) == [2]
+    assert got(v.unique(df, "g")) == [("a",), ("b",)] and got(v.order(df, "y", decreasing=True))[0] == (5,) and sorted(got(v.which(df, col("x") > 4))) == [(4,), (5,)]
+    assert v.which_max(df, "x") == 5 and v.which_min(df, "x") == 0 and v.resolution(df, "y") == 10 and got(v.sweep(df, ["x"], [1]), "x")[0] == (0,)
+    f = fct.factor(frame(spark, "g string, b boolean, d date, x double", ("u", True, dt.date(2024, 1, 1), 1.0), ("u", False, dt.date(2024, 1, 3), None), ("w", None, None, 3.0)), "g")
+    s_ = summary(f)
+    assert dict(s_.blocks["g"]) == {"u": 2, "w": 1} and dict(s_.blocks["b"]) == {"FALSE": 1, "TRUE": 1, "NA's": 1} and dict(s_.blocks["x"])["Median"] == 2.0 and dict(s_.blocks["d"])["Max."] == dt.date(2024, 1, 3)
+    assert "Median" in repr(s_) and significance_code(0.003) == "**" and format_pval(1e-20).startswith("<")
