@@ -37,7 +37,11 @@ from .runtime import arrow_map, cut
 
 #: Bytes of a string that counts as repeated, and of those by which anchors are picked.
 THRESHOLD, SEED = 50, 16
+#: Ranks of round one keep 48 bits, which pack better; two seeds of one rank only meet in round two.
+_SEED_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 _SPAN = THRESHOLD - SEED + 1  # seeds in a window
+_HELD_ROWS = 60_000  # contexts that a task holds to combine
+_BLOCK_BYTES = 1 << 18  # covered bytes are several times those of a block
 _SEGMENT = 1 << 22  # window starts that are anchored at once, below the bits kept for places
 
 
@@ -74,7 +78,7 @@ def _anchors(data, offs, begin, stop):
     opens[1:] &= change | ~fits[:-1]
     closes[:-1] &= change | ~fits[1:]
     lo, hi = np.flatnonzero(opens), np.flatnonzero(closes)
-    return lo + begin, hi + begin, place[lo] + begin, seeds[place[lo]]
+    return lo + begin, hi + begin, place[lo] + begin, seeds[place[lo]] & _SEED_BITS
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +86,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         batch = _usable(batch)
         ids = batch.column(0).to_numpy()
-        for first, end, data, offs in tb.blocks(batch.column(1)):
+        for first, end, data, offs in tb.blocks(batch.column(1), _BLOCK_BYTES):
             lo, _, _, seed = anchors(data, offs)
             doc = np.searchsorted(offs, lo, "right") - 1
             _, once = np.unique(tb.mix64(seed + doc.astype(np.uint64)), return_index=True)
+            once.sort()  # rows of a text side by side pack well
             yield pa.RecordBatch.from_arrays([pa.array(seed[once].view(np.int64)), pa.array(ids[first:end][doc[once]])], names=["seed", "doc"])
 
 
@@ -96,28 +101,63 @@ def _usable(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, context, doc, lo, n): the bytes that the n window starts, from lo on, of an anchor with a shared seed cover."""
+    """(seed, context, doc, lo, more): the bytes that the window starts, from lo on, of an anchor with a shared seed cover.
+
+    Equal contexts of a task go on as one row: the smallest (doc, lo), and the
+    others in ``more``.
+    """
+    held: list[tuple] = []
+    rows = 0
     for batch in batches:
         batch = _usable(batch)
         batch = batch.filter(batch.column(3).is_valid())
         ids = batch.column(0).to_numpy()
-        for first, end, data, offs in tb.blocks(batch.column(1)):
+        for first, end, data, offs in tb.blocks(batch.column(1), _BLOCK_BYTES):
             lo, hi, _, seed = anchors(data, offs)
             doc = np.searchsorted(offs, lo, "right") - 1
             lists = batch.column(3).slice(first, end - first)
             sizes = lists.value_lengths().to_numpy()
-            theirs = lists.flatten().to_numpy().view(np.uint64)
-            shared = np.isin(tb.mix64(seed + doc.astype(np.uint64)), tb.mix64(theirs + np.repeat(np.arange(end - first), sizes).astype(np.uint64)))
+            theirs = lists.flatten().to_numpy()
+            # lists hold half of a seed: a false match costs a row and changes nothing
+            half = (seed >> np.uint64(32)).astype(np.int64)
+            shared = np.isin(half * (end - first) + doc, (theirs.astype(np.int64) & 0xFFFFFFFF) * (end - first) + np.repeat(np.arange(end - first), sizes))
             live = np.flatnonzero(shared)
+            if not len(live):
+                continue
             lo, hi, seed, doc = lo[live], hi[live], seed[live], doc[live]
             size = hi - lo + THRESHOLD
             until = np.concatenate(([0], np.cumsum(size)))
             raw = data[np.repeat(lo - until[:-1], size) + np.arange(until[-1])]
-            context = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(until), pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seed.view(np.int64)), context, pa.array(ids[first:end][doc]), pa.array((lo - offs[doc]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32))],
-                names=["seed", "context", "doc", "lo", "n"],
-            )
+            context = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(until), pa.py_buffer(raw)])
+            name = tb.mix64(seed ^ tb.span_hashes(tb.prefix_hash(raw), until[:-1], until[1:]))
+            held.append((name, seed, ids[first:end][doc], lo - offs[doc], context))
+            rows += len(lo)
+            if rows >= _HELD_ROWS:
+                yield _combined(held)
+                held, rows = [], 0
+    if held:
+        yield _combined(held)
+
+
+def _combined(held: list[tuple]) -> pa.RecordBatch:
+    name, seed, doc, lo = (np.concatenate([h[i] for h in held]) for i in range(4))
+    context = pa.chunked_array([h[4] for h in held]).combine_chunks()
+    order = np.lexsort((lo, doc, name))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = name[order[1:]] != name[order[:-1]]
+    heads, rest = order[new], order[~new]
+    head_of = heads[(np.cumsum(new) - 1)[~new]]
+    # in the order of the texts, where neighbours overlap and pack well
+    rest = rest[np.argsort(head_of, kind="stable")]
+    heads = np.sort(heads)
+    size = np.bincount(np.searchsorted(heads, head_of), minlength=len(heads))
+    behind = np.concatenate(([0], np.cumsum(size)))
+    others = pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(lo[rest].astype(np.int32))], names=["doc", "lo"])
+    more = pa.ListArray.from_arrays(pa.array(behind.astype(np.int32)), others, mask=pa.array(size == 0))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(seed[heads].view(np.int64)), context.take(pa.array(heads)).cast(pa.binary()), pa.array(doc[heads]), pa.array(lo[heads].astype(np.int32)), more],
+        names=["seed", "context", "doc", "lo", "more"],
+    )
 
 
 def _copies(base: DataFrame) -> DataFrame:
@@ -136,24 +176,28 @@ def repeated_starts(main: DataFrame) -> DataFrame:
     by_seed = Window.partitionBy("seed")
     seeds = arrow_map(main.select("doc", "t", "copy"), _anchor_rows, "seed bigint, doc bigint").repartition("seed")
     shared = seeds.select("seed", "doc", F.min("doc").over(by_seed).alias("a"), F.max("doc").over(by_seed).alias("z")).where("a < z")
-    lists = shared.groupBy("doc").agg(F.collect_list("seed").alias("seeds")).withColumnRenamed("doc", "_d")
-    contexts = arrow_map(main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "seeds"), _context_rows, "seed bigint, context binary, doc bigint, lo int, n int")
+    lists = shared.groupBy("doc").agg(F.collect_list(F.shiftright("seed", 32).cast("int")).alias("seeds")).withColumnRenamed("doc", "_d")
+    with_lists = main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "seeds")
+    contexts = arrow_map(with_lists, _context_rows, "seed bigint, context binary, doc bigint, lo int, more array<struct<doc:bigint,lo:int>>")
     ranked = contexts.repartition("seed").withColumn("first", F.min("doc").over(Window.partitionBy("seed", "context")))
     ranked = ranked.withColumn("a", F.min("first").over(by_seed)).withColumn("z", F.max("first").over(by_seed))
-    whole = F.expr("shiftleft(1L, n) - 1")
-    settled = F.array(F.struct(F.xxhash64("doc", "lo").alias("r1"), F.lit(0).cast("bigint").alias("r2"), whole.alias("mask"), F.lit(True).alias("sure")))
+    places = F.concat(F.array(F.struct("doc", "lo")), F.coalesce("more", F.array().cast("array<struct<doc:bigint,lo:int>>")))
+    ranked = ranked.withColumn("places", places).withColumn("n", F.length("context") - (THRESHOLD - 1))
+    late, own = F.filter("places", lambda x: x["doc"] > F.col("first")), F.filter("places", lambda x: x["doc"] == F.col("first"))
+    settled = F.array(F.struct(F.xxhash64("doc", "lo").alias("r1"), F.lit(0).cast("bigint").alias("r2"), F.expr("shiftleft(1L, n) - 1").alias("mask"), F.lit(True).alias("sure"), F.col("late").alias("who")))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("n") - 1),
         lambda i: F.struct(
             F.xxhash64(F.substring(F.col("context"), i + 1, F.lit(half))).alias("r1"), F.xxhash64(F.substring(F.col("context"), i + 1 + half, F.lit(THRESHOLD - half))).alias("r2"),
-            F.lit(1).cast("bigint").alias("mask"), F.lit(False).alias("sure"),
+            F.pow(F.lit(2.0), i).cast("bigint").alias("mask"), F.lit(False).alias("sure"), F.col("own").alias("who"),
         ),
     )
-    opened = ranked.where("doc > first or a < z").select("seed", "doc", "lo", F.posexplode(F.when(F.col("doc") > F.col("first"), settled).otherwise(pairs)).alias("i", "w"))
-    least = F.min("doc").over(Window.partitionBy("seed", "w.r1", "w.r2"))
-    hits = opened.select("doc", "lo", "i", "w.mask", "w.sure", least.alias("least")).where("sure or least < doc")
-    bit = F.when(F.col("sure"), F.col("mask")).otherwise(F.expr("shiftleft(mask, i)"))
-    return hits.groupBy("doc", "lo").agg(F.bit_or(bit).alias("mask")).withColumnRenamed("doc", "at")
+    none = F.array().cast("array<struct<r1:bigint,r2:bigint,mask:bigint,sure:boolean,who:array<struct<doc:bigint,lo:int>>>>")
+    entries = F.concat(F.when(F.size("late") > 0, settled).otherwise(none), F.when((F.col("a") < F.col("z")) & (F.size("own") > 0), pairs).otherwise(none))
+    opened = ranked.withColumn("late", late).withColumn("own", own).select("seed", "first", F.explode(entries).alias("w"))
+    least = F.min("first").over(Window.partitionBy("seed", "w.r1", "w.r2"))
+    hits = opened.select("first", "w.mask", "w.sure", "w.who", least.alias("least")).where("sure or least < first").select("mask", F.explode("who").alias("p"))
+    return hits.groupBy(F.col("p.doc").alias("at"), F.col("p.lo").alias("lo")).agg(F.bit_or("mask").alias("mask"))
 
 
 def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -172,7 +216,7 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offs in tb.blocks(batch.column(1)):
+            for first, end, data, offs in tb.blocks(batch.column(1), _BLOCK_BYTES):
                 n = end - first
                 gone = np.zeros(len(data) + 1, dtype=np.int64)
                 copy = np.asarray(batch.column(2).slice(first, n).is_valid()) & (np.diff(offs) >= THRESHOLD)
