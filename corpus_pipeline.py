@@ -15,6 +15,10 @@ from tidewright.llm import byte_bpe, chunk_dedup, decontamination, near_dedup, q
 from tidewright.llm.queries import table, vocabulary_path
 
 
+#: Percent of the union of the shingles that near-duplicates of the pipeline share; op1 has its own.
+NEAR_PERCENT = 80
+
+
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns called c0, c1, ..., and the new name of each old one (the first of equals)."""
     names = {}
@@ -32,10 +36,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest doc_id.  Repeated rows of it and rows without doc_id stay."""
+    """One document of each group of near-duplicates (five words, 0.8 or more): the one of smallest doc_id.  Repeated rows of it and rows without doc_id stay."""
     plain, name = _plain(docs)
     key, text = name["doc_id"], name["text"]
-    gone = near_dedup.near_duplicates(plain, key, text).where("not kept").select(F.col(key).alias("gone")).distinct()
+    gone = near_dedup.near_duplicates(plain, key, text, percent=NEAR_PERCENT).where("not kept").select(F.col(key).alias("gone")).distinct()
     return plain.join(gone, plain[key] == gone["gone"], "left_anti").toDF(*docs.columns)
 
 

@@ -353,3 +353,14 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         out = stage(spark, frame.limit(0) if empty else frame, str(tmp_path))
         assert out.schema.simpleString() == frame.schema.simpleString(), name
         assert (out.count() == 0) == empty
+
+
+def test_pipeline_links_from_80_percent(spark, tmp_path):
+    rng = random.Random(31)
+    data = []
+    for i, changed in enumerate([10, 10, 10, 12, 12]):  # of 100 shingles 90 are shared (0.818) or 88 (0.786)
+        text = [f"p{i}x{rng.randint(0, 10**9)}" for _ in range(104)]
+        data += [(2 * i, " ".join(text), "en", "s", 1), (2 * i + 1, " ".join(text[:-changed] + [f"q{i}x{k}" for k in range(changed)]), "en", "s", 1)]
+    out = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(data, SCHEMA), str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 4, 6, 7, 8, 9]
+    assert near_dedup.keys_for(85) == 12 and near_dedup.keys_for(80) == 17

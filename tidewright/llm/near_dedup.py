@@ -15,6 +15,7 @@ pair of a group is ever written out as a row, and none is left uncompared.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +28,22 @@ from .runtime import arrow_map, components, cut, ship
 
 #: Words of a shingle; percent of the union that must be shared.
 WIDTH, PERCENT = 5, 85
-#: Minimum hashes of a key, and keys of each of the two collections: a pair at
-#: the threshold is missed with a probability of 2 * (1 - 0.85**4)**12, 0.03 %.
+#: Minimum hashes of a key, and the fewest keys of each of the two collections.
 ROWS, KEYS = 4, 12
+#: Most probability that a pair at the threshold is missed.
+MOST_MISSED = 0.0003
 #: Members of a group that a block holds.
 BLOCK = 384
 #: Shingles compared at once.
 _COLUMNS = 4096
 
-_SEEDS = tb.mix64(np.arange(1, 2 * ROWS * KEYS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+def keys_for(percent: int) -> int:
+    """Keys of each collection with which 2 * (1 - s**ROWS)**keys is at most MOST_MISSED: 12 at 85 %, 17 at 80 %."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    hit = (percent / 100) ** ROWS
+    return KEYS if hit == 1 else max(KEYS, math.ceil(math.log(MOST_MISSED / 2) / math.log1p(-hit)))
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -51,17 +59,18 @@ def collection_keys(sets: list[np.ndarray], rows: int = ROWS, keys: int = KEYS)
     """[set, 2 * keys]: the keys of both collections of each set; sets must not be empty."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *map(len, sets[:-1])])
+    seeds = tb.mix64(np.arange(1, 2 * rows * keys + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     out = np.zeros((len(sets), 2 * keys), dtype=np.uint64)
     for k in range(2 * keys):
         acc = np.full(len(sets), k + 1, dtype=np.uint64)
-        for seed in _SEEDS[k * rows : (k + 1) * rows]:
+        for seed in seeds[k * rows : (k + 1) * rows]:
             least = np.minimum.reduceat((flat ^ seed) * (seed | np.uint64(1)), at)
             acc = tb.mix64(acc * np.uint64(0x9E3779B97F4A7C15) + least)
         out[:, k] = acc
     return out
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, keys: int = KEYS) -> DataFrame:
     """(key, n_shingles, set_id, a, b): the size and digest of each row's set, and its keys (null for an empty set)."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +84,9 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
                 a: list = [None] * len(sets)
                 b: list = [None] * len(sets)
                 if full:
-                    found = collection_keys([sets[i] for i in full]).view(np.int64)
+                    found = collection_keys([sets[i] for i in full], keys=keys).view(np.int64)
                     for i, row in zip(full, found, strict=True):
-                        a[i], b[i] = row[:KEYS], row[KEYS:]
+                        a[i], b[i] = row[:keys], row[keys:]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64()))],
                     names=[key, "n_shingles", "set_id", "a", "b"],
@@ -179,7 +188,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     alike, and a row without a key stands for itself: component_id is null
     and kept true.  Other columns are not read.
     """
-    marks = cut(sketches(docs, key, text, width).withColumnRenamed(key, "_key"))
+    marks = cut(sketches(docs, key, text, width, keys_for(percent)).withColumnRenamed(key, "_key"))
     usable = marks.where("set_id is not null and _key is not null")
     # MIN over the struct takes the smallest key; equal sets have equal keys
     classes = cut(usable.groupBy("set_id").agg(F.min(F.struct("_key", "a", "b")).alias("m")).select("set_id", F.col("m._key").cast("bigint").alias("rep"), "m.a", "m.b"))

@@ -19,7 +19,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
