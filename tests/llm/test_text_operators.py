@@ -118,6 +118,17 @@ def test_quality_rows(spark, odd_docs):
     assert quality.judge_quality(odd_docs.limit(0)).count() == 0
 
 
+def test_quality_covered_fraction_rejects_alone(spark):
+    def text(n_passages):
+        passages = [" ".join(f"p{i}x{k}" for k in range(20)) for i in range(n_passages)]
+        parts = [x for i, p in enumerate(passages + passages) for x in (p, f"s{i}")]
+        return " ".join(parts + [f"u{i}" for i in range(1000 - 42 * n_passages)])
+
+    out = {r["doc_id"]: r for r in rows(quality.judge_quality(spark.createDataFrame([(1, text(10)), (2, text(7))], "doc_id bigint, text string")))}
+    assert all(r["n_words"] == 1000 and r["longest_repeat"] == 20 and not r["base_failed"] for r in out.values())
+    assert (out[1]["covered_words"], out[1]["kept"], out[2]["covered_words"], out[2]["kept"]) == (400, False, 280, True)
+
+
 # ---------------------------------------------------------------- sharding
 def test_lookup_table_is_even_and_stable():
     table = sharding.lookup_table()
