@@ -31,3 +31,15 @@ def test_nothing_else_imports_the_training_data_operators():
     for source in (ROOT / "tidewright").rglob("*.py"):
         if "llm" not in source.parts:
             assert not re.search(r"\bllm\b", source.read_text()), source
+
+
+def test_whole_tables_equal_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    for name, source in (("ecdf_with_ties", "part"), ("bind_whole_tables", "orders")):
+        rows = sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, folder).collect())
+        with duckdb.connect() as db:
+            db.execute(f"CREATE VIEW {source} AS SELECT * FROM '{folder}/{source}.parquet'")
+            wanted = sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+        assert rows == wanted and len(rows) == spark.read.parquet(f"{folder}/{source}.parquet").count()

@@ -511,6 +511,11 @@ def ecdf(t):
     return layers.stat_ecdf(f.filter(col("same") == 1), "p_retailprice", ["p_brand"]).select("p_partkey", "ecdf")
 
 
+@query("SELECT p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) / count(*) OVER (PARTITION BY p_brand) AS ecdf FROM part")
+def ecdf_with_ties(t):
+    return layers.stat_ecdf(t.part, "p_retailprice", ["p_brand"]).select("p_brand", "p_retailprice", "ecdf")
+
+
 @query("SELECT p_brand, avg(p_retailprice) AS y, avg(p_retailprice) - stddev_samp(p_retailprice) / sqrt(count(*)) AS ymin, avg(p_retailprice) + stddev_samp(p_retailprice) / sqrt(count(*)) AS ymax FROM part GROUP BY 1")
 def summary_layer(t):
     return layers.stat_summary(t.part, "p_brand", "p_retailprice")
@@ -651,6 +656,12 @@ def bind_columns(t):
     return r.cbind(t.orders.filter(col("o_orderkey") % 10 == 0).select("o_orderkey"), t.customer.select("c_custkey"))
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def bind_whole_tables(t):
+    right = Frame(t.orders.df.select(F.col("o_orderkey").alias("key"), "o_totalprice"), [("key", False)])
+    return r.cbind(t.orders.select("o_orderkey", "o_custkey"), right).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query("SELECT c_nationkey AS k, c_acctbal AS bal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier")
 def bind_rows(t):
     return r.rbind(t.customer.select(k="c_nationkey", bal="c_acctbal"), t.supplier.select(k="s_nationkey", bal="s_acctbal"))
