@@ -13,7 +13,9 @@ from tidewright.functions import stats as st
 from tidewright.functions import strings as s
 from tidewright.functions import window as w
 from tidewright.functions.expr import col, lit, n, n_distinct
+from tidewright.models import special
 from tidewright.operators import joins as j
+from tidewright.operators import layers
 from tidewright.operators import reshape as r
 from tidewright.operators.frame import Frame, cols_between, desc, exclude
 
@@ -286,3 +288,18 @@ def test_vectors_and_summary(spark, df):
     s_ = summary(f)
     assert dict(s_.blocks["g"]) == {"u": 2, "w": 1} and dict(s_.blocks["b"]) == {"FALSE": 1, "TRUE": 1, "NA's": 1} and dict(s_.blocks["x"])["Median"] == 2.0 and dict(s_.blocks["d"])["Max."] == dt.date(2024, 1, 3)
     assert "Median" in repr(s_) and significance_code(0.003) == "**" and format_pval(1e-20).startswith("<")
+
+
+def test_many_levels_raise(spark):
+    many = Frame(spark.range(10_001).selectExpr("'a' AS x", "id AS y"))
+    for f in (lambda: r.xtabs(many, None, "x", "y"), lambda: r.table(many, "x", "y")):
+        with pytest.raises(ValueError, match="more than 10000"):
+            f()
+
+
+def test_stat_summary_of_many_sizes(spark):
+    data = spark.range(2, 10_003, 1, 8).selectExpr("id AS g", "explode(sequence(1, id)) AS y")
+    out = layers.stat_summary(Frame(data), "g", "y", "mean_cl_normal").df.cache()
+    assert out.count() == 10_001 and out.where("ymin is null or ymax is null or isnan(ymin)").isEmpty()
+    for x in out.where("g in (2, 3, 10002)").collect():
+        assert x["ymax"] - x["y"] == pytest.approx(special.qt(0.975, x["g"] - 1) * math.sqrt((x["g"] + 1) / 12))

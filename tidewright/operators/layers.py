@@ -161,6 +161,7 @@ def stat_binhex(frame: Frame, x: str, y: str, bins: int = 30) -> Frame:
 
 def stat_summary(frame: Frame, x: str, y: str, fun: str = "mean_se", conf: float = 0.95, mult: float = 1.0) -> Frame:
     """y, ymin, ymax of each x: mean_se, mean_cl_normal or median_hilow."""
+    from ..functions.distributions import _by_value
     from ..models.special import qt
 
     c = F.col(quote(y)).cast("double")
@@ -172,12 +173,11 @@ def stat_summary(frame: Frame, x: str, y: str, fun: str = "mean_se", conf: float
     if fun == "mean_se":
         reach = F.col("se") * mult
     else:
-        sizes = [r[0] for r in one.select("n").distinct().limit(10_000).collect()]
-        factor = None
-        for s in sizes:
-            value = F.lit(qt((1 + conf) / 2, s - 1) if s > 1 else float("nan"))
-            factor = F.when(F.col("n") == s, value) if factor is None else factor.when(F.col("n") == s, value)
-        reach = F.col("se") * factor
+        # by an Arrow UDF over the different sizes, as many as there are
+        factor = _by_value(lambda s: qt((1 + conf) / 2, s - 1) if s > 1 else float("nan"))("n")
+        sizes = Frame(one.select("n").distinct()).mutate(__t=factor).df
+        one = one.join(sizes, "n")
+        reach = F.col("se") * F.col("__t")
     return frame._new(one.select(quote(x), "y", (F.col("y") - reach).alias("ymin"), (F.col("y") + reach).alias("ymax")), ())
 
 

@@ -200,12 +200,14 @@ def table(frame: Frame, x: str, y: str | None = None) -> Frame:
 
 
 def xtabs(frame: Frame, weight: str | None, x: str, y: str | None = None) -> Frame:
-    """Counts, or sums of ``weight``, by one or two columns."""
+    """Counts, or sums of ``weight``, by one or two columns; more than 10000 values of y raise."""
     df = frame.df.where(F.col(quote(x)).isNotNull() & (F.col(quote(y)).isNotNull() if y else F.lit(True)))
     made = F.count(F.lit(1)) if weight is None else F.sum(quote(weight))
     if y is None:
         return frame._new(df.groupBy(F.col(quote(x)).cast("string").alias(x)).agg(made.alias("n")).orderBy(quote(x)), ())
     levels = [r[0] for r in df.select(F.col(quote(y)).cast("string").alias("y")).distinct().orderBy("y").limit(10_001).collect()]
+    if len(levels) > 10_000:
+        raise ValueError(f"more than 10000 values of {y}")
     cells = [F.coalesce((F.count_if(F.col(quote(y)).cast("string") == v) if weight is None else F.sum(F.when(F.col(quote(y)).cast("string") == v, F.col(quote(weight))))), F.lit(0)).alias(v) for v in levels]
     return frame._new(df.groupBy(F.col(quote(x)).cast("string").alias(x)).agg(*cells).orderBy(quote(x)), ())
 
