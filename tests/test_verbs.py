@@ -303,3 +303,10 @@ def test_stat_summary_of_many_sizes(spark):
     assert out.count() == 10_001 and out.where("ymin is null or ymax is null or isnan(ymin)").isEmpty()
     for x in out.where("g in (2, 3, 10002)").collect():
         assert x["ymax"] - x["y"] == pytest.approx(special.qt(0.975, x["g"] - 1) * math.sqrt((x["g"] + 1) / 12))
+
+
+def test_many_dummies_raise(spark):
+    ids = Frame(spark.range(1001).selectExpr("id AS x"))
+    with pytest.raises(ValueError, match="more than 1000"):
+        r.to_dummies(ids, "x")
+    assert len(r.to_dummies(ids.filter(col("x") < 1000), "x").columns) == 1000

@@ -156,13 +156,16 @@ def cube(frame: Frame, keys: Sequence[str], **made: Any) -> Frame:
 
 
 def to_dummies(frame: Frame, *cols: str) -> Frame:
-    """0 and 1 columns for each value of the columns."""
+    """0 and 1 columns for each value of the columns; more than 1000 values of a column raise."""
     made: list[Column] = []
     for c in frame.columns:
         if c not in cols:
             made.append(F.col(quote(c)))
             continue
-        for v in [r[0] for r in frame.df.select(quote(c)).where(F.col(quote(c)).isNotNull()).distinct().orderBy(quote(c)).limit(1000).collect()]:
+        values = [r[0] for r in frame.df.select(quote(c)).where(F.col(quote(c)).isNotNull()).distinct().orderBy(quote(c)).limit(1001).collect()]
+        if len(values) > 1000:
+            raise ValueError(f"more than 1000 values of {c}")
+        for v in values:
             made.append(F.coalesce((F.col(quote(c)) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}"))
     return frame._new(frame.df.select(*made))
 
