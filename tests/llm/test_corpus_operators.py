@@ -301,6 +301,25 @@ def test_contamination_odd_rows(spark, odd):
     assert sorted((r["seed"], r["n_hit"]) for r in out[4:]) == [(2, 20), (3, 0)]
 
 
+def test_contamination_by_items_without_id_equals_sql(spark):
+    import duckdb
+
+    from tidewright.llm.queries import ORACLE_SQL
+
+    passage = [f"n{i}" for i in range(14)]
+    items = [(None, " ".join(passage)), (None, "two lost words"), (3, "known item text")]
+    data = [(1, "a " + " ".join(passage[2:]) + " b"), (2, "the known item text and two lost words"), (3, "known item text"), (4, "nothing"), (5, " ".join(passage) + " two lost words")]
+    frame, bench = spark.createDataFrame(data, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    out = sorted(tuple(r) for r in decontamination.contamination(frame, bench).collect())
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        db.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", data)
+        db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+        wanted = sorted(db.execute(ORACLE_SQL["op9_decontamination"]).fetchall())
+    assert out == wanted and [(r[2], r[5]) for r in out] == [(12, True), (6, True), (3, True), (0, False), (17, True)]
+
+
 def test_contamination_is_native(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id bigint, text string")
     plan = decontamination.contamination(docs, bench)._jdf.queryExecution().toString()

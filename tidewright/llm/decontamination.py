@@ -48,7 +48,7 @@ def _tokens(words: str, n: Column, width: Column | int) -> Column:
 
 def item_windows(benchmark: DataFrame, item: str, text: str, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(item, first, size, words, width): the different windows of each item; ``width`` is its shingles' words."""
-    b = benchmark.where(benchmark[item].isNotNull()).select(benchmark[item].cast("string").alias("item"), words_of(benchmark[text]).alias("w")).distinct()
+    b = benchmark.select(benchmark[item].cast("string").alias("item"), words_of(benchmark[text]).alias("w")).distinct()
     size = F.least(F.size("w"), F.lit(window))
     rows = b.where("size(w) > 0").withColumn("size", size).withColumn("first", F.explode(_starts(F.size("w"), F.col("size"))))
     return rows.select("item", "size", F.slice("w", F.col("first") + 1, F.col("size")).alias("words"), F.least("size", F.lit(shingle)).alias("width")).distinct()
@@ -62,8 +62,9 @@ def contamination(
 
     n_hit: words inside an occurrence of a window of any item; items_sha256:
     the digest of the items' ids, sorted as text and joined by commas.  Null
-    and empty texts have no words; an item without words or with a null id
-    has no window; an item of fewer words than a window is one window.
+    and empty texts have no words; an item without words has no window; an
+    item of fewer words than a window is one window.  Items with a null id
+    count as one item, whose id is left out of the digest.
     Repeated items count once; repeated documents are judged one by one, and
     a null key is a key.  Without items nothing is contaminated.
     """
