@@ -58,11 +58,17 @@ def shard_rows(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size:
     """df with the columns ``slot`` and ``shard`` put behind its own.
 
     Every row is kept, repeated keys meet in one shard, a null key has the
-    place of the empty text.  A column of df called slot or shard is replaced.
+    place of the empty text.  Columns of df called slot or shard, in any case,
+    are replaced; all others stay, whatever they are called, repeated names
+    included.
     """
-    spark = df.sparkSession
+    # columns go by position, so that no name of df can clash with one used here
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    own = [i for i, c in enumerate(df.columns) if c.lower() not in ("slot", "shard")]
+    keyed = df.columns.index(key)
     owner = ",".join(map(str, lookup_table(shards, size)))
-    table = spark.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(owner), ",")).alias("_slot", "_owner")).select("_slot", F.element_at(F.split(F.lit("\n".join(shards)), "\n"), F.col("_owner").cast("int") + 1).alias("_shard"))
-    own = [c for c in df.columns if c not in ("slot", "shard")]
-    placed = df.select(*[df[c] for c in own], slot(df[key], size).alias("_slot"))
-    return placed.join(F.broadcast(table), "_slot").select(*[placed[c] for c in own], F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    table = df.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(owner), ",")).alias("at", "owner"))
+    table = table.select("at", F.element_at(F.split(F.lit("\n".join(shards)), "\n"), F.col("owner").cast("int") + 1).alias("name"))
+    placed = plain.select(*[f"c{i}" for i in own], slot(F.col(f"c{keyed}"), size).alias("at"))
+    joined = placed.join(F.broadcast(table), "at").select(*[f"c{i}" for i in own], "at", "name")
+    return joined.toDF(*[df.columns[i] for i in own], "slot", "shard")
