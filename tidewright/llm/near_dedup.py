@@ -49,7 +49,7 @@ def keys_for(percent: int) -> int:
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """The sorted different shingle hashes of each text of a block."""
     starts, ends, doc = tb.words(data, offs)
-    words = tb.span_hashes(tb.prefix_hash(data, tb.LOWER_VALUES), starts, ends)
+    words = tb.hash_spans(data, starts, ends, tb.LOWER_VALUES)
     hashes, owner = tb.shingle_hashes(words, doc, len(offs) - 1, width)
     until = np.searchsorted(owner, np.arange(len(offs)))
     return [np.unique(hashes[a:b]) for a, b in zip(until[:-1], until[1:], strict=True)]

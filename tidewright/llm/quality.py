@@ -3,7 +3,8 @@
 The suffix array of every text of a block is built at once by prefix doubling
 (only suffixes that still share their rank are sorted again; words of
 different texts never compare equal).  Longest common prefixes of neighbours
-come from the kept ranks.  An interval of the LCP array whose value is v is a
+are measured in the order of the text, where each is at least one word shorter
+than the one before, so memory is some arrays of the words.  An interval of the LCP array whose value is v is a
 maximal repeated substring of v words, occurring at each suffix inside; the
 deepest interval around a suffix has the larger of its two neighbouring LCP
 values, so the union of the spans of all intervals is the union of
@@ -31,32 +32,28 @@ LEAST_REPEAT = 6
 #: 28.6 % covered (327 at sf0.01, 3243 at sf0.1).
 MOST_COVERED_PERCENT, MOST_LONGEST = 30, 100
 
+#: Suffixes between two that are measured in turn; words compared at once.
+_LANE, _CELLS = 64, 1 << 20
+
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
 
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, covered_words bigint, longest_repeat bigint"
 
 
-def neighbour_lcp(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each suffix the longest prefix, in words, that another suffix of its text has too.
-
-    ``ids``: words as integers that differ between texts.  ``end``: for each
-    word the end of its text.
-    """
+def suffix_order(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The suffixes in lexicographic order, each up to the end of its text, by prefix doubling."""
     n = len(ids)
-    if n == 0:
-        return np.zeros(0, np.int64)
     order = np.argsort(ids, kind="stable")
     new = np.ones(n, dtype=bool)
     new[1:] = ids[order[1:]] != ids[order[:-1]]
     starts = np.flatnonzero(new)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    levels, step = [rank], 1
     size = np.diff(np.append(starts, n))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.repeat(starts, size)
+    step = 1
     active = order[np.repeat(size > 1, size)]
     while len(active):
-        rank = levels[-1]
         ahead = active + step
         second = np.where(ahead < end[active], rank[np.minimum(ahead, n - 1)] + 1, 0)
         key = rank[active] << 32 | second
@@ -72,26 +69,62 @@ def neighbour_lcp(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
         group[1:] = old[1:] != old[:-1]
         group_at = np.flatnonzero(group)
         offset = starts - group_at[np.searchsorted(group_at, starts, "right") - 1]
-        nxt = rank.copy()
-        nxt[active] = old + np.repeat(offset, size)
-        levels.append(nxt)
+        rank[active] = old + np.repeat(offset, size)
         step *= 2
         active = active[np.repeat(size > 1, size)]
     suffix = np.empty(n, dtype=np.int64)
-    suffix[levels[-1]] = np.arange(n)
-    # LCP of neighbours in the suffix array, from the highest level down
-    pair = np.flatnonzero(levels[0][suffix[1:]] == levels[0][suffix[:-1]])
-    a, b = suffix[pair], suffix[pair + 1]
-    length = np.zeros(len(pair), dtype=np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        x, y = a + length, b + length
-        inside = (x < end[a]) & (y < end[b])
-        ranks = levels[level]
-        same = inside & (ranks[np.minimum(x, n - 1)] == ranks[np.minimum(y, n - 1)])
-        length += same.astype(np.int64) << level
-    out = np.zeros(n, dtype=np.int64)
-    np.maximum.at(out, a, length)
-    np.maximum.at(out, b, length)
+    suffix[rank] = np.arange(n)
+    return suffix
+
+
+def _extended(ids: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The common prefixes of the suffixes a and b, known to agree for ``length`` words, up to ``limit``."""
+    live = np.flatnonzero(length < limit)
+    live = live[ids[a[live] + length[live]] == ids[b[live] + length[live]]]
+    length[live] += 1
+    width = 8
+    while len(live):
+        width = max(1, min(2 * width, _CELLS // len(live)))
+        far = length[live, None] + np.arange(width)
+        inside = far < limit[live, None]
+        last = len(ids) - 1
+        same = inside & (ids[np.minimum(a[live, None] + far, last)] == ids[np.minimum(b[live, None] + far, last)])
+        run = np.where(same.all(axis=1), width, same.argmin(axis=1))
+        length[live] += run
+        live = live[run == width]
+    return length
+
+
+def neighbour_lcp(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each suffix the longest prefix, in words, that another suffix of its text has too.
+
+    ``ids``: words as integers that differ between texts.  ``end``: for each
+    word the end of its text.  A suffix shares with its predecessor in the
+    suffix array at least one word less than the suffix before it in the text
+    shares with its own.  So every _LANE-th suffix is measured in turn, going
+    on from the one before, and from there the lanes go on in step.
+    """
+    n = len(ids)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    suffix = suffix_order(ids, end)
+    before = np.full(n, -1, dtype=np.int64)
+    before[suffix[1:]] = suffix[:-1]
+    limit = np.where(before >= 0, np.minimum(end - np.arange(n), end[before] - before), 0)
+    head = np.arange(0, n, _LANE)
+    shared = np.zeros(n, dtype=np.int64)
+    known = 0
+    for i in head.tolist():
+        known = max(known - _LANE, 0)
+        at = slice(i, i + 1)
+        known = int(_extended(ids, np.arange(i, i + 1), before[at], np.array([known]), limit[at])[0]) if limit[i] > known else min(known, int(limit[i]))
+        shared[i] = known
+    for step in range(1, min(_LANE, n)):
+        at = head[head + step < n] + step
+        shared[at] = _extended(ids, at, before[at], np.maximum(shared[at - 1] - 1, 0), limit[at])
+    out = shared.copy()
+    has = np.flatnonzero(before >= 0)
+    out[before[has]] = np.maximum(out[before[has]], shared[has])
     return out
 
 
@@ -114,7 +147,6 @@ def measure(data: np.ndarray, offs: np.ndarray, least_repeat: int = LEAST_REPEAT
 
     word_chars = of_bytes(~tb.SPACE[data] & ((data & 0xC0) != 0x80))
     n_symbols = of_bytes(SYMBOLS[data])
-    prefix = tb.prefix_hash(data)
     # lines: the pieces between line feeds, those with a word
     feed = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate([offs[:-1], feed + 1]))
@@ -127,12 +159,12 @@ def measure(data: np.ndarray, offs: np.ndarray, least_repeat: int = LEAST_REPEAT
         owner = np.searchsorted(offs, begin, "right") - 1
         stop = np.minimum(limit, offs[owner + 1])
         stop = stop - (data[stop - 1] == 10)
-        line = tb.span_hashes(prefix, begin, stop)
+        line = tb.hash_spans(data, begin, stop)
         _, first = np.unique(tb.mix64(line + owner.astype(np.uint64)), return_index=True)
         n_dup_lines = np.bincount(owner, minlength=n_docs) - np.bincount(owner[first], minlength=n_docs)
     else:
         n_dup_lines = np.zeros(n_docs, np.int64)
-    word = tb.span_hashes(prefix, starts, ends)
+    word = tb.hash_spans(data, starts, ends)
     end = np.cumsum(n_words)[doc] if len(doc) else np.zeros(0, np.int64)
     longest = neighbour_lcp(tb.mix64(word + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), end)
     window = np.flatnonzero(longest >= 3)
