@@ -264,5 +264,5 @@ def _with_letter(data: np.ndarray, offs: np.ndarray, raw: bytes) -> np.ndarray:
 
 
 def held_out(key: Column) -> Column:
-    """Rows that are never learned from: CRC-32 of the key's text is a multiple of 5."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """Rows that are never learned from: CRC-32 of the key's text is a multiple of 5.  A null key has the empty text, whose CRC-32 is 0."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0

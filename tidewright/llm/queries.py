@@ -36,7 +36,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
     model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
     return toxicity.score_texts(docs, model, keep=("held_out",))
 
@@ -46,7 +46,7 @@ def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
     model = language.train(docs.where("not held_out"), byte_bpe.read_file(vocabulary_path()))
     return language.identify(docs, model, keep=("held_out",))
 
@@ -130,8 +130,32 @@ _OP9_SQL = rf"""
            sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
     FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
+#: A word lies in a repeat of 6 words or more just if it lies in a 6-word window that the text has twice; the longest repeat is the longest run of equal windows at one distance.
+_OP2_SQL = rf"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+         l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+         p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+         g AS (SELECT doc_id, i, len(w) AS n, hash(w[i:i + 2]) AS h3, hash(w[i:i + 5]) AS h6 FROM p),
+         s3 AS (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h3) AS k FROM g WHERE i <= n - 2) WHERE k > 1),
+         r3 AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM s3 GROUP BY doc_id),
+         k6 AS (SELECT doc_id, i, h6, count(*) OVER (PARTITION BY doc_id, h6) AS k FROM g WHERE i <= n - 5),
+         s6 AS (SELECT doc_id, unnest(range(i, i + 6)) AS p FROM k6 WHERE k > 1),
+         r6 AS (SELECT doc_id, count(DISTINCT p) AS covered_words FROM s6 GROUP BY doc_id),
+         pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS gap FROM k6 a JOIN k6 b ON a.doc_id = b.doc_id AND a.h6 = b.h6 AND a.i < b.i WHERE a.k > 1 AND b.k > 1),
+         runs AS (SELECT doc_id, count(*) + 5 AS words FROM (SELECT doc_id, gap, i - row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS island FROM pairs) GROUP BY doc_id, gap, island),
+         m AS (SELECT doc_id, max(words) AS longest_repeat FROM runs GROUP BY doc_id),
+         c AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                      CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                      coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_words, 0) AS covered_words, CAST(coalesce(longest_repeat, 0) AS BIGINT) AS longest_repeat
+               FROM t LEFT JOIN l USING (doc_id) LEFT JOIN r3 USING (doc_id) LEFT JOIN r6 USING (doc_id) LEFT JOIN m USING (doc_id))
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered_words <= {quality.MOST_COVERED_PERCENT} * n_words AND longest_repeat <= {quality.MOST_LONGEST} AS kept
+    FROM c"""
+
 ORACLE_SQL = {
     "op1_minhash_dedup": _OP1_SQL,
+    "op2_quality": _OP2_SQL,
     "op3_sharding": _op3_sql(),
     "op4_url_filter": _OP4_SQL,
     "op9_decontamination": _OP9_SQL,
