@@ -2,12 +2,17 @@
 
 Features are the presence, in a text, of lower-cased words and of word starts
 of four to six bytes, hashed into a fixed number of buckets.  Counts by label
-over all training rows choose the features; weights are then fitted on a
-bounded sample of the rows.  In sampled texts that mention an identity term,
-the term is swapped for another of its kind, and the square of the change of
-the score that follows is part of the loss: a term that merely goes along with
-the label in the training data gets no weight of its own, so neutral mentions
-of a group are not held against a text.
+over all training rows choose the features, to which those of the identity
+terms always belong; weights are then fitted on a bounded sample of the rows.
+
+A counterfactual pair is a sentence of a labelled text and the same sentence
+with its identity terms swapped for others of their kinds.  A sampled text
+that mentions no term gets one: in place of a word that carries no weight, one
+of its sentences takes a term, in the text's own row too, and with another
+term of that kind it makes the pair.  The square of the difference of a pair's
+scores is part of the loss: a term that merely goes along with the label in the
+training data gets no weight of its own, so neutral mentions of a group are
+not held against a text.
 """
 
 from __future__ import annotations
@@ -29,13 +34,13 @@ BUCKETS = 1 << 20
 STARTS = (4, 5, 6)
 #: Features that get a weight, at most, and the least root of their likelihood ratio against the label.
 MOST_FEATURES, LEAST_Z = 2048, 4.5
-#: Rows on which weights are fitted, at most (all, if there are fewer).
+#: Rows on which weights are fitted, at most (all, if there are fewer): those of the smallest hashes of their keys.
 SAMPLE_ROWS = 20_000
-#: Labelled rows, at most, that are broadcast to the texts; more are joined by a shuffle.
-MOST_BROADCAST_LABELS = 2_000_000
+#: Labelled rows, at most, that are broadcast to the texts (some 60 bytes each); more are joined by a shuffle.
+MOST_BROADCAST_LABELS = 500_000
 #: Strength of the ridge and of the counterfactual penalty; gradient steps.
-RIDGE, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 300
-#: Identity terms by kind; a term is swapped for the next of its kind.
+RIDGE, COUNTERFACTUAL, STEPS = 1e-4, 30.0, 300
+#: Identity terms by kind; a term is swapped for another of its kind.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -49,13 +54,19 @@ SEPARATORS[:128] = True
 SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
+BREAKS = np.zeros(256, dtype=bool)  # ends of sentences
+BREAKS[[10, 33, 46, 63]] = True
+
+
 @dataclass(frozen=True)
 class Model:
-    """Weight of each bucket (0 for most) and the intercept."""
+    """Weight of each bucket (0 for most), the intercept, and how many rows and counterfactual pairs they were fitted on."""
 
     buckets: np.ndarray
     weights: np.ndarray
     intercept: float
+    n_rows: int = 0
+    n_pairs: int = 0
 
     def dense(self) -> np.ndarray:
         out = np.zeros(BUCKETS)
@@ -68,15 +79,14 @@ def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
 
 
 def word_features(data: np.ndarray, offs: np.ndarray):
-    """(text, bucket) of every feature of every word, repeats included, and the words' hashes with their texts."""
+    """The words (starts, texts, hashes) of a block, and (word, bucket) of all their features, repeats included."""
     starts, ends, doc = tb.words(data, offs, SEPARATORS)
-    prefix = tb.prefix_hash(data, tb.LOWER_VALUES)
-    hashes = tb.span_hashes(prefix, starts, ends)
-    found = [(doc, _bucket(hashes, 0))]
+    hashes = tb.hash_spans(data, starts, ends, tb.LOWER_VALUES)
+    found = [(np.arange(len(starts)), _bucket(hashes, 0))]
     for k, size in enumerate(STARTS, 1):
         long = np.flatnonzero(ends - starts >= size)
-        found.append((doc[long], _bucket(tb.span_hashes(prefix, starts[long], starts[long] + size), k)))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), hashes, doc
+        found.append((long, _bucket(tb.hash_spans(data, starts[long], starts[long] + size, tb.LOWER_VALUES), k)))
+    return starts, doc, hashes, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def features_of(words: list[str]) -> list[tuple[int, np.ndarray]]:
@@ -84,7 +94,7 @@ def features_of(words: list[str]) -> list[tuple[int, np.ndarray]]:
     out = []
     for word in words:
         raw = np.frombuffer(word.lower().encode(), dtype=np.uint8)
-        _, buckets, hashes, _ = word_features(raw, np.array([0, len(raw)]))
+        _, _, hashes, _, buckets = word_features(raw, np.array([0, len(raw)]))
         out.append((int(hashes[0]), buckets))
     return out
 
@@ -114,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             truth = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.int64) > 0
             for first, end, data, offs in tb.blocks(batch.column(0)):
                 y = truth[first:end]
-                doc, bucket = distinct(*word_features(data, offs)[:2])
+                _, doc, _, word, bucket = word_features(data, offs)
+                doc, bucket = distinct(doc[word], bucket)
                 count[1] += np.bincount(bucket[y[doc]], minlength=BUCKETS)
                 count[0] += np.bincount(bucket[~y[doc]], minlength=BUCKETS)
                 n += [int((~y).sum()), int(y.sum())]
@@ -140,45 +151,81 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     order = np.lexsort((bucket, -z))[:MOST_FEATURES]
     chosen = np.sort(bucket[order[z[order] >= LEAST_Z]])
 
-    swaps = {}
-    for kind in identity_terms:
-        known = features_of(list(kind))
-        for k, (name, buckets) in enumerate(known):
-            swaps[name] = (buckets, known[(k + 1) % len(known)][1])
-    share = min(1.0, sample_rows / (total0 + total1))
+    kinds = [features_of(list(kind)) for kind in identity_terms if len(kind) > 1]
+    chosen = np.unique(np.concatenate([chosen, *(f for kind in kinds for _, f in kind)]))
+    share = min(1.0, 1.05 * sample_rows / (total0 + total1))
 
     def sampling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(BUCKETS, -1, dtype=np.int32)
-        place[chosen] = np.arange(len(chosen))
-        names = np.sort(np.array(list(swaps), dtype=np.uint64))
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
+        places = [[(name, place[f]) for name, f in kind] for kind in kinds]
         for batch in batches:
             truth = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.int64) > 0
             for first, end, data, offs in tb.blocks(batch.column(0)):
-                doc, bucket, hashes, owner = word_features(data, offs)
-                doc, bucket = distinct(doc, bucket)
-                mention = np.flatnonzero(np.isin(hashes, names)) if len(names) else ()
-                swapped: dict[int, set[int]] = {}
-                for m in mention:
-                    swapped.setdefault(int(owner[m]), set()).add(int(hashes[m]))
-                hit = place[bucket] >= 0
-                d, f = doc[hit], place[bucket[hit]]
-                until = np.searchsorted(d, np.arange(end - first + 1))
-                own, other = [], []
-                for r in range(end - first):
-                    mine = f[until[r] : until[r + 1]]
-                    own.append(mine.tobytes())
-                    if r in swapped:
-                        gone = np.concatenate([swaps[h][0] for h in swapped[r]])
-                        come = np.concatenate([swaps[h][1] for h in swapped[r]])
-                        theirs = np.union1d(np.setdiff1d(mine, place[gone]), place[come]).astype(np.int32)
-                        other.append(theirs[theirs >= 0].tobytes())
-                    else:
-                        other.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array(truth[first:end]), pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["y", "own", "other"])
-
-    drawn = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("_text", "_y")
-    sample = arrow_map(drawn, sampling, "y boolean, own binary, other binary").toArrow()
-    return _fit(chosen, sample, counterfactual)
+                rows = counterfactual_rows(data, offs, place, places)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(truth[first:end]), batch.column(2).slice(first, end - first), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))],
+                    names=["y", "h", "own", "pairs"],
+                )
+
+    drawn = rows.withColumn("_h", F.xxhash64("_id")).where(F.pmod("_h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("_text", "_y", F.pmod("_h", F.lit(1 << 30)).alias("_h"))
+    sample = arrow_map(drawn, sampling, "y boolean, h bigint, own binary, pairs array<binary>").toArrow()
+    return _fit(chosen, sample, counterfactual, sample_rows)
+
+
+def counterfactual_rows(data: np.ndarray, offs: np.ndarray, place: np.ndarray, kinds: list[list[tuple[int, np.ndarray]]]) -> list[tuple[bytes, list[bytes]]]:
+    """For each text of a block its features, and those of both sides of its counterfactual pairs, one after the other.
+
+    ``place``: the number of a bucket's feature, or -1; ``kinds``: hash and
+    features of each identity term.
+    """
+    starts, doc, hashes, word, bucket = word_features(data, offs)
+    hit = place[bucket] >= 0
+    word, feature = word[hit], place[bucket[hit]]
+    order = np.argsort(word, kind="stable")
+    word, feature = word[order], feature[order]
+    until = np.searchsorted(word, np.arange(len(starts) + 1))
+    sentence = np.searchsorted(np.flatnonzero(BREAKS[data]), starts)
+    text_at = np.searchsorted(doc, np.arange(len(offs)))
+    kind_of = {name: (k, i) for k, kind in enumerate(kinds) for i, (name, _) in enumerate(kind)}
+    names = np.array(sorted(kind_of), dtype=np.uint64)
+    mention = np.isin(hashes, names)
+    draw = tb.mix64(hashes ^ np.uint64(0x9E3779B97F4A7C15))
+
+    def with_terms(a: int, b: int, at: list[int], terms: list[np.ndarray]) -> bytes:
+        """Features of the words a to b with those at ``at`` replaced by terms."""
+        own = feature[until[a] : until[b]][~np.isin(word[until[a] : until[b]], at)]
+        return np.unique(np.concatenate([own, *terms])).astype(np.int32).tobytes()
+
+    out = []
+    for t in range(len(offs) - 1):
+        a, b = int(text_at[t]), int(text_at[t + 1])
+        pairs: list[bytes] = []
+        fill: tuple = ([], [])
+        told = np.flatnonzero(mention[a:b]) + a
+        if len(told):
+            for s in np.unique(sentence[told]):
+                at = [int(w) for w in told[sentence[told] == s]]
+                shift = int(draw[at].sum() >> np.uint64(33))
+                swapped = []
+                for w in at:
+                    k, i = kind_of[int(hashes[w])]
+                    swapped.append(kinds[k][(i + 1 + shift % (len(kinds[k]) - 1)) % len(kinds[k])][1])
+                low, high = a + np.searchsorted(sentence[a:b], [s, s + 1])
+                pairs += [with_terms(low, high, [], []), with_terms(low, high, at, swapped)]
+        elif kinds:
+            free = np.flatnonzero(until[a + 1 : b + 1] == until[a:b]) + a
+            if len(free):
+                w = int(free[np.argmin(draw[free])])
+                dice = int(tb.mix64(draw[a:b].sum(keepdims=True))[0])
+                kind = kinds[dice % len(kinds)]
+                i = (dice >> 8) % len(kind)
+                j = (i + 1 + (dice >> 16) % (len(kind) - 1)) % len(kind)
+                low, high = a + np.searchsorted(sentence[a:b], [sentence[w], sentence[w] + 1])
+                fill = ([w], [kind[i][1]])
+                pairs = [with_terms(low, high, [w], [kind[i][1]]), with_terms(low, high, [w], [kind[j][1]])]
+        out.append((with_terms(a, b, *fill), pairs))
+    return out
 
 
 def _rows(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,33 +234,36 @@ def _rows(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), size), np.frombuffer(b"".join(lists), dtype=np.int32).astype(np.int64)
 
 
-def _fit(chosen: np.ndarray, sample: pa.Table, counterfactual: float) -> Model:
-    """Adam on the logistic loss, with rows in the order of their features, so that the result doesn't hang on the partitions."""
-    own, other, y = sample["own"].to_pylist(), sample["other"].to_pylist(), np.array(sample["y"].to_pylist(), dtype=float)
-    order = sorted(range(len(own)), key=lambda i: (own[i], y[i], other[i] or b""))
-    own, other, y = [own[i] for i in order], [other[i] for i in order], y[order]
-    n, k = len(own), len(chosen)
+def _fit(chosen: np.ndarray, sample: pa.Table, counterfactual: float, sample_rows: int) -> Model:
+    """The fit over the sampled rows of the smallest hashes, ordered by their features, so that the result doesn't hang on the partitions."""
+    rows = sorted(zip(sample["h"].to_pylist(), sample["own"].to_pylist(), sample["y"].to_pylist(), sample["pairs"].to_pylist(), strict=True))[:sample_rows]
+    rows.sort(key=lambda r: r[1:])
+    own, y, pairs = [r[1] for r in rows], np.array([r[2] for r in rows], dtype=float), [p for r in rows for p in r[3]]
+    weights, intercept = fit(own, y, pairs[::2], pairs[1::2], len(chosen), counterfactual)
+    return Model(chosen, weights, intercept, len(own), len(pairs) // 2)
+
+
+def fit(own: list[bytes], y: np.ndarray, left: list[bytes], right: list[bytes], k: int, counterfactual: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights of k features and the intercept: Adam on the mean logistic loss of the rows, a ridge, and the mean square of the pairs' score changes."""
+    n, m = len(own), len(left)
     if not n or y.min() == y.max():
         share = float(np.clip(y.mean() if n else 0.5, 1e-6, 1 - 1e-6))
-        return Model(chosen, np.zeros(k), float(np.log(share / (1 - share))))
-    r, f = _rows(own)
-    pairs = [i for i in range(n) if other[i] is not None]
-    r0, f0 = _rows([own[i] for i in pairs])
-    r1, f1 = _rows([other[i] for i in pairs])
+        return np.zeros(k), float(np.log(share / (1 - share)))
+    (r, f), (r0, f0), (r1, f1) = _rows(own), _rows(left), _rows(right)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    for step in range(1, STEPS + 1):
+    mean, square = np.zeros(k + 1), np.zeros(k + 1)
+    for step in range(1, steps + 1):
         s = 1 / (1 + np.exp(-np.clip(np.bincount(r, weights=w[f], minlength=n) + b, -30, 30)))
         slope = (s - y) / n
         g = np.append(np.bincount(f, weights=slope[r], minlength=k) + RIDGE * w, slope.sum())
-        if pairs:
-            change = np.bincount(r0, weights=w[f0], minlength=len(pairs)) - np.bincount(r1, weights=w[f1], minlength=len(pairs))
-            pull = 2 * counterfactual * change / len(pairs)
+        if m:
+            change = np.bincount(r0, weights=w[f0], minlength=m) - np.bincount(r1, weights=w[f1], minlength=m)
+            pull = 2 * counterfactual * change / m
             g[:-1] += np.bincount(f0, weights=pull[r0], minlength=k) - np.bincount(f1, weights=pull[r1], minlength=k)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return Model(chosen, w, float(b))
+    return w, float(b)
 
 
 def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -230,9 +280,9 @@ def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
         weight = model.dense()
         for batch in batches:
             for first, end, data, offs in tb.blocks(batch.column(len(names))):
-                doc, bucket = word_features(data, offs)[:2]
+                _, doc, _, word, bucket = word_features(data, offs)
                 some = weight[bucket] != 0
-                doc, bucket = distinct(doc[some], bucket[some])
+                doc, bucket = distinct(doc[word[some]], bucket[some])
                 total = np.bincount(doc, weights=weight[bucket], minlength=end - first) + model.intercept
                 score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
                 own = [batch.column(i).slice(first, end - first) for i in range(len(names))]
