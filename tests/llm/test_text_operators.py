@@ -184,26 +184,69 @@ def test_url_trie_equals_plain(spark):
 
 
 # ---------------------------------------------------------------- language
-def test_forward_sums_all_segmentations():
-    pieces = language.word_pieces(byte_bpe.read_file(vocabulary_path()))
-    number = {p: i for i, p in enumerate(pieces)}
-    prior = language.prior_of(pieces)
-
-    def plain(word):
-        if not word:
-            return 1.0
-        return sum(prior[number[word[:k]]] * plain(word[k:]) for k in range(1, min(len(word), language.PIECE_BYTES) + 1) if word[:k] in number)
-
-    text = "Hello wörld a thing"
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    starts, lengths, which, _ = language.block_words(data, np.array([0, len(data)]))
-    assert len(which) == 4
-    for group, cells in language.lattices(data, starts, lengths, language.Pieces(pieces)):
-        whole = language.forward(cells, prior[:, None], lengths[group])[1][:, 0]
-        words = [bytes(tb.LOWER[data[s : s + n]]) for s, n in zip(starts[group], lengths[group], strict=True)]
-        assert np.allclose(whole, [plain(x) for x in words], rtol=1e-12)
-        expected = language.expected_counts(cells, prior, lengths[group], np.ones((1, len(group))), len(pieces))[0]
-        assert np.isclose(sum(n * len(pieces[i]) for i, n in enumerate(expected)), lengths.sum())
+def plain_log(text, logs, number, longest):
+    """The logarithm of the sum over all segmentations of the words of a text, each behind a space."""
+    total = 0.0
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", text):
+        word = b" " + word
+        alpha = [0.0]
+        for e in range(1, len(word) + 1):
+            alpha.append(np.logaddexp.reduce([alpha[s] + logs[number[word[s:e]]] for s in range(max(0, e - longest), e) if word[s:e] in number]))
+        total += alpha[-1]
+    return total
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    listed = language.vocabulary(byte_bpe.read_file(vocabulary_path()))
+    assert len(listed) == 50_256
+    return listed, {p: i for i, p in enumerate(listed)}, language.Pieces(listed)
+
+
+def test_text_score_sums_all_segmentations(pieces):
+    listed, number, trie = pieces
+    rng = np.random.default_rng(4)
+    chance = rng.random((len(listed), 3)) ** 8 + 1e-12
+    chance /= chance.sum(axis=0)
+    noise = bytes(rng.integers(33, 127, 700).astype(np.uint8)).decode()
+    texts = ["Hello wörld, a thing\n\n in the  house", "", " \t ", "a" * 900, "=" * 300 + "the" * 40, noise, "漢字仮名交じり文" * 30, "x", None, "internationalisation " * 50]
+    for first, end, data, offs in tb.blocks(pa.array(texts), 2000):
+        scores = language.block_scores(data, offs, trie, chance)
+        for i in range(end - first):
+            raw = (texts[first + i] or "").encode()
+            for k in range(3):
+                assert np.isclose(scores[k, i], plain_log(raw, np.log(chance[:, k]), number, trie.longest), rtol=1e-10, atol=1e-9), raw[:30]
+
+
+def test_expected_uses_equal_plain(pieces):
+    listed, number, trie = pieces
+    prior = language.prior_of(listed)
+    words = [b" the", b" thing", b" w\xc3\xb6rld", b" abab"]
+
+    def segmentations(word):
+        return [[]] if not word else [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in number for rest in segmentations(word[k:])]
+
+    expected = np.zeros(len(listed))
+    for word in words:
+        ways = segmentations(word)
+        weights = [np.prod([prior[number[p]] for p in way]) for way in ways]
+        for way, weight in zip(ways, weights, strict=True):
+            for p in way:
+                expected[number[p]] += weight / sum(weights)
+    text = b"".join(words)
+    data = np.frombuffer(text, dtype=np.uint8)
+    found = language.block_counts(data, np.array([0, len(data)]), np.zeros(1, np.int64), 1, trie, prior)[0]
+    assert np.allclose(found, expected, rtol=1e-10)
+    # every byte of a text, and the space of each word, lies in one piece; long units go one by one
+    for text in (b"a" * 1000, b"=" * 600 + b" the " * 30, "é".encode() * 400):
+        data = np.frombuffer(text, dtype=np.uint8)
+        found = language.block_counts(data, np.array([0, len(data)]), np.zeros(1, np.int64), 1, trie, prior)[0]
+        units = re.findall(rb"[^\x20\x09-\x0D]+", text)
+        assert np.isclose((found * [len(p) for p in listed]).sum(), sum(len(u) + 1 for u in units))
+    for one in (b" the", b" abababab"):
+        data = np.frombuffer(one, dtype=np.uint8)
+        fast = language.block_counts(data, np.array([0, len(data)]), np.zeros(1, np.int64), 1, trie, prior)[0]
+        assert np.allclose(fast, language.long_counts(data, np.log(prior), trie), rtol=1e-9, atol=1e-15)
 
 
 def test_language_rows(spark):
