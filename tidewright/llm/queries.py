@@ -153,10 +153,23 @@ _OP2_SQL = rf"""
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered_words <= {quality.MOST_COVERED_PERCENT} * n_words AND longest_repeat <= {quality.MOST_LONGEST} AS kept
     FROM c"""
 
+_OP8_SQL = r"""
+    WITH b AS (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS x FROM documents),
+         w AS (SELECT doc_id, i, x[i:i + 49] AS s FROM (SELECT doc_id, x, unnest(range(1, octet_length(x) - 48)) AS i FROM b)),
+         r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+         o AS (SELECT doc_id, i, CAST(coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS INT) AS opens FROM r),
+         p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY doc_id, run),
+         k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS f, a AS t FROM p UNION ALL SELECT doc_id, max(z), CAST(NULL AS BIGINT) FROM p GROUP BY doc_id),
+         h AS (SELECT doc_id, string_agg(hex(x[f:coalesce(t - 1, octet_length(x))]), '' ORDER BY f) AS rest FROM k JOIN b USING (doc_id) GROUP BY doc_id),
+         n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM p GROUP BY doc_id)
+    SELECT doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(rest), x)) AS kept_sha256
+    FROM b LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)"""
+
 ORACLE_SQL = {
     "op1_minhash_dedup": _OP1_SQL,
     "op2_quality": _OP2_SQL,
     "op3_sharding": _op3_sql(),
     "op4_url_filter": _OP4_SQL,
+    "op8_suffix_dedup": _OP8_SQL,
     "op9_decontamination": _OP9_SQL,
 }

@@ -1,31 +1,36 @@
-"""Exact substring dedup by distributed prefix doubling over sampled positions.
+"""Exact substring dedup by distributed prefix doubling.
 
 A byte goes if a string of THRESHOLD bytes covers it that also starts in a
-document with a smaller id.  Ranking every position of the corpus at every
-offset would sort all positions several times, so ranks start where a match
-must show:
+document with a smaller id.  Positions are ranked by ever longer strings that
+start at them; a rank is a name that equal strings share, and the rank of a
+longer string is the pair of two shorter ones' at a growing offset.  After each
+round Spark brings equal ranks together, and positions whose rank one document
+alone has drop out, until the threshold is reached.
+
+Ranking all positions in the first round would write many times the corpus, so
+it ranks a sample that no match can miss:
 
 1. Of any THRESHOLD bytes the least hash among the SEED-byte strings inside
    picks one position, the anchor, alike wherever the bytes stand.  Each
    window start belongs to one anchor, and the starts of one anchor are
-   adjacent.  Round one ranks anchors by their SEED bytes; an anchor that one
-   document alone has drops out with its window starts.
-2. Round two ranks the surviving anchors by all the bytes that their windows
-   cover.  Documents of the same rank as a smaller one lose these windows
-   whole, and only the smallest goes on.
-3. Round three ranks the window starts that are left, where an anchor's rank
-   of round one still has several ranks of round two: pairs of ranks at the
-   offset THRESHOLD / 2, which is past the threshold.
-
-Ranks are 64-bit names, as only their equality counts.  Rounds two and three
-are sorts within one exchange by the rank of round one, because windows that
-agree have the same anchor.
+   adjacent: a stretch.  Anchors are ranked by their SEED bytes.
+2. The stretches of the surviving anchors are ranked by all the bytes that
+   their windows cover.  Where a smaller document has the same, the stretch is
+   settled; only the first of equal stretches goes on, and only if its anchor's
+   rank has stretches of other documents too.
+3. What is left goes on by single positions: the window starts are ranked by
+   pairs at offset SEED (2 * SEED bytes), and those that survive by pairs at
+   offset THRESHOLD - 2 * SEED, which makes THRESHOLD bytes.
+
+Equal ranks within a chunk of a task are combined before they are sent: the
+reducers see few rows for a rank that very many documents share, and the others
+are dealt by a salt, as their fate is known.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,12 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .runtime import arrow_map, cut
 
-#: Bytes of a string that counts as repeated, and of those by which anchors are picked.
+#: Bytes of a string that counts as repeated, and of those that are ranked first.
 THRESHOLD, SEED = 50, 16
-#: Ranks of round one keep 48 bits, which pack better; two seeds of one rank only meet in round two.
-_SEED_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+#: Ranks of anchors keep 48 bits; the others hold the salt of rows whose fate is known.  Two seeds of one rank only meet in round two.
+_SEED_BITS, _SALTS = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0xFFFF)
 _SPAN = THRESHOLD - SEED + 1  # seeds in a window
-_HELD_ROWS = 60_000  # contexts that a task holds to combine
+_HELD_ROWS = 1 << 19  # ranks that a task combines at once
 _BLOCK_BYTES = 1 << 18  # covered bytes are several times those of a block
 _SEGMENT = 1 << 22  # window starts that are anchored at once, below the bits kept for places
 
@@ -81,82 +86,128 @@ def _anchors(data, offs, begin, stop):
     return lo + begin, hi + begin, place[lo] + begin, seeds[place[lo]] & _SEED_BITS
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, doc): the different seeds of each text that is no copy."""
-    for batch in batches:
-        batch = _usable(batch)
-        ids = batch.column(0).to_numpy()
-        for first, end, data, offs in tb.blocks(batch.column(1), _BLOCK_BYTES):
-            lo, _, _, seed = anchors(data, offs)
-            doc = np.searchsorted(offs, lo, "right") - 1
-            _, once = np.unique(tb.mix64(seed + doc.astype(np.uint64)), return_index=True)
-            once.sort()  # rows of a text side by side pack well
-            yield pa.RecordBatch.from_arrays([pa.array(seed[once].view(np.int64)), pa.array(ids[first:end][doc[once]])], names=["seed", "doc"])
-
-
-def _usable(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows with a key that are no copy; columns: key, text, copy, ..."""
+def _usable(batch: pa.RecordBatch, listed: bool = False) -> pa.RecordBatch:
+    """Rows with a key that are no copy; columns: key, text, copy, and a list that rows may have to have."""
     keep = np.asarray(batch.column(0).is_valid()) & ~np.asarray(batch.column(2).is_valid())
+    if listed:
+        keep &= np.asarray(batch.column(3).is_valid())
     return batch if keep.all() else batch.filter(pa.array(keep))
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, context, doc, lo, more): the bytes that the window starts, from lo on, of an anchor with a shared seed cover.
+def _combining(rows_of: Callable, combined: Callable, listed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over texts in blocks whose rows are combined some _HELD_ROWS at a time."""
 
-    Equal contexts of a task go on as one row: the smallest (doc, lo), and the
-    others in ``more``.
-    """
-    held: list[tuple] = []
-    rows = 0
-    for batch in batches:
-        batch = _usable(batch)
-        batch = batch.filter(batch.column(3).is_valid())
-        ids = batch.column(0).to_numpy()
-        for first, end, data, offs in tb.blocks(batch.column(1), _BLOCK_BYTES):
-            lo, hi, _, seed = anchors(data, offs)
-            doc = np.searchsorted(offs, lo, "right") - 1
-            lists = batch.column(3).slice(first, end - first)
-            sizes = lists.value_lengths().to_numpy()
-            theirs = lists.flatten().to_numpy()
-            # lists hold half of a seed: a false match costs a row and changes nothing
-            half = (seed >> np.uint64(32)).astype(np.int64)
-            shared = np.isin(half * (end - first) + doc, (theirs.astype(np.int64) & 0xFFFFFFFF) * (end - first) + np.repeat(np.arange(end - first), sizes))
-            live = np.flatnonzero(shared)
-            if not len(live):
-                continue
-            lo, hi, seed, doc = lo[live], hi[live], seed[live], doc[live]
-            size = hi - lo + THRESHOLD
-            until = np.concatenate(([0], np.cumsum(size)))
-            raw = data[np.repeat(lo - until[:-1], size) + np.arange(until[-1])]
-            context = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(until), pa.py_buffer(raw)])
-            name = tb.mix64(seed ^ tb.span_hashes(tb.prefix_hash(raw), until[:-1], until[1:]))
-            held.append((name, seed, ids[first:end][doc], lo - offs[doc], context))
-            rows += len(lo)
-            if rows >= _HELD_ROWS:
-                yield _combined(held)
-                held, rows = [], 0
-    if held:
-        yield _combined(held)
-
-
-def _combined(held: list[tuple]) -> pa.RecordBatch:
-    name, seed, doc, lo = (np.concatenate([h[i] for h in held]) for i in range(4))
-    context = pa.chunked_array([h[4] for h in held]).combine_chunks()
-    order = np.lexsort((lo, doc, name))
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            batch = _usable(batch, listed)
+            ids = batch.column(0).to_numpy()
+            for first, end, data, offs in tb.blocks(batch.column(1), _BLOCK_BYTES):
+                lists = batch.column(3).slice(first, end - first) if listed else None
+                found = rows_of(data, offs, ids[first:end], lists)
+                held.append(found)
+                rows += len(found[0])
+                if rows >= _HELD_ROWS:
+                    yield combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, rows = [], 0
+        if rows:
+            yield combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return over
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the keys, the heads of equal ones in it, and the group of each row in it."""
+    order = np.lexsort(keys[::-1])
     new = np.ones(len(order), dtype=bool)
-    new[1:] = name[order[1:]] != name[order[:-1]]
-    heads, rest = order[new], order[~new]
-    head_of = heads[(np.cumsum(new) - 1)[~new]]
-    # in the order of the texts, where neighbours overlap and pack well
-    rest = rest[np.argsort(head_of, kind="stable")]
-    heads = np.sort(heads)
-    size = np.bincount(np.searchsorted(heads, head_of), minlength=len(heads))
-    behind = np.concatenate(([0], np.cumsum(size)))
-    others = pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(lo[rest].astype(np.int32))], names=["doc", "lo"])
-    more = pa.ListArray.from_arrays(pa.array(behind.astype(np.int32)), others, mask=pa.array(size == 0))
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _salt(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return tb.mix64(doc.view(np.uint64) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % _SALTS + np.uint64(1)
+
+
+def _anchor_rows(data, offs, ids, _):
+    """The different (seed, doc) of a block, in the order of the texts, where neighbours pack well."""
+    lo, _, _, seed = anchors(data, offs)
+    doc = np.searchsorted(offs, lo, "right") - 1
+    _, once = np.unique(tb.mix64(seed + doc.astype(np.uint64)), return_index=True)
+    once.sort()
+    return seed[once], ids[doc[once]]
+
+
+def _combined_anchors(seed, doc) -> pa.RecordBatch:
+    """Of a seed that several documents have, the smallest and the largest stand for all; the others get a salt, which says that the seed is shared."""
+    order, heads, group = _groups(seed)
+    sorted_doc = doc[order]
+    least, most = np.minimum.reduceat(sorted_doc, heads)[group], np.maximum.reduceat(sorted_doc, heads)[group]
+    known = np.zeros(len(seed), dtype=bool)
+    known[order] = (sorted_doc != least) & (sorted_doc != most)
+    seed = np.where(known, seed | _salt(doc, np.zeros(len(doc), np.int64)), seed)
+    return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(doc)], names=["seed", "doc"])
+
+
+def _stretch_rows(data, offs, ids, lists):
+    """(seed, name, doc, lo, n) of the stretches whose seed the text's list has; lists hold half of a seed: a false match costs a row and changes nothing."""
+    lo, hi, _, seed = anchors(data, offs)
+    doc = np.searchsorted(offs, lo, "right") - 1
+    sizes, theirs = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    half = (seed >> np.uint64(32)).astype(np.int64)
+    n = len(ids)
+    live = np.flatnonzero(np.isin(half * n + doc, (theirs.astype(np.int64) & 0xFFFFFFFF) * n + np.repeat(np.arange(n), sizes)))
+    lo, hi, seed, doc = lo[live], hi[live], seed[live], doc[live]
+    name = tb.span_hashes(tb.prefix_hash(data), lo, hi + THRESHOLD)
+    return seed, name, ids[doc], lo - offs[doc], hi - lo + 1
+
+
+def _combined_stretches(seed, name, doc, lo, n) -> pa.RecordBatch:
+    """Stretches that a smaller document of the chunk has are settled and get a salt; ``spread``: the chunk has the seed in stretches of several first documents."""
+    order, heads, group = _groups(seed, name)
+    first = np.minimum.reduceat(doc[order], heads)
+    sure = np.zeros(len(seed), dtype=bool)
+    sure[order] = doc[order] > first[group]
+    by_seed = np.append(0, np.flatnonzero(seed[order][heads][1:] != seed[order][heads][:-1]) + 1)
+    several = np.minimum.reduceat(first, by_seed) < np.maximum.reduceat(first, by_seed)
+    spread = np.zeros(len(seed), dtype=bool)
+    spread[order] = np.repeat(several, np.diff(np.append(by_seed, len(heads))))[group]
+    seed = np.where(sure, seed | _salt(doc, lo), seed)
     return pa.RecordBatch.from_arrays(
-        [pa.array(seed[heads].view(np.int64)), context.take(pa.array(heads)).cast(pa.binary()), pa.array(doc[heads]), pa.array(lo[heads].astype(np.int32)), more],
-        names=["seed", "context", "doc", "lo", "more"],
+        [pa.array(seed.view(np.int64)), pa.array(name.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int8)), pa.array(spread)],
+        names=["seed", "name", "doc", "lo", "n", "spread"],
+    )
+
+
+def _start_rows(length: int) -> Callable:
+    """(one, two, doc, lo, i): each listed window start lo + i, with the ranks of the two strings that make ``length`` bytes there."""
+    half = SEED if length == 2 * SEED else 2 * SEED
+    step = length - half
+
+    def rows_of(data, offs, ids, lists):
+        sizes = lists.value_lengths().to_numpy()
+        flat = lists.flatten()
+        lo, mask = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        row, i = np.nonzero((mask[:, None] >> np.arange(_SPAN)) & 1)
+        at = lo[row] + offs[doc[row]] + i
+        prefix = tb.prefix_hash(data)
+        return tb.span_hashes(prefix, at, at + half), tb.span_hashes(prefix, at + step, at + step + half), ids[doc[row]], lo[row], i
+
+    return rows_of
+
+
+def _combined_starts(one, two, doc, lo, i) -> pa.RecordBatch:
+    """Of a rank that several documents have, the smallest and the largest stand for all; the others get a salt, which says that a smaller and a larger one have it."""
+    order, heads, group = _groups(one, two)
+    sorted_doc = doc[order]
+    least, most = np.minimum.reduceat(sorted_doc, heads)[group], np.maximum.reduceat(sorted_doc, heads)[group]
+    salt = np.zeros(len(one), dtype=np.int32)
+    salt[order] = (sorted_doc != least) & (sorted_doc != most)
+    salt = np.where(salt > 0, _salt(doc, lo + i).astype(np.int32), 0).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(i.astype(np.int8))],
+        names=["one", "two", "salt", "doc", "lo", "i"],
     )
 
 
@@ -167,37 +218,40 @@ def _copies(base: DataFrame) -> DataFrame:
     return cut(digests.join(cut(first), "m").where("doc > first").select(F.col("doc").alias("copy")).distinct())
 
 
+def _with_lists(main: DataFrame, lists: DataFrame) -> DataFrame:
+    """main with the list of each document that has one; ``lists``: _d, list."""
+    return main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "list")
+
+
 def repeated_starts(main: DataFrame) -> DataFrame:
     """(at, lo, mask): window starts lo + i, for each bit i of the mask, whose string starts in a smaller document too.
 
     ``main``: doc, t, copy (not null for rows that take no part).
     """
-    half = THRESHOLD // 2
+    # round 1: anchors by SEED bytes
     by_seed = Window.partitionBy("seed")
-    seeds = arrow_map(main.select("doc", "t", "copy"), _anchor_rows, "seed bigint, doc bigint").repartition("seed")
-    shared = seeds.select("seed", "doc", F.min("doc").over(by_seed).alias("a"), F.max("doc").over(by_seed).alias("z")).where("a < z")
-    lists = shared.groupBy("doc").agg(F.collect_list(F.shiftright("seed", 32).cast("int")).alias("seeds")).withColumnRenamed("doc", "_d")
-    with_lists = main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "seeds")
-    contexts = arrow_map(with_lists, _context_rows, "seed bigint, context binary, doc bigint, lo int, more array<struct<doc:bigint,lo:int>>")
-    ranked = contexts.repartition("seed").withColumn("first", F.min("doc").over(Window.partitionBy("seed", "context")))
-    ranked = ranked.withColumn("a", F.min("first").over(by_seed)).withColumn("z", F.max("first").over(by_seed))
-    places = F.concat(F.array(F.struct("doc", "lo")), F.coalesce("more", F.array().cast("array<struct<doc:bigint,lo:int>>")))
-    ranked = ranked.withColumn("places", places).withColumn("n", F.length("context") - (THRESHOLD - 1))
-    late, own = F.filter("places", lambda x: x["doc"] > F.col("first")), F.filter("places", lambda x: x["doc"] == F.col("first"))
-    settled = F.array(F.struct(F.xxhash64("doc", "lo").alias("r1"), F.lit(0).cast("bigint").alias("r2"), F.expr("shiftleft(1L, n) - 1").alias("mask"), F.lit(True).alias("sure"), F.col("late").alias("who")))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        lambda i: F.struct(
-            F.xxhash64(F.substring(F.col("context"), i + 1, F.lit(half))).alias("r1"), F.xxhash64(F.substring(F.col("context"), i + 1 + half, F.lit(THRESHOLD - half))).alias("r2"),
-            F.pow(F.lit(2.0), i).cast("bigint").alias("mask"), F.lit(False).alias("sure"), F.col("own").alias("who"),
-        ),
-    )
-    none = F.array().cast("array<struct<r1:bigint,r2:bigint,mask:bigint,sure:boolean,who:array<struct<doc:bigint,lo:int>>>>")
-    entries = F.concat(F.when(F.size("late") > 0, settled).otherwise(none), F.when((F.col("a") < F.col("z")) & (F.size("own") > 0), pairs).otherwise(none))
-    opened = ranked.withColumn("late", late).withColumn("own", own).select("seed", "first", F.explode(entries).alias("w"))
-    least = F.min("first").over(Window.partitionBy("seed", "w.r1", "w.r2"))
-    hits = opened.select("first", "w.mask", "w.sure", "w.who", least.alias("least")).where("sure or least < first").select("mask", F.explode("who").alias("p"))
-    return hits.groupBy(F.col("p.doc").alias("at"), F.col("p.lo").alias("lo")).agg(F.bit_or("mask").alias("mask"))
+    seeds = arrow_map(main.select("doc", "t", "copy"), _combining(_anchor_rows, _combined_anchors, False), "seed bigint, doc bigint").repartition("seed")
+    shared = seeds.select("seed", "doc", F.min("doc").over(by_seed).alias("a"), F.max("doc").over(by_seed).alias("z")).where(f"a < z or seed & {int(_SALTS)} <> 0")
+    lists = shared.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(F.shiftright("seed", 32).cast("int")).alias("list"))
+
+    # round 2: stretches by all their bytes
+    stretches = arrow_map(_with_lists(main, lists), _combining(_stretch_rows, _combined_stretches, True), "seed bigint, name bigint, doc bigint, lo int, n byte, spread boolean")
+    ranked = stretches.repartition("seed", "name").withColumn("first", F.min("doc").over(Window.partitionBy("seed", "name")))
+    ranked = ranked.withColumn("settled", F.expr(f"doc > first or seed & {int(_SALTS)} <> 0")).withColumn("mask", F.expr("shiftleft(1L, n) - 1"))
+    settled = ranked.where("settled").select(F.col("doc").alias("at"), "lo", "mask")
+    firsts = ranked.where("not settled").select("seed", "doc", "lo", "mask", "spread")
+    several = firsts.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select(F.col("seed").alias("_s"))
+    left = firsts.where("spread").unionByName(firsts.where("not spread").join(several, F.col("seed") == F.col("_s"), "left_semi"))
+
+    # round 3 and on: single starts by pairs of ranks
+    for length in (2 * SEED, THRESHOLD):
+        lists = left.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(F.struct("lo", "mask")).alias("list"))
+        starts = arrow_map(_with_lists(main, lists), _combining(_start_rows(length), _combined_starts, True), "one bigint, two bigint, salt int, doc bigint, lo int, i byte")
+        by_rank = Window.partitionBy("one", "two", "salt")
+        ranked = starts.repartition("one", "two", "salt").select("doc", "lo", "i", "salt", F.min("doc").over(by_rank).alias("a"), F.max("doc").over(by_rank).alias("z"))
+        found = ranked.where("a < z or salt > 0" if length < THRESHOLD else "doc > a or salt > 0")
+        left = found.groupBy("doc", "lo").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    return settled.unionByName(left.select(F.col("doc").alias("at"), "lo", "mask"))
 
 
 def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
