@@ -114,10 +114,10 @@ def neighbour_lcp(ids: np.ndarray, end: np.ndarray) -> np.ndarray:
     head = np.arange(0, n, _LANE)
     shared = np.zeros(n, dtype=np.int64)
     known = 0
-    for i in head.tolist():
+    for i, b, most in zip(head.tolist(), before[head].tolist(), limit[head].tolist(), strict=True):
         known = max(known - _LANE, 0)
-        at = slice(i, i + 1)
-        known = int(_extended(ids, np.arange(i, i + 1), before[at], np.array([known]), limit[at])[0]) if limit[i] > known else min(known, int(limit[i]))
+        if known < most and ids[i + known] == ids[b + known]:
+            known = int(_extended(ids, np.array([i]), np.array([b]), np.array([known]), np.array([most]))[0])
         shared[i] = known
     for step in range(1, min(_LANE, n)):
         at = head[head + step < n] + step
