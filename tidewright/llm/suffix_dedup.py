@@ -14,13 +14,15 @@ it ranks a sample that no match can miss:
    picks one position, the anchor, alike wherever the bytes stand.  Each
    window start belongs to one anchor, and the starts of one anchor are
    adjacent: a stretch.  Anchors are ranked by their SEED bytes.
-2. The stretches of the surviving anchors are ranked by all the bytes that
-   their windows cover.  Where a smaller document has the same, the stretch is
-   settled; only the first of equal stretches goes on, and only if its anchor's
-   rank has stretches of other documents too.
-3. What is left goes on by single positions: the window starts are ranked by
-   pairs at offset SEED (2 * SEED bytes), and those that survive by pairs at
-   offset THRESHOLD - 2 * SEED, which makes THRESHOLD bytes.
+2. Surviving anchors are ranked by pairs at offset SEED, ahead and back.  A
+   window has a whole pair on one side of its anchor or the other, so each
+   pair that drops out takes the starts of its windows along.
+3. The stretches that are left are ranked by all the bytes that their windows
+   cover.  Where a smaller document has the same, the stretch is settled; only
+   the first of equal stretches goes on, and only if its anchor's rank has
+   stretches of other documents too.
+4. What is left goes on by single positions: window starts are ranked by pairs
+   of 2 * SEED bytes at offset THRESHOLD - 2 * SEED, which is the threshold.
 
 Equal ranks within a chunk of a task are combined before they are sent: the
 reducers see few rows for a rank that very many documents share, and the others
@@ -34,7 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -139,24 +141,61 @@ def _anchor_rows(data, offs, ids, _):
 
 
 def _combined_anchors(seed, doc) -> pa.RecordBatch:
-    """Of a seed that several documents have, the smallest and the largest stand for all; the others get a salt, which says that the seed is shared."""
-    order, heads, group = _groups(seed)
-    sorted_doc = doc[order]
-    least, most = np.minimum.reduceat(sorted_doc, heads)[group], np.maximum.reduceat(sorted_doc, heads)[group]
-    known = np.zeros(len(seed), dtype=bool)
-    known[order] = (sorted_doc != least) & (sorted_doc != most)
-    seed = np.where(known, seed | _salt(doc, np.zeros(len(doc), np.int64)), seed)
+    """Seeds that both a smaller and a larger document of the chunk have get a salt, which says that they are shared."""
+    seed = np.where(_between(doc, seed), seed | _salt(doc, np.zeros(len(doc), np.int64)), seed)
     return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(doc)], names=["seed", "doc"])
 
 
+def _pair_rows(data, offs, ids, lists):
+    """(rank, doc, end) of the pairs ahead of (2 * place + 1) and back from (2 * place) the anchors whose seed the text's list has.
+
+    Lists hold half of a seed: a false match costs a row and changes nothing.
+    """
+    lo, _, place, seed = anchors(data, offs)
+    doc = np.searchsorted(offs, lo, "right") - 1
+    live = _listed(((seed >> np.uint64(32)).astype(np.int64), doc), lists)
+    place, doc = place[live], doc[live]
+    prefix = tb.prefix_hash(data)
+    ahead, back = np.flatnonzero(place + 2 * SEED <= offs[doc + 1]), np.flatnonzero(place - SEED >= offs[doc])
+    begin = np.concatenate([place[ahead], place[back] - SEED])
+    rank = tb.span_hashes(prefix, begin, begin + 2 * SEED) & _SEED_BITS
+    end = np.concatenate([2 * (place - offs[doc])[ahead] + 1, 2 * (place - offs[doc])[back]])
+    order = np.argsort(end + 2 * offs[np.concatenate([doc[ahead], doc[back]])], kind="stable")
+    return rank[order], ids[np.concatenate([doc[ahead], doc[back]])][order], end[order]
+
+
+def _listed(keys: tuple[np.ndarray, np.ndarray], lists: pa.ListArray) -> np.ndarray:
+    """Rows (number, text) whose number the text's list has."""
+    n = len(lists)
+    theirs = lists.flatten().to_numpy().astype(np.int64) & 0xFFFFFFFF
+    return np.flatnonzero(np.isin(keys[0] * n + keys[1], theirs * n + np.repeat(np.arange(n), lists.value_lengths().to_numpy())))
+
+
+def _combined_pairs(rank, doc, end) -> pa.RecordBatch:
+    rank = np.where(_between(doc, rank), rank | _salt(doc, end), rank)
+    return pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(doc), pa.array(end.astype(np.int32))], names=["rank", "doc", "end"])
+
+
+def _between(doc: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
+    """Rows of a rank that both a smaller and a larger document of the chunk have: the smallest and the largest stand for all."""
+    order, heads, group = _groups(*ranks)
+    by_rank = doc[order]
+    out = np.zeros(len(doc), dtype=bool)
+    out[order] = (by_rank != np.minimum.reduceat(by_rank, heads)[group]) & (by_rank != np.maximum.reduceat(by_rank, heads)[group])
+    return out
+
+
 def _stretch_rows(data, offs, ids, lists):
-    """(seed, name, doc, lo, n) of the stretches whose seed the text's list has; lists hold half of a seed: a false match costs a row and changes nothing."""
-    lo, hi, _, seed = anchors(data, offs)
+    """(seed, name, doc, lo, n) of the stretches with the pairs in the text's list: the starts whose windows have no other whole pair."""
+    lo, hi, place, seed = anchors(data, offs)
     doc = np.searchsorted(offs, lo, "right") - 1
-    sizes, theirs = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
-    half = (seed >> np.uint64(32)).astype(np.int64)
-    n = len(ids)
-    live = np.flatnonzero(np.isin(half * n + doc, (theirs.astype(np.int64) & 0xFFFFFFFF) * n + np.repeat(np.arange(n), sizes)))
+    ahead, back = np.zeros((2, len(lo)), dtype=bool)
+    ahead[_listed((2 * (place - offs[doc]) + 1, doc), lists)] = True
+    back[_listed((2 * (place - offs[doc]), doc), lists)] = True
+    # a window of start s has the pair ahead if place + 2 * SEED <= s + THRESHOLD, and the pair back if s <= place - SEED
+    lo = np.where(back, lo, np.maximum(lo, place - SEED + 1))
+    hi = np.where(ahead, hi, np.minimum(hi, place + 2 * SEED - THRESHOLD - 1))
+    live = np.flatnonzero((ahead | back) & (lo <= hi))
     lo, hi, seed, doc = lo[live], hi[live], seed[live], doc[live]
     name = tb.span_hashes(tb.prefix_hash(data), lo, hi + THRESHOLD)
     return seed, name, ids[doc], lo - offs[doc], hi - lo + 1
@@ -179,36 +218,25 @@ def _combined_stretches(seed, name, doc, lo, n) -> pa.RecordBatch:
     )
 
 
-def _start_rows(length: int) -> Callable:
-    """(one, two, doc, lo, i): each listed window start lo + i, with the ranks of the two strings that make ``length`` bytes there."""
-    half = SEED if length == 2 * SEED else 2 * SEED
-    step = length - half
-
-    def rows_of(data, offs, ids, lists):
-        sizes = lists.value_lengths().to_numpy()
-        flat = lists.flatten()
-        lo, mask = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        row, i = np.nonzero((mask[:, None] >> np.arange(_SPAN)) & 1)
-        at = lo[row] + offs[doc[row]] + i
-        prefix = tb.prefix_hash(data)
-        return tb.span_hashes(prefix, at, at + half), tb.span_hashes(prefix, at + step, at + step + half), ids[doc[row]], lo[row], i
-
-    return rows_of
-
-
-def _combined_starts(one, two, doc, lo, i) -> pa.RecordBatch:
-    """Of a rank that several documents have, the smallest and the largest stand for all; the others get a salt, which says that a smaller and a larger one have it."""
-    order, heads, group = _groups(one, two)
-    sorted_doc = doc[order]
-    least, most = np.minimum.reduceat(sorted_doc, heads)[group], np.maximum.reduceat(sorted_doc, heads)[group]
-    salt = np.zeros(len(one), dtype=np.int32)
-    salt[order] = (sorted_doc != least) & (sorted_doc != most)
-    salt = np.where(salt > 0, _salt(doc, lo + i).astype(np.int32), 0).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(i.astype(np.int8))],
-        names=["one", "two", "salt", "doc", "lo", "i"],
-    )
+def _start_rows(data, offs, ids, lists):
+    """(rank, doc, tail) of the window starts of the listed stretches; tail: 32 more bits of the rank, and the place."""
+    flat = lists.flatten()
+    lo, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
+    doc = np.repeat(np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), n)
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = at + offs[doc]
+    prefix = tb.prefix_hash(data)
+    one, two = (tb.span_hashes(prefix, begin + k, begin + k + 2 * SEED) for k in (0, THRESHOLD - 2 * SEED))
+    rank = tb.mix64(one * np.uint64(0x9E3779B97F4A7C15) + two)
+    return rank, ids[doc], (tb.mix64(one + two * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+
+
+def _combined_starts(rank, doc, tail) -> pa.RecordBatch:
+    """The salt takes the place of bits of the rank, and its presence a bit of the tail."""
+    known = _between(doc, rank, tail >> np.uint64(32))
+    rank = np.where(known, rank ^ _salt(doc, tail.view(np.int64) & 0xFFFFFFFF), rank)
+    tail = np.where(known, tail | np.uint64(1 << 31), tail)
+    return pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(doc), pa.array(tail.view(np.int64))], names=["rank", "doc", "tail"])
 
 
 def _copies(base: DataFrame) -> DataFrame:
@@ -218,40 +246,48 @@ def _copies(base: DataFrame) -> DataFrame:
     return cut(digests.join(cut(first), "m").where("doc > first").select(F.col("doc").alias("copy")).distinct())
 
 
-def _with_lists(main: DataFrame, lists: DataFrame) -> DataFrame:
-    """main with the list of each document that has one; ``lists``: _d, list."""
+def _with_lists(main: DataFrame, rows: DataFrame, value: Column) -> DataFrame:
+    """main with the list of the values of each document that has rows."""
+    lists = rows.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(value).alias("list"))
     return main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "list")
 
 
 def repeated_starts(main: DataFrame) -> DataFrame:
-    """(at, lo, mask): window starts lo + i, for each bit i of the mask, whose string starts in a smaller document too.
+    """(at, lo, n): runs of n window starts, from lo on, whose strings start in a smaller document too.
 
     ``main``: doc, t, copy (not null for rows that take no part).
     """
-    # round 1: anchors by SEED bytes
-    by_seed = Window.partitionBy("seed")
-    seeds = arrow_map(main.select("doc", "t", "copy"), _combining(_anchor_rows, _combined_anchors, False), "seed bigint, doc bigint").repartition("seed")
-    shared = seeds.select("seed", "doc", F.min("doc").over(by_seed).alias("a"), F.max("doc").over(by_seed).alias("z")).where(f"a < z or seed & {int(_SALTS)} <> 0")
-    lists = shared.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(F.shiftright("seed", 32).cast("int")).alias("list"))
-
-    # round 2: stretches by all their bytes
-    stretches = arrow_map(_with_lists(main, lists), _combining(_stretch_rows, _combined_stretches, True), "seed bigint, name bigint, doc bigint, lo int, n byte, spread boolean")
+    salted = f"& {int(_SALTS)} <> 0"
+
+    def surviving(rows: DataFrame, rank: str) -> DataFrame:
+        """Rows whose rank several documents have."""
+        of_rank = Window.partitionBy(rank)
+        return rows.repartition(rank).select("*", F.min("doc").over(of_rank).alias("a"), F.max("doc").over(of_rank).alias("z")).where(f"a < z or {rank} {salted}")
+
+    # anchors by SEED bytes
+    seeds = surviving(arrow_map(main.select("doc", "t", "copy"), _combining(_anchor_rows, _combined_anchors, False), "seed bigint, doc bigint"), "seed")
+    listed = _with_lists(main, seeds, F.shiftright("seed", 32).cast("int"))
+
+    # anchors by pairs at offset SEED
+    pairs = surviving(arrow_map(listed, _combining(_pair_rows, _combined_pairs, True), "rank bigint, doc bigint, end int"), "rank")
+    listed = _with_lists(main, pairs, F.col("end"))
+
+    # stretches by all their bytes
+    stretches = arrow_map(listed, _combining(_stretch_rows, _combined_stretches, True), "seed bigint, name bigint, doc bigint, lo int, n byte, spread boolean")
     ranked = stretches.repartition("seed", "name").withColumn("first", F.min("doc").over(Window.partitionBy("seed", "name")))
-    ranked = ranked.withColumn("settled", F.expr(f"doc > first or seed & {int(_SALTS)} <> 0")).withColumn("mask", F.expr("shiftleft(1L, n) - 1"))
-    settled = ranked.where("settled").select(F.col("doc").alias("at"), "lo", "mask")
-    firsts = ranked.where("not settled").select("seed", "doc", "lo", "mask", "spread")
+    ranked = ranked.withColumn("settled", F.expr(f"doc > first or seed {salted}"))
+    settled = ranked.where("settled").select(F.col("doc").alias("at"), "lo", F.expr("int(n)").alias("n"))
+    firsts = ranked.where("not settled").select("seed", "doc", "lo", "n", "spread")
     several = firsts.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select(F.col("seed").alias("_s"))
     left = firsts.where("spread").unionByName(firsts.where("not spread").join(several, F.col("seed") == F.col("_s"), "left_semi"))
+    listed = _with_lists(main, left, F.struct("lo", "n"))
 
-    # round 3 and on: single starts by pairs of ranks
-    for length in (2 * SEED, THRESHOLD):
-        lists = left.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(F.struct("lo", "mask")).alias("list"))
-        starts = arrow_map(_with_lists(main, lists), _combining(_start_rows(length), _combined_starts, True), "one bigint, two bigint, salt int, doc bigint, lo int, i byte")
-        by_rank = Window.partitionBy("one", "two", "salt")
-        ranked = starts.repartition("one", "two", "salt").select("doc", "lo", "i", "salt", F.min("doc").over(by_rank).alias("a"), F.max("doc").over(by_rank).alias("z"))
-        found = ranked.where("a < z or salt > 0" if length < THRESHOLD else "doc > a or salt > 0")
-        left = found.groupBy("doc", "lo").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
-    return settled.unionByName(left.select(F.col("doc").alias("at"), "lo", "mask"))
+    # window starts by pairs of 2 * SEED bytes
+    starts = arrow_map(listed, _combining(_start_rows, _combined_starts, True), "rank bigint, doc bigint, tail bigint")
+    by_rank = Window.partitionBy("rank", F.shiftright("tail", 31))
+    ranked = starts.repartition("rank").withColumn("first", F.min("doc").over(by_rank))
+    found = ranked.where(f"doc > first or tail & {1 << 31} <> 0").select(F.col("doc").alias("at"), F.expr(f"int(tail & {(1 << 31) - 1})").alias("lo"), F.lit(1).alias("n"))
+    return settled.unionByName(found)
 
 
 def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -265,8 +301,8 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     base = docs.select(docs[key].alias("doc"), docs[text].alias("t"))
     base = base.withColumn("doc", F.col("doc").cast("bigint")) if docs.schema[key].dataType.simpleString() != "bigint" else base
     main = base.join(_copies(base), F.col("doc") == F.col("copy"), "left")
-    starts = repeated_starts(main).groupBy("at").agg(F.collect_list(F.struct("lo", "mask")).alias("s")).select("at", F.col("s.lo").alias("lo"), F.col("s.mask").alias("mask"))
-    joined = main.join(starts, F.col("doc") == F.col("at"), "left").select("doc", "t", "copy", "lo", "mask")
+    starts = repeated_starts(main).groupBy("at").agg(F.collect_list(F.struct("lo", "n")).alias("s")).select("at", F.col("s.lo").alias("lo"), F.col("s.n").alias("n"))
+    joined = main.join(starts, F.col("doc") == F.col("at"), "left").select("doc", "t", "copy", "lo", "n")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,14 +312,11 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
                 copy = np.asarray(batch.column(2).slice(first, n).is_valid()) & (np.diff(offs) >= THRESHOLD)
                 np.add.at(gone, offs[:-1][copy], 1)
                 np.add.at(gone, offs[1:][copy], -1)
-                lists, masks = batch.column(3).slice(first, n), batch.column(4).slice(first, n)
+                lists, runs = batch.column(3).slice(first, n), batch.column(4).slice(first, n)
                 sizes = np.where(np.asarray(lists.is_valid()), lists.value_lengths().fill_null(0).to_numpy(), 0)
                 lo = lists.flatten().to_numpy() + np.repeat(offs[:-1], sizes)
-                mask = masks.flatten().to_numpy()
-                for i in range(_SPAN):
-                    at = lo[(mask >> i) & 1 == 1] + i
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + THRESHOLD, -1)
+                np.add.at(gone, lo, 1)
+                np.add.at(gone, lo + runs.flatten().to_numpy() + (THRESHOLD - 1), -1)
                 stay = np.cumsum(gone[:-1]) == 0
                 rest = np.concatenate(([0], np.cumsum(stay)))[offs]
                 opens = ~stay
