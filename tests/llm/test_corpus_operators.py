@@ -259,10 +259,10 @@ def plain_contamination(data, items, size=10):
     windows = {}
     for item, text in items:
         found = plain_words(text)
-        if item is not None and found:
+        if found:
             k = min(size, len(found))
             for i in range(len(found) - k + 1):
-                windows.setdefault(tuple(found[i : i + k]), set()).add(str(item))
+                windows.setdefault(tuple(found[i : i + k]), set()).add(None if item is None else str(item))
     out = {}
     for i, t, *_ in data:
         found, hit, ids = plain_words(t), set(), set()
@@ -271,7 +271,7 @@ def plain_contamination(data, items, size=10):
                 if (w := tuple(found[p : p + k])) in windows:
                     hit |= set(range(p, p + k))
                     ids |= windows[w]
-        out[i] = (len(found), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
+        out[i] = (len(found), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest(), bool(hit))
     return out
 
 
