@@ -14,15 +14,15 @@ it ranks a sample that no match can miss:
    picks one position, the anchor, alike wherever the bytes stand.  Each
    window start belongs to one anchor, and the starts of one anchor are
    adjacent: a stretch.  Anchors are ranked by their SEED bytes.
-2. Surviving anchors are ranked by pairs at offset SEED, ahead and back.  A
-   window has a whole pair on one side of its anchor or the other, so each
-   pair that drops out takes the starts of its windows along.
-3. The stretches that are left are ranked by all the bytes that their windows
-   cover.  Where a smaller document has the same, the stretch is settled; only
-   the first of equal stretches goes on, and only if its anchor's rank has
-   stretches of other documents too.
-4. What is left goes on by single positions: window starts are ranked by pairs
-   of 2 * SEED bytes at offset THRESHOLD - 2 * SEED, which is the threshold.
+2. The stretches of the surviving anchors are ranked by all the bytes that
+   their windows cover.  Where a smaller document has the same, the stretch is
+   settled; only the first of equal stretches goes on, and only if its anchor's
+   rank has stretches of other documents too.
+3. What is left is ranked by single window starts, a pair of ranks at a growing
+   offset each, which makes THRESHOLD bytes.  The stretches of one anchor's rank
+   are sent as bytes and ranked together, as neighbouring starts share most of
+   theirs; where a rank has very many stretches, its starts are sent as ranks
+   and dealt by them.
 
 Equal ranks within a chunk of a task are combined before they are sent: the
 reducers see few rows for a rank that very many documents share, and the others
@@ -49,6 +49,9 @@ _SEED_BITS, _SALTS = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0xFFFF)
 _SPAN = THRESHOLD - SEED + 1  # seeds in a window
 _HELD_ROWS = 1 << 19  # ranks that a task combines at once
 _BLOCK_BYTES = 1 << 18  # covered bytes are several times those of a block
+#: Stretches of one anchor's rank in a chunk, and in all, from which its starts are dealt one by one.
+_HOT_IN_CHUNK, _HOT = 256, 4096
+_SETTLED, _OPEN, _HOT_OPEN = 0, 1, 2
 _SEGMENT = 1 << 22  # window starts that are anchored at once, below the bits kept for places
 
 
@@ -146,24 +149,6 @@ def _combined_anchors(seed, doc) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(doc)], names=["seed", "doc"])
 
 
-def _pair_rows(data, offs, ids, lists):
-    """(rank, doc, end) of the pairs ahead of (2 * place + 1) and back from (2 * place) the anchors whose seed the text's list has.
-
-    Lists hold half of a seed: a false match costs a row and changes nothing.
-    """
-    lo, _, place, seed = anchors(data, offs)
-    doc = np.searchsorted(offs, lo, "right") - 1
-    live = _listed(((seed >> np.uint64(32)).astype(np.int64), doc), lists)
-    place, doc = place[live], doc[live]
-    prefix = tb.prefix_hash(data)
-    ahead, back = np.flatnonzero(place + 2 * SEED <= offs[doc + 1]), np.flatnonzero(place - SEED >= offs[doc])
-    begin = np.concatenate([place[ahead], place[back] - SEED])
-    rank = tb.span_hashes(prefix, begin, begin + 2 * SEED) & _SEED_BITS
-    end = np.concatenate([2 * (place - offs[doc])[ahead] + 1, 2 * (place - offs[doc])[back]])
-    order = np.argsort(end + 2 * offs[np.concatenate([doc[ahead], doc[back]])], kind="stable")
-    return rank[order], ids[np.concatenate([doc[ahead], doc[back]])][order], end[order]
-
-
 def _listed(keys: tuple[np.ndarray, np.ndarray], lists: pa.ListArray) -> np.ndarray:
     """Rows (number, text) whose number the text's list has."""
     n = len(lists)
@@ -171,11 +156,6 @@ def _listed(keys: tuple[np.ndarray, np.ndarray], lists: pa.ListArray) -> np.ndar
     return np.flatnonzero(np.isin(keys[0] * n + keys[1], theirs * n + np.repeat(np.arange(n), lists.value_lengths().to_numpy())))
 
 
-def _combined_pairs(rank, doc, end) -> pa.RecordBatch:
-    rank = np.where(_between(doc, rank), rank | _salt(doc, end), rank)
-    return pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(doc), pa.array(end.astype(np.int32))], names=["rank", "doc", "end"])
-
-
 def _between(doc: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
     """Rows of a rank that both a smaller and a larger document of the chunk have: the smallest and the largest stand for all."""
     order, heads, group = _groups(*ranks)
@@ -186,53 +166,116 @@ def _between(doc: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
 
 
 def _stretch_rows(data, offs, ids, lists):
-    """(seed, name, doc, lo, n) of the stretches with the pairs in the text's list: the starts whose windows have no other whole pair."""
-    lo, hi, place, seed = anchors(data, offs)
+    """(seed, name, doc, lo, n) of the stretches whose seed the text's list has; lists hold half of a seed: a false match costs a row and changes nothing."""
+    lo, hi, _, seed = anchors(data, offs)
     doc = np.searchsorted(offs, lo, "right") - 1
-    ahead, back = np.zeros((2, len(lo)), dtype=bool)
-    ahead[_listed((2 * (place - offs[doc]) + 1, doc), lists)] = True
-    back[_listed((2 * (place - offs[doc]), doc), lists)] = True
-    # a window of start s has the pair ahead if place + 2 * SEED <= s + THRESHOLD, and the pair back if s <= place - SEED
-    lo = np.where(back, lo, np.maximum(lo, place - SEED + 1))
-    hi = np.where(ahead, hi, np.minimum(hi, place + 2 * SEED - THRESHOLD - 1))
-    live = np.flatnonzero((ahead | back) & (lo <= hi))
+    live = _listed(((seed >> np.uint64(32)).astype(np.int64), doc), lists)
     lo, hi, seed, doc = lo[live], hi[live], seed[live], doc[live]
     name = tb.span_hashes(tb.prefix_hash(data), lo, hi + THRESHOLD)
     return seed, name, ids[doc], lo - offs[doc], hi - lo + 1
 
 
 def _combined_stretches(seed, name, doc, lo, n) -> pa.RecordBatch:
-    """Stretches that a smaller document of the chunk has are settled and get a salt; ``spread``: the chunk has the seed in stretches of several first documents."""
+    """Stretches that a smaller document of the chunk has are settled and get a salt.
+
+    So do the others of a seed with many different ones, by their names, but
+    for those of the smallest and the largest document, which tell the rest.
+    """
     order, heads, group = _groups(seed, name)
     first = np.minimum.reduceat(doc[order], heads)
-    sure = np.zeros(len(seed), dtype=bool)
-    sure[order] = doc[order] > first[group]
-    by_seed = np.append(0, np.flatnonzero(seed[order][heads][1:] != seed[order][heads][:-1]) + 1)
-    several = np.minimum.reduceat(first, by_seed) < np.maximum.reduceat(first, by_seed)
-    spread = np.zeros(len(seed), dtype=bool)
-    spread[order] = np.repeat(several, np.diff(np.append(by_seed, len(heads))))[group]
-    seed = np.where(sure, seed | _salt(doc, lo), seed)
+    settled = np.zeros(len(seed), dtype=bool)
+    settled[order] = doc[order] > first[group]
+    head_seed = seed[order][heads]
+    by_seed = np.append(0, np.flatnonzero(head_seed[1:] != head_seed[:-1]) + 1)
+    many = np.diff(np.append(by_seed, len(heads)))
+    of_head = np.repeat(np.arange(len(by_seed)), many)
+    apart = (first != np.minimum.reduceat(first, by_seed)[of_head]) & (first != np.maximum.reduceat(first, by_seed)[of_head])
+    hot, salted = np.zeros((2, len(seed)), dtype=bool)
+    hot[order] = (many > _HOT_IN_CHUNK)[of_head][group]
+    salted[order] = apart[group]
+    seed = np.where(settled, seed | _salt(doc, lo), np.where(hot & salted, seed | (name % _SALTS + np.uint64(1)), seed))
     return pa.RecordBatch.from_arrays(
-        [pa.array(seed.view(np.int64)), pa.array(name.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int8)), pa.array(spread)],
-        names=["seed", "name", "doc", "lo", "n", "spread"],
+        [pa.array(seed.view(np.int64)), pa.array(name.view(np.int64)), pa.array(doc), pa.array((lo << 6 | n).astype(np.int64)), pa.array(settled), pa.array(hot)],
+        names=["seed", "name", "doc", "place", "sure", "hot"],
     )
 
 
-def _start_rows(data, offs, ids, lists):
-    """(rank, doc, tail) of the window starts of the listed stretches; tail: 32 more bits of the rank, and the place."""
+def _in_state(lists: pa.ListArray, states: tuple[int, ...]):
+    """(text, seed, lo, n) of the listed stretches in one of the states."""
     flat = lists.flatten()
-    lo, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
-    doc = np.repeat(np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), n)
-    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    begin = at + offs[doc]
+    seed, place = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    here = np.flatnonzero(np.isin(seed & 3, states))
+    return row[here], seed[here] & ~3, place[here] >> 6, place[here] & 63
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seed, context, doc, lo): the bytes that the windows of the open stretches cover."""
+    for batch in batches:
+        batch = _usable(batch, True)
+        ids = batch.column(0).to_numpy()
+        for first, end, data, offs in tb.blocks(batch.column(1), _BLOCK_BYTES):
+            doc, seed, lo, n = _in_state(batch.column(3).slice(first, end - first), (_OPEN,))
+            size = n + (THRESHOLD - 1)
+            until = np.concatenate(([0], np.cumsum(size)))
+            raw = data[np.repeat(lo + offs[doc] - until[:-1], size) + np.arange(until[-1])]
+            context = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(until.astype(np.int64)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(seed), context.cast(pa.binary()), pa.array(ids[first:end][doc]), pa.array(lo.astype(np.int32))], names=["seed", "context", "doc", "lo"])
+
+
+def _ranked_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, lo, n): runs of starts that a smaller document has too; rows come by seed, and at most _HOT of one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        seed = batch.column(0).to_numpy()
+        change = np.flatnonzero(seed[1:] != seed[:-1])
+        if not len(change):
+            held.append(batch)
+            continue
+        cut_at = int(change[-1]) + 1
+        yield _ranked(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
+        held = [batch.slice(cut_at)]
+    if held:
+        yield _ranked(pa.Table.from_batches(held))
+
+
+def _ranked(rows: pa.Table) -> pa.RecordBatch:
+    seed, doc, lo = (rows[c].to_numpy() for c in ("seed", "doc", "lo"))
+    data, offs = tb.arrow_bytes(rows["context"])
+    n = np.diff(offs) - (THRESHOLD - 1)
+    row = np.repeat(np.arange(len(n)), n)
+    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    one, two = _pair_of(data, offs[:-1][row] + i)
+    order, heads, group = _groups(seed[row], one, two)
+    hit = np.zeros(len(row), dtype=bool)
+    hit[order] = doc[row][order] > np.minimum.reduceat(doc[row][order], heads)[group] if len(heads) else False
+    opens, closes = hit.copy(), hit.copy()
+    if len(hit):
+        same = row[1:] == row[:-1]
+        opens[1:] &= ~(hit[:-1] & same)
+        closes[:-1] &= ~(hit[1:] & same)
+    a, z = np.flatnonzero(opens), np.flatnonzero(closes)
+    return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array((lo[row[a]] + i[a]).astype(np.int32)), pa.array((z - a + 1).astype(np.int32))], names=["at", "lo", "n"])
+
+
+def _pair_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of the 2 * SEED bytes at a start and at the offset where they reach THRESHOLD."""
     prefix = tb.prefix_hash(data)
-    one, two = (tb.span_hashes(prefix, begin + k, begin + k + 2 * SEED) for k in (0, THRESHOLD - 2 * SEED))
+    return tuple(tb.span_hashes(prefix, at + k, at + k + 2 * SEED) for k in (0, THRESHOLD - 2 * SEED))
+
+
+def _start_rows(data, offs, ids, lists):
+    """(rank, doc, tail) of the window starts of the hot stretches; tail: 32 more bits of the rank, and the place."""
+    doc, _, lo, n = _in_state(lists, (_HOT_OPEN,))
+    doc = np.repeat(doc, n)
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    one, two = _pair_of(data, at + offs[doc])
     rank = tb.mix64(one * np.uint64(0x9E3779B97F4A7C15) + two)
     return rank, ids[doc], (tb.mix64(one + two * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
 
 
 def _combined_starts(rank, doc, tail) -> pa.RecordBatch:
-    """The salt takes the place of bits of the rank, and its presence a bit of the tail."""
+    """Starts whose rank both a smaller and a larger document of the chunk have get a salt, and a bit of the tail that tells."""
     known = _between(doc, rank, tail >> np.uint64(32))
     rank = np.where(known, rank ^ _salt(doc, tail.view(np.int64) & 0xFFFFFFFF), rank)
     tail = np.where(known, tail | np.uint64(1 << 31), tail)
@@ -246,48 +289,48 @@ def _copies(base: DataFrame) -> DataFrame:
     return cut(digests.join(cut(first), "m").where("doc > first").select(F.col("doc").alias("copy")).distinct())
 
 
-def _with_lists(main: DataFrame, rows: DataFrame, value: Column) -> DataFrame:
-    """main with the list of the values of each document that has rows."""
-    lists = rows.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(value).alias("list"))
-    return main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "list")
+def _lists(rows: DataFrame, value: Column) -> DataFrame:
+    """(_d, list): the values of each document's rows."""
+    return rows.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(value).alias("list"))
 
 
-def repeated_starts(main: DataFrame) -> DataFrame:
-    """(at, lo, n): runs of n window starts, from lo on, whose strings start in a smaller document too.
+def _with_lists(main: DataFrame, lists: DataFrame) -> DataFrame:
+    return main.join(lists, F.col("doc") == F.col("_d"), "left").select("doc", "t", "copy", "list")
 
-    ``main``: doc, t, copy (not null for rows that take no part).
-    """
-    salted = f"& {int(_SALTS)} <> 0"
 
-    def surviving(rows: DataFrame, rank: str) -> DataFrame:
-        """Rows whose rank several documents have."""
-        of_rank = Window.partitionBy(rank)
-        return rows.repartition(rank).select("*", F.min("doc").over(of_rank).alias("a"), F.max("doc").over(of_rank).alias("z")).where(f"a < z or {rank} {salted}")
+def judged_stretches(main: DataFrame) -> DataFrame:
+    """(_d, list): for each document its stretches that are settled or open, as (seed and state, lo << 6 | n)."""
+    salts = int(_SALTS)
+    by_seed = Window.partitionBy("seed")
 
     # anchors by SEED bytes
-    seeds = surviving(arrow_map(main.select("doc", "t", "copy"), _combining(_anchor_rows, _combined_anchors, False), "seed bigint, doc bigint"), "seed")
-    listed = _with_lists(main, seeds, F.shiftright("seed", 32).cast("int"))
-
-    # anchors by pairs at offset SEED
-    pairs = surviving(arrow_map(listed, _combining(_pair_rows, _combined_pairs, True), "rank bigint, doc bigint, end int"), "rank")
-    listed = _with_lists(main, pairs, F.col("end"))
+    seeds = arrow_map(main.select("doc", "t", "copy"), _combining(_anchor_rows, _combined_anchors, False), "seed bigint, doc bigint").repartition("seed")
+    shared = seeds.select("seed", "doc", F.min("doc").over(by_seed).alias("a"), F.max("doc").over(by_seed).alias("z")).where(f"a < z or seed & {salts} <> 0")
+    lists = _lists(shared, F.shiftright("seed", 32).cast("int"))
 
     # stretches by all their bytes
-    stretches = arrow_map(listed, _combining(_stretch_rows, _combined_stretches, True), "seed bigint, name bigint, doc bigint, lo int, n byte, spread boolean")
-    ranked = stretches.repartition("seed", "name").withColumn("first", F.min("doc").over(Window.partitionBy("seed", "name")))
-    ranked = ranked.withColumn("settled", F.expr(f"doc > first or seed {salted}"))
-    settled = ranked.where("settled").select(F.col("doc").alias("at"), "lo", F.expr("int(n)").alias("n"))
-    firsts = ranked.where("not settled").select("seed", "doc", "lo", "n", "spread")
-    several = firsts.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select(F.col("seed").alias("_s"))
-    left = firsts.where("spread").unionByName(firsts.where("not spread").join(several, F.col("seed") == F.col("_s"), "left_semi"))
-    listed = _with_lists(main, left, F.struct("lo", "n"))
-
-    # window starts by pairs of 2 * SEED bytes
-    starts = arrow_map(listed, _combining(_start_rows, _combined_starts, True), "rank bigint, doc bigint, tail bigint")
-    by_rank = Window.partitionBy("rank", F.shiftright("tail", 31))
-    ranked = starts.repartition("rank").withColumn("first", F.min("doc").over(by_rank))
+    stretches = arrow_map(_with_lists(main, lists), _combining(_stretch_rows, _combined_stretches, True), "seed bigint, name bigint, doc bigint, place bigint, sure boolean, hot boolean")
+    ranked = stretches.repartition("seed").withColumn("first", F.min("doc").over(Window.partitionBy("seed", "name")))
+    ranked = ranked.select(
+        "*", F.min("first").over(by_seed).alias("a"), F.max("first").over(by_seed).alias("z"),
+        (F.max("hot").over(by_seed) | (F.count("*").over(by_seed) > _HOT)).alias("many"),
+    )
+    state = F.when(F.expr("sure or doc > first"), _SETTLED).when(F.expr("many"), _HOT_OPEN).when(F.expr("a < z"), _OPEN)
+    judged = ranked.select("doc", "seed", "place", state.alias("state")).where("state is not null")
+    return _lists(judged, F.struct(F.expr(f"seed & {~salts} | state").alias("s"), "place"))
+
+
+def repeated_starts(listed: DataFrame) -> DataFrame:
+    """(at, lo, n): runs of n window starts, from lo on, in open stretches, whose strings start in a smaller document too.
+
+    ``listed``: doc, t, copy (not null for rows that take no part), list of judged stretches.
+    """
+    contexts = arrow_map(listed, _context_rows, "seed bigint, context binary, doc bigint, lo int").repartition("seed").sortWithinPartitions("seed")
+    some = arrow_map(contexts, _ranked_contexts, "at bigint, lo int, n int")
+    starts = arrow_map(listed, _combining(_start_rows, _combined_starts, True), "rank bigint, doc bigint, tail bigint").repartition("rank")
+    ranked = starts.withColumn("first", F.min("doc").over(Window.partitionBy("rank", F.shiftright("tail", 31))))
     found = ranked.where(f"doc > first or tail & {1 << 31} <> 0").select(F.col("doc").alias("at"), F.expr(f"int(tail & {(1 << 31) - 1})").alias("lo"), F.lit(1).alias("n"))
-    return settled.unionByName(found)
+    return some.unionByName(found)
 
 
 def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -301,8 +344,9 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     base = docs.select(docs[key].alias("doc"), docs[text].alias("t"))
     base = base.withColumn("doc", F.col("doc").cast("bigint")) if docs.schema[key].dataType.simpleString() != "bigint" else base
     main = base.join(_copies(base), F.col("doc") == F.col("copy"), "left")
-    starts = repeated_starts(main).groupBy("at").agg(F.collect_list(F.struct("lo", "n")).alias("s")).select("at", F.col("s.lo").alias("lo"), F.col("s.n").alias("n"))
-    joined = main.join(starts, F.col("doc") == F.col("at"), "left").select("doc", "t", "copy", "lo", "n")
+    listed = _with_lists(main, judged_stretches(main))
+    starts = repeated_starts(listed).groupBy("at").agg(F.collect_list(F.struct("lo", "n")).alias("s")).select("at", F.col("s.lo").alias("lo"), F.col("s.n").alias("n"))
+    joined = listed.join(starts, F.col("doc") == F.col("at"), "left").select("doc", "t", "copy", "list", "lo", "n")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,11 +356,14 @@ def dedup_suffixes(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
                 copy = np.asarray(batch.column(2).slice(first, n).is_valid()) & (np.diff(offs) >= THRESHOLD)
                 np.add.at(gone, offs[:-1][copy], 1)
                 np.add.at(gone, offs[1:][copy], -1)
-                lists, runs = batch.column(3).slice(first, n), batch.column(4).slice(first, n)
-                sizes = np.where(np.asarray(lists.is_valid()), lists.value_lengths().fill_null(0).to_numpy(), 0)
-                lo = lists.flatten().to_numpy() + np.repeat(offs[:-1], sizes)
-                np.add.at(gone, lo, 1)
-                np.add.at(gone, lo + runs.flatten().to_numpy() + (THRESHOLD - 1), -1)
+                row, _, lo, size = _in_state(batch.column(3).slice(first, n), (_SETTLED,))
+                begin, runs = [lo + offs[row]], [size]
+                lists, sizes = batch.column(4).slice(first, n), batch.column(5).slice(first, n)
+                begin.append(lists.flatten().to_numpy() + np.repeat(offs[:-1], lists.value_lengths().fill_null(0).to_numpy()))
+                runs.append(sizes.flatten().to_numpy())
+                begin, runs = np.concatenate(begin), np.concatenate(runs)
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, begin + runs + (THRESHOLD - 1), -1)
                 stay = np.cumsum(gone[:-1]) == 0
                 rest = np.concatenate(([0], np.cumsum(stay)))[offs]
                 opens = ~stay
