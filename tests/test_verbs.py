@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import conditionals as k
@@ -310,3 +311,47 @@ def test_many_dummies_raise(spark):
     with pytest.raises(ValueError, match="more than 1000"):
         r.to_dummies(ids, "x")
     assert len(r.to_dummies(ids.filter(col("x") < 1000), "x").columns) == 1000
+
+
+def test_row_index_of_whole_tables(spark):
+    """All rows and columns come back, with every place once, at a size where range bounds are sampled."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        orders = Frame.parquet(spark, "/root/testdata/sf0.1/orders.parquet", "o_orderkey")
+        n = orders.nrow()
+        indexed = orders.with_row_index("at")
+        found = indexed.df.agg(F.count("*"), F.countDistinct("at"), F.min("at"), F.max("at"), F.countDistinct("o_orderkey")).first()
+        assert tuple(found) == (n, n, 0, n - 1, n) and indexed.columns == ["at", *orders.columns]
+        w = Window.orderBy("o_orderkey")
+        assert indexed.df.withColumn("n", F.row_number().over(w) - 1).where("n <> at").isEmpty()
+        assert orders.gather_every(7).df.count() == -(-n // 7)
+        bound = r.cbind(orders.select("o_orderkey", "o_totalprice"), orders.select("o_orderkey", "o_orderdate").rename(key="o_orderkey", date="o_orderdate"))
+        assert bound.df.where("o_orderkey = key").count() == n
+        shifted = orders.shift(1).df
+        assert shifted.count() == n and shifted.where("o_custkey is null").count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ranges(spark):
+    from tidewright.functions import vectors
+    from tidewright.operators import ranges
+
+    rows = [(i % 3, float((i * 37) % 101)) for i in range(1000)] + [(None, 5.0), (None, 9.0), (1, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    q = {r["g"]: (list(r["q"]), r["n"]) for r in ranges.quantiles(df, "v", (0.0, 0.1, 0.5, 1.0), ("g",)).collect()}
+    wanted = {r["g"]: (list(r["q"]), r["n"]) for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.1, 0.5, 1.0)))).alias("q"), F.count("v").alias("n")).collect()}
+    assert q == wanted
+    summed = ranges.running_sums(df.where("v is not null"), ["v"], F.col("v"), F.col("g")).agg(F.max("__before_v")).first()[0]
+    assert summed == sum(v for _, v in rows if v is not None) - 100.0
+    assert vectors.resolution(Frame(df), "v") == 1.0
+    assert ranges.least_gap(df.limit(1), "v") is None
+
+
+def test_relocate_anchor_among_movers_raises(spark):
+    frame = Frame(spark.createDataFrame([(1, 2, 3)], "a int, b int, c int"))
+    with pytest.raises(ValueError):
+        frame.relocate("a", "b", _before="a")
+    assert frame.relocate("a", _after="b").columns == ["b", "a", "c"]
+    assert frame.mutate(b=col("a") + 1, _before="a").columns == ["b", "a", "c"]

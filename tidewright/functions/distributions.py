@@ -21,7 +21,8 @@ def _by_value(function: Callable[[float], float]) -> Callable[[Any], Expr]:
 
     @F.pandas_udf(DoubleType())
     def over(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else function(float(v)), na_action="ignore").astype("float64")
+        codes, values = pd.factorize(x)  # nulls have the code -1; a value that comes back is computed once
+        return pd.Series([function(float(v)) for v in values] + [float("nan")], dtype="float64").take(codes).where(codes >= 0, None).set_axis(x.index)
 
     def build(a: Column) -> Column:
         ship(SparkSession.active())

@@ -7,10 +7,10 @@ import random
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.frame import Frame
+from ..operators.ranges import least_gap
 from .expr import quote
 
 _random = random.Random()
@@ -97,11 +97,7 @@ def sweep(frame: Frame, columns: Sequence[str], statistics: Sequence[float], fun
 
 
 def resolution(frame: Frame, column: str) -> float:
-    """The smallest gap between different values; neighbours are compared within range partitions and across their edges."""
+    """The smallest gap between different values; 1 for fewer than two."""
     values = frame.df.select(F.col(quote(column)).cast("double").alias("v")).where("v is not null").distinct()
-    ranged = values.repartitionByRange("v").withColumn("p", F.spark_partition_id())
-    inside = ranged.withColumn("d", F.col("v") - F.lag("v").over(Window.partitionBy("p").orderBy("v"))).agg(F.min("d")).first()[0]
-    edges = ranged.groupBy("p").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    across = edges.withColumn("d", F.col("a") - F.lag("b").over(Window.orderBy("p"))).agg(F.min("d")).first()[0]
-    found = [x for x in (inside, across) if x is not None]
-    return min(found) if found else 1.0
+    gap = least_gap(values, "v")
+    return 1.0 if gap is None else float(gap)

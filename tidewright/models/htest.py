@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import quote
 from ..operators.frame import Frame
+from ..operators.ranges import running_sums
+from ..plans.shared import cut
 from . import special as s
 
 
@@ -83,12 +85,10 @@ def cor_test(frame: Frame, x: str, y: str, method: str = "pearson", alternative:
     if method == "kendall":
         return _kendall(df, alternative)
     if method == "spearman":
-        df = average_ranks(average_ranks(df, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
+        return _spearman(df, alternative)
     r, n = df.agg(F.corr("x", "y"), F.count(F.lit(1))).first()
     t = r * math.sqrt((n - 2) / max(1 - r * r, 1e-300))
     p = _tails(s.pt(t, n - 2), alternative, s.pt_upper(t, n - 2))
-    if method == "spearman":
-        return HTest("Spearman's rank correlation rho", (n**3 - n) * (1 - r) / 6, None, p, {"rho": r}, None, alternative)
     ci = None
     if n > 3:
         z, reach = math.atanh(r), s.qnorm((1 + conf_level) / 2 if alternative == "two.sided" else conf_level) / math.sqrt(n - 3)
@@ -96,14 +96,34 @@ def cor_test(frame: Frame, x: str, y: str, method: str = "pearson", alternative:
     return HTest("Pearson's product-moment correlation", t, n - 2, p, {"cor": r}, ci, alternative)
 
 
+def _spearman(df, alternative: str) -> HTest:
+    """Pearson's correlation of average ranks, by sums over the different pairs of values; each column's ranks are joined to them once."""
+    cells = df.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    rx, ry = (value_ranks(df, c).select(F.col("__v").alias(f"v{c}"), F.col("__r").alias(f"r{c}")) for c in ("x", "y"))
+    ranked = cells.join(rx, F.col("x") == F.col("vx")).join(ry, F.col("y") == F.col("vy"))
+    c, a, b = (F.col(k).cast("double") for k in ("c", "rx", "ry"))
+    n = df.count()
+    mid = (n + 1) / 2  # the mean of either column's ranks
+    xy, xx, yy = ranked.agg(F.sum(c * (a - mid) * (b - mid)), F.sum(c * (a - mid) ** 2), F.sum(c * (b - mid) ** 2)).first()
+    r = xy / math.sqrt(xx * yy)
+    t = r * math.sqrt((n - 2) / max(1 - r * r, 1e-300))
+    return HTest("Spearman's rank correlation rho", (n**3 - n) * (1 - r) / 6, None, _tails(s.pt(t, n - 2), alternative, s.pt_upper(t, n - 2)), {"rho": r}, None, alternative)
+
+
+#: Different values of x beyond which Kendall's pairs are not counted.
+MOST_KENDALL = 20_000
+
+
 def _kendall(df, alternative: str) -> HTest:
-    """tau-b; the pairs are counted by a merge of sorted blocks' distinct value counts: (x, y) cells joined below each other."""
-    cells = df.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).persist()
-    a, b = cells.alias("a"), cells.alias("b")
+    """tau-b.  Pairs of different x are counted from cells of equal (x, y) joined below each other, which is at most MOST_KENDALL squared; more different cells raise."""
+    cells = df.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    if cells.limit(MOST_KENDALL + 1).count() > MOST_KENDALL:
+        raise ValueError(f"more than {MOST_KENDALL} different pairs of values; round them, or use Spearman's correlation")
+    cells = cut(cells)
+    a, b = cells.alias("a"), F.broadcast(cells.alias("b"))
     pairs = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.sum(F.col("a.n") * F.col("b.n") * F.signum(F.col("b.y") - F.col("a.y")))).first()[0] or 0.0
     n = df.count()
     ties = lambda c: df.groupBy(c).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0.0
-    cells.unpersist()
     n0, tx, ty = n * (n - 1) / 2, ties("x"), ties("y")
     tau = pairs / math.sqrt((n0 - tx) * (n0 - ty))
     z = 3 * pairs / math.sqrt(n * (n - 1) * (2 * n + 5) / 2)
@@ -119,12 +139,15 @@ def average_ranks(df, column: str, name: str, by: tuple[str, ...] = ()):
     if by:
         w = Window.partitionBy(*map(quote, by))
         return df.withColumn(name, F.rank().over(w.orderBy(quote(column))) + (F.count(F.lit(1)).over(Window.partitionBy(*map(quote, by), quote(column))) - 1) / 2)
-    counts = df.groupBy(F.col(quote(column)).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranged = counts.repartitionByRange("__v").withColumn("__p", F.spark_partition_id())
-    inside = ranged.withColumn("__b", F.sum("__c").over(Window.partitionBy("__p").orderBy("__v")) - F.col("__c"))
-    starts = ranged.groupBy("__p").agg(F.sum("__c").alias("__s")).withColumn("__o", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = inside.join(F.broadcast(starts.select("__p", "__o")), "__p").select("__v", (F.col("__o") + F.col("__b") + (F.col("__c") + 1) / 2).alias(name))
-    return df.join(placed, F.col(quote(column)) == F.col("__v")).drop("__v")
+    placed = value_ranks(df, column)
+    return df.join(placed, F.col(quote(column)) == F.col("__v")).withColumnRenamed("__r", name).drop("__v")
+
+
+def value_ranks(df, column: str):
+    """(__v, __r): the average rank, from 1, of each different value."""
+    counts = df.where(F.col(quote(column)).isNotNull()).groupBy(F.col(quote(column)).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    summed = running_sums(counts, ["__c"], F.col("__v"))
+    return summed.select("__v", (F.col("__before___c") + (F.col("__c") + 1) / 2).alias("__r"))
 
 
 def _tie_sum(df, column: str) -> float:
@@ -143,8 +166,11 @@ def wilcox_test(frame: Frame, x: str, y: str | None = None, group: str | None =
         if group is None:
             both = frame.df.select(F.col(quote(x)).alias("v"), F.lit(0).alias("g")).union(frame.df.select(quote(y), F.lit(1))).where("v is not null")
         else:
-            levels = [r[0] for r in frame.df.select(quote(group)).distinct().orderBy(quote(group)).limit(3).collect()]
-            both = frame.df.select(F.col(quote(x)).alias("v"), (F.col(quote(group)) == F.lit(levels[1])).cast("int").alias("g")).where("v is not null")
+            known = frame.df.where(F.col(quote(group)).isNotNull() & F.col(quote(x)).isNotNull())
+            levels = [r[0] for r in known.select(quote(group)).distinct().orderBy(quote(group)).limit(3).collect()]
+            if len(levels) != 2:
+                raise ValueError("the group must have two values")
+            both = known.select(F.col(quote(x)).alias("v"), (F.col(quote(group)) == F.lit(levels[1])).cast("int").alias("g"))
         ranked = average_ranks(both, "v", "r")
         n1, n2, w = ranked.agg(F.count_if(F.col("g") == 0), F.count_if(F.col("g") == 1), F.sum(F.when(F.col("g") == 0, F.col("r")))).first()
         stat = w - n1 * (n1 + 1) / 2
@@ -186,6 +212,8 @@ def chisq_test(frame: Frame, x: str, y: str | None = None, p: list[float] | None
     """Goodness of fit of one column, or independence of two (with Yates' correction for 2 x 2)."""
     if y is None:
         counts = [r[1] for r in frame.df.where(F.col(quote(x)).isNotNull()).groupBy(quote(x)).count().orderBy(quote(x)).limit(100_001).collect()]
+        if len(counts) > 100_000:
+            raise ValueError("more than 100000 cells")
         n = sum(counts)
         expected = [n / len(counts)] * len(counts) if p is None else [n * q for q in p]
         stat = sum((o - e) ** 2 / e for o, e in zip(counts, expected, strict=True))
@@ -268,12 +296,8 @@ def ks_test(frame: Frame, x: str, y: str) -> HTest:
     both = frame.df.select(F.col(quote(x)).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(frame.df.select(quote(y), F.lit(0), F.lit(1))).where("v is not null")
     cells = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n1, n2 = cells.agg(F.sum("a"), F.sum("b")).first()
-    ranged = cells.repartitionByRange("v").withColumn("p", F.spark_partition_id())
-    w = Window.partitionBy("p").orderBy("v")
-    inside = ranged.select("v", "p", F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    offs = ranged.groupBy("p").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")).select("p", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("ob"))
-    d = inside.join(F.broadcast(offs), "p").agg(F.max(F.abs((F.col("a") + F.col("oa")) / n1 - (F.col("b") + F.col("ob")) / n2))).first()[0]
+    summed = running_sums(cells, ["a", "b"], F.col("v"))
+    d = summed.agg(F.max(F.abs((F.col("a") + F.col("__before_a")) / n1 - (F.col("b") + F.col("__before_b")) / n2))).first()[0]
     scale = d * math.sqrt(n1 * n2 / (n1 + n2))
     p = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * scale * scale) for k in range(1, 101)) if scale > 0.2 else 1.0
     return HTest("Asymptotic two-sample Kolmogorov-Smirnov test", d, None, min(1.0, max(0.0, p)))

@@ -28,15 +28,22 @@ TOLERANCE = 1e-9
 
 def gramian(df: DataFrame, columns: Sequence[Column], weight: Column | None = None) -> np.ndarray:
     """Sums of products of all pairs of columns, in one aggregate of partial sums."""
+    return gramian_and_sums(df, columns, weight, ())[0]
+
+
+def gramian_and_sums(df: DataFrame, columns: Sequence[Column], weight: Column | None, more: Sequence[Column]) -> tuple[np.ndarray, list]:
+    """The Gramian and the sums of further columns, in one pass."""
     k = len(columns)
-    named = df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)], (F.lit(1.0) if weight is None else weight).alias("w"))
+    named = df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)], (F.lit(1.0) if weight is None else weight).alias("w"), *[c.alias(f"m{i}") for i, c in enumerate(more)])
     sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")) for i in range(k) for j in range(i, k)]
-    values = iter(named.agg(*sums).first())
+    values = list(named.agg(*sums, *[F.sum(f"m{i}") for i in range(len(more))]).first())
     out = np.zeros((k, k))
+    at = 0
     for i in range(k):
         for j in range(i, k):
-            out[i, j] = out[j, i] = next(values) or 0.0
-    return out
+            out[i, j] = out[j, i] = values[at] or 0.0
+            at += 1
+    return out, values[at:]
 
 
 def independent(g: np.ndarray, tolerance: float = TOLERANCE) -> list[int]:
@@ -348,21 +355,26 @@ class glm(lm):  # noqa: N801
             self.n, mean = int(first[0]), float(first[1])
             mu = fam.start(F.col("y"), F.col("w"))
             eta = fam.linkfun(mu)
-            last, beta, kept, inverse = math.inf, None, None, None
-            self.converged = False
-            for step in range(1, self.maxit + 1):  # noqa: B007
+
+            def pass_at(eta: Column, mu: Column) -> tuple[np.ndarray, float | None]:
+                """The working model's Gramian and the deviance, from one pass over the rows."""
                 slope = fam.mu_eta(eta)
                 z = eta - F.col("o") + (F.col("y") - mu) / slope
                 working = F.col("w") * slope * slope / fam.variance(mu)
-                state = rows.select(*x, z.alias("z"), working.alias("ww"))
-                g = gramian(state, [*x, F.col("z")], F.col("ww"))
+                g, (deviance,) = gramian_and_sums(rows, [*x, z], working, [F.col("w") * fam.dev(F.col("y"), mu)])
+                return g, deviance
+
+            last, beta, kept, inverse = math.inf, None, None, None
+            self.converged = False
+            g, _ = pass_at(eta, mu)
+            for step in range(1, self.maxit + 1):  # noqa: B007
                 kept, new, inverse, _ = solve_gramian(g, p)
                 for _ in range(20):  # halve a step that leaves the family's range or worsens the deviance
                     eta = F.col("o")
                     for b, j in zip(new.tolist(), kept, strict=True):
                         eta = eta + F.lit(b) * x[j]
                     mu = fam.linkinv(eta)
-                    deviance = rows.agg(F.sum(F.col("w") * fam.dev(F.col("y"), mu))).first()[0]
+                    g, deviance = pass_at(eta, mu)
                     if deviance is not None and math.isfinite(deviance) and (beta is None or deviance <= last + 1e-7 * (abs(last) + 0.1)):
                         break
                     if beta is None or len(beta) != len(new):
@@ -379,15 +391,17 @@ class glm(lm):  # noqa: N801
             self.columns = [self.design.columns[j] for j in kept]
             self.assign = [self.design.assign[j] for j in kept]
             self.rank, self.df_residual = len(kept), self.n - len(kept)
-            pearson = rows.agg(F.sum(F.col("w") * (F.col("y") - mu) ** 2 / fam.variance(mu)), F.sum(_aic_term(fam, mu)), F.sum(F.ln("w"))).first()
+            base = mean if self.formula.intercept else None
+            null_mu = F.lit(base) if base is not None else fam.linkinv(F.col("o"))
+            pearson = rows.agg(
+                F.sum(F.col("w") * (F.col("y") - mu) ** 2 / fam.variance(mu)), F.sum(_aic_term(fam, mu)), F.sum(F.ln("w")), F.sum(F.col("w") * fam.dev(F.col("y"), null_mu))
+            ).first()
             self.rss = self._deviance = float(last)
             self.pearson = float(pearson[0])
             self.dispersion = 1.0 if fam.known_scale else self.pearson / self.df_residual if self.df_residual else math.nan
             self.sigma2 = self.dispersion
             self._aic_sum, self._log_weights, self._sum_weights = pearson[1], float(pearson[2] or 0.0), float(first[2])
-            base = mean if self.formula.intercept else None
-            null_mu = F.lit(base) if base is not None else fam.linkinv(F.col("o"))
-            null = rows.agg(F.sum(F.col("w") * fam.dev(F.col("y"), null_mu))).first()[0]
+            null = pearson[3]
             self.null_deviance = math.inf if null is None else float(null)  # a mean of infinity, where a link has no other
             if self.formula.offsets and self.formula.intercept and self.formula.terms:
                 only = " + ".join(["1", *(f"offset({o})" for o in self.formula.offsets)])

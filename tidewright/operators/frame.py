@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import Context, Expr, Name, as_expr, col, named, quote
+from .ranges import row_numbers
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -282,9 +283,9 @@ class Frame:
             n = int(self.df.count() * prop)
         if not replace:
             return self._new(self.df.orderBy(F.rand(seed)).limit(n))
-        size = self.df.count()
-        numbered = self.df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])).toDF(T.StructType([*self.df.schema.fields, T.StructField("__i", T.LongType())]))
-        picks = self.df.sparkSession.range(n).select(F.floor(F.rand(seed) * size).cast("bigint").alias("__i"))
+        # how often each of all rows is drawn: places drawn at random, counted, and joined to numbered rows
+        numbered = row_numbers(self.df, "__i", F.rand(seed))
+        picks = self.df.sparkSession.range(n).select(F.floor(F.rand(seed) * self.df.count()).cast("bigint").alias("__i"))
         return self._new(numbered.join(picks, "__i").drop("__i"))
 
     # ------------------------------------------------------------ columns
@@ -305,8 +306,7 @@ class Frame:
             new.append(name)
         new = list(dict.fromkeys(new))
         if _before is not None or _after is not None:
-            moved = [c for c in new if c not in self.columns]
-            frame = frame.relocate(*moved, _before=_before, _after=_after)
+            frame = frame.relocate(*new, _before=_before, _after=_after)
         if _keep == "all":
             return frame
         stay = {"used": used, "unused": set(self.columns) - used, "none": set()}[_keep] | set(keys)
@@ -337,22 +337,21 @@ class Frame:
         return self._new(self.df.withColumnsRenamed(pairs), [(pairs.get(c, c), d) for c, d in self.order])
 
     def relocate(self, *cols: Any, _before: Any = None, _after: Any = None) -> Frame:
-        """Moves columns, in the frame's order, to the front or next to an anchor (a name or a 1-based place)."""
-        moved = set(resolve(self.df, cols))
-        movers = [c for c in self.columns if c in moved]
-        rest = [c for c in self.columns if c not in moved]
+        """Moves columns, in the frame's order, to the front or next to an anchor (a name or a 1-based place) that is none of them."""
         if _before is not None and _after is not None:
             raise ValueError("give one of _before and _after")
+        moved = set(resolve(self.df, cols))
         anchor = _before if _before is not None else _after
-        if anchor is None:
-            at = 0
-        else:
+        # every column gets a place; movers take one just before or behind the anchor's
+        place = {c: (float(i), 0) for i, c in enumerate(self.columns)}
+        target = -1.0
+        if anchor is not None:
             name = self.columns[anchor - 1] if isinstance(anchor, int) else resolve(self.df, [anchor])[0]
             if name in moved:
-                at = len([c for c in self.columns[: self.columns.index(name)] if c in rest])
-            else:
-                at = rest.index(name) + (_after is not None)
-        return self._new(self.df.select(*map(quote, [*rest[:at], *movers, *rest[at:]])))
+                raise ValueError(f"{name} can't be moved next to itself")
+            target = place[name][0] + (-0.5 if _before is not None else 0.5)
+        place |= {c: (target, i) for i, c in enumerate(self.columns) if c in moved}
+        return self._new(self.df.select(*map(quote, sorted(self.columns, key=place.__getitem__))))
 
     def clean_names(self) -> Frame:
         seen: dict[str, int] = {}
@@ -444,14 +443,8 @@ class Frame:
         return self._new(self.df.mapInPandas(function, schema), ())
 
     def with_row_index(self, name: str = "index") -> Frame:
-        """0-based place in the frame's order: counts of range partitions, then places within them; no single task sorts all."""
-        order = self._require_order()
-        ranged = self.df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-        placed = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
-        sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-        before = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        out = placed.join(F.broadcast(before.select("__p", "__b")), "__p")
-        return self._new(out.select((F.col("__b") + F.col("__i")).alias(name), *map(quote, self.columns)))
+        """0-based place in the frame's order: sorted range partitions, written once, and the counts of those before."""
+        return self._new(row_numbers(self.df, name, *self._require_order()))
 
     def collect(self):
         return self.df.toPandas()

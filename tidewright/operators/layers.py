@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import quote
 from .frame import Frame
+from .ranges import quantiles, row_numbers
 
 
 def bin_breaks(low: float, high: float, bins: int | None = 30, width: float | None = None, boundary: float | None = None) -> list[float]:
@@ -55,13 +56,18 @@ def stat_bin(frame: Frame, x: str, bins: int = 30, binwidth: float | None = None
 
 
 def hist_breaks(frame: Frame, x: str, rule: str | int = "sturges") -> list[float]:
-    n, low, high, sd, q1, q3 = frame.df.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x), F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))).first()
+    """Even breaks by Sturges' rule, Scott's, or Freedman and Diaconis' (any other name), or of so many bins."""
+    n, low, high, sd = frame.df.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x)).first()
     if isinstance(rule, int):
         k = rule
     elif rule == "sturges":
         k = math.ceil(math.log2(n) + 1)
     else:
-        h = 3.49 * sd * n ** (-1 / 3) if rule == "scott" else 2 * (q3 - q1) * n ** (-1 / 3)
+        if rule == "scott":
+            h = 3.49 * sd * n ** (-1 / 3)
+        else:
+            q1, q3 = quantiles(frame.df, x, (0.25, 0.75)).first()["q"]
+            h = 2 * (q3 - q1) * n ** (-1 / 3)
         k = max(1, math.ceil((high - low) / h)) if h > 0 else 1
     return [low + (high - low) * i / k for i in range(k + 1)]
 
@@ -79,19 +85,38 @@ def stat_sum(frame: Frame, x: str, y: str) -> Frame:
     return frame._new(out.crossJoin(F.broadcast(total)).select(quote(x), quote(y), "n", (F.col("n") / F.col("__n")).alias("prop")), ())
 
 
-def stat_boxplot(frame: Frame, y: str, by: Sequence[str] = (), coef: float = 1.5) -> Frame:
-    """Hinges by type 7, whiskers to the last values within coef * IQR, outliers as a list, notches."""
-    keys = list(map(quote, by))
+def _hinged(frame: Frame, y: str, by: Sequence[str], coef: float) -> DataFrame:
+    """The rows that have a y, with lower, middle, upper and n of their group, and whether y lies within coef * IQR of the hinges."""
     c = F.col(quote(y))
-    hinges = frame.df.groupBy(*keys).agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(c).alias("n"))
-    hinges = hinges.select(*keys, F.col("q")[0].alias("lower"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("upper"), "n")
-    df = frame.df.where(c.isNotNull())
-    joined = df.join(F.broadcast(hinges), list(by)) if by else df.crossJoin(F.broadcast(hinges))
+    q = quantiles(frame.df, y, (0.25, 0.5, 0.75), by)
+    hinges = q.select(*[F.col(quote(k)).alias(f"__g{i}") for i, k in enumerate(by)], *[F.col("q")[i].alias(name) for i, name in enumerate(("lower", "middle", "upper"))], "n")
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(quote(k)).eqNullSafe(F.col(f"__g{i}"))
+    df = frame.df.where(c.isNotNull()).join(hinges, same) if by else frame.df.where(c.isNotNull()).crossJoin(F.broadcast(hinges))
     reach = (F.col("upper") - F.col("lower")) * coef
-    inside = (c >= F.col("lower") - reach) & (c <= F.col("upper") + reach)
-    out = joined.groupBy(*keys, "lower", "middle", "upper", "n").agg(F.min(F.when(inside, c)).alias("ymin"), F.max(F.when(inside, c)).alias("ymax"), F.array_sort(F.collect_list(F.when(~inside, c))).alias("outliers"))
+    return df.withColumn("__in", (c >= F.col("lower") - reach) & (c <= F.col("upper") + reach))
+
+
+def stat_boxplot(frame: Frame, y: str, by: Sequence[str] = (), coef: float = 1.5, outliers: bool = True) -> Frame:
+    """Hinges by type 7, whiskers to the last values within coef * IQR, notches, and outliers as a list.
+
+    A group with very many outliers should leave the list out and take them as
+    rows from boxplot_outliers().
+    """
+    keys, c = list(map(quote, by)), F.col(quote(y))
+    ends = [F.min(F.when(F.col("__in"), c)).alias("ymin"), F.max(F.when(F.col("__in"), c)).alias("ymax")]
+    if outliers:
+        ends.append(F.array_sort(F.collect_list(F.when(~F.col("__in"), c))).alias("outliers"))
+    out = _hinged(frame, y, by, coef).groupBy(*keys, "lower", "middle", "upper", "n").agg(*ends)
     half = F.lit(1.58) * (F.col("upper") - F.col("lower")) / F.sqrt("n")
-    return frame._new(out.select(*keys, "ymin", "lower", "middle", "upper", "ymax", "n", (F.col("middle") - half).alias("notchlower"), (F.col("middle") + half).alias("notchupper"), "outliers"), ())
+    made = [*keys, "ymin", "lower", "middle", "upper", "ymax", "n", (F.col("middle") - half).alias("notchlower"), (F.col("middle") + half).alias("notchupper")]
+    return frame._new(out.select(*made, *(["outliers"] if outliers else [])), ())
+
+
+def boxplot_outliers(frame: Frame, y: str, by: Sequence[str] = (), coef: float = 1.5) -> Frame:
+    """The rows that stat_boxplot's whiskers leave out."""
+    return frame._new(_hinged(frame, y, by, coef).where("not __in").select(*map(quote, frame.columns)))
 
 
 def bandwidth(n: int, sd: float, iqr: float, rule: str | float = "nrd0") -> float:
@@ -113,7 +138,8 @@ def density(frame: Frame, x: str, bw: str | float = "nrd0", n: int = 512, from_:
     every value in one aggregate for each row.
     """
     df = frame.df.where(F.col(quote(x)).isNotNull()).select(F.col(quote(x)).cast("double").alias("v"))
-    m, low, high, sd, q1, q3 = df.agg(F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v"), F.percentile("v", F.lit(0.25)), F.percentile("v", F.lit(0.75))).first()
+    m, low, high, sd = df.agg(F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v")).first()
+    q1, q3 = quantiles(df, "v", (0.25, 0.75)).first()["q"] if bw == "nrd0" else (0.0, 0.0)
     h = bandwidth(m, sd or 0.0, q3 - q1, bw)
     a, b = (low - cut * h if from_ is None else from_), (high + cut * h if to is None else to)
     step = (b - a) / (n - 1)
@@ -133,10 +159,15 @@ def density(frame: Frame, x: str, bw: str | float = "nrd0", n: int = 512, from_:
 
 
 def stat_ecdf(frame: Frame, x: str, by: Sequence[str] = ()) -> Frame:
-    """One row for each observation: its place among the values over their number."""
-    w = Window.partitionBy(*map(quote, by))
-    df = frame.df.where(F.col(quote(x)).isNotNull())
-    return frame._new(df.withColumn("ecdf", F.row_number().over(w.orderBy(quote(x))) / F.count(F.lit(1)).over(w)))
+    """One row for each observation: its place among the values over their number.  Places are counted over range partitions, in groups too."""
+    keys = [F.col(quote(k)) for k in by]
+    rows = row_numbers(frame.df.where(F.col(quote(x)).isNotNull()), "__at", *[k.asc_nulls_first() for k in keys], F.col(quote(x)))
+    sizes = rows.groupBy(*[k.alias(f"__g{i}") for i, k in enumerate(keys)]).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"__g{i}"))
+    joined = rows.join(sizes, same) if keys else rows.crossJoin(F.broadcast(sizes))
+    return frame._new(joined.select(*map(quote, frame.columns), ((F.col("__at") - F.col("__first") + 1) / F.col("__n")).alias("ecdf")))
 
 
 def stat_bin2d(frame: Frame, x: str, y: str, bins: int = 30) -> Frame:
@@ -173,10 +204,9 @@ def stat_summary(frame: Frame, x: str, y: str, fun: str = "mean_se", conf: float
     if fun == "mean_se":
         reach = F.col("se") * mult
     else:
-        # by an Arrow UDF over the different sizes, as many as there are
+        # by an Arrow UDF over the different sizes, joined back by size
         factor = _by_value(lambda s: qt((1 + conf) / 2, s - 1) if s > 1 else float("nan"))("n")
-        sizes = Frame(one.select("n").distinct()).mutate(__t=factor).df
-        one = one.join(sizes, "n")
+        one = one.join(Frame(one.select("n").distinct()).mutate(__t=factor).df, "n")
         reach = F.col("se") * F.col("__t")
     return frame._new(one.select(quote(x), "y", (F.col("y") - reach).alias("ymin"), (F.col("y") + reach).alias("ymax")), ())
 

@@ -107,10 +107,12 @@ def interpolate(self: Frame, *cols: str, by: Sequence[str] = ()) -> Frame:
 
 
 def shift(self: Frame, n: int = 1) -> Frame:
-    """All columns moved by n places of the frame's order."""
-    w = Window.orderBy(*self._require_order())
+    """All columns but the order's moved by n places of the frame's order: rows are numbered and joined to those n places before."""
     keys = {c for c, _ in self.order}
-    return _each(self, {c: F.lag(quote(c), n).over(w) for c in self.columns if c not in keys})
+    rows = self.with_row_index("__i").df
+    moved = rows.select((F.col("__i") + n).alias("__j"), *[F.col(quote(c)).alias(f"__v{i}") for i, c in enumerate(self.columns) if c not in keys])
+    joined = rows.join(moved, F.col("__i") == F.col("__j"), "left")
+    return self._new(joined.select(*[F.col(quote(c)) if c in keys else F.col(f"__v{i}").alias(c) for i, c in enumerate(self.columns)]))
 
 
 def gather_every(self: Frame, n: int, offset: int = 0) -> Frame:
