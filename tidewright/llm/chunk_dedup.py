@@ -7,7 +7,12 @@ the ends around it and no others, and a passage is cut alike wherever it
 stands.  A chunk whose digest
 also occurs in a document with a smaller id is a duplicate.  Runs of adjacent
 duplicates of enough bytes are removed; shorter ones, which ordinary phrases
-make by chance, stay.
+make by chance, stay (``least_run=0`` removes them all).
+
+Equal chunks within a block of a task are combined before they are sent: only
+the smallest document's goes to where the digest is judged, the others are
+known to be duplicates and are dealt by a salt.  So a chunk that very many
+documents share is no large group anywhere.
 """
 
 from __future__ import annotations
@@ -18,16 +23,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import arrow_map, cut
+from .runtime import arrow_map
 
 #: Bytes that the gear hash sees, and places on either side among which an end has the largest hash.
 WINDOW, RADIUS = 16, 16
 #: Bytes of adjacent duplicate chunks from which they are removed.
 LEAST_RUN = 100
+#: Chunks that a task combines at once; bits of a digest that hold the salt of known duplicates.
+_HELD_ROWS, _SALTS = 1 << 18, 0xFFFF
 
 GEAR = (tb.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) & np.uint64(0xFFFF)).astype(np.uint32)
 
@@ -60,29 +67,49 @@ def chunk_ends(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def chunks(data: np.ndarray, offs: np.ndarray):
-    """Starts, ends, texts and 128-bit digests (two integers) of the chunks of a block."""
+    """Starts, ends, texts and 112-bit digests (two integers, 16 bits of the first 0) of the chunks of a block."""
     ends = chunk_ends(data, offs)
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
     raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
     joined = b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-    return starts, ends, np.searchsorted(offs, starts, "right") - 1, np.frombuffer(joined, dtype="<i8").reshape(-1, 2)
+    digests = np.frombuffer(joined, dtype="<i8").reshape(-1, 2) & np.array([~_SALTS, -1])
+    return starts, ends, np.searchsorted(offs, starts, "right") - 1, digests
 
 
 def _chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(hi, lo, doc): the different chunks of each document that has a key."""
+    """(hi, lo, doc): the different chunks of each document that has a key; hi with a salt for those that a smaller one is known to have."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, end, data, offs in tb.blocks(batch.column(1)):
                 _, _, doc, digest = chunks(data, offs)
                 _, once = np.unique(tb.mix64(digest[:, 0].view(np.uint64) + doc.astype(np.uint64)) ^ digest[:, 1].view(np.uint64), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[once, 0]), pa.array(digest[once, 1]), pa.array(ids[first:end][doc[once]])], names=["hi", "lo", "doc"])
+                once.sort()  # rows of a text side by side pack well
+                held.append((digest[once, 0], digest[once, 1], ids[first:end][doc[once]]))
+                n += len(once)
+                if n >= _HELD_ROWS:
+                    yield _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, n = [], 0
+        if n:
+            yield _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     rows = docs.where(docs[key].isNotNull()).select(docs[key].cast("bigint"), docs[text])
     return arrow_map(rows, over, "hi bigint, lo bigint, doc bigint")
 
 
+def _combined(hi: np.ndarray, lo: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((lo, hi))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    known = np.zeros(len(order), dtype=bool)
+    known[order] = doc[order] > least
+    salt = (tb.mix64(doc.view(np.uint64) ^ lo.view(np.uint64)) % np.uint64(_SALTS) + np.uint64(1)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.where(known, hi | salt, hi)), pa.array(lo), pa.array(doc)], names=["hi", "lo", "doc"])
+
+
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, least_run: int = LEAST_RUN) -> DataFrame:
     """One row for each row of docs: key, the columns in ``keep``, n_bytes, n_chunks, n_dup_chunks, n_removed, n_spans, kept_sha256.
 
@@ -92,9 +119,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     and repeated rows of a key are one document.  Null and empty texts have no
     chunks (kept_text is null for null).
     """
-    rows = _chunk_rows(docs, key, text)
-    first = rows.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hi", "lo", "first")
-    later = rows.join(cut(first), ["hi", "lo"]).where("doc > first")
+    rows = _chunk_rows(docs, key, text).repartition("hi", "lo").withColumn("first", F.min("doc").over(Window.partitionBy("hi", "lo")))
+    later = rows.where(f"doc > first or hi & {_SALTS} <> 0").select("doc", F.expr(f"hi & {~_SALTS}").alias("hi"), "lo")
     lists = later.groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("dup")).select(F.col("doc").alias("_doc"), F.col("dup.hi").alias("hi"), F.col("dup.lo").alias("lo"))
     own = docs.select(docs[key].alias("_key"), *[docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)], docs[text].alias("_text"))
     joined = own.join(lists, F.col("_key") == F.col("_doc"), "left").drop("_doc")
