@@ -62,7 +62,7 @@ def shingles(text):
     return {tuple(found[i : i + 5]) for i in range(len(found) - 4)} if len(found) >= 5 else ({tuple(found)} if found else set())
 
 
-def plain_components(data):
+def plain_components(data, percent=85):
     sets = {i: shingles(t) for i, t, *_ in data}
     root = {i: i for i in sets}
 
@@ -74,17 +74,18 @@ def plain_components(data):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
 def test_near_duplicates_equal_plain(docs):
-    wanted = plain_components([tuple(r) for r in docs.collect()])
-    out = collect(near_dedup.near_duplicates(docs))
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == wanted
-    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+    for percent in (85, near_dedup.PERCENT):
+        wanted = plain_components([tuple(r) for r in docs.collect()], percent)
+        out = collect(near_dedup.near_duplicates(docs, percent=percent))
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == wanted
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
 def test_near_duplicates_in_blocks(spark):
@@ -97,7 +98,7 @@ def test_near_duplicates_in_blocks(spark):
         data.append((i, " ".join(copy)))
     frame = spark.createDataFrame(data, "doc_id bigint, text string")
     groups = spark.createDataFrame([(i, 0) for i in range(60)], "node bigint, component bigint")
-    links = near_dedup.confirmed_links(frame, groups, "doc_id", "text", block=7)
+    links = near_dedup.confirmed_links(frame, groups, "doc_id", "text", percent=85, block=7)
     found = {r["node"]: r["component"] for r in runtime.components(links).collect()}
     assert {i: found.get(i, i) for i in range(60)} == {i: c for i, (_, c) in plain_components(data).items()}
 
@@ -177,6 +178,19 @@ def test_chunks_equal_plain(docs):
         assert r["kept_sha256"] == hashlib.sha256(wanted[r["doc_id"]]).hexdigest() and r["n_removed"] == r["n_bytes"] - len(wanted[r["doc_id"]])
 
 
+def test_chunks_without_a_least_run_and_in_hot_groups(spark, docs):
+    data = [tuple(r) for r in docs.collect()]
+    wanted = plain_chunk_dedup(data, 0)
+    for r in collect(chunk_dedup.dedup_substrings(docs, with_text=True, least_run=0)):
+        assert (r["kept_text"] or "").encode() == wanted[r["doc_id"]]
+    rng = random.Random(13)
+    line = " ".join(words(rng, 30, 5000))
+    hot = [(i, f"{' '.join(words(rng, 12, 5000))} {line} {' '.join(words(rng, 8, 5000))}", "en", "s", 1) for i in range(300)]
+    wanted = plain_chunk_dedup(hot)
+    out = collect(chunk_dedup.dedup_substrings(spark.createDataFrame(hot, SCHEMA).repartition(3)))
+    assert {r["doc_id"]: r["kept_sha256"] for r in out} == {i: hashlib.sha256(t).hexdigest() for i, t in wanted.items()}
+
+
 def test_chunks_catch_passages_and_leave_the_rest():
     rng = random.Random(11)
     passage = " ".join(words(rng, 60, 5000))
@@ -216,6 +230,17 @@ def test_suffixes_equal_plain(docs):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == wanted
 
 
+def test_suffixes_around_frequent_lines(spark):
+    """More stretches of one anchor than are sent as bytes, in one chunk and in several."""
+    rng = random.Random(8)
+    line = "this very line of text stands in every one of the documents of the table"
+    data = [(3 * i, f"{rng.randint(0, 10**12):x} {rng.randint(0, 10**9):x} {line[: 40 + i % 33]} {rng.randint(0, 10**12):x}") for i in range(700)] + [(3 * i + 1, f"{i} {line} {i}") for i in range(5)]
+    for partitions in (1, 5):
+        frame = spark.createDataFrame(data, "doc_id bigint, text string").repartition(partitions)
+        out = collect(suffix_dedup.dedup_suffixes(frame))
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == plain_suffixes(data)
+
+
 def test_suffixes_of_edited_and_periodic_texts(spark):
     rng = random.Random(6)
     base = "".join(rng.choice("ab ") for _ in range(700))
@@ -326,6 +351,23 @@ def test_contamination_is_native(spark, docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+# ---------------------------------------------------------------- against SQL
+@pytest.mark.parametrize("name", ["op2_quality", "op8_suffix_dedup"])
+def test_query_equals_sql(spark, tmp_path, name):
+    import duckdb
+
+    from tidewright.llm import queries
+
+    data, _ = corpus(41)
+    spark.createDataFrame([*data, (900, "é" * 60 + "\n" * 3, "en", "s", 1), (901, "a b c d e f g " * 40, "en", "s", 1)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        found = db.execute(queries.ORACLE_SQL[name])
+        columns = [c[0] for c in found.description]
+        wanted = sorted(found.fetchall())
+    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == wanted
+
+
 # ---------------------------------------------------------------- pipeline
 def plain_pipeline(data, items):
     import base64
@@ -340,7 +382,7 @@ def plain_pipeline(data, items):
             n = m["n_words"]
             if n >= 50 and 100 * m["n_repeat_words"] <= 50 * n and 100 * m["covered_words"] <= quality.MOST_COVERED_PERCENT * n and m["longest_repeat"] <= quality.MOST_LONGEST:
                 kept.append(r)
-    groups = plain_components(kept)
+    groups = plain_components(kept, corpus_pipeline.NEAR_PERCENT)
     kept = [r for r in kept if groups[r[0]][1] == r[0]]
     text = plain_chunk_dedup(kept)
     kept = [(r[0], text[r[0]].decode()) for r in kept if text[r[0]]]
@@ -368,6 +410,14 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     data, _ = corpus(22)
     spark.createDataFrame([(1, "nothing here at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     frame = spark.createDataFrame([(*r, True, 1) for r in data] + [(None, None, None, None, None, None, None)], SCHEMA + ", kept boolean, n_words int")
+    last = corpus_pipeline.STAGES[-1][1]
+    digests = last(spark, frame, str(tmp_path))
+    assert digests.count() == frame.count() and digests.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert {(r["n_tokens"], r["decoded_sha256"]) for r in digests.where("doc_id is null").collect()} == {(0, nothing)}
+    assert last(spark, frame.limit(0), str(tmp_path)).count() == 0
+    clash = frame.toDF(*["ids_sha256" if c == "source" else c for c in frame.columns])
+    assert last(spark, clash, str(tmp_path)).columns == digests.columns
     for (name, stage), empty in [(s, e) for s in corpus_pipeline.STAGES[:-1] for e in (False, True)]:
         out = stage(spark, frame.limit(0) if empty else frame, str(tmp_path))
         assert out.schema.simpleString() == frame.schema.simpleString(), name

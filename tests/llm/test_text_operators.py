@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import byte_bpe, language, quality, sharding, toxicity, url_filter
 from tidewright.llm import textblocks as tb
@@ -106,6 +107,27 @@ def test_quality_equals_plain():
             assert [int(m[c][i]) for c in names] == plain_quality(texts[first + i]), texts[first + i]
 
 
+def test_quality_of_a_very_long_text():
+    """10 MB of one word, and of ever the same line, in some arrays of the words."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for text, period in ((b"word " * 2_000_000, 1), ((" ".join(f"w{i}" for i in range(2000)) + "\n").encode() * 1000, 2000)):
+        data = np.frombuffer(text, dtype=np.uint8)
+        m = quality.measure(data, np.array([0, len(data)]))
+        n = len(text.split())
+        assert m["n_words"][0] == n == m["n_repeat_words"][0] == m["covered_words"][0]
+        assert m["longest_repeat"][0] == n - period
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 900_000
+
+
+def test_hashes_of_spans_do_not_hang_on_the_block():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 3 << 20).astype(np.uint8)
+    cuts = np.unique(np.concatenate([[0, 1 << 20, (5 << 19) + 7], rng.integers(0, 5000, 200), rng.integers(5 << 19, 3 << 20, 500), [len(data)]]))
+    assert (tb.hash_spans(data, cuts[:-1], cuts[1:]) == tb.span_hashes(tb.prefix_hash(data), cuts[:-1], cuts[1:])).all()
+
+
 def test_quality_rows(spark, odd_docs):
     out = rows(quality.judge_quality(odd_docs))
     assert len(out) == 7 and not any(r["kept"] for r in out)
@@ -149,6 +171,11 @@ def test_sharding_rows(spark, odd_docs):
     assert len(out) == 7 and {r["shard"] for r in out} <= {"a", "b", "c"}
     assert len({(r["slot"], r["shard"]) for r in out if r["doc_id"] == 1}) == 1
     assert sharding.shard_rows(odd_docs.limit(0), "doc_id").count() == 0
+    clash = odd_docs.toDF("doc_id", "_slot", "c0", "_shard")
+    placed = sharding.shard_rows(clash, "doc_id")
+    assert placed.columns == ["doc_id", "_slot", "c0", "_shard", "slot", "shard"] and placed.count() == 7
+    twice = odd_docs.select("doc_id", "text", "text", "n_words").toDF("doc_id", "Slot", "at", "at")
+    assert sharding.shard_rows(twice, "doc_id").columns == ["doc_id", "at", "at", "slot", "shard"]
 
 
 # ---------------------------------------------------------------- URLs
@@ -293,6 +320,76 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert with_[3]["score"] == with_[4]["score"] and 0 <= with_[3]["score"] <= 1
 
 
+def test_toxicity_fit_equals_plain():
+    """Adam on dense arrays, with the gradient of the loss written out row by row."""
+    rng = np.random.default_rng(5)
+    k, n, m = 12, 40, 15
+    rows = [np.flatnonzero(rng.random(k) < 0.3).astype(np.int32) for _ in range(n + 2 * m)]
+    y = (rng.random(n) < 0.4).astype(float)
+    own, left, right = ([r.tobytes() for r in part] for part in (rows[:n], rows[n : n + m], rows[n + m :]))
+    dense = np.zeros((n + 2 * m, k))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    x, change = dense[:n], dense[n : n + m] - dense[n + m :]
+    w, b, first, second = np.zeros(k), np.log(y.mean() / (1 - y.mean())), np.zeros(k + 1), np.zeros(k + 1)
+    for step in range(1, 51):
+        slope = (1 / (1 + np.exp(-(x @ w + b))) - y) / n
+        g = np.append(x.T @ slope + toxicity.RIDGE * w + 2 * 7.0 / m * change.T @ (change @ w), slope.sum())
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
+        move = 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        w, b = w - move[:-1], b - move[-1]
+    weights, intercept = toxicity.fit(own, y, left, right, k, 7.0, steps=50)
+    assert np.allclose(weights, w, atol=1e-10) and np.isclose(intercept, b)
+
+
+def test_toxicity_pairs_are_sentences_with_swapped_terms():
+    kinds = [toxicity.features_of(list(kind)) for kind in (("muslim", "christian"), ("old", "young"))]
+    buckets = np.unique(np.concatenate([f for kind in kinds for _, f in kind] + [f for _, f in toxicity.features_of(["idiot", "nice"])]))
+    place = np.full(toxicity.BUCKETS, -1, dtype=np.int32)
+    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    places = [[(name, place[f]) for name, f in kind] for kind in kinds]
+    number = lambda *words: sorted({int(i) for _, f in toxicity.features_of(list(words)) for i in place[f] if i >= 0})
+    texts = ["A muslim idiot. An old, nice man. No term here.", "Nothing but words. An idiot too.", "", "idiot"]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    rows = toxicity.counterfactual_rows(data, np.cumsum([0, *map(len, texts)]), place, places)
+    shown = [(np.frombuffer(own, np.int32).tolist(), [np.frombuffer(p, np.int32).tolist() for p in pairs]) for own, pairs in rows]
+    assert shown[0] == (number("muslim", "idiot", "old", "nice"), [number("muslim", "idiot"), number("christian", "idiot"), number("old", "nice"), number("young", "nice")])
+    terms = [number(name) for name in ("muslim", "christian", "old", "young")]
+    own, (a, b) = shown[1]
+    rest = number("idiot")
+    filled = [t for t in terms if set(t) <= set(own)]
+    assert len(filled) == 1 and set(own) == set(filled[0]) | set(rest)  # one term stands in place of a word without weight
+    assert set(a) - set(rest) == set(filled[0]) and [t for t in terms if set(t) <= set(b)] != filled and (set(a) >= set(rest)) == (set(b) >= set(rest))
+    assert shown[2] == ([], []) and shown[3] == (rest, [])
+
+
+def test_toxicity_query_uses_its_penalty(spark):
+    """On the corpus itself, which mentions no term: neutral mentions in held-out texts move the score far less than without the penalty."""
+    folder = "/root/testdata/sf0.01"
+    held = language.held_out(F.col("doc_id"))
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    model, loose = (toxicity.train(docs.where(~held), labels, counterfactual=c) for c in (toxicity.COUNTERFACTUAL, 0.0))
+    assert model.n_pairs > 0.9 * model.n_rows > 0 and not np.allclose(model.weights, loose.weights)
+    terms = F.array(*[F.lit(x) for kind in toxicity.IDENTITY_TERMS for x in kind])
+    neutral = docs.where(held).select("doc_id", F.concat(F.element_at(terms, (F.col("doc_id") % F.size(terms) + 1).cast("int")), F.lit(" "), "text").alias("text"))
+
+    def moved(m):
+        odds = lambda d: {r["doc_id"]: np.log(r["score"] / (1 - r["score"])) for r in rows(toxicity.score_texts(d, m))}
+        a, b = odds(docs.where(held)), odds(neutral)
+        return np.mean([abs(a[i] - b[i]) for i in a])
+
+    assert moved(model) < 0.5 * moved(loose)
+
+
+def test_toxicity_odd_rows(spark):
+    docs, labels = toxic_data(spark)
+    long = spark.createDataFrame([(1, "w1 idiot " * 300_000), (1, "w1 idiot " * 300_000), (None, "idiot"), (2, None)], "doc_id bigint, text string")
+    model = toxicity.train(docs.unionByName(long), labels)
+    out = rows(toxicity.score_texts(long.withColumn("held_out", F.lit(True)), model, keep=("held_out",)))
+    assert [r["held_out"] for r in out] == [True] * 4 and len({r["score"] for r in out if r["doc_id"] == 1}) == 1
+    assert spark.range(1).select(language.held_out(F.lit(None).cast("bigint"))).first()[0] is True
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_data(spark)
     empty = toxicity.train(docs, labels.limit(0))

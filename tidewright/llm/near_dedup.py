@@ -27,7 +27,7 @@ from . import textblocks as tb
 from .runtime import arrow_map, components, cut, ship
 
 #: Words of a shingle; percent of the union that must be shared.
-WIDTH, PERCENT = 5, 85
+WIDTH, PERCENT = 5, 80
 #: Minimum hashes of a key, and the fewest keys of each of the two collections.
 ROWS, KEYS = 4, 12
 #: Most probability that a pair at the threshold is missed.
