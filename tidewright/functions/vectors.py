@@ -7,9 +7,10 @@ import random
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators.frame import Frame
+from ..operators.frame import NUMERIC, Frame
 from ..operators.ranges import least_gap
 from .expr import quote
 
@@ -41,6 +42,45 @@ def rep(x: Any, times: int | Sequence[int] = 1, each: int = 1, length_out: int |
     return out if length_out is None else [out[i % len(out)] for i in range(length_out)]
 
 
+def seq_along(x: Sequence[Any]) -> list[int]:
+    return list(range(len(x)))
+
+
+def matrix(data: Any, nrow: int | None = None, ncol: int | None = None, byrow: bool = False) -> np.ndarray:
+    """A small matrix, filled by columns; short data is repeated."""
+    values = np.atleast_1d(np.asarray(data))
+    size = values.size
+    if nrow is None:
+        nrow = -(-size // ncol) if ncol else size
+    ncol = -(-size // nrow) if ncol is None else ncol
+    return np.resize(values.ravel(), nrow * ncol).reshape((nrow, ncol), order="C" if byrow else "F")
+
+
+def apply(frame: Frame, margin: int, function: Callable[[Any], float], *columns: str) -> Frame:
+    """A callable over the columns (2): each is an expression maker and gives one aggregate; or over rows (1): it gets a NumPy row and gives a double, in Arrow batches."""
+    names = list(columns) or frame.columns
+    if margin == 2:
+        return frame.summarize(**{c: function(c) for c in names})
+    import pandas as pd
+
+    def over(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"value": [float(function(row)) for row in pdf.to_numpy()]})
+
+    return Frame(frame.df.select(*map(quote, names)).mapInPandas(over, "value double"))
+
+
+def is_numeric(frame: Frame, column: str) -> bool:
+    return isinstance(frame.schema[column].dataType, NUMERIC)
+
+
+def str_sort(frame: Frame, column: str, decreasing: bool = False, na_last: bool = True) -> Frame:
+    """The values of a column in order, by code point."""
+    c = F.col(quote(column))
+    key = (c.desc_nulls_last() if na_last else c.desc_nulls_first()) if decreasing else (c.asc_nulls_last() if na_last else c.asc_nulls_first())
+    return Frame(frame.df.select(quote(column)).orderBy(key), [(column, decreasing)])
+
+
 def rev(x: Sequence[Any]) -> list[Any]:
     return list(x)[::-1]
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import quote
+from ..functions.expr import col, quote
 from .frame import Frame
 from .ranges import quantiles, row_numbers
 
@@ -222,6 +223,84 @@ def stat_qq(frame: Frame, x: str) -> Frame:
     return Frame(out).mutate(theoretical=qnorm("__p")).drop("__p")
 
 
+def stat_qq_line(frame: Frame, x: str, probs: tuple[float, float] = (0.25, 0.75)) -> Frame:
+    """The ends, over the range of stat_qq's theoretical quantiles, of the line through two quantiles of the sample and of the normal."""
+    from ..models.special import qnorm
+
+    row = quantiles(frame.df, x, probs).first()
+    (low, high), n = row["q"], row["n"]
+    a, b = qnorm(probs[0]), qnorm(probs[1])
+    slope = (high - low) / (b - a) if b != a else 0.0
+    shift = 0.5 if n > 10 else 3 / 8
+    edge = qnorm((n - shift) / (n + 1 - 2 * shift))
+    ends = [(t, low + slope * (t - a)) for t in (-edge, edge)]
+    return Frame(frame.df.sparkSession.createDataFrame(ends, "x double, y double"), [("x", False)])
+
+
+def stat_function(spark: SparkSession, fun: Callable[[Any], Any], xlim: tuple[float, float], n: int = 101) -> Frame:
+    """(x, y) of an expression maker, like conditionals.sqrt, on an even grid."""
+    low, high = xlim
+    grid = Frame(spark.range(n).select((F.lit(float(low)) + F.col("id") * F.lit((high - low) / max(n - 1, 1))).alias("x")), [("x", False)])
+    return grid.mutate(y=fun(col("x")))
+
+
+def _kernel_sums(points: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Gaussian densities of weighted points (keys, v, w) at grid places (keys, i, at, h, m)."""
+    z = (F.col("at") - F.col("v")) / F.col("h")
+    pairs = grid.join(points, list(keys)) if keys else grid.crossJoin(points)
+    total = F.sum(F.col("w") * F.exp(-z * z / 2)) / (F.col("m") * F.col("h") * math.sqrt(2 * math.pi))
+    return pairs.groupBy(*map(quote, keys), "i", "at", "h", "m").agg(total.alias("density"))
+
+
+def _group_bandwidths(frame: Frame, x: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, m, low, high, h): size, range and nrd0 bandwidth of each group of two values or more."""
+    c = F.col(quote(x)).cast("double")
+    stats = frame.df.where(c.isNotNull()).groupBy(*map(quote, keys)).agg(F.count(c).alias("m"), F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_samp(c).alias("sd"))
+    q = quantiles(frame.df, x, (0.25, 0.75), keys).select(*map(quote, keys), ((F.col("q")[1] - F.col("q")[0]) / 1.34).alias("iqr"))
+    joined = stats.join(q, list(keys)) if keys else stats.crossJoin(q)
+    least = F.when(F.col("iqr") > 0, F.least("sd", "iqr")).otherwise(F.col("sd"))
+    return joined.where("m > 1").select(*map(quote, keys), "m", "low", "high", (0.9 * F.when(least > 0, least).otherwise(1.0) * F.pow("m", F.lit(-0.2))).alias("h"))
+
+
+def _spread(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """(keys, v, w): values spread linearly over 4 n cells of their group's range, so that at most so many points stand for a group."""
+    fine = (F.col("high") - F.col("low")) / (4 * n)
+    at = F.when(fine > 0, (F.col("v") - F.col("low")) / fine).otherwise(0.0)
+    cell = F.floor(at)
+    both = F.explode(F.array(F.struct(cell.alias("k"), (1 - (at - cell)).alias("w")), F.struct((cell + 1).alias("k"), (at - cell).alias("w"))))
+    parts = rows.select(*map(quote, keys), "low", fine.alias("fine"), both.alias("s")).groupBy(*map(quote, keys), "low", "fine", "s.k").agg(F.sum("s.w").alias("w"))
+    return parts.select(*map(quote, keys), (F.col("low") + F.col("k") * F.col("fine")).alias("v"), "w")
+
+
+def stat_ydensity(frame: Frame, x: str, y: str, bw: float | None = None, adjust: float = 1.0, n: int = 512, exact: bool = False) -> Frame:
+    """A violin for each x: y on an even grid with density, ndensity, count and violinwidth.
+
+    Values are first spread over cells of their group's range, unless ``exact``.
+    """
+    width = _group_bandwidths(frame, y, [x]).withColumn("h", (F.col("h") if bw is None else F.lit(float(bw))) * adjust)
+    rows = frame.df.where(F.col(quote(y)).isNotNull()).select(quote(x), F.col(quote(y)).cast("double").alias("v"))
+    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(rows.join(width.select(quote(x), "low", "high"), x), [x], n)
+    step = (F.col("high") - F.col("low") + 6 * F.col("h")) / (n - 1)
+    grid = width.select(quote(x), "m", "h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), (F.col("low") - 3 * F.col("h")).alias("a"), step.alias("step"))
+    grid = grid.select(quote(x), "m", "h", "i", (F.col("a") + F.col("i") * F.col("step")).alias("at"))
+    found = _kernel_sums(points, grid, [x])
+    share = F.try_divide(F.col("density"), F.max("density").over(Window.partitionBy(quote(x))))
+    return frame._new(found.select(quote(x), F.col("at").alias(y), "density", share.alias("ndensity"), (F.col("density") * F.col("m")).alias("count"), share.alias("violinwidth")), ())
+
+
+def stat_density_ridges(frame: Frame, x: str, y: str, bandwidth: float | None = None, n: int = 512, from_: float | None = None, to: float | None = None, exact: bool = False) -> Frame:
+    """Densities of x for each y on one grid, with one bandwidth: the mean of the groups' own."""
+    own = _group_bandwidths(frame, x, [y])
+    low, high, mean = own.agg(F.min("low"), F.max("high"), F.avg("h")).first()
+    h = float(mean if bandwidth is None else bandwidth)
+    a, b = (low - 3 * h if from_ is None else from_), (high + 3 * h if to is None else to)
+    rows = frame.df.where(F.col(quote(x)).isNotNull()).select(quote(y), F.col(quote(x)).cast("double").alias("v"))
+    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(rows.join(own.select(quote(y), "low", "high"), y), [y], n)
+    grid = own.select(quote(y), "m", F.lit(h).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    grid = grid.withColumn("at", F.lit(float(a)) + F.col("i") * F.lit((b - a) / (n - 1)))
+    return frame._new(_kernel_sums(points, grid, [y]).select(quote(y), F.col("at").alias(x), "density"), ())
+
+
 def stat_unique(frame: Frame) -> Frame:
     return frame.distinct()
 
@@ -264,4 +343,4 @@ def facet_grid(frame: Frame, row: str, column: str) -> Frame:
     """Rows with the panel's number in the grid of all row and column values."""
     grid: DataFrame = frame.df.select(quote(row)).distinct().crossJoin(frame.df.select(quote(column)).distinct())
     numbered = grid.withColumn("panel", F.row_number().over(Window.orderBy(quote(row), quote(column))))
-    return frame._new(frame.df.join(numbered, [row, column]))
+    return frame._new(frame.df.join(F.broadcast(numbered) if numbered.count() <= 10_000 else numbered, [row, column]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import platform
 from dataclasses import dataclass
 
@@ -87,6 +88,22 @@ def format_signif(value: float, digits: int = 4) -> str:
     return f"{value:.{digits}g}"
 
 
+def format_signif_jointly(columns: list[list[float | None]], digits: int = 4) -> list[list[str]]:
+    """Columns with one number of decimals, with which the smallest number but 0 has ``digits`` digits; at least one."""
+    sizes = [abs(v) for column in columns for v in column if v is not None and math.isfinite(v) and v != 0 and 1e-5 <= abs(v) < 1e15]
+    places = min(max(1, digits - 1 - math.floor(math.log10(min(sizes)))), 15) if sizes else 1
+    show = lambda v: "" if v is None else "NaN" if math.isnan(v) else ("Inf" if v > 0 else "-Inf") if math.isinf(v) else f"{v:.{places}f}" if v == 0 or abs(v) >= 1e-5 else format_signif(v, digits)
+    return [[show(v) for v in column] for column in columns]
+
+
+def cat(*args: object, sep: str = " ", end: str = "") -> str:
+    """Prints values next to each other, without quotes; lists are spread."""
+    parts = [str(v) for a in args for v in (a if isinstance(a, list | tuple) else [a])]
+    text = sep.join(parts) + end
+    print(text, end="" if end or text.endswith("\n") else "\n")
+    return text
+
+
 def format_pval(p: float, digits: int = 4, eps: float = 2.2e-16) -> str:
     return f"<{eps:.2g}" if p < eps else format_signif(p, digits)
 

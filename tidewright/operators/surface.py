@@ -9,7 +9,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import quote
+from ..functions.expr import Name, quote
 from .frame import NUMERIC, Frame, desc, order_columns
 
 
@@ -208,7 +208,109 @@ def to_dicts(self: Frame) -> list[dict[str, Any]]:
     return [r.asDict() for r in self.df.collect()]
 
 
+def join_asof(self: Frame, other: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, by: str | Sequence[str] = (), strategy: str = "backward", suffix: str = "_right") -> Frame:
+    """Each left row with the last right row at or before it, the next at or behind it, or the nearest; right columns of equal name take the suffix."""
+    from . import joins
+
+    a, b = left_on or on, right_on or on
+    keys = [by] if isinstance(by, str) else list(by)
+    clash = {c: f"{c}{suffix}" for c in other.columns if c in self.columns and c not in keys}
+    right = other.rename(clash) if clash else other
+    b = clash.get(b, b)
+    op = {"backward": ">=", "forward": "<=", "nearest": "=="}[strategy]
+    left, near = Name(a), Name(b)
+    spec = joins.join_by(*keys, joins.closest({">=": left >= near, "<=": left <= near, "==": left == near}[op]))
+    out = joins.left_join(self, right, spec)
+    return out.drop(b) if on else out
+
+
+def join_where(self: Frame, other: Frame, *predicates: Any, suffix: str = "_right") -> Frame:
+    """Pairs of rows for which comparisons of a left with a right column hold; equalities become the join's keys."""
+    from . import joins
+
+    clash = {c: f"{c}{suffix}" for c in other.columns if c in self.columns}
+    return joins.inner_join(self, other.rename(clash) if clash else other, joins.join_by(*predicates), keep=True)
+
+
+def transpose(self: Frame, names: str) -> Frame:
+    """Columns as rows: one for each column but ``names``, whose values name the new columns; at most 1000."""
+    labels = [str(r[0]) for r in self.df.select(quote(names)).limit(1001).collect()]
+    if len(labels) > 1000 or len(set(labels)) < len(labels):
+        raise ValueError("transpose needs at most 1000 different names")
+    rest = [c for c in self.columns if c != names]
+    long = self.df.select(F.col(quote(names)).cast("string").alias("__n"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(quote(c)).cast("double").alias("v")) for i, c in enumerate(rest)])).alias("c"))
+    out = long.groupBy("c.i", "c.column").agg(*[F.max(F.when(F.col("__n") == n, F.col("c.v"))).alias(n) for n in labels])
+    return self._new(out.orderBy("i").drop("i"), ())
+
+
+def map_rows(self: Frame, function: Any, schema: str) -> Frame:
+    """A callable over tuples, called in Arrow batches."""
+    import pandas as pd
+
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def over(batches):
+        for pdf in batches:
+            made = [function(tuple(row)) for row in pdf.itertuples(index=False)]
+            yield pd.DataFrame([m if isinstance(m, tuple) else (m,) for m in made], columns=names)
+
+    return self._new(self.df.mapInPandas(over, schema), ())
+
+
+def map_columns(self: Frame, columns: Sequence[str], function: Any) -> Frame:
+    """An expression maker over each of the columns."""
+    return self.mutate(**{c: function(c) for c in columns})
+
+
+def concat(frames: Sequence[Frame], how: str = "vertical") -> Frame:
+    """Rows below each other (vertical, vertical_relaxed, diagonal), or columns side by side by place (horizontal)."""
+    from . import reshape
+
+    if how == "horizontal":
+        return reshape.cbind(*frames)
+    return reshape.rbind(*frames, relaxed=how.startswith("diagonal"))
+
+
+def align_frames(*frames: Frame, on: str | Sequence[str]) -> list[Frame]:
+    """Frames with the same keys in the same order: all that any of them has, nulls where a frame has none."""
+    keys = [on] if isinstance(on, str) else list(on)
+    every = frames[0].df.select(*map(quote, keys))
+    for f in frames[1:]:
+        every = every.union(f.df.select(*map(quote, keys)))
+    every = every.distinct()
+    return [f._new(every.join(f.df, keys, "left").select(*map(quote, f.columns)), [(k, False) for k in keys]).arrange(*keys) for f in frames]
+
+
+def concat_str(*values: Any, separator: str = "") -> Any:
+    from ..functions.strings import str_c
+
+    return str_c(*values, sep=separator)
+
+
+class When:
+    """when(test).then(value), more of them, and otherwise(value)."""
+
+    def __init__(self, pairs: tuple = (), test: Any = None):
+        self.pairs, self.test = pairs, test
+
+    def then(self, value: Any) -> When:
+        return When((*self.pairs, (self.test, value)))
+
+    def when(self, test: Any) -> When:
+        return When(self.pairs, test)
+
+    def otherwise(self, value: Any) -> Any:
+        from ..functions.conditionals import case_when
+
+        return case_when(*self.pairs, default=value)
+
+
+def when(test: Any) -> When:
+    return When((), test)
+
+
 METHODS = {
+    "join_asof": join_asof, "join_where": join_where, "transpose": transpose, "map_rows": map_rows, "map_columns": map_columns, "hstack": lambda self, other: concat([self, other], "horizontal"),
     "with_columns": lambda self, *a, **k: _parallel(self, [*((x.name, x) for x in a), *k.items()]), "sort": sort, "unique": unique, "cast": cast, "fill_null": fill_null, "fill_nan": fill_nan,
     "drop_nans": drop_nans, "interpolate": interpolate, "shift": shift, "gather_every": gather_every, "reverse": reverse, "slice": slice_, "top_k": top_k, "bottom_k": bottom_k, "quantile": quantile,
     "explode": explode, "unnest": unnest, "unpivot": unpivot, "partition_by": partition_by, "extend": extend, "vstack": extend, "equals": equals, "insert_column": insert_column, "cache": persist,

@@ -505,10 +505,9 @@ def count_layer(t):
     return layers.stat_count(t.orders, "o_orderpriority")
 
 
-@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) / count(*) OVER (PARTITION BY p_brand) AS ecdf FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, p_retailprice) AS same FROM part) WHERE same = 1")
+@query("SELECT p_retailprice, row_number() OVER (ORDER BY p_retailprice) / count(*) OVER () AS ecdf FROM part")
 def ecdf(t):
-    f = Frame(t.part.df.withColumn("same", F.count("*").over(Window.partitionBy("p_brand", "p_retailprice"))))
-    return layers.stat_ecdf(f.filter(col("same") == 1), "p_retailprice", ["p_brand"]).select("p_partkey", "ecdf")
+    return layers.stat_ecdf(t.part, "p_retailprice").select("p_retailprice", "ecdf")
 
 
 @query("SELECT p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) / count(*) OVER (PARTITION BY p_brand) AS ecdf FROM part")
@@ -651,9 +650,9 @@ def updated(t):
     return r.update(t.customer.select("c_custkey", "c_acctbal"), zero, "c_custkey")
 
 
-@query("SELECT o.o_orderkey, c.c_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey % 10 = 0) o JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) c USING (i)")
+@query("SELECT o.o_orderkey, c.c_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) o JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) c USING (i)")
 def bind_columns(t):
-    return r.cbind(t.orders.filter(col("o_orderkey") % 10 == 0).select("o_orderkey"), t.customer.select("c_custkey"))
+    return r.cbind(t.orders.select("o_orderkey"), t.customer.select("c_custkey"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")

@@ -112,6 +112,87 @@ def read_excel(spark: SparkSession, path: str, **options: Any) -> Frame:
     return Frame(spark.createDataFrame(pd.read_excel(path, **options)))
 
 
+def read_ods(spark: SparkSession, path: str, **options: Any) -> Frame:
+    return read_excel(spark, path, engine="odf", **options)
+
+
+def read_csv_batched(spark: SparkSession, source: str, batch_size: int = 50_000, **options: Any):
+    """An iterator of Arrow tables of at most so many rows each, one partition after the other."""
+    import pyarrow as pa
+
+    rows, schema = [], None
+    frame = read_csv(spark, source, **options)
+    schema = frame.columns
+    for row in frame.df.toLocalIterator():
+        rows.append(row)
+        if len(rows) == batch_size:
+            yield pa.table({c: [r[i] for r in rows] for i, c in enumerate(schema)})
+            rows = []
+    if rows:
+        yield pa.table({c: [r[i] for r in rows] for i, c in enumerate(schema)})
+
+
+def read_parquet_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    """What each column of the schema carries: its comment and its other metadata, as text."""
+    return {f.name: json.dumps(f.metadata, sort_keys=True) for f in spark.read.parquet(path).schema.fields}
+
+
+def read_ipc_stream(spark: SparkSession, path: str) -> Frame:
+    """An Arrow stream that the driver can hold."""
+    import pyarrow as pa
+
+    with pa.memory_map(path) as source:
+        return Frame(spark.createDataFrame(pa.ipc.open_stream(source).read_all()))
+
+
+def read_ipc_schema(path: str) -> dict[str, str]:
+    import pyarrow as pa
+
+    with pa.memory_map(path) as source:
+        return {f.name: str(f.type) for f in pa.ipc.open_file(source).schema}
+
+
+def scan_pyarrow_dataset(spark: SparkSession, dataset: Any) -> Frame:
+    """The files of a dataset, read by Spark; partition columns are found from the paths."""
+    kind = dataset.format.default_extname
+    return read_format(spark, {"feather": "arrow"}.get(kind, kind)) if not dataset.files else Frame(spark.read.format(kind).load(list(dataset.files)))
+
+
+def scan_iceberg(spark: SparkSession, table: str, **options: Any) -> Frame:
+    return read_format(spark, "iceberg", table, **options)
+
+
+def read_database_uri(spark: SparkSession, query: str, uri: str, **options: Any) -> Frame:
+    return read_database(spark, uri, query, **options)
+
+
+def json_normalize(spark: SparkSession, data: Sequence[dict[str, Any]], separator: str = ".") -> Frame:
+    """Nested dictionaries as flat columns."""
+
+    def flat(d: dict[str, Any], head: str = "") -> dict[str, Any]:
+        out: dict[str, Any] = {}
+        for key, value in d.items():
+            out |= flat(value, f"{head}{key}{separator}") if isinstance(value, dict) else {f"{head}{key}": value}
+        return out
+
+    rows = [flat(d) for d in data]
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    return Frame(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], names))
+
+
+def from_dataframe(spark: SparkSession, data: Any) -> Frame:
+    """Any table that offers itself as Arrow, or as pandas."""
+    import pyarrow as pa
+
+    if hasattr(data, "__arrow_c_stream__"):
+        return from_arrow(spark, pa.table(data))
+    return from_pandas(spark, data.to_pandas() if hasattr(data, "to_pandas") else data)
+
+
+# scans are lazy, as all reading is
+scan_csv, scan_parquet, scan_ndjson, scan_lines, scan_ipc, scan_delta = read_csv, read_parquet, read_ndjson, read_lines, read_ipc, read_delta
+
+
 def from_dict(spark: SparkSession, data: dict[str, Sequence[Any]], schema: Any = None) -> Frame:
     rows = list(zip(*data.values(), strict=True))
     return Frame(spark.createDataFrame(rows, schema or list(data)))
@@ -186,6 +267,50 @@ def write_format(frame: Frame, kind: str, path: str, mode: str = "errorifexists"
     frame.df.write.format(kind).mode(mode).options(**options).save(path)
 
 
+def write_json(frame: Frame, path: str) -> None:
+    """One JSON array, of a frame that the driver can hold."""
+    from pathlib import Path
+
+    Path(path).write_text("[" + ",".join(frame.df.toJSON().collect()) + "]")
+
+
+def write_avro(frame: Frame, path: str, mode: str = "errorifexists") -> None:
+    write_format(frame, "avro", path, mode)
+
+
+def write_delta(frame: Frame, path: str, mode: str = "errorifexists", **options: Any) -> None:
+    write_format(frame, "delta", path, mode, **options)
+
+
+def write_iceberg(frame: Frame, table: str, mode: str = "errorifexists", **options: Any) -> None:
+    write_format(frame, "iceberg", table, mode, **options)
+
+
+def write_ipc(frame: Frame, path: str) -> None:
+    """An Arrow file, of a frame that the driver can hold."""
+    import pyarrow as pa
+
+    table = frame.df.toArrow()
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema) as writer:
+        writer.write_table(table)
+
+
+def write_ipc_stream(frame: Frame, path: str) -> None:
+    import pyarrow as pa
+
+    table = frame.df.toArrow()
+    with pa.OSFile(path, "wb") as sink, pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+
+
+def write_excel(frame: Frame, path: str, **options: Any) -> None:
+    frame.df.toPandas().to_excel(path, index=False, **options)
+
+
+# sinks write where the rows are, as all writing does
+sink_parquet, sink_csv, sink_ndjson, sink_delta, sink_iceberg, sink_ipc = write_parquet, write_csv, write_ndjson, write_delta, write_iceberg, write_ipc
+
+
 def write_database(frame: Frame, url: str, table: str, mode: str = "errorifexists", **options: Any) -> None:
     frame.df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, **options).save()
 
