@@ -22,6 +22,8 @@ class JoinSpec:
     equal: list[tuple[str, str]] = field(default_factory=list)
     theta: list[tuple[str, str, str]] = field(default_factory=list)  # left, op, right
     rolling: tuple[str, str, str] | None = None
+    #: columns (x low, x high, y low, y high) of intervals that have to meet
+    interval: tuple[str, str, str, str] | None = None
 
 
 class Closest:
@@ -35,19 +37,23 @@ def closest(condition: Comparison) -> Closest:
 
 
 class Thetas(list):
-    pass
+    """Comparisons of an interval (or point) on the left with one on the right, which meet wherever they hold."""
+
+    def __init__(self, pairs: list, interval: tuple[str, str, str, str]):
+        super().__init__(pairs)
+        self.interval = interval
 
 
 def overlaps(x_lower: str, x_upper: str, y_lower: str, y_upper: str) -> Thetas:
-    return Thetas([(x_lower, "<=", y_upper), (x_upper, ">=", y_lower)])
+    return Thetas([(x_lower, "<=", y_upper), (x_upper, ">=", y_lower)], (x_lower, x_upper, y_lower, y_upper))
 
 
 def within(x_lower: str, x_upper: str, y_lower: str, y_upper: str) -> Thetas:
-    return Thetas([(x_lower, ">=", y_lower), (x_upper, "<=", y_upper)])
+    return Thetas([(x_lower, ">=", y_lower), (x_upper, "<=", y_upper)], (x_lower, x_upper, y_lower, y_upper))
 
 
 def join_between(x: str, y_lower: str, y_upper: str) -> Thetas:
-    return Thetas([(x, ">=", y_lower), (x, "<=", y_upper)])
+    return Thetas([(x, ">=", y_lower), (x, "<=", y_upper)], (x, x, y_lower, y_upper))
 
 
 def _sides(c: Comparison) -> tuple[str, str, str]:
@@ -64,6 +70,7 @@ def join_by(*args: Any) -> JoinSpec:
             spec.equal.append((a, a))
         elif isinstance(a, Thetas):
             spec.theta += a
+            spec.interval = spec.interval or a.interval
         elif isinstance(a, Closest):
             if spec.rolling:
                 raise ValueError("only one closest() in a join")
@@ -127,6 +134,29 @@ def _renamed(left: Frame, right: Frame, keys: Sequence[tuple[str, str]], suffix:
 _OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
+def _bucket_width(l: DataFrame, r: DataFrame, interval: tuple[str, str, str, str]) -> float | None:  # noqa: E741
+    """The mean length of both sides' intervals, or a thousandth of the longest, for numbers; None for others, which are compared in a nested loop."""
+    x0, x1, y0, y1 = interval
+    if not all(isinstance(d.schema[c].dataType, (*_INTEGERS, T.FloatType, T.DoubleType)) for d, c in ((l, x0), (l, x1), (r, y0), (r, y1))):
+        return None
+    mean, longest, reach = 0.0, 0.0, 0.0
+    for d, a, b in ((l, x0, x1), (r, y0, y1)):
+        size = F.abs(F.col(quote(b)).cast("double") - F.col(quote(a)).cast("double"))
+        m, most, low, high = d.agg(F.avg(size), F.max(size), F.min(F.col(quote(a)).cast("double")), F.max(F.col(quote(b)).cast("double"))).first()
+        mean, longest, reach = max(mean, m or 0.0), max(longest, most or 0.0), max(reach, (high or 0.0) - (low or 0.0))
+    width = max(mean, longest / 1000, reach / 1e12)
+    return width if 0 < width < float("inf") else None
+
+
+def _bucketed(df: DataFrame, low: str, high: str, width: float, name: str) -> tuple[DataFrame, Column]:
+    """A row for each bucket that an interval touches, and the first of them; rows with a null or NaN end meet nothing."""
+    a, b = F.col(quote(low)).cast("double"), F.col(quote(high)).cast("double")
+    first, last = F.floor(F.least(a, b) / width), F.floor(F.greatest(a, b) / width)
+    known = df.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
+    out = known.withColumn(name + "0", first).withColumn(name, F.explode(F.sequence(first, last)))
+    return out, F.col(name + "0")
+
+
 def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str], keep: bool, na_matches: str) -> Frame:
     if na_matches not in ("na", "never") or len(suffix) != 2:
         raise ValueError("na_matches is 'na' or 'never', and suffix has two parts")
@@ -138,6 +168,11 @@ def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str],
     l, r = left.df.alias("l"), right.df.alias("r")  # noqa: E741
     l, r = l.select(*[F.col(f"l.{quote(c)}").alias(c) for c in left.columns]), r.select(*[F.col(f"r.{quote(c)}").alias(c) for c in right.columns])  # noqa: E741
     condition = F.lit(True)
+    if spec.interval and how == "inner" and not spec.equal and (width := _bucket_width(l, r, spec.interval)):
+        x0, x1, y0, y1 = spec.interval
+        l, first_x = _bucketed(l, x0, x1, width, "__bx")  # noqa: E741
+        r, first_y = _bucketed(r, y0, y1, width, "__by")
+        condition = (F.col("__bx") == F.col("__by")) & (F.col("__bx") == F.greatest(first_x, first_y))
     for a, b in spec.equal:
         x, y = _aligned(l, r, a, b)
         condition = condition & (x.eqNullSafe(y) if na_matches == "na" else x == y)
