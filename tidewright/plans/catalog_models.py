@@ -10,6 +10,7 @@ from ..functions import vectors as v
 from ..functions.expr import col, lit
 from ..models import generics, htest, selection
 from ..models.linear import glm, lm, poisson
+from ..operators import build as b
 from ..operators import joins as j
 from ..operators import layers, summary, surface
 from ..operators import reshape as r
@@ -171,10 +172,10 @@ def binomial_exact(t):
 
 
 # ---------------------------------------------------------------- layers
-@query("""WITH g AS (SELECT i, CAST(900 + i * 12 AS DOUBLE) AS x FROM range(0, 101) g(i)), p AS (SELECT p_retailprice AS v FROM part)
-          SELECT x, round(1e6 * avg(exp(-pow((x - v) / 80.0, 2) / 2)) / (80 * sqrt(2 * pi())), 4) AS density FROM g, p GROUP BY x""")
+@query("""WITH g AS (SELECT i, CAST(900 + i AS DOUBLE) AS x FROM range(0, 101) g(i)), p AS (SELECT p_retailprice AS v FROM part)
+          SELECT x, round(1e6 * avg(exp(-pow((x - v) / 8.0, 2) / 2)) / (8 * sqrt(2 * pi())), 4) AS density FROM g, p GROUP BY x""")
 def kernel_density(t):
-    f = layers.density(t.part, "p_retailprice", bw=80.0, n=101, from_=900.0, to=2100.0, exact=True)
+    f = layers.density(t.part, "p_retailprice", bw=8.0, n=101, from_=900.0, to=1000.0, exact=True)
     return f.df.select(F.round("x", 6).alias("x"), F.round(F.col("density") * 1e6, 4).alias("density"))
 
 
@@ -339,3 +340,51 @@ def mapped_columns(t):
 @query("SELECT l_linenumber, l_returnflag, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY ROLLUP (l_linenumber, l_returnflag)")
 def rolled_up(t):
     return r.rollup(t.lineitem, ["l_linenumber", "l_returnflag"], q=st.sum_("l_quantity"))
+
+
+# ---------------------------------------------------------------- built layers
+@query("""SELECT dense_rank() OVER (ORDER BY c_mktsegment) AS "PANEL", k AS x, n AS count, n / sum(n) OVER (PARTITION BY c_mktsegment) AS y FROM (SELECT c_mktsegment, c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL)""")
+def built_counts(t):
+    plot = b.ggplot(t.customer, b.aes("c_nationkey", y=b.after_stat("prop"))).facet("c_mktsegment").add(b.Layer("count"))
+    return b.build(plot).layers[0].select("PANEL", "x", "count", "y")
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL) SELECT p AS x, s AS fill, sum(n) OVER w / sum(n) OVER (PARTITION BY p) AS ymax, (sum(n) OVER w - n) / sum(n) OVER (PARTITION BY p) AS ymin FROM c WINDOW w AS (PARTITION BY p ORDER BY s DESC)""")
+def built_shares(t):
+    plot = b.ggplot(t.orders, x="o_orderpriority", fill="o_orderstatus").add(b.Layer("count", "fill"))
+    return b.build(plot).layers[0].select("x", "fill", "ymax", "ymin")
+
+
+@query("""WITH p AS (SELECT p_brand AS f, log10(p_retailprice) AS y FROM part WHERE p_retailprice BETWEEN 910 AND 980), q AS (SELECT f, quantile_cont(y, 0.25) AS lower, quantile_cont(y, 0.5) AS middle, quantile_cont(y, 0.75) AS upper FROM p GROUP BY 1)
+          SELECT f AS fill, round(lower, 6) AS lower, round(middle, 6) AS middle, round(upper, 6) AS upper FROM q""")
+def built_boxes_on_a_log_scale(t):
+    plot = b.ggplot(t.part, y="p_retailprice", fill="p_brand").scale("y", "log10", (910, 980)).add(b.Layer("boxplot"))
+    return b.build(plot).layers[0].df.select("fill", *[F.round(c, 6).alias(c) for c in ("lower", "middle", "upper")])
+
+
+@query("""WITH c AS (SELECT l_returnflag AS f, l_linestatus AS s, least(greatest(ceil(l_quantity / 5) - 1, 0), 9) AS b FROM lineitem), g AS (SELECT DISTINCT f, s FROM c), n AS (SELECT f, s, b, count(*) AS n FROM c GROUP BY ALL)
+          SELECT g.f AS fill, g.s AS colour, CAST(5 * k + 2.5 AS DOUBLE) AS x, coalesce(n, 0) AS y, coalesce(n, 0) * 2 AS twice FROM g CROSS JOIN range(0, 10) r(k) LEFT JOIN n ON n.f = g.f AND n.s = g.s AND n.b = k""")
+def built_histogram(t):
+    layer = b.Layer("bin", mapping=b.aes(twice=b.after_scale(col("y") * 2)), params={"breaks": [5.0 * i for i in range(11)]})
+    out = b.build(b.ggplot(t.lineitem, x="l_quantity", fill="l_returnflag", colour="l_linestatus").add(layer)).layers[0].df
+    return out.select("fill", "colour", F.col("x").cast("decimal(5,1)").cast("double").alias("x"), "y", "twice")
+
+
+@query("""SELECT dense_rank() OVER (ORDER BY n_regionkey) AS "PANEL", 'x' AS aesthetic, min(n_nationkey)::DOUBLE AS low, max(n_nationkey)::DOUBLE AS high FROM nation GROUP BY n_regionkey
+          UNION ALL SELECT dense_rank() OVER (ORDER BY n_regionkey), 'y', min(least(n_regionkey, n_nationkey))::DOUBLE, max(greatest(n_regionkey, n_nationkey))::DOUBLE FROM nation GROUP BY n_regionkey""")
+def built_ranges(t):
+    plot = b.ggplot(t.nation, x="n_nationkey", y="n_regionkey").facet("n_regionkey").add(b.Layer()).add(b.Layer(mapping=b.aes(y="n_nationkey")))
+    return b.build(plot).ranges
+
+
+@query("SELECT l_returnflag AS colour, l_linenumber AS x, round(avg(l_quantity), 6) AS y, round(avg(l_quantity) + stddev_samp(l_quantity) / sqrt(count(*)), 6) AS ymax FROM lineitem GROUP BY ALL")
+def built_summary(t):
+    out = b.build(b.ggplot(t.lineitem, b.aes("l_linenumber", "l_quantity", colour="l_returnflag")).add(b.Layer("summary"))).layers[0].df
+    return out.select("colour", "x", F.round("y", 6).alias("y"), F.round("ymax", 6).alias("ymax"))
+
+
+@query("SELECT round(count(*) / 1000.0, 1)::DOUBLE AS rows, 3 AS groups FROM range(0, 192) g(i)")
+def built_densities(t):
+    """Densities of three groups on one grid of 64 places."""
+    out = b.build(b.ggplot(t.lineitem, x="l_extendedprice", fill="l_returnflag").add(b.Layer("density", params={"n": 64}))).layers[0].df
+    return out.agg(F.round(F.count("*") / 1000, 1).alias("rows"), F.countDistinct("fill").cast("int").alias("groups"))
