@@ -139,3 +139,51 @@ def test_generics(data):
     assert g.model_matrix("~ x + g", data[0]).columns == ["(Intercept)", "x", "gb", "gc"] and g.model_matrix(m).columns == ["(Intercept)", "x", "z"]
     assert g.resid(m).df.agg({"`.resid`": "sum"}).first()[0] == pytest.approx(0, abs=1e-7) and g.hatvalues(m).df.agg({"`.hat`": "sum"}).first()[0] == pytest.approx(3)
     assert g.glance(m)["r_squared"] == m.r_squared and len(g.residual_summary(m)) == 5 and g.dfbetas(m).columns == m.names
+
+
+def test_mixed_model_equals_the_marginal_likelihood(spark):
+    """Correlated slopes: the criterion is that of the normal with covariance Z S Z' + s^2 I, and no covariance nearby is better."""
+    from tidewright.models import generics
+    from tidewright.models.mixed import anova_lme, lme
+
+    rng = np.random.default_rng(3)
+    g = np.repeat(np.arange(12), rng.integers(5, 15, 12))
+    x = rng.normal(size=len(g))
+    u = rng.multivariate_normal([0, 0], [[4.0, 1.2], [1.2, 1.0]], 12)
+    y = 2 + 3 * x + u[g, 0] + u[g, 1] * x + rng.normal(size=len(g))
+    frame = Frame(spark.createDataFrame([(f"g{a}", float(b), float(c)) for a, b, c in zip(g, x, y, strict=True)] + [(None, 1.0, 1.0), ("g1", None, 1.0)], "g string, x double, y double"))
+
+    design = np.column_stack([np.ones(len(x)), x])
+
+    def criterion(m, theta):
+        """By the dense covariance of each group."""
+        factor, logdet, cross = m.factor(np.asarray(theta)), 0.0, np.zeros((3, 3))
+        for k in range(12):
+            z, both = design[g == k], np.column_stack([design, y])[g == k]
+            v = z @ factor @ factor.T @ z.T + np.eye(len(z))
+            logdet += np.linalg.slogdet(v)[1]
+            cross += both.T @ np.linalg.solve(v, both)
+        info, beta = cross[:2, :2], np.linalg.solve(cross[:2, :2], cross[:2, 2])
+        k = len(y) - 2 if m.REML else len(y)
+        rss = cross[2, 2] - cross[:2, 2] @ beta
+        return logdet + k * (1 + np.log(2 * np.pi * rss / k)) + (np.linalg.slogdet(info)[1] if m.REML else 0), beta
+
+    m = lme("y ~ x + (x | g)", frame, REML=False)
+    assert (m.n, m.n_groups) == (len(y), 12)
+    value, _ = criterion(m, m.theta)
+    assert all(criterion(m, m.theta + rng.normal(size=3) * s)[0] >= value - 1e-6 for s in (0.01, 0.1, 0.5) for _ in range(20))
+    for fit in (m, lme("y ~ x + (x | g)", frame, theta=[1.5, 0.3, 0.8])):
+        value, beta = criterion(fit, fit.theta)
+        assert np.isclose(fit.criterion, value) and np.allclose(list(generics.fixef(fit).values()), beta)
+    effects = generics.ranef(m).df.toPandas().set_index("group")
+    factor = m.factor(m.theta)
+    for k in range(12):
+        z = np.column_stack([np.ones((g == k).sum()), x[g == k]])
+        own = factor @ factor.T @ z.T @ np.linalg.solve(z @ factor @ factor.T @ z.T + np.eye(len(z)), y[g == k] - z @ m.beta)
+        assert np.allclose(effects.loc[f"g{k}"].to_numpy(dtype=float), own)
+    table = anova_lme(lme("y ~ x + (1 | g)", frame, REML=False, theta=[2.0]), m)
+    assert table[1]["df"] == 2 and table[1]["p_value"] < 0.05
+    free = lme("y ~ x + (x || g)", frame, theta=[1.0, 0.5])
+    assert len(free.theta) == 2 and free.covariance[0, 1] == 0
+    with pytest.raises(NotImplementedError):
+        lme("y ~ x + (1 | g) + (1 | x)", frame)

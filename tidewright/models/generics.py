@@ -19,6 +19,16 @@ def coef(model: lm) -> dict[str, float]:
 coefficients = coef
 
 
+def fixef(model) -> dict[str, float]:
+    """Fixed effects of a mixed model."""
+    return model.fixef()
+
+
+def ranef(model) -> Frame:
+    """Random effects of a mixed model, a row for each group."""
+    return model.ranef()
+
+
 def resid(model: lm, type: str | None = None) -> Frame:  # noqa: A002
     """The model's rows with a column ``.resid`` of the type (deviance for glm, response for lm)."""
     kind = type or ("deviance" if isinstance(model, glm) else "response")

@@ -10,6 +10,7 @@ from ..functions import vectors as v
 from ..functions.expr import col, lit
 from ..models import generics, htest, selection
 from ..models.linear import glm, lm, poisson
+from ..models.mixed import lme
 from ..operators import build as b
 from ..operators import joins as j
 from ..operators import layers, summary, surface
@@ -388,3 +389,38 @@ def built_densities(t):
     """Densities of three groups on one grid of 64 places."""
     out = b.build(b.ggplot(t.lineitem, x="l_extendedprice", fill="l_returnflag").add(b.Layer("density", params={"n": 64}))).layers[0].df
     return out.agg(F.round(F.count("*") / 1000, 1).alias("rows"), F.countDistinct("fill").cast("int").alias("groups"))
+
+
+# ---------------------------------------------------------------- mixed models
+#: balanced groups, where the REML estimates are those of the analysis of variance
+_BALANCED = """d AS (SELECT p_partkey % 10 AS g, p_size + 3.0 * (p_partkey % 10) AS y FROM part), g AS (SELECT g, avg(y) AS m, count(*)::DOUBLE AS n, var_samp(y) AS v FROM d GROUP BY g),
+                  s AS (SELECT avg(v) AS mse, any_value(n) AS n, any_value(n) * var_samp(m) AS msb, avg(m) AS mean, count(*)::DOUBLE AS k FROM g)"""
+
+
+def _balanced(t):
+    return t.part.select(g=col("p_partkey") % 10, y=col("p_size") + 3.0 * (col("p_partkey") % 10))
+
+
+@query(f"WITH {_BALANCED} SELECT round(mean, 4) AS mean, round(sqrt(msb / (n * k)), 4) AS se, round(sqrt(mse), 4) AS sigma, round(sqrt((msb - mse) / n), 4) AS sd FROM s")
+def mixed_intercepts(t):
+    m = lme("y ~ 1 + (1 | g)", _balanced(t))
+    row = m.coef_table()[0]
+    return _one(t, mean=round(row["estimate"], 4), se=round(row["std_error"], 4), sigma=round(m.sigma, 4), sd=round(m.sd["(Intercept)"], 4))
+
+
+@query(f'WITH {_BALANCED} SELECT g AS "group", round((m - mean) * (msb - mse) / msb, 4) AS effect FROM g, s')
+def random_effects(t):
+    out = generics.ranef(lme("y ~ 1 + (1 | g)", _balanced(t))).df
+    return out.select("group", F.round("`(Intercept)`", 4).alias("effect"))
+
+
+@query(f"""WITH {_BALANCED}, e AS (SELECT count(*)::DOUBLE AS t, var_pop(y) * count(*) AS ss FROM d)
+           SELECT round(t * (ln(2 * pi() * ss / t) + 1), 2) AS plain, 3.0::DOUBLE AS npar,
+                  round(t * (ln(2 * pi()) + 1) + (t - k) * ln(mse) + k * ln(msb * (k - 1) / k), 2) AS deviance FROM e, s""")
+def mixed_likelihoods(t):
+    """By ML the between-group mean square has k, not k - 1, below it."""
+    from ..models.mixed import anova_lme
+
+    rows = anova_lme(lme("y ~ 1 + (1 | g)", _balanced(t)))
+    plain = lm("y ~ 1", _balanced(t))
+    return _one(t, plain=round(-2 * plain.log_likelihood(), 2), npar=rows[0]["npar"], deviance=round(rows[0]["deviance"], 2))
