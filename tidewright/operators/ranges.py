@@ -8,10 +8,13 @@ and every later branch sees the same.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.shared import cut
 
@@ -41,11 +44,29 @@ def row_numbers(df: DataFrame, name: str, *order: Column) -> DataFrame:
 
 
 def running_sums(df: DataFrame, columns: Sequence[str], *order: Column) -> DataFrame:
-    """df with ``__before_<c>``: the sum of column c over all rows strictly before in the order."""
+    """df with ``__before_<c>``: the sum of column c over all rows strictly before in the order.
+
+    A partition is one sorted run, so its own sums are taken batch by batch as
+    it is read; nothing is shuffled again.
+    """
     rows = ranged(df, *order)
-    inside = Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [isinstance(df.schema[c].dataType, T.IntegralType) for c in columns]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"__s_{c}", T.LongType() if w else T.DoubleType()) for c, w in zip(columns, whole, strict=True)]])
+    names = schema.names
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = [0] * len(columns)
+        for batch in batches:
+            made = []
+            for k, c in enumerate(columns):
+                values = batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+                sums = np.cumsum(values, dtype=np.int64 if whole[k] else np.float64)
+                made.append(pa.array(np.concatenate(([0], sums[:-1])).astype(sums.dtype) + carried[k] if len(sums) else sums))
+                carried[k] += sums[-1] if len(sums) else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+
+    summed = rows.mapInArrow(over, schema)
     offsets = _offsets(rows, {f"__o_{c}": F.sum(F.col(f"`{c}`")) for c in columns})
-    summed = rows.select("*", *[F.coalesce(F.sum(F.col(f"`{c}`")).over(inside), F.lit(0)).alias(f"__s_{c}") for c in columns])
     joined = summed.join(offsets, F.col("__p") == F.col("__q"))
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"`__o_{c}`") + F.col(f"`__s_{c}`")).alias(f"__before_{c}") for c in columns])
 
