@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunk_dedup, decontamination, language, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
+from . import byte_bpe, chunk_dedup, decontamination, exact_dedup, language, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
@@ -75,6 +83,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 
@@ -165,6 +175,33 @@ _OP8_SQL = r"""
     SELECT doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(rest), x)) AS kept_sha256
     FROM b LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)"""
 
+
+
+def _op12_sql() -> str:
+    """Rounds as common table expressions; m holds a distance and, below it, the index, so that ties go to the lower one."""
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "p AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM v, range(4) t(part))",
+        "c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 256)",
+    ]
+    for r in range(5):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min(CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 256 + entry) AS m
+             FROM p JOIN c{r} USING (part) GROUP BY vec_id, part)""")
+        if r < 4:
+            steps.append(f"s{r} AS (SELECT part, m % 256 AS entry, unnest(x) AS x, unnest(range(len(x))) AS i FROM a{r})")
+            steps.append(f"n{r} AS (SELECT part, entry, list(f ORDER BY i) AS c FROM (SELECT part, entry, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS f FROM s{r} GROUP BY part, entry, i) GROUP BY part, entry)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (part, entry))")
+    steps.append("e AS (SELECT vec_id, string_agg(lpad(lower(to_hex(m % 256)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a4 GROUP BY vec_id)")
+    steps.append("h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id), h"
+
+
+_OP13_SQL = r"""
+    WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+         g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g"""
+
 ORACLE_SQL = {
     "op1_minhash_dedup": _OP1_SQL,
     "op2_quality": _OP2_SQL,
@@ -172,4 +209,6 @@ ORACLE_SQL = {
     "op4_url_filter": _OP4_SQL,
     "op8_suffix_dedup": _OP8_SQL,
     "op9_decontamination": _OP9_SQL,
+    "op12_vector_codes": _op12_sql(),
+    "op13_exact_dedup": _OP13_SQL,
 }
