@@ -189,15 +189,19 @@ _NONE = np.int32(np.iinfo(np.int32).max)
 
 
 class PairTable:
-    """Rank of the token that two tokens make, by open addressing over the key left * 2**32 + right."""
-
-    def __init__(self, rank: dict[bytes, int]):
-        found = {}
-        for token, k in rank.items():
-            for cut in range(1, len(token)):
-                a, b = rank.get(token[:cut]), rank.get(token[cut:])
-                if a is not None and b is not None:
-                    found[a << 32 | b] = k
+    """Rank of the token that two tokens make, by open addressing over the key left * 2**32 + right.
+
+    ``found`` has the ranks by key; by default all pairs of tokens that make one count.
+    """
+
+    def __init__(self, rank: dict[bytes, int], found: dict[int, int] | None = None):
+        if found is None:
+            found = {}
+            for token, k in rank.items():
+                for cut in range(1, len(token)):
+                    a, b = rank.get(token[:cut]), rank.get(token[cut:])
+                    if a is not None and b is not None:
+                        found[a << 32 | b] = k
         bits = max(10, (8 * len(found)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, -1, dtype=np.int64)
@@ -239,7 +243,16 @@ class Vocabulary:
     """Ranks of a tiktoken file; merging, and the bytes of every id with offsets."""
 
     def __init__(self, lines: bytes):
-        self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
+        rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
+        self.fill(rank, PairTable(rank))
+        # tokens that merging does not reach are still taken whole
+        self.unreached: dict[bytes, int] = {}
+        flat, until = self.merge(self.bytes, self.places[:-1], self.places[1:])
+        for k in np.flatnonzero(np.diff(until) > 1).tolist():
+            self.unreached[self.bytes[self.places[k] : self.places[k + 1]].tobytes()] = k
+
+    def fill(self, rank: dict[bytes, int], pairs: PairTable) -> None:
+        self.rank, self.pairs = rank, pairs
         size = max(self.rank.values()) + 1
         self.lengths = np.zeros(size, dtype=np.int64)
         for token, k in self.rank.items():
@@ -249,12 +262,6 @@ class Vocabulary:
         for token, k in self.rank.items():
             self.bytes[self.places[k] : self.places[k + 1]] = np.frombuffer(token, dtype=np.uint8)
         self.byte_ids = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.pairs = PairTable(self.rank)
-        # tokens that merging does not reach are still taken whole
-        self.unreached: dict[bytes, int] = {}
-        flat, until = self.merge(self.bytes, self.places[:-1], self.places[1:])
-        for k in np.flatnonzero(np.diff(until) > 1).tolist():
-            self.unreached[self.bytes[self.places[k] : self.places[k + 1]].tobytes()] = k
 
     def merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the slices, concatenated, and the offsets of each slice's ids.
