@@ -36,6 +36,8 @@ from .runtime import arrow_map, cut
 
 #: Pairs written out at once; a text of more goes to several rows.
 MOST_PAIRS = 1 << 22
+#: Bytes of text aligned at once, and of a row group of the table of links, for bounded memory.
+BLOCK_BYTES, _GROUP_BYTES = 1 << 18, 32 << 20
 #: Links of a group from which repeated ids are combined before pairs are made.
 _MANY = 64
 #: Different keys that a task holds while it counts, and keys of a shard.
@@ -311,7 +313,7 @@ def link_table(docs: DataFrame, first: bytes, second: bytes, folder: str, key: s
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers.of(*given.value)
         for batch in batches:
-            for begin, end, data, offs in tb.blocks(batch.column(2)):
+            for begin, end, data, offs in tb.blocks(batch.column(2), BLOCK_BYTES):
                 n = end - begin
                 x = align_block(both, data, offs, batch.column(2).slice(begin, n).to_pylist())
                 string, limits = group_strings(x, both.decimals)
@@ -349,7 +351,7 @@ def link_table(docs: DataFrame, first: bytes, second: bytes, folder: str, key: s
     kinds += [("split", "boolean"), ("a", "array<int>"), ("b", "array<int>"), ("times", "array<bigint>")]
     names = [c for c, _ in kinds]
     rows = docs.select(F.monotonically_increasing_id().alias("mark"), docs[key].alias("key"), docs[text].alias("text"))
-    arrow_map(rows, over, ", ".join(f"{c} {k}" for c, k in kinds)).write.option("compression", "zstd").parquet(folder)
+    arrow_map(rows, over, ", ".join(f"{c} {k}" for c, k in kinds)).write.option("compression", "zstd").option("parquet.block.size", _GROUP_BYTES).parquet(folder)
     return spark.read.parquet(folder)
 
 
