@@ -242,6 +242,16 @@ def design(formula: Formula, df: DataFrame, kinds: dict[str, str] | None = None,
             made = _poly(df, F.expr(sql_of(inner)).cast("double"), degree, known, text)
             cache[text] = Variable(text, [(f"{text}{i + 1}", c) for i, c in enumerate(made)])
             return cache[text]
+        elif name in ("bs", "ns"):
+            from .splines import arguments, formula_basis
+
+            (inner, *more), named = arguments(text)
+            needs.extend(variables(inner))
+            x = F.expr(sql_of(inner)).cast("double")
+            if text not in known:
+                known[text] = formula_basis(name, df, x, dict(zip(("df", "knots"), more, strict=False)) | named)
+            cache[text] = Variable(text, [(f"{text}{i + 1}", c) for i, c in enumerate(known[text].columns(x))])
+            return cache[text]
         elif name == "scale":
             needs.extend(variables(m[2]))
             x = F.expr(sql_of(m[2])).cast("double")

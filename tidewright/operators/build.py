@@ -142,11 +142,21 @@ def transform_positions(df: DataFrame, scales: dict[str, Scale]) -> DataFrame:
     return df
 
 
+def transform_made(df: DataFrame, scales: dict[str, Scale], before: list[str]) -> DataFrame:
+    """Positions that the statistic made, on their scale, where nothing was mapped to their axis before it."""
+    for name, scale in scales.items():
+        if name in ("x", "y") and scale.transform != "identity" and name not in before:
+            for c in (name, f"{name}min", f"{name}max", f"{name}end"):
+                if c in df.columns:
+                    df = df.withColumn(c, scale.forward(F.col(c).cast("double")))
+    return df
+
+
 def drop_missing(df: DataFrame) -> DataFrame:
-    """Rows with all of their positions; NaN is none."""
-    for c in ("x", "y"):
-        if c in df.columns:
-            df = df.where(F.col(c).isNotNull() & (~F.isnan(c) if isinstance(df.schema[c].dataType, T.FloatType | T.DoubleType) else F.lit(True)))
+    """Rows with all of their aesthetics; NaN is none."""
+    for c in df.columns:
+        if c not in ("PANEL", "group"):
+            df = df.where(F.col(quote(c)).isNotNull() & (~F.isnan(quote(c)) if isinstance(df.schema[c].dataType, T.FloatType | T.DoubleType) else F.lit(True)))
     return df
 
 
@@ -155,7 +165,7 @@ def _density(frame: Frame, keys: list[str], n: int = 512) -> Frame:
     own = stats._group_bandwidths(frame, "x", keys)
     low, high = frame.df.agg(F.min("x").cast("double"), F.max("x").cast("double")).first()
     rows = frame.df.select(*map(quote, keys), F.col("x").cast("double").alias("v"))
-    points = stats._spread(rows.join(own.select(*map(quote, keys), "low", "high"), keys), keys, n)
+    points = stats._spread(stats.join_groups(rows, own.select(*map(quote, keys), "low", "high"), keys), keys, n)
     grid = own.select(*map(quote, keys), "m", "h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("at", F.lit(low) + F.col("i") * F.lit((high - low) / (n - 1)))
     out = stats._kernel_sums(points, grid, keys)
     return Frame(out.select(*map(quote, keys), F.col("at").alias("x"), "density", (F.col("density") * F.col("m")).alias("count")))
@@ -233,7 +243,7 @@ def build_layer(plot: Plot, layer: Layer) -> Frame:
     if "y" not in out.columns and "y" not in later and layer.stat in DEFAULT_Y:
         later["y"] = col(DEFAULT_Y[layer.stat])
     out = out.mutate(**later) if later else out
-    out = Frame(place(out.df, layer.position, **placement))
+    out = Frame(place(transform_made(out.df, plot.scales, df.columns), layer.position, **placement))
     last = {k: v.expression for k, v in mapping.items() if isinstance(v, Deferred) and v.stage == "scale"}
     return out.mutate(**last) if last else out
 

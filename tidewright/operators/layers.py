@@ -14,6 +14,20 @@ from .frame import Frame
 from .ranges import quantiles, row_numbers
 
 
+#: Panels that are numbered in one task.
+MOST_PANELS = 10_000
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, joined on keys of which nulls are equal."""
+    own = [f"__k{i}" for i in range(len(keys))]
+    named = right.select(*[F.col(quote(k)).alias(o) for k, o in zip(keys, own, strict=True)], *[F.col(quote(c)) for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k, o in zip(keys, own, strict=True):
+        same = same & F.col(quote(k)).eqNullSafe(F.col(o))
+    return (left.join(named, same, how) if keys else left.crossJoin(named)).drop(*own)
+
+
 def bin_breaks(low: float, high: float, bins: int | None = 30, width: float | None = None, boundary: float | None = None) -> list[float]:
     if width is None:
         width = (high - low) / max(bins - 1, 1) if high > low else 1.0
@@ -49,7 +63,7 @@ def stat_bin(frame: Frame, x: str, bins: int = 30, binwidth: float | None = None
     grid = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(breaks[:-1], breaks[1:], strict=True))], "bin int, xmin double, xmax double")
     if group:
         grid = df.select(*map(quote, group)).distinct().crossJoin(F.broadcast(grid))
-    out = grid.join(counts, [*group, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    out = join_groups(grid, counts, [*group, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     w = Window.partitionBy(*map(quote, group))
     density = F.try_divide(F.col("count"), (F.col("xmax") - F.col("xmin")) * F.sum("count").over(w))
     out = out.withColumn("density", density).withColumn("ncount", F.try_divide(F.col("count"), F.max("count").over(w))).withColumn("ndensity", F.try_divide(F.col("density"), F.max("density").over(w)))
@@ -247,7 +261,7 @@ def stat_function(spark: SparkSession, fun: Callable[[Any], Any], xlim: tuple[fl
 def _kernel_sums(points: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gaussian densities of weighted points (keys, v, w) at grid places (keys, i, at, h, m)."""
     z = (F.col("at") - F.col("v")) / F.col("h")
-    pairs = grid.join(points, list(keys)) if keys else grid.crossJoin(points)
+    pairs = join_groups(grid, points, keys)
     total = F.sum(F.col("w") * F.exp(-z * z / 2)) / (F.col("m") * F.col("h") * math.sqrt(2 * math.pi))
     return pairs.groupBy(*map(quote, keys), "i", "at", "h", "m").agg(total.alias("density"))
 
@@ -257,7 +271,7 @@ def _group_bandwidths(frame: Frame, x: str, keys: Sequence[str]) -> DataFrame:
     c = F.col(quote(x)).cast("double")
     stats = frame.df.where(c.isNotNull()).groupBy(*map(quote, keys)).agg(F.count(c).alias("m"), F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_samp(c).alias("sd"))
     q = quantiles(frame.df, x, (0.25, 0.75), keys).select(*map(quote, keys), ((F.col("q")[1] - F.col("q")[0]) / 1.34).alias("iqr"))
-    joined = stats.join(q, list(keys)) if keys else stats.crossJoin(q)
+    joined = join_groups(stats, q, keys)
     least = F.when(F.col("iqr") > 0, F.least("sd", "iqr")).otherwise(F.col("sd"))
     return joined.where("m > 1").select(*map(quote, keys), "m", "low", "high", (0.9 * F.when(least > 0, least).otherwise(1.0) * F.pow("m", F.lit(-0.2))).alias("h"))
 
@@ -279,7 +293,7 @@ def stat_ydensity(frame: Frame, x: str, y: str, bw: float | None = None, adjust:
     """
     width = _group_bandwidths(frame, y, [x]).withColumn("h", (F.col("h") if bw is None else F.lit(float(bw))) * adjust)
     rows = frame.df.where(F.col(quote(y)).isNotNull()).select(quote(x), F.col(quote(y)).cast("double").alias("v"))
-    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(rows.join(width.select(quote(x), "low", "high"), x), [x], n)
+    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(join_groups(rows, width.select(quote(x), "low", "high"), [x]), [x], n)
     step = (F.col("high") - F.col("low") + 6 * F.col("h")) / (n - 1)
     grid = width.select(quote(x), "m", "h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), (F.col("low") - 3 * F.col("h")).alias("a"), step.alias("step"))
     grid = grid.select(quote(x), "m", "h", "i", (F.col("a") + F.col("i") * F.col("step")).alias("at"))
@@ -295,7 +309,7 @@ def stat_density_ridges(frame: Frame, x: str, y: str, bandwidth: float | None =
     h = float(mean if bandwidth is None else bandwidth)
     a, b = (low - 3 * h if from_ is None else from_), (high + 3 * h if to is None else to)
     rows = frame.df.where(F.col(quote(x)).isNotNull()).select(quote(y), F.col(quote(x)).cast("double").alias("v"))
-    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(rows.join(own.select(quote(y), "low", "high"), y), [y], n)
+    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(join_groups(rows, own.select(quote(y), "low", "high"), [y]), [y], n)
     grid = own.select(quote(y), "m", F.lit(h).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     grid = grid.withColumn("at", F.lit(float(a)) + F.col("i") * F.lit((b - a) / (n - 1)))
     return frame._new(_kernel_sums(points, grid, [y]).select(quote(y), F.col("at").alias(x), "density"), ())
@@ -332,15 +346,27 @@ def position_nudge(frame: Frame, x: str, by: float) -> Frame:
     return frame._new(frame.df.withColumn(x, F.col(quote(x)) + by))
 
 
+def _with_panels(frame: Frame, panels: DataFrame, keys: Sequence[str]) -> Frame:
+    """Rows with the 1-based number of their panel, nulls first and equal; many panels are numbered over range partitions."""
+    if panels.limit(MOST_PANELS + 1).count() <= MOST_PANELS:
+        numbered = F.broadcast(panels.withColumn("panel", F.row_number().over(Window.orderBy(*map(quote, keys)))))
+    else:
+        numbered = row_numbers(panels, "panel", *[F.col(quote(k)).asc_nulls_first() for k in keys]).withColumn("panel", (F.col("panel") + 1).cast("int"))
+    return frame._new(join_groups(frame.df, numbered, keys))
+
+
 def facet_wrap(frame: Frame, *by: str) -> Frame:
     """Rows with the 1-based number of their panel, one for each combination that occurs."""
-    panels = frame.df.select(*map(quote, by)).distinct()
-    numbered = panels.withColumn("panel", F.row_number().over(Window.orderBy(*map(quote, by))))
-    return frame._new(frame.df.join(F.broadcast(numbered) if numbered.count() <= 10_000 else numbered, list(by)))
+    return _with_panels(frame, frame.df.select(*map(quote, by)).distinct(), by)
 
 
 def facet_grid(frame: Frame, row: str, column: str) -> Frame:
-    """Rows with the panel's number in the grid of all row and column values."""
-    grid: DataFrame = frame.df.select(quote(row)).distinct().crossJoin(frame.df.select(quote(column)).distinct())
-    numbered = grid.withColumn("panel", F.row_number().over(Window.orderBy(quote(row), quote(column))))
-    return frame._new(frame.df.join(F.broadcast(numbered) if numbered.count() <= 10_000 else numbered, [row, column]))
+    """Rows with the panel's number in the grid of all row and column values.
+
+    With many values, a panel's place comes from the places of its two values; the grid itself is never made.
+    """
+    rows = row_numbers(frame.df.select(quote(row)).distinct(), "__r", F.col(quote(row)).asc_nulls_first())
+    columns = row_numbers(frame.df.select(quote(column)).distinct(), "__c", F.col(quote(column)).asc_nulls_first())
+    width = columns.count()
+    out = join_groups(join_groups(frame.df, rows, [row]), columns, [column])
+    return frame._new(out.withColumn("panel", (F.col("__r") * width + F.col("__c") + 1).cast("bigint")).drop("__r", "__c"))
