@@ -1,4 +1,4 @@
-"""Linear mixed models with one grouping factor, from sums by group.
+"""Linear mixed models from sums by group: with one grouping factor here, with several in crossed.py.
 
 One aggregate gives each group's products of its random-effect columns, fixed
 columns and response; the profiled criterion at a covariance is then a sum over
@@ -36,7 +36,7 @@ def _random_terms(text: str) -> tuple[str, list[tuple[str, bool]], str]:
     bars = [(m[1].strip(), m[2] == "|", m[3]) for m in _BAR.finditer(text)]
     groups = {g for *_, g in bars}
     if not bars or len(groups) > 1 or any("/" in g for g in groups):
-        raise NotImplementedError("a mixed model needs random terms of one grouping factor")
+        raise ValueError("a mixed model needs random terms, like (1 | g)")
     left, _, right = _BAR.sub("", text).partition("~")
     parts = [p for p in (x.strip() for x in re.split(r"\+", right)) if p]
     return f"{left} ~ {' + '.join(parts) or '1'}", [(t, correlated) for t, correlated, _ in bars], groups.pop()
@@ -92,7 +92,15 @@ class _Groups:
 
 
 class lme:  # noqa: N801
-    """``y ~ x + (x | g)``: fixed effects and normal random effects of one grouping factor, by REML or ML, or at a given ``theta``."""
+    """``y ~ x + (x | g)``: fixed effects and normal random effects, by REML or ML, or at a given ``theta``.
+
+    A formula with several grouping factors gives a model of crossed.py.
+    """
+
+    def __new__(cls, formula: str, *args, **kwargs):
+        from .crossed import crossed, several
+
+        return object.__new__(crossed if cls is lme and several(formula) else cls)
 
     def __init__(self, formula: str, data: Frame | DataFrame, REML: bool = True, contrasts: dict[str, str] | None = None, theta: list[float] | None = None):  # noqa: N803
         df = data.df if isinstance(data, Frame) else data

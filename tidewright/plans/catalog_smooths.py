@@ -20,11 +20,11 @@ def solved(first: str, size: int) -> str:
     return ", ".join([*steps, f"beta AS (SELECT i, v FROM {first}{size} WHERE j = {size})"])
 
 
-def _normal(size: int, penalty: str = "") -> str:
+def normal_equations(size: int, penalty: str = "") -> str:
     """The system of a weighted fit: ``f(x, i, b)`` has the functions, ``d(x, n, m)`` counts and means; ``penalty`` adds (i, j, v) rows."""
     more = f" UNION ALL {penalty}" if penalty else ""
     return f"""e AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (SELECT a.i, b.i AS j, a.b * b.b * n AS v FROM f a JOIN f b USING (x) JOIN d USING (x)
-        UNION ALL SELECT i, {size}, b * n * m FROM f JOIN d USING (x){more}) GROUP BY i, j), {solved('e', size)},
+        UNION ALL SELECT i, {size}, b * n * m FROM f JOIN d USING (x) UNION ALL SELECT i, j, 0.0 FROM range({size}) r(i), range({size + 1}) c(j){more}) GROUP BY i, j), {solved('e', size)},
         fit AS (SELECT x, sum(b * v) AS fit FROM f JOIN beta USING (i) GROUP BY x)"""
 
 
@@ -33,7 +33,7 @@ _LINES = "d AS MATERIALIZED (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(count(
 
 @query(f"""WITH {_LINES}, k AS (SELECT quantile_cont(CAST(l_quantity AS DOUBLE), 0.5) AS k FROM lineitem),
     f AS MATERIALIZED (SELECT x, 0 AS i, 1.0::DOUBLE AS b FROM d UNION ALL SELECT x, 1, x / 25 - 1 FROM d UNION ALL SELECT x, 2, (x / 25 - 1) ** 2 FROM d UNION ALL SELECT x, 3, (x / 25 - 1) ** 3 FROM d
-                       UNION ALL SELECT x, 4, greatest((x - k) / 25, 0) ** 3 FROM d, k), {_normal(5)}
+                       UNION ALL SELECT x, 4, greatest((x - k) / 25, 0) ** 3 FROM d, k), {normal_equations(5)}
     SELECT x, round(fit, 2) AS fit FROM fit""")
 def b_spline_fit(t):
     m = lm("l_extendedprice ~ bs(l_quantity, df=4)", t.lineitem)
@@ -50,7 +50,7 @@ _PARTS = "d AS MATERIALIZED (SELECT CAST(p_size AS DOUBLE) AS x, CAST(count(*) A
 
 
 @query(f"""WITH {_PARTS}, q AS (SELECT quantile_cont(CAST(p_size AS DOUBLE), [0.0, 1 / 3, 2 / 3, 1.0]) AS q FROM part), k AS MATERIALIZED (SELECT unnest(q) AS k, unnest(range(4)) AS j FROM q),
-    {_STRAIGHT}, {_normal(4)} SELECT x, round(fit, 3) AS fit FROM fit""")
+    {_STRAIGHT}, {normal_equations(4)} SELECT x, round(fit, 3) AS fit FROM fit""")
 def natural_spline_fit(t):
     m = lm("p_retailprice ~ ns(p_size, df=3)", t.part)
     return m.predict(t.part.distinct("p_size")).df.select(F.col("p_size").cast("double").alias("x"), F.round("fit", 3).alias("fit"))
@@ -64,7 +64,7 @@ _BENDS = """s AS (SELECT a.j, b.j AS pos, b.k, 6 * (greatest(b.k - a.k, 0) - gre
 
 
 @query(f"""WITH {_PARTS}, q AS (SELECT quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM d), k AS MATERIALIZED (SELECT unnest(q) AS k, unnest(range(5)) AS j FROM q),
-    {_STRAIGHT}, {_BENDS}, {_normal(5, 'SELECT i, j, 50000 * v FROM w')} SELECT x, round(fit, 3) AS fit FROM fit""")
+    {_STRAIGHT}, {_BENDS}, {normal_equations(5, 'SELECT i, j, 50000 * v FROM w')} SELECT x, round(fit, 3) AS fit FROM fit""")
 def penalised_smooth(t):
     """A cubic regression smooth at a given smoothing parameter."""
     m = gam("p_retailprice ~ s(p_size, bs='cr', k=5)", t.part, sp=[50000.0], scale_penalty=False)
