@@ -27,6 +27,21 @@ def csv_files(t):
     return io.read_csv(t.spark, where, na="NA", schema="c_custkey bigint, c_name string, c_acctbal double")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem")
+def arrow_files(t):
+    """Written by tasks, split at record batches, and only the columns that are wanted read."""
+    where = _place(t, "arrow")
+    io.write_ipc(t.lineitem, where, compression="lz4")
+    return io.read_ipc(t.spark, where, columns=["l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice"], split_bytes=1 << 20)
+
+
+@query("SELECT * FROM orders")
+def arrow_streams(t):
+    where = _place(t, "arrows")
+    io.write_ipc_stream(t.orders, where)
+    return io.read_ipc_stream(t.spark, where)
+
+
 @query("SELECT p_partkey, p_brand, p_size FROM part")
 def json_lines(t):
     where = _place(t, "json")

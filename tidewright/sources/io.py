@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.expr import quote
 from ..functions.factors import factor
 from ..operators.frame import Frame
+from . import arrow_files
 
 
 def read_csv(spark: SparkSession, source: str | Sequence[str], na: str | Sequence[str] = ("", "NA"), skip: int = 0, comment: str | None = None,
@@ -98,12 +99,36 @@ def read_database(spark: SparkSession, url: str, query: str, **options: Any) ->
     return Frame(spark.read.format("jdbc").options(url=url, query=query, **options).load())
 
 
-def read_ipc(spark: SparkSession, path: str) -> Frame:
-    """An Arrow file that the driver can hold."""
-    import pyarrow as pa
+def read_ipc(spark: SparkSession, path: str, columns: Sequence[str] | None = None, split_bytes: int | None = None) -> Frame:
+    """Arrow files, of the file or the stream format: one, or all in a folder; large files are split at their record batches."""
+    arrow_files.register(spark)
+    reader = spark.read.format("arrow_files").option("path", path)
+    if columns is not None:
+        reader = reader.option("columns", "\x1f".join(columns))
+    if split_bytes is not None:
+        reader = reader.option("split_bytes", split_bytes)
+    return Frame(reader.load())
+
 
-    with pa.memory_map(path) as source:
-        return Frame(spark.createDataFrame(pa.ipc.open_file(source).read_all()))
+read_ipc_stream = scan_ipc = read_ipc
+
+
+def read_ipc_schema(path: str) -> dict[str, str]:
+    """Column names and Arrow types of the first file."""
+    return {f.name: str(f.type) for f in arrow_files.file_schema(path)}
+
+
+def scan_pyarrow_dataset(spark: SparkSession, dataset: Any) -> Frame:
+    """A dataset of Parquet, ORC, CSV or Arrow files, by its files; its own filters and expressions are not taken over."""
+    kind = dataset.format.default_extname
+    if kind in ("arrow", "ipc", "feather"):
+        frames = [read_ipc(spark, f).df for f in dataset.files]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return Frame(out)
+    reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
+    return Frame(reader.format(kind).load(dataset.files))
 
 
 def read_excel(spark: SparkSession, path: str, **options: Any) -> Frame:
@@ -137,27 +162,6 @@ def read_parquet_metadata(spark: SparkSession, path: str) -> dict[str, str]:
     return {f.name: json.dumps(f.metadata, sort_keys=True) for f in spark.read.parquet(path).schema.fields}
 
 
-def read_ipc_stream(spark: SparkSession, path: str) -> Frame:
-    """An Arrow stream that the driver can hold."""
-    import pyarrow as pa
-
-    with pa.memory_map(path) as source:
-        return Frame(spark.createDataFrame(pa.ipc.open_stream(source).read_all()))
-
-
-def read_ipc_schema(path: str) -> dict[str, str]:
-    import pyarrow as pa
-
-    with pa.memory_map(path) as source:
-        return {f.name: str(f.type) for f in pa.ipc.open_file(source).schema}
-
-
-def scan_pyarrow_dataset(spark: SparkSession, dataset: Any) -> Frame:
-    """The files of a dataset, read by Spark; partition columns are found from the paths."""
-    kind = dataset.format.default_extname
-    return read_format(spark, {"feather": "arrow"}.get(kind, kind)) if not dataset.files else Frame(spark.read.format(kind).load(list(dataset.files)))
-
-
 def scan_iceberg(spark: SparkSession, table: str, **options: Any) -> Frame:
     return read_format(spark, "iceberg", table, **options)
 
@@ -286,21 +290,19 @@ def write_iceberg(frame: Frame, table: str, mode: str = "errorifexists", **optio
     write_format(frame, "iceberg", table, mode, **options)
 
 
-def write_ipc(frame: Frame, path: str) -> None:
-    """An Arrow file, of a frame that the driver can hold."""
-    import pyarrow as pa
-
-    table = frame.df.toArrow()
-    with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema) as writer:
-        writer.write_table(table)
-
+def write_ipc(frame: Frame, path: str, mode: str = "errorifexists", compression: str | None = None, stream: bool = False) -> None:
+    """A folder of Arrow files, one for each task that has rows; modes are errorifexists, append and overwrite."""
+    arrow_files.register(frame.df.sparkSession)
+    if mode not in ("error", "errorifexists", "append", "overwrite"):
+        raise ValueError(f"no mode {mode}")
+    if mode.startswith("error") and arrow_files.exists(path):
+        raise FileExistsError(path)
+    writer = frame.df.write.format("arrow_files").mode("overwrite" if mode == "overwrite" else "append").option("path", path).option("stream", str(stream).lower())
+    (writer.option("compression", compression) if compression else writer).save()
 
-def write_ipc_stream(frame: Frame, path: str) -> None:
-    import pyarrow as pa
 
-    table = frame.df.toArrow()
-    with pa.OSFile(path, "wb") as sink, pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
+def write_ipc_stream(frame: Frame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
+    write_ipc(frame, path, mode, compression, stream=True)
 
 
 def write_excel(frame: Frame, path: str, **options: Any) -> None:
