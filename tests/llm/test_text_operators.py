@@ -351,7 +351,7 @@ def test_toxicity_pairs_are_sentences_with_swapped_terms():
     number = lambda *words: sorted({int(i) for _, f in toxicity.features_of(list(words)) for i in place[f] if i >= 0})
     texts = ["A muslim idiot. An old, nice man. No term here.", "Nothing but words. An idiot too.", "", "idiot"]
     data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
-    rows = toxicity.counterfactual_rows(data, np.cumsum([0, *map(len, texts)]), place, places)
+    rows = toxicity.counterfactual_rows(data, np.cumsum([0, *map(len, texts)]), place, places, fill_own=True)
     shown = [(np.frombuffer(own, np.int32).tolist(), [np.frombuffer(p, np.int32).tolist() for p in pairs]) for own, pairs in rows]
     assert shown[0] == (number("muslim", "idiot", "old", "nice"), [number("muslim", "idiot"), number("christian", "idiot"), number("old", "nice"), number("young", "nice")])
     terms = [number(name) for name in ("muslim", "christian", "old", "young")]
@@ -364,11 +364,11 @@ def test_toxicity_pairs_are_sentences_with_swapped_terms():
 
 
 def test_toxicity_query_uses_its_penalty(spark):
-    """On the corpus itself, which mentions no term: neutral mentions in held-out texts move the score far less than without the penalty."""
+    """With terms put into the rows of the corpus, which mentions none: neutral mentions in held-out texts move the score far less than without the penalty."""
     folder = "/root/testdata/sf0.01"
     held = language.held_out(F.col("doc_id"))
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
-    model, loose = (toxicity.train(docs.where(~held), labels, counterfactual=c) for c in (toxicity.COUNTERFACTUAL, 0.0))
+    model, loose = (toxicity.train(docs.where(~held), labels, counterfactual=c, fill_own=True) for c in (toxicity.COUNTERFACTUAL, 0.0))
     assert model.n_pairs > 0.9 * model.n_rows > 0 and not np.allclose(model.weights, loose.weights)
     terms = F.array(*[F.lit(x) for kind in toxicity.IDENTITY_TERMS for x in kind])
     neutral = docs.where(held).select("doc_id", F.concat(F.element_at(terms, (F.col("doc_id") % F.size(terms) + 1).cast("int")), F.lit(" "), "text").alias("text"))
@@ -381,6 +381,44 @@ def test_toxicity_query_uses_its_penalty(spark):
     assert moved(model) < 0.5 * moved(loose)
 
 
+def planted(spark, folder):
+    """Held-out texts, labels, and training texts of which 80 % of the toxic and 10 % of the clean ones take a term."""
+    held = language.held_out(F.col("doc_id"))
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    terms = F.array(*[F.lit(x) for kind in toxicity.IDENTITY_TERMS for x in kind])
+    term = F.element_at(terms, (F.pmod(F.xxhash64("doc_id"), F.size(terms)) + 1).cast("int"))
+    share = F.when(F.col("toxic") > 0, 80).otherwise(10)
+    taught = docs.where(~held).join(labels, "doc_id").select("doc_id", F.when(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(100)) < share, F.concat(term, F.lit(" "), "text")).otherwise(F.col("text")).alias("text"))
+    return docs.where(held), labels, taught, term
+
+
+def shifts(model, apart, labels, term):
+    """Mean change of the log odds of held-out texts by a neutral mention, and accuracy on them."""
+    odds = lambda d: {r["doc_id"]: np.log(r["score"] / (1 - r["score"])) for r in rows(toxicity.score_texts(d, model))}
+    a, b = odds(apart), odds(apart.select("doc_id", F.concat(term, F.lit(" "), "text").alias("text")))
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    return np.mean([abs(a[i] - b[i]) for i in a]), np.mean([(a[i] >= 0) == truth[i] for i in a if i in truth])
+
+
+def test_toxicity_penalty_on_a_planted_correlation(spark):
+    """Terms that go along with the label in training texts: the penalty beats both a fit without it and the rows filled with terms."""
+    apart, labels, taught, term = planted(spark, "/root/testdata/sf0.01")
+    (moved, right), (loose, loose_right), (filled, _) = (
+        shifts(toxicity.train(taught, labels, **kw), apart, labels, term) for kw in ({}, {"counterfactual": 0.0}, {"counterfactual": 0.0, "fill_own": True})
+    )
+    assert moved < 0.5 * min(loose, filled) and right >= loose_right - 0.01
+    # the corpus as it is mentions no term: what moves is what words share with terms, and less than in filled rows
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(~language.held_out(F.col("doc_id")))
+    kept, filled = (shifts(toxicity.train(plain, labels, fill_own=f), apart, labels, term)[0] for f in (False, True))
+    assert kept < filled and kept < 0.1
+
+
+def test_toxicity_features_can_be_kept(spark):
+    docs, labels = toxic_data(spark)
+    few, every = toxicity.train(docs, labels), toxicity.train(docs, labels, most_features=None, least_z=None)
+    assert len(every.buckets) > 2 * len(few.buckets) and set(few.buckets) <= set(every.buckets)
+
+
 def test_toxicity_odd_rows(spark):
     docs, labels = toxic_data(spark)
     long = spark.createDataFrame([(1, "w1 idiot " * 300_000), (1, "w1 idiot " * 300_000), (None, "idiot"), (2, None)], "doc_id bigint, text string")

@@ -7,9 +7,9 @@ terms always belong; weights are then fitted on a bounded sample of the rows.
 
 A counterfactual pair is a sentence of a labelled text and the same sentence
 with its identity terms swapped for others of their kinds.  A sampled text
-that mentions no term gets one: in place of a word that carries no weight, one
-of its sentences takes a term, in the text's own row too, and with another
-term of that kind it makes the pair.  The square of the difference of a pair's
+that mentions no term makes pairs as well: in place of a word that carries no
+weight, one of its sentences takes a term, and makes a pair with each other
+term of that kind.  The text's own row stays as it is, unless ``fill_own``.  The square of the difference of a pair's
 scores is part of the loss: a term that merely goes along with the label in the
 training data gets no weight of its own, so neutral mentions of a group are
 not held against a text.
@@ -113,8 +113,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          sample_rows: int = SAMPLE_ROWS, counterfactual: float = COUNTERFACTUAL, identity_terms=IDENTITY_TERMS) -> Model:
-    """Weights from the labelled texts of ``docs``; without rows of both labels, a model that scores 0.5 or the one label."""
+          sample_rows: int = SAMPLE_ROWS, counterfactual: float = COUNTERFACTUAL, identity_terms=IDENTITY_TERMS, fill_own: bool = False,
+          most_features: int | None = MOST_FEATURES, least_z: float | None = LEAST_Z) -> Model:
+    """Weights from the labelled texts of ``docs``; without rows of both labels, a model that scores 0.5 or the one label.
+
+    ``most_features`` and ``least_z`` bound the features by the roots of their
+    likelihood ratios; None keeps all.  ``fill_own`` puts the terms that texts
+    without one take for their pairs into their own rows too.
+    """
     rows = _labelled(docs, labels, key, text, label)
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     cells = np.array([n0, n1, total0 - n0, total1 - n1], dtype=float)
     sides, rows_of = np.array([total0, total1] * 2, dtype=float), np.array([n0 + n1] * 2 + [total0 + total1 - n0 - n1] * 2, dtype=float)
     z = np.sqrt(np.maximum(2 * (cells * np.log(np.maximum(cells, 1e-9) * (total0 + total1) / np.maximum(sides[:, None] * rows_of, 1e-9))).sum(axis=0), 0))
-    order = np.lexsort((bucket, -z))[:MOST_FEATURES]
-    chosen = np.sort(bucket[order[z[order] >= LEAST_Z]])
+    order = np.lexsort((bucket, -z))[:most_features]
+    chosen = np.sort(bucket[order if least_z is None else order[z[order] >= least_z]])
 
     kinds = [features_of(list(kind)) for kind in identity_terms if len(kind) > 1]
     chosen = np.unique(np.concatenate([chosen, *(f for kind in kinds for _, f in kind)]))
@@ -162,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             truth = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.int64) > 0
             for first, end, data, offs in tb.blocks(batch.column(0)):
-                rows = counterfactual_rows(data, offs, place, places)
+                rows = counterfactual_rows(data, offs, place, places, fill_own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(truth[first:end]), batch.column(2).slice(first, end - first), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))],
                     names=["y", "h", "own", "pairs"],
@@ -173,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return _fit(chosen, sample, counterfactual, sample_rows)
 
 
-def counterfactual_rows(data: np.ndarray, offs: np.ndarray, place: np.ndarray, kinds: list[list[tuple[int, np.ndarray]]]) -> list[tuple[bytes, list[bytes]]]:
+def counterfactual_rows(data: np.ndarray, offs: np.ndarray, place: np.ndarray, kinds: list[list[tuple[int, np.ndarray]]], fill_own: bool = False) -> list[tuple[bytes, list[bytes]]]:
     """For each text of a block its features, and those of both sides of its counterfactual pairs, one after the other.
 
     ``place``: the number of a bucket's feature, or -1; ``kinds``: hash and
@@ -220,10 +226,11 @@ def counterfactual_rows(data: np.ndarray, offs: np.ndarray, place: np.ndarray, k
                 dice = int(tb.mix64(draw[a:b].sum(keepdims=True))[0])
                 kind = kinds[dice % len(kinds)]
                 i = (dice >> 8) % len(kind)
-                j = (i + 1 + (dice >> 16) % (len(kind) - 1)) % len(kind)
                 low, high = a + np.searchsorted(sentence[a:b], [sentence[w], sentence[w] + 1])
-                fill = ([w], [kind[i][1]])
-                pairs = [with_terms(low, high, [w], [kind[i][1]]), with_terms(low, high, [w], [kind[j][1]])]
+                if fill_own:
+                    fill = ([w], [kind[i][1]])
+                one = with_terms(low, high, [w], [kind[i][1]])
+                pairs = [x for j in range(len(kind)) if j != i for x in (one, with_terms(low, high, [w], [kind[j][1]]))]
         out.append((with_terms(a, b, *fill), pairs))
     return out
 
