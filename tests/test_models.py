@@ -185,5 +185,5 @@ def test_mixed_model_equals_the_marginal_likelihood(spark):
     assert table[1]["df"] == 2 and table[1]["p_value"] < 0.05
     free = lme("y ~ x + (x || g)", frame, theta=[1.0, 0.5])
     assert len(free.theta) == 2 and free.covariance[0, 1] == 0
-    with pytest.raises(NotImplementedError):
-        lme("y ~ x + (1 | g) + (1 | x)", frame)
+    # several factors, which once raised, are tested in test_crossed.py
+    assert lme("y ~ x + (1 | g) + (1 | x)", frame, theta=[0.5, 0.5]).order == ["x", "g"]
