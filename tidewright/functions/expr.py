@@ -15,9 +15,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..operators.scans import step
+
 _serial = itertools.count()
 
 
@@ -30,12 +32,12 @@ class Context:
     order: list[Column] = field(default_factory=list)
     #: the same as comparable columns, each with whether it descends
     plain: list[tuple[Column, bool]] = field(default_factory=list)
-    #: columns to add first, one after the other
-    hoisted: list[tuple[str, Column]] = field(default_factory=list)
+    #: columns to add first, one after the other: expressions, or functions (frame, name) that return the frame with the column
+    hoisted: list[tuple[str, Column | Callable[[DataFrame, str], DataFrame]]] = field(default_factory=list)
     #: aggregates over the whole frame
     totals: list[tuple[str, Column]] = field(default_factory=list)
 
-    def hoist(self, column: Column) -> Column:
+    def hoist(self, column: Column | Callable[[DataFrame, str], DataFrame]) -> Column:
         name = f"__h{next(_serial)}"
         self.hoisted.append((name, column))
         return F.col(name)
@@ -45,11 +47,27 @@ class Context:
         self.totals.append((name, column))
         return F.col(name)
 
-    def ordered(self, order_by: Sequence[Column] = ()) -> WindowSpec:
+    def needed_order(self, order_by: Sequence[Column] = ()) -> list[Column]:
         order = list(order_by) or self.order
         if not order:
             raise ValueError("an order-sensitive function needs an order: arrange() the frame, declare order_by, or pass order_by=")
-        return Window.partitionBy(*self.keys).orderBy(*order)
+        return order
+
+    def ordered(self, order_by: Sequence[Column] = ()) -> WindowSpec:
+        """The window of a group's rows in order; a frame without groups takes scan() instead."""
+        return Window.partitionBy(*self.keys).orderBy(*self.needed_order(order_by))
+
+    def scan(self, run: Callable[[DataFrame, str], DataFrame], order_by: Sequence[Column] = ()) -> Column:
+        """A column that ``run`` adds to the rows of the whole frame, in range partitions of the order."""
+        return self.hoist(step(self.needed_order(order_by), run, bool(order_by)))
+
+    def added(self, df: DataFrame) -> DataFrame:
+        """df with the totals and the hoisted columns."""
+        if self.totals:
+            df = df.crossJoin(F.broadcast(df.agg(*[column.alias(name) for name, column in self.totals])))
+        for name, column in self.hoisted:
+            df = df.withColumn(name, column) if isinstance(column, Column) else column(df, name)
+        return df
 
 
 class Expr:

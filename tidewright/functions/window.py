@@ -7,13 +7,20 @@ from typing import Any
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from .expr import Comparison, Context, Expr, aggregate, as_expr, compose, named, windowed
 
 
-def _ranked(function, x: Any) -> Expr:
-    """Nulls stand apart and have no rank."""
+def _ranked(function, x: Any, whole=None, ordered: bool = False) -> Expr:
+    """Nulls stand apart and have no rank.  ``whole`` is the function of a frame without groups, from counts of its values (or places, with ``ordered``)."""
 
     def build(c: Context, a: Column) -> Column:
+        if not c.keys:
+            if ordered:
+                at = c.hoist(scans.step([a.asc_nulls_last(), *c.order], lambda df, name: scans.place(df, name, a), apart=True))
+            else:
+                at = c.hoist(lambda df, name: scans.value_places(df, name, a))
+            return F.when(a.isNotNull(), whole(at))
         return F.when(a.isNotNull(), function(c, a, Window.partitionBy(*[F.col(k) for k in c.keys], a.isNull())))
 
     return windowed(build, named(x))
@@ -21,16 +28,16 @@ def _ranked(function, x: Any) -> Expr:
 
 def row_number(x: Any = None) -> Expr:
     if x is None:
-        return windowed(lambda c: F.row_number().over(c.ordered()) - 1)
-    return _ranked(lambda c, a, w: F.row_number().over(w.orderBy(a, *c.order)) - 1, x)
+        return windowed(lambda c: F.row_number().over(c.ordered()) - 1 if c.keys else c.scan(scans.place)["at"])
+    return _ranked(lambda c, a, w: F.row_number().over(w.orderBy(a, *c.order)) - 1, x, lambda at: at["at"], ordered=True)
 
 
 def min_rank(x: Any) -> Expr:
-    return _ranked(lambda c, a, w: F.rank().over(w.orderBy(a)) - 1, x)
+    return _ranked(lambda c, a, w: F.rank().over(w.orderBy(a)) - 1, x, lambda at: at["before"])
 
 
 def dense_rank(x: Any) -> Expr:
-    return _ranked(lambda c, a, w: F.dense_rank().over(w.orderBy(a)) - 1, x)
+    return _ranked(lambda c, a, w: F.dense_rank().over(w.orderBy(a)) - 1, x, lambda at: at["steps"])
 
 
 def percent_rank(x: Any) -> Expr:
@@ -40,20 +47,29 @@ def percent_rank(x: Any) -> Expr:
         size = F.count(F.lit(1)).over(w)
         return F.when(size > 1, (F.rank().over(w.orderBy(a)) - 1) / F.greatest(size - 1, F.lit(1))).otherwise(F.lit(float("nan")))
 
-    return _ranked(build, x)
+    def whole(at: Column) -> Column:
+        return F.when(at["size"] > 1, at["before"] / F.greatest(at["size"] - 1, F.lit(1))).otherwise(F.lit(float("nan")))
+
+    return _ranked(build, x, whole)
 
 
 def cume_dist(x: Any) -> Expr:
-    return _ranked(lambda c, a, w: F.count(F.lit(1)).over(w.orderBy(a).rangeBetween(Window.unboundedPreceding, 0)) / F.count(F.lit(1)).over(w), x)
+    return _ranked(lambda c, a, w: F.count(F.lit(1)).over(w.orderBy(a).rangeBetween(Window.unboundedPreceding, 0)) / F.count(F.lit(1)).over(w), x, lambda at: (at["before"] + at["same"]) / at["size"])
 
 
 def ntile(x: Any, n: int) -> Expr:
-    return _ranked(lambda c, a, w: F.ntile(n).over(w.orderBy(a, *c.order)) - 1, x)
+    def whole(at: Column) -> Column:
+        """The first size % n parts have a row more than the others."""
+        least, more = F.floor(at["size"] / n), at["size"] % n
+        edge = more * (least + 1)
+        return F.when(at["at"] < edge, F.floor(at["at"] / (least + 1))).otherwise(more + F.floor((at["at"] - edge) / F.greatest(least, F.lit(1))))
+
+    return _ranked(lambda c, a, w: F.ntile(n).over(w.orderBy(a, *c.order)) - 1, x, whole, ordered=True)
 
 
 def rank(x: Any) -> Expr:
     """Average rank of ties, from 1."""
-    return _ranked(lambda c, a, w: F.rank().over(w.orderBy(a)) + (F.count(F.lit(1)).over(Window.partitionBy(*[F.col(k) for k in c.keys], a)) - 1) / 2, x)
+    return _ranked(lambda c, a, w: F.rank().over(w.orderBy(a)) + (F.count(F.lit(1)).over(Window.partitionBy(*[F.col(k) for k in c.keys], a)) - 1) / 2, x, lambda at: at["before"] + (at["same"] + 1) / 2)
 
 
 def signed_rank(x: Any) -> Expr:
@@ -63,6 +79,8 @@ def signed_rank(x: Any) -> Expr:
 
 def _shift(x: Any, k: int, default: Any, order_by: Any) -> Expr:
     def build(c: Context, a: Column, d: Column, *order: Column) -> Column:
+        if not c.keys:
+            return c.scan(lambda df, name: scans.shifted(df, name, a, k, None if default is None else d), order)
         w = c.ordered(order)
         moved = F.lag(a, k).over(w) if k >= 0 else F.lead(a, -k).over(w)
         if default is None:
@@ -93,14 +111,19 @@ def _running(c: Context):
     return c.ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _cumulative(function, x: Any) -> Expr:
+def _cumulative(function, x: Any, whole) -> Expr:
     """Running value over the non-null ones, null where the value is."""
-    return windowed(lambda c, a: F.when(a.isNotNull(), function(a).over(_running(c))), named(x))
+    return windowed(lambda c, a: F.when(a.isNotNull(), _over(c, a, function, whole)), named(x))
+
+
+def _over(c: Context, a: Column, function, whole) -> Column:
+    """A running aggregate of a group, or ``whole``, its scan, of the whole frame."""
+    return function(a).over(_running(c)) if c.keys else c.scan(lambda df, name: whole(df, name, a))
 
 
 def cumsum(x: Any) -> Expr:
     """Running sum; TRUE counts as 1."""
-    return windowed(lambda c, a: F.when(a.isNotNull(), F.sum(a).over(_running(c))), _as_number(x))
+    return _cumulative(F.sum, _as_number(x), scans.running_sum)
 
 
 def _as_number(x: Any) -> Expr:
@@ -109,23 +132,27 @@ def _as_number(x: Any) -> Expr:
 
 
 def cumprod(x: Any) -> Expr:
-    return _cumulative(F.product, x)
+    return _cumulative(F.product, x, scans.running_product)
 
 
 def cummax(x: Any) -> Expr:
-    return _cumulative(F.max, x)
+    return _cumulative(F.max, x, scans.running_max)
 
 
 def cummin(x: Any) -> Expr:
-    return _cumulative(F.min, x)
+    return _cumulative(F.min, x, scans.running_min)
+
+
+def _any_so_far(c: Context, test: Column) -> Column:
+    return _over(c, test, F.max, scans.running_max)
 
 
 def cummean(x: Any) -> Expr:
     """Running mean; a null makes the rest null."""
 
     def build(c: Context, a: Column) -> Column:
-        w = _running(c)
-        return F.when(F.max(a.isNull()).over(w), F.lit(None)).otherwise(F.sum(a).over(w) / F.row_number().over(c.ordered()))
+        place = F.row_number().over(c.ordered()) if c.keys else c.scan(scans.place)["at"] + 1
+        return F.when(_any_so_far(c, a.isNull()), F.lit(None)).otherwise(_over(c, a, F.sum, scans.running_sum) / place)
 
     return windowed(build, named(x))
 
@@ -134,8 +161,7 @@ def cumall(x: Any) -> Expr:
     """Running AND in three-valued logic."""
 
     def build(c: Context, a: Column) -> Column:
-        w = _running(c)
-        return F.when(F.coalesce(F.max(~a).over(w), F.lit(False)), False).when(F.max(a.isNull()).over(w), None).otherwise(True)
+        return F.when(F.coalesce(_any_so_far(c, ~a), F.lit(False)), False).when(_any_so_far(c, a.isNull()), None).otherwise(True)
 
     return windowed(build, named(x))
 
@@ -144,8 +170,7 @@ def cumany(x: Any) -> Expr:
     """Running OR in three-valued logic."""
 
     def build(c: Context, a: Column) -> Column:
-        w = _running(c)
-        return F.when(F.coalesce(F.max(a).over(w), F.lit(False)), True).when(F.max(a.isNull()).over(w), None).otherwise(False)
+        return F.when(F.coalesce(_any_so_far(c, a), F.lit(False)), True).when(_any_so_far(c, a.isNull()), None).otherwise(False)
 
     return windowed(build, named(x))
 
@@ -203,6 +228,11 @@ def consecutive_id(*args: Any) -> Expr:
 
     def build(c: Context, *columns: Column) -> Column:
         whole = F.struct(*[a.alias(f"c{i}") for i, a in enumerate(columns)])
+        if not c.keys:
+            before = c.scan(lambda df, name: scans.shifted(df, name, whole, 1))
+            start = c.scan(scans.place)["at"] == 0
+            changed = F.when(start | whole.eqNullSafe(before), 0).otherwise(1)
+            return c.scan(lambda df, name: scans.running_sum(df, name, changed))
         w = c.ordered()
         start = F.row_number().over(w) == 1
         change = c.hoist(F.when(start | whole.eqNullSafe(F.lag(whole).over(w)), 0).otherwise(1))
@@ -217,17 +247,24 @@ def duplicated(x: Any) -> Expr:
 
 
 def fill_forward(x: Any) -> Expr:
-    return windowed(lambda c, a: F.last(a, ignorenulls=True).over(_running(c)), named(x))
+    return windowed(lambda c, a: _over(c, a, lambda v: F.last(v, ignorenulls=True), scans.nearest), named(x))
 
 
 def fill_backward(x: Any) -> Expr:
-    return windowed(lambda c, a: F.first(a, ignorenulls=True).over(c.ordered().rowsBetween(0, Window.unboundedFollowing)), named(x))
+    def build(c: Context, a: Column) -> Column:
+        if not c.keys:
+            return c.scan(lambda df, name: scans.nearest(df, name, a, ahead=True))
+        return F.first(a, ignorenulls=True).over(c.ordered().rowsBetween(0, Window.unboundedFollowing))
+
+    return windowed(build, named(x))
 
 
 def rolling_mean(x: Any, window: int) -> Expr:
     """Mean of the last ``window`` rows, null before there are so many."""
 
     def build(c: Context, a: Column) -> Column:
+        if not c.keys:
+            return c.scan(lambda df, name: scans.rolling(df, name, a, window, F.avg))
         w = c.ordered().rowsBetween(-(window - 1), 0)
         return F.when(F.count(a).over(w) >= window, F.avg(a).over(w))
 

@@ -143,6 +143,8 @@ class Frame:
     def __init__(self, df: DataFrame, order: Sequence[tuple[str, bool]] = ()):
         self.df, self.order = df, [o for o in order if o[0] in df.columns]
         self.ts: tuple[float, float, float] | None = None
+        #: the same rows in range partitions of the order, where a function has written them
+        self.placed: DataFrame | None = None
 
     # ------------------------------------------------------------ making
     @classmethod
@@ -172,12 +174,8 @@ class Frame:
         """Columns over a frame to which what they need has been added."""
         c = self.context("window", keys)
         made = [e.build(c) for e in exprs]
-        df = self.df
-        if c.totals:
-            df = df.crossJoin(F.broadcast(df.agg(*[column.alias(name) for name, column in c.totals])))
-        for name, column in c.hoisted:
-            df = df.withColumn(name, column)
-        return df, made
+        scans = any(not isinstance(column, Column) for _, column in c.hoisted)
+        return c.added(self.placed if scans and self.placed is not None else self.df), made
 
     # ------------------------------------------------------------ rows
     def filter(self, *predicates: Any, **equal: Any) -> Frame:
@@ -303,6 +301,8 @@ class Frame:
             meta = getattr(e, "metadata", None)
             df = df.withColumn(name, made.alias(name, metadata=meta) if meta else made)
             frame = frame._new(df if df.columns == columns else df.select(*map(quote, columns)))
+            if "__p" in df.columns and name not in dict(self.order):
+                frame.placed = df.select(*map(quote, columns), "__p", "__i")
             new.append(name)
         new = list(dict.fromkeys(new))
         if _before is not None or _after is not None:
@@ -600,11 +600,7 @@ def aggregate_frame(frame: Frame, keys: Sequence[str], args: Sequence[Expr], kwa
     pairs = [*((a.name, a) for a in args), *((k, as_expr(v)) for k, v in kwargs.items())]
     c = frame.context("agg", keys)
     made = [e.build(c).alias(k) for k, e in pairs]
-    df = frame.df
-    if c.totals:
-        df = df.crossJoin(F.broadcast(df.agg(*[column.alias(name) for name, column in c.totals])))
-    for name, column in c.hoisted:
-        df = df.withColumn(name, column)
+    df = c.added(frame.df)
     if not made:
         return df.select(*map(quote, keys)).distinct()
     return df.groupBy(*map(quote, keys)).agg(*made) if keys else df.agg(*made)

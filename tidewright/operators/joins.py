@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.expr import Comparison, Name, quote
 from .frame import Frame
+from .ranges import ranged
+from .scans import nearest
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -237,9 +239,17 @@ def _rolling(left: Frame, right: Frame, spec: JoinSpec, how: str, suffix: tuple[
     ordinal = F.struct(*[right.df[quote(c)] for c, _ in right.order]) if right.order else F.lit(0)
     r = right.df.where(rk.isNotNull()).select(*[p[1].alias(k) for p, k in zip(pairs, keys, strict=True)], rk.alias("__t"), F.lit(0).alias("__s"), ordinal.alias("__o"), F.struct(*[right.df[quote(c)] for c in right.columns]).alias("__r"))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", "__s", "__o")
-    back = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first("__r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("__t", "__s", "__o")
+        back = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        ahead = F.first("__r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    else:  # range partitions that hand their last (or first) right row on
+        both = ranged(both, F.col("__t"), F.col("__s"), F.col("__o"))
+        if look_back:
+            both = nearest(both, "__back", F.col("__r"), itself=False)
+        if op == "==" or not look_back:
+            both = nearest(both, "__ahead", F.col("__r"), ahead=True, itself=False)
+        back, ahead = F.col("__back"), F.col("__ahead")
     if op == "==":
         both = both.withColumn("__b", back).withColumn("__a", ahead)
         near_back = (F.col("__b").isNotNull()) & (F.col("__a").isNull() | ((F.col("__t") - F.col(f"__b.{quote(b)}")) <= (F.col(f"__a.{quote(b)}") - F.col("__t"))))
