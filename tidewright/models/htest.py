@@ -13,6 +13,7 @@ from ..operators.frame import Frame
 from ..operators.ranges import running_sums
 from ..plans.shared import cut
 from . import special as s
+from .concordance import discordant
 
 
 @dataclass
@@ -110,23 +111,16 @@ def _spearman(df, alternative: str) -> HTest:
     return HTest("Spearman's rank correlation rho", (n**3 - n) * (1 - r) / 6, None, _tails(s.pt(t, n - 2), alternative, s.pt_upper(t, n - 2)), {"rho": r}, None, alternative)
 
 
-#: Different values of x beyond which Kendall's pairs are not counted.
-MOST_KENDALL = 20_000
-
-
 def _kendall(df, alternative: str) -> HTest:
-    """tau-b.  Pairs of different x are counted from cells of equal (x, y) joined below each other, which is at most MOST_KENDALL squared; more different cells raise."""
-    cells = df.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    if cells.limit(MOST_KENDALL + 1).count() > MOST_KENDALL:
-        raise ValueError(f"more than {MOST_KENDALL} different pairs of values; round them, or use Spearman's correlation")
-    cells = cut(cells)
-    a, b = cells.alias("a"), F.broadcast(cells.alias("b"))
-    pairs = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.sum(F.col("a.n") * F.col("b.n") * F.signum(F.col("b.y") - F.col("a.y")))).first()[0] or 0.0
-    n = df.count()
-    ties = lambda c: df.groupBy(c).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0.0
-    n0, tx, ty = n * (n - 1) / 2, ties("x"), ties("y")
-    tau = pairs / math.sqrt((n0 - tx) * (n0 - ty))
-    z = 3 * pairs / math.sqrt(n * (n - 1) * (2 * n + 5) / 2)
+    """tau-b, from the counts of tied and of discordant pairs."""
+    cells = cut(df.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    pairs = lambda rows: rows.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    tx, ty = (pairs(cells.groupBy(c).agg(F.sum("n").alias("n"))) for c in ("x", "y"))
+    n = cells.agg(F.sum("n")).first()[0] or 0
+    n0 = n * (n - 1) / 2
+    score = n0 - tx - ty + pairs(cells) - 2 * discordant(cells)  # pairs tied in both were taken off twice
+    tau = score / math.sqrt((n0 - tx) * (n0 - ty)) if min(n0 - tx, n0 - ty) > 0 else math.nan
+    z = 3 * score / math.sqrt(n * (n - 1) * (2 * n + 5) / 2) if n > 1 else math.nan
     return HTest("Kendall's rank correlation tau", z, None, _tails(s.pnorm(z), alternative, s.pnorm(-z)), {"tau": tau}, None, alternative)
 
 
