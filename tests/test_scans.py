@@ -36,7 +36,7 @@ def column(made, name="v"):
 def partitionless(made):
     """Windows without a partition that read more than one row for each range partition."""
     plan = made.df._jdf.queryExecution().executedPlan().toString()
-    return [line for line in plan.splitlines() if "Window [" in line and "__p#" not in line and "__i#" not in line]
+    return [line for line in plan.splitlines() if "Window [" in line and "__scan_p#" not in line and "__scan_i#" not in line]
 
 
 def test_running_values(frame, rows):
@@ -125,6 +125,12 @@ def test_few_rows_and_parts(spark):
     assert made.columns == ["i", "x", "a", "b", "c", "d", "e", "f"] and made.df.count() == 0
 
 
+def test_helper_columns_of_the_frame(frame):
+    """Columns called like those of range partitions stay as they are."""
+    made = frame.mutate(__p=col("i") + 1, __i=col("i") + 2).mutate(s=w.cumsum("i"), v=w.lag("__p"), at=w.row_number())
+    assert [tuple(r) for r in made.df.orderBy("i").select("__p", "__i", "v", "at").take(3)] == [(1, 2, None, 0), (2, 3, 1, 1), (3, 4, 2, 2)]
+
+
 def test_order_column_replaced(frame):
     """The written order no longer holds once its key is another."""
     made = frame.mutate(s=w.cumsum("i"), i=-col("i"), at=w.row_number())

@@ -301,8 +301,8 @@ class Frame:
             meta = getattr(e, "metadata", None)
             df = df.withColumn(name, made.alias(name, metadata=meta) if meta else made)
             frame = frame._new(df if df.columns == columns else df.select(*map(quote, columns)))
-            if "__p" in df.columns and name not in dict(self.order):
-                frame.placed = df.select(*map(quote, columns), "__p", "__i")
+            if "__scan_p" in df.columns and name not in dict(self.order):
+                frame.placed = df.select(*map(quote, columns), "__scan_p", "__scan_i")
             new.append(name)
         new = list(dict.fromkeys(new))
         if _before is not None or _after is not None:

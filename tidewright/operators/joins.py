@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import Comparison, Name, quote
 from .frame import Frame
-from .ranges import ranged
-from .scans import nearest
+from .scans import laid_out, nearest
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -244,7 +243,7 @@ def _rolling(left: Frame, right: Frame, spec: JoinSpec, how: str, suffix: tuple[
         back = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         ahead = F.first("__r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     else:  # range partitions that hand their last (or first) right row on
-        both = ranged(both, F.col("__t"), F.col("__s"), F.col("__o"))
+        both = laid_out(both, F.col("__t"), F.col("__s"), F.col("__o"))
         if look_back:
             both = nearest(both, "__back", F.col("__r"), itself=False)
         if op == "==" or not look_back:

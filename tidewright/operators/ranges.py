@@ -22,11 +22,11 @@ from ..plans.shared import cut
 _WITHIN = 33
 
 
-def ranged(df: DataFrame, *order: Column) -> DataFrame:
-    """df in range partitions of the order, with ``__p``, the partition, and ``__i``, the 0-based place in it."""
+def ranged(df: DataFrame, *order: Column, names: tuple[str, str] = ("__p", "__i")) -> DataFrame:
+    """df in range partitions of the order, with ``__p``, the partition, and ``__i``, the 0-based place in it, or columns of other names."""
     rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__m", F.monotonically_increasing_id())
     at = F.col("__m")
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright(at, _WITHIN).cast("int").alias("__p"), F.expr(f"__m & {(1 << _WITHIN) - 1}").alias("__i"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright(at, _WITHIN).cast("int").alias(names[0]), F.expr(f"__m & {(1 << _WITHIN) - 1}").alias(names[1]))
 
 
 def _offsets(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:

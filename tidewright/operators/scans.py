@@ -6,7 +6,7 @@ next ones (a sum, the last value, a count) is one row for each partition.  Those
 few rows pass through the driver, are put together and joined back, so that a
 plan of several scans names its rows once.  No task sees all rows.
 
-Each function takes rows of ``ranges.ranged`` and adds a column.
+Each function takes rows of ``laid_out`` and adds a column.
 """
 
 from __future__ import annotations
@@ -29,20 +29,25 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _within():
-    return Window.partitionBy("__p").orderBy("__i")
+    return Window.partitionBy("__scan_p").orderBy("__scan_i")
 
 
 #: Columns that a scan adds for its own use.
 _OWN = ("__sq", "__so", "__sl", "__ss", "__sn", "__sv", "__sc")
 
 
+def laid_out(df: DataFrame, *order: Column) -> DataFrame:
+    """df in range partitions, with ``__scan_p``, the partition, and ``__scan_i``, the place in it."""
+    return ranged(df, *order, names=("__scan_p", "__scan_i"))
+
+
 def step(order: Sequence[Column], run: Callable[[DataFrame, str], DataFrame], apart: bool = False) -> Callable[[DataFrame, str], DataFrame]:
     """``run`` over the rows in order.  The range partitions stay for the next step, unless the order is one of its own (``apart``)."""
 
     def add(df: DataFrame, name: str) -> DataFrame:
         if apart:
-            return run(ranged(df.drop("__p", "__i"), *order), name).drop("__p", "__i")
-        return run(df if "__p" in df.columns else ranged(df, *order), name)
+            return run(laid_out(df.drop("__scan_p", "__scan_i"), *order), name).drop("__scan_p", "__scan_i")
+        return run(df if "__scan_p" in df.columns else laid_out(df, *order), name)
 
     return add
 
@@ -51,11 +56,11 @@ def running(rows: DataFrame, name: str, value: Column, function: Callable[[Colum
     """``function`` (a sum, product, maximum or minimum) of all rows up to each one; ``merge`` puts two such results together and passes over nulls."""
     rows = rows.withColumn("__sv", value)
     kind = rows.select(function(F.col("__sv"))).schema[0].dataType
-    totals = rows.groupBy("__p").agg(function(F.col("__sv")).alias("__t"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(F.col("__p").alias("__sq"), function(F.col("__t")).over(before).alias("__sc"))
+    totals = rows.groupBy("__scan_p").agg(function(F.col("__sv")).alias("__t"))
+    before = Window.orderBy("__scan_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col("__scan_p").alias("__sq"), function(F.col("__t")).over(before).alias("__sc"))
     local = function(F.col("__sv")).over(_within().rowsBetween(Window.unboundedPreceding, 0))
-    joined = rows.join(_few(carried), F.col("__p") == F.col("__sq"), "left")
+    joined = rows.join(_few(carried), F.col("__scan_p") == F.col("__sq"), "left")
     return joined.withColumn(name, merge(local, F.col("__sc")).cast(kind)).drop(*_OWN)
 
 
@@ -78,27 +83,27 @@ def running_min(rows: DataFrame, name: str, value: Column) -> DataFrame:
 def nearest(rows: DataFrame, name: str, value: Column, ahead: bool = False, itself: bool = True) -> DataFrame:
     """The last value that is not null up to each row, or the first one from it on (``ahead``); ``itself`` counts the row's own."""
     rows = rows.withColumn("__sv", value)
-    known = F.when(F.col("__sv").isNotNull(), F.col("__i"))
-    totals = rows.groupBy("__p").agg((F.min_by if ahead else F.max_by)("__sv", known).alias("__t"))
+    known = F.when(F.col("__sv").isNotNull(), F.col("__scan_i"))
+    totals = rows.groupBy("__scan_p").agg((F.min_by if ahead else F.max_by)("__sv", known).alias("__t"))
     pick = F.first if ahead else F.last
     far, gap = ((1, Window.unboundedFollowing), 0 if itself else 1) if ahead else ((Window.unboundedPreceding, -1), 0 if itself else -1)
-    carried = totals.select(F.col("__p").alias("__sq"), pick("__t", ignorenulls=True).over(Window.orderBy("__p").rowsBetween(*far)).alias("__sc"))
+    carried = totals.select(F.col("__scan_p").alias("__sq"), pick("__t", ignorenulls=True).over(Window.orderBy("__scan_p").rowsBetween(*far)).alias("__sc"))
     frame = _within().rowsBetween(gap, Window.unboundedFollowing) if ahead else _within().rowsBetween(Window.unboundedPreceding, gap)
-    joined = rows.join(_few(carried), F.col("__p") == F.col("__sq"), "left")
+    joined = rows.join(_few(carried), F.col("__scan_p") == F.col("__sq"), "left")
     return joined.withColumn(name, F.coalesce(pick("__sv", ignorenulls=True).over(frame), F.col("__sc"))).drop(*_OWN)
 
 
 def _offsets(rows: DataFrame) -> DataFrame:
     """(__sq, __so, __sl, __ss) of each partition: counts before it, in it, and of all."""
-    counts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__sl"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.select(F.col("__p").alias("__sq"), F.coalesce(F.sum("__sl").over(before), F.lit(0)).alias("__so"), "__sl", F.sum("__sl").over(every).alias("__ss"))
+    counts = rows.groupBy("__scan_p").agg(F.count(F.lit(1)).alias("__sl"))
+    before = Window.orderBy("__scan_p").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("__scan_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return counts.select(F.col("__scan_p").alias("__sq"), F.coalesce(F.sum("__sl").over(before), F.lit(0)).alias("__so"), "__sl", F.sum("__sl").over(every).alias("__ss"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows with ``__sn``, the 0-based place of each in the whole order, and the columns of ``_offsets``."""
-    return rows.join(_few(_offsets(rows)), F.col("__p") == F.col("__sq")).withColumn("__sn", F.col("__so") + F.col("__i"))
+    return rows.join(_few(_offsets(rows)), F.col("__scan_p") == F.col("__sq")).withColumn("__sn", F.col("__so") + F.col("__scan_i"))
 
 
 def place(rows: DataFrame, name: str, value: Column | None = None) -> DataFrame:
@@ -117,7 +122,7 @@ def shifted(rows: DataFrame, name: str, value: Column, k: int, default: Column |
     rows = _numbered(rows.withColumn("__sv", value))
     back = k >= 0
     inner = F.lag("__sv", k).over(_within()) if back else F.lead("__sv", -k).over(_within())
-    near = F.col("__i") < k if back else F.col("__i") >= F.col("__sl") + k
+    near = F.col("__scan_i") < k if back else F.col("__scan_i") >= F.col("__sl") + k
     wanted = rows.where(near).select((F.col("__sn") - k).alias("__k"))
     found = cut(rows.select(F.col("__sn").alias("__f"), F.col("__sv").alias("__x")).join(wanted, F.col("__f") == F.col("__k"), "left_semi"))
     if found.count() <= MOST_BROADCAST:
@@ -136,10 +141,10 @@ def rolling(rows: DataFrame, name: str, value: Column, width: int, function: Cal
     The last width - 1 rows before a partition are copied into it.
     """
     rows = _numbered(rows.withColumn("__sv", value))
-    firsts = rows.groupBy("__p").agg(F.min("__sn").alias("__first")).withColumnRenamed("__p", "__to")
-    tails = cut(rows.where(F.col("__sl") - F.col("__i") < width).select("__sn", "__sv"))
+    firsts = rows.groupBy("__scan_p").agg(F.min("__sn").alias("__first")).withColumnRenamed("__scan_p", "__to")
+    tails = cut(rows.where(F.col("__sl") - F.col("__scan_i") < width).select("__sn", "__sv"))
     copied = tails.join(_few(firsts), (F.col("__sn") < F.col("__first")) & (F.col("__sn") > F.col("__first") - width))
-    copies = copied.select(F.col("__to").alias("__p"), (F.col("__sn") - F.col("__first")).alias("__i"), "__sv")
+    copies = copied.select(F.col("__to").alias("__scan_p"), (F.col("__sn") - F.col("__first")).alias("__scan_i"), "__sv")
     every = rows.withColumn("__own", F.lit(True)).unionByName(copies, allowMissingColumns=True)
     over = _within().rowsBetween(1 - width, 0)
     made = every.withColumn(name, F.when(F.count("__sv").over(over) >= width, function(F.col("__sv")).over(over)))
@@ -150,7 +155,7 @@ def value_places(df: DataFrame, name: str, value: Column) -> DataFrame:
     """For each value that is not null a struct: rows below it (before), rows of it (same), different values below it (steps), rows with a value (size)."""
     df = df.withColumn("__x", value)
     counts = df.where("__x is not null").groupBy(F.col("__x").alias("__y")).agg(F.count(F.lit(1)).alias("__same"))
-    placed = _numbered(running_sum(ranged(counts, F.col("__y")), "__upto", F.col("__same")))
+    placed = _numbered(running_sum(laid_out(counts, F.col("__y")), "__upto", F.col("__same")))
     size = placed.agg(F.sum("__same")).first()[0] or 0
     made = placed.select("__y", F.struct((F.col("__upto") - F.col("__same")).alias("before"), F.col("__same").alias("same"), F.col("__sn").alias("steps"), F.lit(size).cast("bigint").alias("size")).alias(name))
     return df.join(made, F.col("__x") == F.col("__y"), "left").drop("__x", "__y")
