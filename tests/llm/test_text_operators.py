@@ -193,6 +193,15 @@ def test_url_rules(url, host, path, rule, verdict):
     assert url_filter.Trie().match(host, path) == (rule, verdict)
 
 
+def test_url_rules_of_odd_hosts_and_ties():
+    trie = url_filter.Trie([("block", "net", ""), ("allow", "a.net", "/x/"), ("block", "a.net", "/x/"), ("block", "b.net", "/"), ("allow", "b.net", "/"), ("block", "B.ORG", "/")])
+    for host in ("x..\0ends.\0paths.net", "\0paths.net", "\0ends.net", "..net", ".net"):
+        assert trie.match(host, "/\0ends/") == ("net", "block")
+    assert trie.match("\0paths", "/") == (None, "allow") and trie.match("", "") == (None, "allow")
+    assert trie.match("a.net", "/x/") == ("a.net/x/", "block") and trie.match("b.net", "/") == ("b.net/", "allow")  # the last one holds
+    assert trie.match("c.b.org", "/") == ("B.ORG/", "block")
+
+
 def test_url_trie_equals_plain(spark):
     rng = random.Random(5)
     labels, pieces = ["a", "b", "c"], ["", "x", "xy", "y"]

@@ -45,46 +45,64 @@ def segments(path: str) -> list[str]:
     return [p + "/" for p in pieces[:-1]] + ([pieces[-1]] if pieces[-1] else [])
 
 
+class Paths:
+    """A path trie's node: the next segments, and the rules that end here, by the start of a segment that they still ask for."""
+
+    __slots__ = ("ends", "following")
+
+    def __init__(self):
+        self.following: dict[str, Paths] = {}
+        self.ends: dict[str, tuple[str, str]] = {}
+
+
+class Host:
+    """A host trie's node: the labels below it, and the path rules of the host itself."""
+
+    __slots__ = ("below", "paths")
+
+    def __init__(self):
+        self.below: dict[str, Host] = {}
+        self.paths: Paths | None = None
+
+
 class Trie:
-    """Longest-match lookup; a rule is (verdict, host, path) with the path as a prefix."""
+    """Longest-match lookup; a rule is (verdict, host, path) with the path as a prefix.  Of rules with one host and path the last one holds."""
 
     def __init__(self, rules=RULES, default: str = DEFAULT):
         if len(rules) > MOST_RULES:
             raise ValueError(f"{len(rules)} rules; join them by host instead of broadcasting more than {MOST_RULES}")
         self.default = default
-        self.root: dict = {}
+        self.root = Host()
         for verdict, host, path in rules:
-            node = self.root
-            for label in reversed(host.lower().split(".")) if host else ():
-                node = node.setdefault(label, {})
-            node = node.setdefault("\0paths", {})
+            place = self.root
+            for label in reversed(host.translate(_UPPER).split(".")) if host else ():
+                place = place.below.setdefault(label, Host())
+            place.paths = node = place.paths or Paths()
             cuts = segments(path)
             whole = cuts if path.endswith("/") or not path else cuts[:-1]
             for piece in whole:
-                node = node.setdefault(piece, {})
+                node = node.following.setdefault(piece, Paths())
             # a last piece without a slash is a prefix of a segment
-            node.setdefault("\0ends", {})["" if whole == cuts else cuts[-1]] = (verdict, f"{host}{path}")
+            node.ends["" if whole == cuts else cuts[-1]] = (verdict, f"{host}{path}")
 
     def match(self, host: str, path: str) -> tuple[str | None, str]:
         """(rule, verdict) of the longest fitting rule, or (None, default)."""
-        deep: list[dict] = []
-        node = self.root
-        if "\0paths" in node:
-            deep.append(node["\0paths"])
+        place = self.root
+        deep = [place.paths] if place.paths else []
         for label in reversed(host.split(".")) if host else ():
-            node = node.get(label)
-            if node is None:
+            place = place.below.get(label)
+            if place is None:
                 break
-            if "\0paths" in node:
-                deep.append(node["\0paths"])
+            if place.paths:
+                deep.append(place.paths)
         cuts = segments(path) if deep else []
-        for tree in reversed(deep):
+        for node in reversed(deep):
             best, done = None, 0
-            while tree is not None:
+            while node is not None:
                 rest = cuts[done] if done < len(cuts) else ""
-                fits = [(len(k), v) for k, v in tree.get("\0ends", {}).items() if rest.startswith(k)]
+                fits = [(len(k), v) for k, v in node.ends.items() if rest.startswith(k)]
                 best = max(fits, default=(0, best))[1]
-                tree = tree.get(rest) if rest else None
+                node = node.following.get(rest) if rest else None
                 done += 1
             if best:
                 return best[1], best[0]
