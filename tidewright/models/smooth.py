@@ -1,4 +1,4 @@
-"""Local and bootstrap fits: each works on one group of bounded size where its rows are."""
+"""Local and bootstrap fits; groups of bounded size are fitted where their rows are, larger ones from moments at vertices."""
 
 from __future__ import annotations
 
@@ -7,15 +7,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import quote
 from ..operators.frame import Frame
+from ..plans.shared import cut
 from ..plans.shipping import ship
+from .vertices import LocalSurface
 
 #: Cells of rows that a bootstrap weighs.
 CELLS = 1024
-#: Rows of a group that a local fit takes, at most.
+#: Rows of a group up to which it is fitted by one task.
 MOST_ROWS = 100_000
 
 
@@ -48,15 +51,31 @@ def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray | None = None, span: floa
     return local_fit(x, y, at, span, degree, weights)
 
 
-def stat_smooth(frame: Frame, x: str, y: str, by: Sequence[str] = (), n: int = 80, span: float = 0.75, degree: int = 2, family: str = "gaussian") -> Frame:
-    """A loess curve on n points for each group of at most MOST_ROWS rows."""
+def stat_smooth(
+    frame: Frame, x: str, y: str, by: Sequence[str] = (), n: int = 80, span: float = 0.75, degree: int = 2, family: str = "gaussian", surface: str = "interpolate", most_rows: int = MOST_ROWS
+) -> Frame:
+    """A loess curve on n points for each group.
+
+    Groups of at most ``most_rows`` rows are fitted where their rows are, at
+    each point; larger ones from local moments at vertices (see ``vertices``):
+    the points themselves with surface="direct", else fewer, and cubics between.
+    """
+    if surface not in ("interpolate", "direct"):
+        raise ValueError("surface is interpolate or direct")
     keys = list(by)
-    df = frame.df.where(F.col(quote(x)).isNotNull() & F.col(quote(y)).isNotNull())
-    df = df.select(*map(quote, keys), F.col(quote(x)).cast("double").alias("x"), F.col(quote(y)).cast("double").alias("y"))
+    if {"x", "y"} & set(keys):
+        raise ValueError("a key can't be named x or y")
+    df = frame.df.select(*map(quote, keys), F.col(quote(x)).cast("double").alias("x"), F.col(quote(y)).cast("double").alias("y")).where("abs(x) < double('inf') AND abs(y) < double('inf')")
     ship(df.sparkSession)
-    largest = df.groupBy(*map(quote, keys)).count().agg(F.max("count")).first()[0] or 0
-    if largest > MOST_ROWS:
-        raise ValueError(f"a group has {largest} rows; bin it, or use a linear model")
+    sizes = cut(df.groupBy(*map(quote, keys)).agg(F.count(F.lit(1)).alias("__n")))
+    largest = sizes.agg(F.max("__n")).first()[0] or 0
+
+    def of_size(rows: DataFrame, fits: Column) -> DataFrame:
+        few = sizes.where(fits).select(*[F.col(quote(k)).alias(f"__g{i}") for i, k in enumerate(keys)])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(quote(k)).eqNullSafe(F.col(f"__g{i}"))
+        return rows.join(few, same, "left_semi") if keys else rows
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["x"].to_numpy(), pdf["y"].to_numpy()
@@ -66,9 +85,15 @@ def stat_smooth(frame: Frame, x: str, y: str, by: Sequence[str] = (), n: int = 8
             out[name] = value
         return out[[*keys, "x", "y"]]
 
+    small = df if largest <= most_rows else of_size(df, F.col("__n") <= most_rows) if keys else df.limit(0)
     kinds = "".join(f"{quote(c)} {frame.df.schema[c].dataType.simpleString()}, " for c in keys)
-    grouped = df.groupBy(*map(quote, keys)) if keys else df.groupBy(F.lit(1))
-    return frame._new(grouped.applyInPandas(fit, f"{kinds}x double, y double"), [("x", False)])
+    curves = (small.groupBy(*map(quote, keys)) if keys else small.withColumn("__all", F.lit(1)).groupBy("__all")).applyInPandas(fit, f"{kinds}x double, y double")
+    if largest > most_rows:
+        places = [i / max(n - 1, 1) for i in range(n)] if surface == "direct" else None
+        large = LocalSurface(of_size(df, F.col("__n") > most_rows), keys, span, degree, family, places=places)
+        made = large.grid(n, surface == "direct")
+        curves = curves.unionByName(made) if keys else made
+    return frame._new(curves, [("x", False)])
 
 
 def lowess(x: np.ndarray, y: np.ndarray, frac: float = 2 / 3, it: int = 3) -> np.ndarray:

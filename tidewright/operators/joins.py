@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import Comparison, Name, quote
+from . import theta
 from .frame import Frame
 from .scans import laid_out, nearest
 
@@ -132,8 +133,6 @@ def _renamed(left: Frame, right: Frame, keys: Sequence[tuple[str, str]], suffix:
     return [*out, *[r[quote(c)].alias(c + suffix[1] if c in clash else c) for c in rest]]
 
 
-_OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
-
 
 def _bucket_width(l: DataFrame, r: DataFrame, interval: tuple[str, str, str, str]) -> float | None:  # noqa: E741
     """The mean length of both sides' intervals, or a thousandth of the longest, for numbers; None for others, which are compared in a nested loop."""
@@ -169,7 +168,10 @@ def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str],
     l, r = left.df.alias("l"), right.df.alias("r")  # noqa: E741
     l, r = l.select(*[F.col(f"l.{quote(c)}").alias(c) for c in left.columns]), r.select(*[F.col(f"r.{quote(c)}").alias(c) for c in right.columns])  # noqa: E741
     condition = F.lit(True)
-    if spec.interval and how == "inner" and not spec.equal and (width := _bucket_width(l, r, spec.interval)):
+    width = _bucket_width(l, r, spec.interval) if spec.interval and how == "inner" and not spec.equal else None
+    if spec.theta and not spec.equal and not width and l.count() * r.count() > theta.FEW_PAIRS:
+        return _unequal(left, right, spec.theta, how, suffix, l, r)
+    if width:
         x0, x1, y0, y1 = spec.interval
         l, first_x = _bucketed(l, x0, x1, width, "__bx")  # noqa: E741
         r, first_y = _bucketed(r, y0, y1, width, "__by")
@@ -178,13 +180,40 @@ def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str],
         x, y = _aligned(l, r, a, b)
         condition = condition & (x.eqNullSafe(y) if na_matches == "na" else x == y)
     for a, op, b in spec.theta:
-        condition = condition & _OPS[op](l[quote(a)], r[quote(b)])
+        condition = condition & theta.OPS[op](l[quote(a)], r[quote(b)])
     joined = l.join(r, condition, how)
     if how in ("left_semi", "left_anti"):
         return left._new(joined)
     return left._new(joined.select(*_renamed(left, right, spec.equal, suffix, not keep, how, l, r)))
 
 
+def _unequal(left: Frame, right: Frame, pairs: Sequence[tuple[str, str, str]], how: str, suffix: tuple[str, str], l: DataFrame, r: DataFrame) -> Frame:  # noqa: E741
+    """A join on comparisons alone by tiles of rows; rows without a match are told apart by a scan and added."""
+    sides = [_aligned(l, r, a, b) for a, _, b in pairs]
+    ops = [op for _, op, _ in pairs]
+    lk = l.select("*", *[x.alias(f"__l{i}") for i, (x, _) in enumerate(sides)])
+    rk = r.select("*", *[y.alias(f"__r{i}") for i, (_, y) in enumerate(sides)])
+    if how in ("left_semi", "left_anti"):
+        found = F.col("__found") if how == "left_semi" else ~F.col("__found")
+        return left._new(theta.matched(lk, rk, ops, "__found").where(found).select(*map(quote, left.columns)))
+    # columns of both sides go by numbers while they stand beside each other
+    final = l.join(r).select(*_renamed(left, right, [], suffix, False, how, l, r)).columns
+    size = len(left.columns)
+    lk = lk.toDF(*[f"__c{i}" for i in range(size)], *[f"__l{i}" for i in range(len(ops))])
+    rk = rk.toDF(*[f"__c{i}" for i in range(size, len(final))], *[f"__r{i}" for i in range(len(ops))])
+    columns = [f"__c{i}" for i in range(len(final))]
+    out = theta.matches(lk, rk, ops).select(*columns)
+    if how in ("left", "full"):
+        alone = theta.matched(lk, rk, ops, "__found").where("NOT __found").select(*columns[:size])
+        out = out.unionByName(alone, allowMissingColumns=True)
+    if how in ("right", "full"):
+        turned = [{"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op] for op in ops]
+        flipped = [d.withColumnsRenamed({f"__{a}{i}": f"__{b}{i}" for i in range(len(ops))}) for d, a, b in ((rk, "r", "l"), (lk, "l", "r"))]
+        alone = theta.matched(*flipped, turned, "__found").where("NOT __found").select(*columns[size:])
+        out = out.unionByName(alone, allowMissingColumns=True)
+    return left._new(out.select(*[F.col(c).alias(name) for c, name in zip(columns, final, strict=True)]))
+
+
 def inner_join(left: Frame, right: Frame, by: Any = None, suffix: tuple[str, str] = (".x", ".y"), keep: bool = False, na_matches: str = "na", unmatched: str = "drop", relationship: str | None = None) -> Frame:
     """Matching rows.  unmatched="error" and a relationship (like "many-to-one") are checked before, by jobs of their own."""
     spec = _spec(by, left, right)
