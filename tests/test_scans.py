@@ -146,3 +146,17 @@ def test_rolling_join_without_a_key(spark, frame, op, pick):
     made = j.left_join(frame, right, j.join_by(j.closest(ops[op](col("i"), col("t")))))
     assert not partitionless(made)
     assert column(made, "t") == [pick(i, times) for i in range(300)]
+
+
+def test_filling_backward_takes_time_in_proportion_to_the_rows(spark):
+    """A frame that reaches to the last row is gone through for each row: minutes for these."""
+    import time
+
+    rows = Frame(spark.range(0, 200_000, 1, 1).selectExpr("id AS i", "id % 2 AS g", "CASE WHEN id % 1000 = 999 THEN id END AS x"), [("i", False)])
+    began = time.monotonic()
+    made = rows.mutate(e=w.fill_backward("x")).df.agg(F.sum(F.col("e") - F.col("i")), F.count("e")).first()
+    assert tuple(made) == (200 * 999 * 500, 200_000)
+    grouped = rows.group_by("g").mutate(e=w.fill_backward("x")).df.where("g = 1").agg(F.sum(F.col("e") - F.col("i"))).first()[0]
+    filled = rows.fill("x", direction="up", _by="g").df.where("g = 1").agg(F.sum(F.col("x") - F.col("i"))).first()[0]
+    assert grouped == filled == 200 * 500 * 499
+    assert time.monotonic() - began < 60

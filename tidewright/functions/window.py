@@ -254,7 +254,8 @@ def fill_backward(x: Any) -> Expr:
     def build(c: Context, a: Column) -> Column:
         if not c.keys:
             return c.scan(lambda df, name: scans.nearest(df, name, a, ahead=True))
-        return F.first(a, ignorenulls=True).over(c.ordered().rowsBetween(0, Window.unboundedFollowing))
+        place = c.hoist(F.row_number().over(c.ordered()))
+        return F.last(a, ignorenulls=True).over(Window.partitionBy(*c.keys).orderBy(place.desc()).rowsBetween(Window.unboundedPreceding, 0))
 
     return windowed(build, named(x))
 

@@ -421,13 +421,16 @@ class Frame:
     def fill(self, *cols: Any, direction: str = "down", _by: Any = None) -> Frame:
         """Carries the last (down) or next (up) value into nulls, in frame order."""
         order = self._require_order()
-        part = Window.partitionBy(*map(quote, resolve(self.df, [_by]) if _by is not None else [])).orderBy(*order)
-        down, up = part.rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(0, Window.unboundedFollowing)
+        part_by = list(map(quote, resolve(self.df, [_by]) if _by is not None else []))
+        part = Window.partitionBy(*part_by).orderBy(*order)
+        down = part.rowsBetween(Window.unboundedPreceding, 0)
+        df = self.df if direction == "down" else self.df.withColumn("__at", F.row_number().over(part))
+        up = Window.partitionBy(*part_by).orderBy(F.col("__at").desc()).rowsBetween(Window.unboundedPreceding, 0)
         made = {}
         for c in resolve(self.df, cols) if cols else self.columns:
-            forward, backward = F.last(quote(c), ignorenulls=True).over(down), F.first(quote(c), ignorenulls=True).over(up)
+            forward, backward = F.last(quote(c), ignorenulls=True).over(down), F.last(quote(c), ignorenulls=True).over(up)
             made[c] = {"down": forward, "up": backward, "downup": F.coalesce(forward, backward), "updown": F.coalesce(backward, forward)}[direction]
-        return self._new(self.df.select(*[made[c].alias(c) if c in made else F.col(quote(c)) for c in self.columns]))
+        return self._new(df.select(*[made[c].alias(c) if c in made else F.col(quote(c)) for c in self.columns]))
 
     def sql(self, query: str) -> Frame:
         """SQL over the frame, which is called ``self``."""

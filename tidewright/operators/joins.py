@@ -270,7 +270,9 @@ def _rolling(left: Frame, right: Frame, spec: JoinSpec, how: str, suffix: tuple[
     if keys:
         w = Window.partitionBy(*keys).orderBy("__t", "__s", "__o")
         back = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        ahead = F.first("__r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        # equal places hold left rows alone, or right ones without an order, so the turned order serves as well
+        turned = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in ("__t", "__s", "__o")])
+        ahead = F.last("__r", ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, -1))
     else:  # range partitions that hand their last (or first) right row on
         both = laid_out(both, F.col("__t"), F.col("__s"), F.col("__o"))
         if look_back:

@@ -88,9 +88,11 @@ def nearest(rows: DataFrame, name: str, value: Column, ahead: bool = False, itse
     pick = F.first if ahead else F.last
     far, gap = ((1, Window.unboundedFollowing), 0 if itself else 1) if ahead else ((Window.unboundedPreceding, -1), 0 if itself else -1)
     carried = totals.select(F.col("__scan_p").alias("__sq"), pick("__t", ignorenulls=True).over(Window.orderBy("__scan_p").rowsBetween(*far)).alias("__sc"))
-    frame = _within().rowsBetween(gap, Window.unboundedFollowing) if ahead else _within().rowsBetween(Window.unboundedPreceding, gap)
+    # looking ahead is looking back in the turned order: a frame up to the last row is gone through anew for each row
+    order = F.col("__scan_i").desc() if ahead else F.col("__scan_i")
+    frame = Window.partitionBy("__scan_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -abs(gap))
     joined = rows.join(_few(carried), F.col("__scan_p") == F.col("__sq"), "left")
-    return joined.withColumn(name, F.coalesce(pick("__sv", ignorenulls=True).over(frame), F.col("__sc"))).drop(*_OWN)
+    return joined.withColumn(name, F.coalesce(F.last("__sv", ignorenulls=True).over(frame), F.col("__sc"))).drop(*_OWN)
 
 
 def _offsets(rows: DataFrame) -> DataFrame:

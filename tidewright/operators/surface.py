@@ -95,13 +95,14 @@ def interpolate(self: Frame, *cols: str, by: Sequence[str] = ()) -> Frame:
     w = Window.partitionBy(*map(quote, by)).orderBy(*order)
     place = F.row_number().over(w)
     df = self.df.withColumn("__i", place)
-    before, behind = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*map(quote, by)).orderBy(F.col("__i").desc()).rowsBetween(Window.unboundedPreceding, 0)
     made = {}
     for c in cols or _numeric(self):
         x = F.col(quote(c)).cast("double")
         at = F.when(x.isNotNull(), F.col("__i"))
-        a, b = F.last(x, ignorenulls=True).over(before), F.first(x, ignorenulls=True).over(behind)
-        i, j = F.last(at, ignorenulls=True).over(before), F.first(at, ignorenulls=True).over(behind)
+        a, b = F.last(x, ignorenulls=True).over(before), F.last(x, ignorenulls=True).over(behind)
+        i, j = F.last(at, ignorenulls=True).over(before), F.last(at, ignorenulls=True).over(behind)
         made[c] = F.when(x.isNotNull(), x).when(j > i, a + (b - a) * (F.col("__i") - i) / F.greatest(j - i, F.lit(1)))
     return self._new(df.select(*[made[c].alias(c) if c in made else F.col(quote(c)) for c in self.columns]))
 
