@@ -355,3 +355,11 @@ def test_relocate_anchor_among_movers_raises(spark):
         frame.relocate("a", "b", _before="a")
     assert frame.relocate("a", _after="b").columns == ["b", "a", "c"]
     assert frame.mutate(b=col("a") + 1, _before="a").columns == ["b", "a", "c"]
+
+
+def test_quantile_plot_goes_by_the_number_of_rows(spark):
+    from tidewright.functions.distributions import pnorm
+    from tidewright.operators import layers
+
+    made = layers.stat_qq(Frame(spark.range(1000).select(F.col("id").cast("double").alias("v"))), "v").mutate(p=pnorm("theoretical"))
+    assert all(abs(r["p"] - (r["sample"] + 0.5) / 1000) < 1e-6 for r in made.df.collect())
