@@ -176,7 +176,13 @@ def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str],
         l, first_x = _bucketed(l, x0, x1, width, "__bx")  # noqa: E741
         r, first_y = _bucketed(r, y0, y1, width, "__by")
         condition = (F.col("__bx") == F.col("__by")) & (F.col("__bx") == F.greatest(first_x, first_y))
-    for a, b in spec.equal:
+    same = [(F.col("__bx"), F.col("__by"))] if width else [_aligned(l, r, a, b) for a, b in spec.equal]
+    if how == "inner" and same and theta.many_pairs(l, r, same) and (both := theta.dealt(l, r, same, na_matches == "na")):
+        l, r = both  # noqa: E741
+        condition = F.col("__u") == F.col("__v")
+        if width:
+            condition = condition & (F.col("__bx") == F.greatest(first_x, first_y))
+    for a, b in spec.equal if "__u" not in l.columns else ():
         x, y = _aligned(l, r, a, b)
         condition = condition & (x.eqNullSafe(y) if na_matches == "na" else x == y)
     for a, op, b in spec.theta:
@@ -310,9 +316,11 @@ def range_join(left: Frame, right: Frame, x: tuple[str, str], y: tuple[str, str]
 
     A pair that shares several buckets is taken from the first one they share.
     """
-    l = left.df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(x[0]) / width), F.floor(F.col(x[1]) / width))))  # noqa: E741
-    r = right.df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(y[0]) / width), F.floor(F.col(y[1]) / width))))
-    first = F.greatest(F.floor(l[x[0]] / width), F.floor(r[y[0]] / width))
-    joined = l.join(r, (l["__b"] == r["__b"]) & (l[x[0]] <= r[y[1]]) & (r[y[0]] <= l[x[1]]) & (l["__b"] == first))
-    clash = set(left.columns) & set(right.columns)
-    return left._new(joined.select(*[l[quote(c)].alias(c + suffix[0] if c in clash else c) for c in left.columns], *[r[quote(c)].alias(c + suffix[1] if c in clash else c) for c in right.columns]))
+    l, first_x = _bucketed(left.df, x[0], x[1], width, "__bx")  # noqa: E741
+    r, first_y = _bucketed(right.df, y[0], y[1], width, "__by")
+    condition, same = F.col("__bx") == F.col("__by"), [(F.col("__bx"), F.col("__by"))]
+    if theta.many_pairs(l, r, same) and (both := theta.dealt(l, r, same, False)):
+        l, r = both  # noqa: E741
+        condition = F.col("__u") == F.col("__v")
+    joined = l.join(r, condition & (F.col("__bx") == F.greatest(first_x, first_y)) & (l[quote(x[0])] <= r[quote(y[1])]) & (r[quote(y[0])] <= l[quote(x[1])]))
+    return left._new(joined.select(*_renamed(left, right, [], suffix, False, "inner", l, r)))

@@ -13,9 +13,11 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.expr import quote
 from ..plans.shared import cut
 from . import scans
 
@@ -27,6 +29,60 @@ FEW_PAIRS = 10_000_000
 OPS: dict[str, Callable[[Column, Column], Column]] = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
+#: Rows of a block: those of a key are dealt to blocks, and two blocks meet in one task.
+BLOCK = 4096
+#: Pairs of rows that a task compares.
+TASK_PAIRS = 32_000_000
+#: Keys up to which their numbers of rows pass through the driver.
+MOST_GROUPS = 100_000
+
+
+def _tasks(spark: SparkSession, pairs: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
+
+
+def many_pairs(left: DataFrame, right: DataFrame, same: Sequence[tuple[Column, Column]]) -> bool:
+    """Whether an equality join makes far more pairs than there are rows, by the numbers of rows and different keys."""
+    sizes = [d.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*keys))).first() for d, keys in ((left, [a for a, _ in same]), (right, [b for _, b in same]))]
+    (n, p), (m, q) = sizes
+    return n * m / max(p, q, 1) > max(FEW_PAIRS, 20 * (n + m))
+
+
+def dealt(left: DataFrame, right: DataFrame, same: Sequence[tuple[Column, Column]], nulls: bool) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides with ``__u`` and ``__v``, which are equal for just the pairs of rows whose keys are, dealt so that a task's pairs are bounded.
+
+    The rows of a key are dealt to blocks, and a row is copied for each block
+    of the other side: rows divided by the size of a block.  None for too many
+    keys.  ``nulls``: whether they are equal.
+    """
+    spark = left.sparkSession
+    names = [f"__g{i}" for i in range(len(same))]
+    sides = []
+    for df, keys in ((left, [a for a, _ in same]), (right, [b for _, b in same])):
+        kept = df.select("*", *[k.alias(c) for k, c in zip(keys, names, strict=True)])
+        sides.append(cut(kept if nulls else kept.dropna(subset=names)).withColumn("__id", F.monotonically_increasing_id()))
+    counts = [d.groupBy(*names).agg(F.count(F.lit(1)).alias(c)) for d, c in zip(sides, ("__n", "__m"), strict=True)]
+    both = counts[0].join(counts[1].toDF(*[f"__h{i}" for i in range(len(names))], "__m"), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__h{i}")) for i, c in enumerate(names)]))
+    groups = both.select(*names, "__n", "__m").limit(MOST_GROUPS + 1).collect()
+    if len(groups) > MOST_GROUPS:
+        return None
+    made, first, pairs = [], 0, 0
+    for *key, n, m in groups:
+        i, j = -(-n // BLOCK), -(-m // BLOCK)
+        made.append((*key, first, i, j))
+        first, pairs = first + i * j, pairs + n * m
+    schema = T.StructType([*[T.StructField(f"__h{i}", sides[0].schema[c].dataType) for i, c in enumerate(names)], *[T.StructField(c, T.LongType()) for c in ("__first", "__bl", "__br")]])
+    few = F.broadcast(spark.createDataFrame(made, schema))
+    own, at = F.col("__id"), F.col("__first")
+    l, r = (d.join(few, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__h{i}")) for i, c in enumerate(names)])) for d in sides)
+    l = l.select(*[F.col(quote(c)) for c in left.columns], F.explode(F.sequence(F.lit(0), F.col("__br") - 1)).alias("__j"), own.alias("__o"), at, "__bl", "__br")  # noqa: E741
+    l = l.select(*[F.col(quote(c)) for c in left.columns], (at + F.pmod("__o", "__bl") * F.col("__br") + F.col("__j")).alias("__u"))  # noqa: E741
+    r = r.select(*[F.col(quote(c)) for c in right.columns], F.explode(F.sequence(F.lit(0), F.col("__bl") - 1)).alias("__j"), own.alias("__o"), at, "__bl", "__br")
+    r = r.select(*[F.col(quote(c)) for c in right.columns], (at + F.col("__j") * F.col("__br") + F.pmod("__o", "__br")).alias("__v"))
+    n = _tasks(spark, pairs)
+    return l.repartition(n, "__u"), r.repartition(n, "__v").hint("shuffle_hash")
+
+
 def _keys(side: str, ops: Sequence[str]) -> list[str]:
     return [f"__{side}{i}" for i in range(len(ops))]
 
