@@ -363,3 +363,22 @@ def test_quantile_plot_goes_by_the_number_of_rows(spark):
 
     made = layers.stat_qq(Frame(spark.range(1000).select(F.col("id").cast("double").alias("v"))), "v").mutate(p=pnorm("theoretical"))
     assert all(abs(r["p"] - (r["sample"] + 0.5) / 1000) < 1e-6 for r in made.df.collect())
+
+
+def test_dates_are_tried_by_formats_of_their_shape(spark):
+    """Every format reads what it wrote, with the clock and without, and the shapes of others keep them out."""
+    import datetime as dt
+    import re
+
+    from tidewright.functions import strings
+
+    at = spark.sql("SELECT explode(sequence(timestamp'2023-12-28 23:01:02', timestamp'2024-10-15 00:00:00', interval 37 days)) AS t")
+    for order, formats in strings._DATES.items():
+        for clock in (None, "H:m:s", "H:m"):
+            parse = getattr(strings, order if clock is None else f"{order}_{'hms' if clock == 'H:m:s' else 'hm'}")
+            texts = at.select("t", F.explode(F.array(*[F.date_format("t", f if clock is None else f"{f} {clock}") for f in formats])).alias("d"))
+            wanted = F.col("t").cast("date") if clock is None else F.col("t").cast("timestamp_ntz") if clock == "H:m:s" else F.date_trunc("minute", "t").cast("timestamp_ntz")
+            assert Frame(texts).mutate(v=parse("d")).df.where(~F.col("v").eqNullSafe(wanted)).isEmpty()
+        assert [f for f in formats if re.match(strings._shape(f), "3/5/2024")] == [f for f in formats if "/" in f]
+    odd = Frame(spark.createDataFrame([("20240305",), ("2024 Mar 5",), ("2024-13-01",), ("soon",), ("",), (None,), ("2024-3-5 x",), ("12024-03-05",)], "d string"))
+    assert [r["v"] for r in odd.mutate(v=strings.ymd("d", quiet=True)).df.collect()] == [dt.date(2024, 3, 5)] * 2 + [None] * 6

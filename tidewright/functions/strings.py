@@ -137,14 +137,32 @@ _DATES = {
 }
 
 
+#: What the letters of a format can stand for, at the widest; months are named in English.
+_SHAPES = {"yyyy": r"[+-]?\d+", "M": r"[+-]?\d+", "d": r"[+-]?\d+", "H": r"[+-]?\d+", "m": r"[+-]?\d+", "s": r"[+-]?\d+", "MMM": r"\D{3}", "MMMM": r"\D{3,}"}
+
+
+def _shape(form: str) -> str:
+    """A pattern that every text of the format fits."""
+    letters = re.sub("yyyyMMdd|MMddyyyy|ddMMyyyy", "yyyy", form)  # digits without a sign between them
+    parts = re.findall(r"([a-zA-Z])(\1*)|([^a-zA-Z])", letters)
+    return "^" + "".join(re.escape(sign) if sign else _SHAPES[first + more] for first, more, sign in parts) + "$"
+
+
 def _parsed(order: str, clock: str | None, quiet: bool):
     formats = [f if clock is None else f"{f} {clock}" for f in _DATES[order]]
 
     def build(a: Column) -> Column:
         text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(a.cast("string")), r"(\d)(st|nd|rd|th)\b", "$1"), ",", " "), r"[\sT]+", " ")
-        found = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
-        if not quiet:
-            found = F.when(text.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit(f"not a date in the order {order}: "), text)).cast("timestamp")).otherwise(found)
+
+        def read(t: Column) -> Column:
+            # a format is tried only on texts of its shape: one that doesn't fit costs a Java exception
+            tries = [F.when(t.rlike(_shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in formats]
+            if not quiet:
+                tries.append(F.when(t.isNotNull(), F.raise_error(F.concat(F.lit(f"not a date in the order {order}: "), t)).cast("timestamp")))
+            return F.coalesce(*tries)
+
+        # the variable of a lambda function is worked out once, a column anew in each place
+        found = F.transform(F.array(text), read)[0]
         return found.cast("date") if clock is None else found.cast("timestamp_ntz")
 
     return build
