@@ -67,3 +67,37 @@ def test_self_join_of_odd_names(spark, monkeypatch):
     rows = [(k, k % 7) for k in range(40)]
     pairs = [(*p, *q) for p in rows for q in rows if p[0] < q[0] and p[1] > q[1]]
     assert sorted(tuple(r) for r in out.collect() if r[2] is not None) == pairs
+
+
+@pytest.mark.parametrize("most", [1000, 20, 0])
+@pytest.mark.parametrize("ops", [("<=", ">", ">"), ("<", "<", ">="), (">=", "<=", "<")])
+def test_three_comparisons_make_no_pairs_of_all(spark, monkeypatch, most, ops):
+    """Right rows that others stand for go first; pairs of tiles are told apart without the pairs of their rows."""
+    import datetime as dt
+    import operator
+    import random
+
+    def pairs(*_):
+        raise AssertionError("the pairs of rows are made")
+
+    monkeypatch.setattr(theta, "matches", pairs)
+    monkeypatch.setattr(theta, "MOST_LEADING", most)
+    monkeypatch.setattr(theta, "TILE_BITS", 4)
+    rng = random.Random(5)
+    day = dt.datetime(2024, 1, 1)
+
+    def made(n):
+        return [(None if rng.random() < 0.03 else day + dt.timedelta(hours=rng.randrange(60)), rng.choice([None, float("nan"), -5.5] + [rng.random() * 9 for _ in range(30)]), rng.choice([-(1 << 63), rng.randrange(50), rng.randrange(50)])) for _ in range(n)]
+
+    left, right = made(150), made(200)
+    l, r = (spark.createDataFrame(rows, f"__{s}0 timestamp, __{s}1 double, __{s}2 bigint") for rows, s in ((left, "l"), (right, "r")))
+    out = theta.matched(l, r, ops, "found").select("__l0", "__l1", "__l2", "found").collect()
+    how = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+    def place(v):  # NaN is the greatest, and equal to itself
+        return (1, 0) if isinstance(v, float) and v != v else (0, v)
+
+    def found(a):
+        return any(all(x is not None and y is not None and how[op](place(x), place(y)) for op, x, y in zip(ops, a, b, strict=True)) for b in right)
+
+    assert sorted(map(str, out)) == sorted(map(str, [type(out[0])(__l0=a[0], __l1=a[1], __l2=a[2], found=found(a)) for a in left]))

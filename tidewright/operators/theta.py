@@ -10,9 +10,11 @@ match at all is told by one scan, without any pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,10 @@ OPS: dict[str, Callable[[Column, Column], Column]] = {"<": lambda a, b: a < b, "
 BLOCK = 4096
 #: Pairs of rows that a task compares.
 TASK_PAIRS = 32_000_000
+#: Rows that a task holds to leave out others, and up to which what is left meets every row.
+MOST_LEADING = 1000
+#: Pairs of tiles, or right rows, that one task may hold.
+MOST_BROADCAST = 500_000
 #: Keys up to which their numbers of rows pass through the driver.
 MOST_GROUPS = 100_000
 
@@ -109,12 +115,64 @@ def _meeting(left: DataFrame, right: DataFrame, ops: Sequence[str]) -> DataFrame
     return cut(pairs.select(F.col("__lt").alias("__u"), F.col("__rt").alias("__v")))
 
 
-def matches(left: DataFrame, right: DataFrame, ops: Sequence[str]) -> DataFrame:
-    """All columns of both sides for each pair of rows whose columns ``__l<i>`` and ``__r<i>`` compare by ``ops[i]``; nulls match nothing."""
+def _met(left: DataFrame, right: DataFrame, ops: Sequence[str], how: str) -> DataFrame:
+    """The join of both sides by pairs of tiles.  Each pair is a key of its own, so that a tile which meets many others doesn't hold up a task."""
     l, r = _tiled(left, "l", ops), _tiled(right, "r", ops)  # noqa: E741
-    pairs = _meeting(l, r, ops)
+    pairs = _meeting(l, r, ops).withColumn("__w", F.monotonically_increasing_id())
+    many = pairs.count()
+    few = F.broadcast(pairs) if many <= MOST_BROADCAST else pairs
+    n = _tasks(left.sparkSession, many << (2 * TILE_BITS))
+    l = l.join(few, F.col("__lt") == F.col("__u")).drop("__u", "__v").withColumnRenamed("__w", "__wl").repartition(n, "__wl")  # noqa: E741
+    r = r.join(few, F.col("__rt") == F.col("__v")).drop("__u", "__v").withColumnRenamed("__w", "__wr").repartition(n, "__wr")
     holds = [OPS[op](F.col(f"__l{i}"), F.col(f"__r{i}")) for i, op in enumerate(ops)]
-    return l.join(pairs, F.col("__lt") == F.col("__u")).join(r, reduce(lambda a, b: a & b, holds, F.col("__rt") == F.col("__v")))
+    return l.join(r.hint("shuffle_hash"), reduce(lambda a, b: a & b, holds, F.col("__wl") == F.col("__wr")), how)
+
+
+def matches(left: DataFrame, right: DataFrame, ops: Sequence[str]) -> DataFrame:
+    """All columns of both sides for each pair of rows whose columns ``__l<i>`` and ``__r<i>`` compare by ``ops[i]``; nulls match nothing."""
+    return _met(left, right, ops, "inner")
+
+
+def _leading(known: DataFrame, ops: Sequence[str]) -> DataFrame:
+    """The compared columns of right rows, without many of those that another row matches for: it is as good in each comparison.
+
+    Tasks hold at most MOST_LEADING rows to compare with; what they leave in is no fault.
+    """
+    keys = _keys("r", ops)
+    rows = known.select(*keys)
+    if not all(isinstance(rows.schema[k].dataType, (T.IntegralType, T.DoubleType, T.FloatType, T.DateType, T.TimestampType, T.TimestampNTZType)) for k in keys):
+        return rows
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            values = []
+            for c, op in zip(batch.columns, ops, strict=True):
+                v = c.cast(pa.int32() if pa.types.is_date32(c.type) else pa.int64() if pa.types.is_timestamp(c.type) else c.type).to_numpy(zero_copy_only=False)
+                # smaller is better: ~v turns the order of whole numbers without an overflow
+                values.append((~v if v.dtype.kind == "i" else -v) if op in ("<", "<=") else v)
+            odd = reduce(np.logical_or, [np.isnan(v) for v in values if v.dtype.kind == "f"], np.zeros(batch.num_rows, bool))
+            left = ~odd
+            if held is None:
+                held = [v[:0] for v in values]
+            for place in range(0, batch.num_rows, 1024):
+                part = slice(place, place + 1024)
+                left[part] &= ~reduce(np.logical_and, [h[None, :] <= v[part, None] for h, v in zip(held, values, strict=True)]).any(axis=1)
+            at = np.flatnonzero(left)
+            order = at[np.lexsort([v[at] for v in reversed(values)])]
+            kept, fresh = [], [np.empty(len(order), v.dtype) for v in values]
+            for i in order:
+                m = min(len(kept), max(0, MOST_LEADING - len(held[0])))
+                if not m or not reduce(np.logical_and, [f[:m] <= v[i] for f, v in zip(fresh, values, strict=True)]).any():
+                    for f, v in zip(fresh, values, strict=True):
+                        f[len(kept)] = v[i]
+                    kept.append(i)
+            room = max(0, MOST_LEADING - len(held[0]))
+            held = [np.concatenate([h, f[: min(room, len(kept))]]) for h, f in zip(held, fresh, strict=True)]
+            yield batch.take(pa.array(np.concatenate([np.flatnonzero(odd), np.array(kept, dtype=np.int64)])))
+
+    some = cut(rows.mapInArrow(pruned, rows.schema))
+    return cut(some.repartition(1).mapInArrow(pruned, rows.schema)) if some.count() <= MOST_BROADCAST else some
 
 
 def matched(left: DataFrame, right: DataFrame, ops: Sequence[str], mark: str) -> DataFrame:
@@ -123,7 +181,8 @@ def matched(left: DataFrame, right: DataFrame, ops: Sequence[str], mark: str) ->
     For one comparison the right side's extreme value tells.  For two, rows of
     both sides stand in the order of the first, so that the right rows that
     satisfy it come before a left row, and the running extreme of the second
-    tells.  For more, the pairs are made and their left rows counted once.
+    tells.  For more, right rows go that others stand for, and left rows are
+    looked for in pairs with the rest, up to their first match in a pair of tiles.
     """
     known = right.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in _keys("r", ops)]))
     if len(ops) == 1:
@@ -141,5 +200,10 @@ def matched(left: DataFrame, right: DataFrame, ops: Sequence[str], mark: str) ->
         found = F.col("__t").isNotNull() & OPS[second](F.col("__row.__l1"), F.col("__best"))
         return told.select("__row.*", F.coalesce(found, F.lit(False)).alias(mark))
     numbered = cut(left).withColumn("__id", F.monotonically_increasing_id())
-    ids = matches(numbered, right, ops).groupBy("__id").count().select(F.col("__id").alias("__has"))
+    leading = _leading(known, ops)
+    if leading.limit(MOST_LEADING + 1).count() <= MOST_LEADING:
+        holds = reduce(lambda a, b: a & b, [OPS[op](F.col(f"__l{i}"), F.col(f"__r{i}")) for i, op in enumerate(ops)])
+        ids = numbered.join(F.broadcast(leading), holds, "left_semi").select(F.col("__id").alias("__has"))
+    else:
+        ids = _met(numbered, leading, ops, "left_semi").select(F.col("__id").alias("__has")).distinct()
     return numbered.join(ids, F.col("__id") == F.col("__has"), "left").withColumn(mark, F.col("__has").isNotNull()).drop("__id", "__has")
