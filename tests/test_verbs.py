@@ -382,3 +382,14 @@ def test_dates_are_tried_by_formats_of_their_shape(spark):
         assert [f for f in formats if re.match(strings._shape(f), "3/5/2024")] == [f for f in formats if "/" in f]
     odd = Frame(spark.createDataFrame([("20240305",), ("2024 Mar 5",), ("2024-13-01",), ("soon",), ("",), (None,), ("2024-3-5 x",), ("12024-03-05",)], "d string"))
     assert [r["v"] for r in odd.mutate(v=strings.ymd("d", quiet=True)).df.collect()] == [dt.date(2024, 3, 5)] * 2 + [None] * 6
+
+
+def test_panels_of_a_grid_are_broadcast(spark):
+    """Rows aren't sorted by their panel, which would put those of a large one into one task."""
+    from tidewright.operators import layers
+
+    rows = Frame(spark.range(1000).selectExpr("id", "nullif(id % 3, 0) AS g", "id % 2 AS h"))
+    made = layers.facet_grid(rows, "g", "h").df
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert made.where("panel <> coalesce(g, 0) * 2 + h + 1").isEmpty() and made.count() == 1000

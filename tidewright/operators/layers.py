@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, quote
+from ..plans.shared import cut
 from .frame import Frame
 from .ranges import quantiles, row_numbers
 
@@ -28,6 +29,12 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return (left.join(named, same, how) if keys else left.crossJoin(named)).drop(*own)
 
 
+def few(groups: DataFrame) -> DataFrame:
+    """Rows of groups, worked out now and broadcast unless they are many: else rows are sorted by their group, a large one in one task."""
+    made = cut(groups)
+    return F.broadcast(made) if made.count() <= MOST_PANELS else made
+
+
 def bin_breaks(low: float, high: float, bins: int | None = 30, width: float | None = None, boundary: float | None = None) -> list[float]:
     if width is None:
         width = (high - low) / max(bins - 1, 1) if high > low else 1.0
@@ -367,6 +374,7 @@ def facet_grid(frame: Frame, row: str, column: str) -> Frame:
     """
     rows = row_numbers(frame.df.select(quote(row)).distinct(), "__r", F.col(quote(row)).asc_nulls_first())
     columns = row_numbers(frame.df.select(quote(column)).distinct(), "__c", F.col(quote(column)).asc_nulls_first())
+    columns = few(columns)
     width = columns.count()
-    out = join_groups(join_groups(frame.df, rows, [row]), columns, [column])
+    out = join_groups(join_groups(frame.df, few(rows), [row]), columns, [column])
     return frame._new(out.withColumn("panel", (F.col("__r") * width + F.col("__c") + 1).cast("bigint")).drop("__r", "__c"))
