@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.models import vertices
+from tidewright.models import smooth, vertices
 from tidewright.models.smooth import local_fit, loess, stat_smooth
 from tidewright.models.vertices import LocalSurface, loess_fit
+from tidewright.operators import ranges
 from tidewright.operators.frame import Frame
 
 
@@ -69,3 +70,51 @@ def test_no_rows_and_wrong_arguments(spark):
         LocalSurface(empty.df.toDF("g", "x", "y"), [], degree=3)
     with pytest.raises(ValueError, match="key"):
         stat_smooth(Frame(empty.df.toDF("x", "u", "v")), "u", "v", ["x"])
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def nothing_is_small(spark):
+    """Only joins that ask for it broadcast a side."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("sizes", [(600, 400), (600, 30)])
+def test_large_groups_are_not_sorted_into_one_task(spark, monkeypatch, nothing_is_small, sizes):
+    seen = []
+    monkeypatch.setattr(smooth, "LocalSurface", lambda df, *a, **k: seen.append(plan(df)) or LocalSurface(df, *a, **k))
+    rows = [(g, float(i), 3.0 * i) for g, n in zip((None, "b"), sizes, strict=True) for i in range(n)]
+    out = stat_smooth(Frame(spark.createDataFrame(rows, "g string, u double, v double")), "u", "v", ["g"], n=5, surface="direct", most_rows=100).df
+    assert seen and "SortMergeJoin" not in seen[0] and "SortMergeJoin" not in plan(out)
+    assert out.count() == 10 and out.where("abs(y - 3 * x) > 1e-6").isEmpty()
+
+
+def test_quantiles_of_few_groups_and_many(spark, monkeypatch, nothing_is_small):
+    rows = [(None if i % 3 == 0 else i % 3, float(i * i % 101)) for i in range(900)] + [(7, 1.0), (8, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for most in (ranges.MOST_BROADCAST, 0):  # broadcast, then salted
+        monkeypatch.setattr(ranges, "MOST_BROADCAST", most)
+        made = ranges.quantiles(df, "v", [0.1, 0.5], ["g"])
+        assert ("SortMergeJoin" in plan(made)) == (most == 0)
+        found = {r["g"]: (r["q"], r["n"]) for r in made.collect()}
+        assert set(found) == {None, 1, 2, 7}
+        for g, (q, n) in found.items():
+            values = [v for k, v in rows if k == g and v is not None]
+            assert n == len(values) and np.allclose(q, np.quantile(values, [0.1, 0.5]))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_rows_beside_their_group(spark, broadcast):
+    rows = spark.createDataFrame([(i % 3 or None, f"t{i % 2}", {"m": i}) for i in range(60)] + [(9, "t", None)], "g int, `a.b` string, m map<string,int>")
+    groups = spark.createDataFrame([(None, 10), (1, 11), (5, 12)], "g int, w int")
+    joined = [(r["g"], r["w"]) for r in ranges.beside(rows, groups, ["g"], broadcast=broadcast).collect()]
+    assert sorted(joined, key=str) == sorted([(None, 10), (1, 11)] * 20, key=str)
+    left = ranges.beside(rows, groups, ["g"], "left", broadcast)
+    assert left.columns == ["g", "a.b", "m", "w"] and left.count() == 61 and left.where("w IS NULL").count() == 21
+    semi = ranges.beside(rows, groups, ["g"], "left_semi", broadcast)
+    assert semi.columns == rows.columns and semi.count() == 40

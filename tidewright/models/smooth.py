@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import quote
 from ..operators.frame import Frame
+from ..operators.ranges import beside
 from ..plans.shared import cut
 from ..plans.shipping import ship
 from .vertices import LocalSurface
@@ -68,14 +69,10 @@ def stat_smooth(
     df = frame.df.select(*map(quote, keys), F.col(quote(x)).cast("double").alias("x"), F.col(quote(y)).cast("double").alias("y")).where("abs(x) < double('inf') AND abs(y) < double('inf')")
     ship(df.sparkSession)
     sizes = cut(df.groupBy(*map(quote, keys)).agg(F.count(F.lit(1)).alias("__n")))
-    largest = sizes.agg(F.max("__n")).first()[0] or 0
+    least, largest = (size or 0 for size in sizes.agg(F.min("__n"), F.max("__n")).first())
 
     def of_size(rows: DataFrame, fits: Column) -> DataFrame:
-        few = sizes.where(fits).select(*[F.col(quote(k)).alias(f"__g{i}") for i, k in enumerate(keys)])
-        same = F.lit(True)
-        for i, k in enumerate(keys):
-            same = same & F.col(quote(k)).eqNullSafe(F.col(f"__g{i}"))
-        return rows.join(few, same, "left_semi") if keys else rows
+        return beside(rows, cut(sizes.where(fits).select(*map(quote, keys))), keys, "left_semi") if keys else rows
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["x"].to_numpy(), pdf["y"].to_numpy()
@@ -85,12 +82,12 @@ def stat_smooth(
             out[name] = value
         return out[[*keys, "x", "y"]]
 
-    small = df if largest <= most_rows else of_size(df, F.col("__n") <= most_rows) if keys else df.limit(0)
+    small = df if largest <= most_rows else of_size(df, F.col("__n") <= most_rows) if least <= most_rows else df.limit(0)
     kinds = "".join(f"{quote(c)} {frame.df.schema[c].dataType.simpleString()}, " for c in keys)
     curves = (small.groupBy(*map(quote, keys)) if keys else small.withColumn("__all", F.lit(1)).groupBy("__all")).applyInPandas(fit, f"{kinds}x double, y double")
     if largest > most_rows:
         places = [i / max(n - 1, 1) for i in range(n)] if surface == "direct" else None
-        large = LocalSurface(of_size(df, F.col("__n") > most_rows), keys, span, degree, family, places=places)
+        large = LocalSurface(of_size(df, F.col("__n") > most_rows) if least <= most_rows else df, keys, span, degree, family, places=places)
         made = large.grid(n, surface == "direct")
         curves = curves.unionByName(made) if keys else made
     return frame._new(curves, [("x", False)])

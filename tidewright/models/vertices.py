@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import quote
 from ..operators.frame import Frame
-from ..operators.ranges import quantiles
+from ..operators.ranges import beside, quantiles
 from ..plans.shared import cut
 from ..plans.shipping import ship
 
@@ -32,20 +32,11 @@ CELLS = 32
 BINS = 1024
 #: Groups up to which their vertices are broadcast; more are joined to salted rows.
 MOST_BROADCAST = 2000
-SALTS = 32
 
 
-def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
-    """rows with the columns of their group's row, nulls in keys being a group of their own."""
-    few = groups.select(*[F.col(k).alias(f"{k}g") for k in keys], *[c for c in groups.columns if c not in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}g"))
-    if count <= MOST_BROADCAST:
-        return rows.join(F.broadcast(few), same).drop(*[f"{k}g" for k in keys])
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    few = few.withColumn("__salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(few, same & (F.col("__salt") == F.col("__salts"))).drop("__salt", "__salts", *[f"{k}g" for k in keys])
+def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str], count: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of their group's row, which are more than a number or two."""
+    return beside(rows, groups, keys, how, count <= MOST_BROADCAST)
 
 
 def _spread(rows: DataFrame, vertices: DataFrame, keys: Sequence[str], columns: Sequence[str], count: int) -> DataFrame:
@@ -182,13 +173,9 @@ class LocalSurface:
         marked = rows.select("*", *[F.col(quote(c)).alias(k) for c, k in zip(self.names, self.keys, strict=True)], x.cast("double").alias("__x"))
         known = self.groups.select(*self.keys, F.col("low").alias("__low"), F.col("high").alias("__high"))
         curves = _beside(self.curves, known, self.keys, self.count)
-        few = curves.select(*[F.col(k).alias(f"{k}g") for k in self.keys], "curve", "__low", "__high")
-        same = F.lit(True)
-        for k in self.keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"{k}g"))
-        joined = marked.join(F.broadcast(few) if self.count <= MOST_BROADCAST else few, same, "left")
+        joined = _beside(marked, curves, self.keys, self.count, "left")
         value = F.when(F.col("__x").between(F.col("__low"), F.col("__high")), blended(F.col("__x")))
-        return joined.withColumn(name, value).drop("curve", "__x", "__low", "__high", *self.keys, *[f"{k}g" for k in self.keys])
+        return joined.withColumn(name, value).drop("curve", "__x", "__low", "__high", *self.keys)
 
     def grid(self, n: int, direct: bool) -> DataFrame:
         """(keys, x, y): each group's curve at n even places, the vertices themselves where they are ``direct``."""

@@ -20,6 +20,30 @@ from ..plans.shared import cut
 
 #: Bits of monotonically_increasing_id() that count within a partition.
 _WITHIN = 33
+#: Groups, at most, that are broadcast to the rows; more are joined to salted rows.
+MOST_BROADCAST = 10_000
+SALTS = 32
+
+
+def beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool | None = None) -> DataFrame:
+    """rows with the other columns of their group's row, nulls in keys being equal; no task holds a large group's rows.
+
+    An equal join would sort the rows by group, with all of a group in one task.
+    Here few groups are broadcast, and rows of many are dealt by a salt too.
+    Unless ``broadcast`` tells, groups are counted, so they should be written already.
+    """
+    own = [f"__g{i}" for i in range(len(keys))]
+    known = groups.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], *[F.col(f"`{c}`") for c in groups.columns if c not in keys])
+    same = F.lit(True)
+    for k, o in zip(keys, own, strict=True):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(o))
+    if groups.count() <= MOST_BROADCAST if broadcast is None else broadcast:
+        return rows.join(F.broadcast(known), same, how).drop(*own)
+    # equal rows of several partitions get several salts; a task run again gives its rows the same ones
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if isinstance(f.dataType, T.NumericType | T.StringType | T.DateType | T.TimestampType)]
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(SALTS)))
+    known = known.withColumn("__salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(known, same & (F.col("__salt") == F.col("__salts")), how).drop("__salt", "__salts", *own)
 
 
 def ranged(df: DataFrame, *order: Column, names: tuple[str, str] = ("__p", "__i")) -> DataFrame:
@@ -91,14 +115,10 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[s
     keys = [F.col(f"`{k}`") for k in by]
     counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(*keys, F.col(f"`{column}`").cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     placed = running_sums(counts, ["__c"], *[k.asc_nulls_first() for k in keys], F.col("__v"))
-    groups = placed.groupBy(*keys).agg(F.min("__before___c").alias("__first"), F.sum("__c").alias("n"))
-    same = F.lit(True)
-    renamed = groups.select(*[k.alias(f"__g{i}") for i, k in enumerate(keys)], "__first", "n")
-    for i, k in enumerate(keys):
-        same = same & k.eqNullSafe(F.col(f"__g{i}"))
+    groups = cut(placed.groupBy(*keys).agg(F.min("__before___c").alias("__first"), F.sum("__c").alias("n")))
     low = F.col("__before___c") - F.col("__first")
     high = low + F.col("__c")
-    at = placed.join(renamed, same)
+    at = beside(placed, groups, by)
     ends = []
     for j, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(float(p))
