@@ -393,3 +393,47 @@ def test_panels_of_a_grid_are_broadcast(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert made.where("panel <> coalesce(g, 0) * 2 + h + 1").isEmpty() and made.count() == 1000
+
+
+@pytest.fixture
+def nothing_is_small(spark):
+    """Only joins that ask for it broadcast a side."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_layers_of_few_groups_and_many(spark, monkeypatch, nothing_is_small):
+    """Rows aren't sorted by their group: what is known of few groups is broadcast, rows of many are salted."""
+    import numpy as np
+
+    from tidewright.operators import build as b
+    from tidewright.operators import layers, ranges
+
+    values = [("abc"[i % 3] if i % 3 else None, float(i * i % 89)) for i in range(600)]
+    frame = Frame(spark.createDataFrame(values, "g string, v double"))
+    named = Frame(frame.df.where("g IS NOT NULL"))
+    made, wanted = [], [v for g, v in values if g == "b"]
+    for most in (ranges.MOST_BROADCAST, 0):
+        monkeypatch.setattr(ranges, "MOST_BROADCAST", most)
+        built = b.build(b.ggplot(named, x="v", fill="g").add(b.Layer("density", params={"n": 16}))).layers[0].df
+        violins = layers.stat_ydensity(frame, "g", "v", bw=5.0, n=9, exact=True).df
+        ridges = layers.stat_density_ridges(frame, "v", "g", bandwidth=5.0, n=9, exact=True).df
+        boxes = layers.stat_boxplot(frame, "v", ["g"]).df
+        places = layers.stat_ecdf(frame, "v", ["g"]).df
+        frames = [(built, ["fill", "x"]), (violins, ["g", "v"]), (ridges, ["g", "v"]), (boxes, ["g"]), (places, ["g", "ecdf"])]
+        for df, _ in frames[1:] if most else ():
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in built._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+        made.append([df.orderBy(*order).toPandas() for df, order in frames])
+    for few, many in zip(*made, strict=True):
+        assert len(few) == len(many) > 0
+        for c in few.columns:
+            same = np.allclose(few[c], many[c]) if few[c].dtype.kind in "if" else few[c].astype(str).equals(many[c].astype(str))
+            assert same, c
+    violin = made[0][1][made[0][1]["g"] == "b"]
+    z = (violin["v"].to_numpy()[:, None] - np.array(wanted)) / 5.0
+    assert len(violin) == 9 and np.allclose(violin["density"], np.exp(-z * z / 2).sum(1) / (len(wanted) * 5.0 * np.sqrt(2 * np.pi)))
+    box = made[0][3].set_index("g").loc["b"]
+    assert np.allclose([box["lower"], box["middle"], box["upper"]], np.quantile(wanted, [0.25, 0.5, 0.75])) and box["n"] == 200
+    assert made[0][4]["g"].isna().sum() == 200 and len(made[0][4]) == 600

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import Expr, as_expr, col, quote
+from ..plans.shared import cut
 from . import layers as stats
 from .frame import NUMERIC, Frame
-from .ranges import quantiles
+from .ranges import beside, quantiles
 
 #: Aesthetics whose discrete values make groups.
 GROUPING = ("colour", "fill", "shape", "linetype")
-#: Combinations of groups or panels, at most, that are broadcast to the rows.
-MOST_BROADCAST = 10_000
 
 
 @dataclass(frozen=True)
@@ -108,13 +107,8 @@ def compute_aesthetics(data: Frame, mapping: dict[str, Any], facets: tuple[str,
 def _numbered(df: DataFrame, keys: list[str], name: str, first: int = 1) -> DataFrame:
     """df with the place of its combination of keys among those that occur."""
     found = df.select(*map(quote, keys)).distinct()
-    numbers = found.select(*[F.col(quote(k)).alias(f"__k{i}") for i, k in enumerate(keys)], (F.row_number().over(Window.orderBy(*map(quote, keys))) + (first - 1)).alias(name))
-    if numbers.count() <= MOST_BROADCAST:
-        numbers = F.broadcast(numbers)
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & df[quote(k)].eqNullSafe(F.col(f"__k{i}"))
-    return df.join(numbers, same).select(*[df[quote(c)] for c in df.columns], name)
+    numbers = cut(found.withColumn(name, F.row_number().over(Window.orderBy(*map(quote, keys))) + (first - 1)))
+    return beside(df, numbers, keys).select(*[F.col(quote(c)) for c in df.columns], name)
 
 
 def add_group(df: DataFrame) -> DataFrame:
@@ -165,9 +159,9 @@ def _density(frame: Frame, keys: list[str], n: int = 512) -> Frame:
     own = stats._group_bandwidths(frame, "x", keys)
     low, high = frame.df.agg(F.min("x").cast("double"), F.max("x").cast("double")).first()
     rows = frame.df.select(*map(quote, keys), F.col("x").cast("double").alias("v"))
-    points = stats._spread(stats.join_groups(rows, own.select(*map(quote, keys), "low", "high"), keys), keys, n)
-    grid = own.select(*map(quote, keys), "m", "h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("at", F.lit(low) + F.col("i") * F.lit((high - low) / (n - 1)))
-    out = stats._kernel_sums(points, grid, keys)
+    points = stats._spread(beside(rows, own.select(*map(quote, keys), "low", "high"), keys), keys, n)
+    grid = own.select(*map(quote, keys), "m", "h", F.lit(low).alias("start"), F.lit((high - low) / (n - 1)).alias("step"))
+    out = stats._kernel_sums(points, grid, keys, n)
     return Frame(out.select(*map(quote, keys), F.col("at").alias("x"), "density", (F.col("density") * F.col("m")).alias("count")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import col, quote
 from ..plans.shared import cut
 from .frame import Frame
-from .ranges import quantiles, row_numbers
+from .ranges import beside, quantiles, row_numbers
 
 
 #: Panels that are numbered in one task.
@@ -29,12 +29,6 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return (left.join(named, same, how) if keys else left.crossJoin(named)).drop(*own)
 
 
-def few(groups: DataFrame) -> DataFrame:
-    """Rows of groups, worked out now and broadcast unless they are many: else rows are sorted by their group, a large one in one task."""
-    made = cut(groups)
-    return F.broadcast(made) if made.count() <= MOST_PANELS else made
-
-
 def bin_breaks(low: float, high: float, bins: int | None = 30, width: float | None = None, boundary: float | None = None) -> list[float]:
     if width is None:
         width = (high - low) / max(bins - 1, 1) if high > low else 1.0
@@ -111,11 +105,8 @@ def _hinged(frame: Frame, y: str, by: Sequence[str], coef: float) -> DataFrame:
     """The rows that have a y, with lower, middle, upper and n of their group, and whether y lies within coef * IQR of the hinges."""
     c = F.col(quote(y))
     q = quantiles(frame.df, y, (0.25, 0.5, 0.75), by)
-    hinges = q.select(*[F.col(quote(k)).alias(f"__g{i}") for i, k in enumerate(by)], *[F.col("q")[i].alias(name) for i, name in enumerate(("lower", "middle", "upper"))], "n")
-    same = F.lit(True)
-    for i, k in enumerate(by):
-        same = same & F.col(quote(k)).eqNullSafe(F.col(f"__g{i}"))
-    df = frame.df.where(c.isNotNull()).join(hinges, same) if by else frame.df.where(c.isNotNull()).crossJoin(F.broadcast(hinges))
+    hinges = cut(q.select(*map(quote, by), *[F.col("q")[i].alias(name) for i, name in enumerate(("lower", "middle", "upper"))], "n"))
+    df = beside(frame.df.where(c.isNotNull()), hinges, by)
     reach = (F.col("upper") - F.col("lower")) * coef
     return df.withColumn("__in", (c >= F.col("lower") - reach) & (c <= F.col("upper") + reach))
 
@@ -184,11 +175,8 @@ def stat_ecdf(frame: Frame, x: str, by: Sequence[str] = ()) -> Frame:
     """One row for each observation: its place among the values over their number.  Places are counted over range partitions, in groups too."""
     keys = [F.col(quote(k)) for k in by]
     rows = row_numbers(frame.df.where(F.col(quote(x)).isNotNull()), "__at", *[k.asc_nulls_first() for k in keys], F.col(quote(x)))
-    sizes = rows.groupBy(*[k.alias(f"__g{i}") for i, k in enumerate(keys)]).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & k.eqNullSafe(F.col(f"__g{i}"))
-    joined = rows.join(sizes, same) if keys else rows.crossJoin(F.broadcast(sizes))
+    sizes = cut(rows.groupBy(*keys).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    joined = beside(rows, sizes, by)
     return frame._new(joined.select(*map(quote, frame.columns), ((F.col("__at") - F.col("__first") + 1) / F.col("__n")).alias("ecdf")))
 
 
@@ -265,22 +253,23 @@ def stat_function(spark: SparkSession, fun: Callable[[Any], Any], xlim: tuple[fl
     return grid.mutate(y=fun(col("x")))
 
 
-def _kernel_sums(points: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gaussian densities of weighted points (keys, v, w) at grid places (keys, i, at, h, m)."""
+def _kernel_sums(points: DataFrame, grid: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Gaussian densities of weighted points (keys, v, w) at n places of their group's grid (keys, m, h, start, step)."""
+    # a point meets its group's places where it is, so a task holds no group's pairs, and sums alone leave it
+    pairs = beside(points, grid, keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at", F.col("start") + F.col("i") * F.col("step"))
     z = (F.col("at") - F.col("v")) / F.col("h")
-    pairs = join_groups(grid, points, keys)
     total = F.sum(F.col("w") * F.exp(-z * z / 2)) / (F.col("m") * F.col("h") * math.sqrt(2 * math.pi))
     return pairs.groupBy(*map(quote, keys), "i", "at", "h", "m").agg(total.alias("density"))
 
 
 def _group_bandwidths(frame: Frame, x: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, m, low, high, h): size, range and nrd0 bandwidth of each group of two values or more."""
+    """(keys, m, low, high, h): size, range and nrd0 bandwidth of each group of two values or more, written once."""
     c = F.col(quote(x)).cast("double")
     stats = frame.df.where(c.isNotNull()).groupBy(*map(quote, keys)).agg(F.count(c).alias("m"), F.min(c).alias("low"), F.max(c).alias("high"), F.stddev_samp(c).alias("sd"))
     q = quantiles(frame.df, x, (0.25, 0.75), keys).select(*map(quote, keys), ((F.col("q")[1] - F.col("q")[0]) / 1.34).alias("iqr"))
     joined = join_groups(stats, q, keys)
     least = F.when(F.col("iqr") > 0, F.least("sd", "iqr")).otherwise(F.col("sd"))
-    return joined.where("m > 1").select(*map(quote, keys), "m", "low", "high", (0.9 * F.when(least > 0, least).otherwise(1.0) * F.pow("m", F.lit(-0.2))).alias("h"))
+    return cut(joined.where("m > 1").select(*map(quote, keys), "m", "low", "high", (0.9 * F.when(least > 0, least).otherwise(1.0) * F.pow("m", F.lit(-0.2))).alias("h")))
 
 
 def _spread(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -300,11 +289,10 @@ def stat_ydensity(frame: Frame, x: str, y: str, bw: float | None = None, adjust:
     """
     width = _group_bandwidths(frame, y, [x]).withColumn("h", (F.col("h") if bw is None else F.lit(float(bw))) * adjust)
     rows = frame.df.where(F.col(quote(y)).isNotNull()).select(quote(x), F.col(quote(y)).cast("double").alias("v"))
-    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(join_groups(rows, width.select(quote(x), "low", "high"), [x]), [x], n)
+    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(beside(rows, width.select(quote(x), "low", "high"), [x]), [x], n)
     step = (F.col("high") - F.col("low") + 6 * F.col("h")) / (n - 1)
-    grid = width.select(quote(x), "m", "h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), (F.col("low") - 3 * F.col("h")).alias("a"), step.alias("step"))
-    grid = grid.select(quote(x), "m", "h", "i", (F.col("a") + F.col("i") * F.col("step")).alias("at"))
-    found = _kernel_sums(points, grid, [x])
+    grid = width.select(quote(x), "m", "h", (F.col("low") - 3 * F.col("h")).alias("start"), step.alias("step"))
+    found = _kernel_sums(points, grid, [x], n)
     share = F.try_divide(F.col("density"), F.max("density").over(Window.partitionBy(quote(x))))
     return frame._new(found.select(quote(x), F.col("at").alias(y), "density", share.alias("ndensity"), (F.col("density") * F.col("m")).alias("count"), share.alias("violinwidth")), ())
 
@@ -316,10 +304,9 @@ def stat_density_ridges(frame: Frame, x: str, y: str, bandwidth: float | None =
     h = float(mean if bandwidth is None else bandwidth)
     a, b = (low - 3 * h if from_ is None else from_), (high + 3 * h if to is None else to)
     rows = frame.df.where(F.col(quote(x)).isNotNull()).select(quote(y), F.col(quote(x)).cast("double").alias("v"))
-    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(join_groups(rows, own.select(quote(y), "low", "high"), [y]), [y], n)
-    grid = own.select(quote(y), "m", F.lit(h).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    grid = grid.withColumn("at", F.lit(float(a)) + F.col("i") * F.lit((b - a) / (n - 1)))
-    return frame._new(_kernel_sums(points, grid, [y]).select(quote(y), F.col("at").alias(x), "density"), ())
+    points = rows.withColumn("w", F.lit(1.0)) if exact else _spread(beside(rows, own.select(quote(y), "low", "high"), [y]), [y], n)
+    grid = own.select(quote(y), "m", F.lit(h).alias("h"), F.lit(float(a)).alias("start"), F.lit((b - a) / (n - 1)).alias("step"))
+    return frame._new(_kernel_sums(points, grid, [y], n).select(quote(y), F.col("at").alias(x), "density"), ())
 
 
 def stat_unique(frame: Frame) -> Frame:
@@ -355,11 +342,12 @@ def position_nudge(frame: Frame, x: str, by: float) -> Frame:
 
 def _with_panels(frame: Frame, panels: DataFrame, keys: Sequence[str]) -> Frame:
     """Rows with the 1-based number of their panel, nulls first and equal; many panels are numbered over range partitions."""
-    if panels.limit(MOST_PANELS + 1).count() <= MOST_PANELS:
-        numbered = F.broadcast(panels.withColumn("panel", F.row_number().over(Window.orderBy(*map(quote, keys)))))
+    panels = cut(panels)
+    if panels.count() <= MOST_PANELS:
+        numbered = panels.withColumn("panel", F.row_number().over(Window.orderBy(*map(quote, keys))))
     else:
         numbered = row_numbers(panels, "panel", *[F.col(quote(k)).asc_nulls_first() for k in keys]).withColumn("panel", (F.col("panel") + 1).cast("int"))
-    return frame._new(join_groups(frame.df, numbered, keys))
+    return frame._new(beside(frame.df, cut(numbered), keys))
 
 
 def facet_wrap(frame: Frame, *by: str) -> Frame:
@@ -374,7 +362,7 @@ def facet_grid(frame: Frame, row: str, column: str) -> Frame:
     """
     rows = row_numbers(frame.df.select(quote(row)).distinct(), "__r", F.col(quote(row)).asc_nulls_first())
     columns = row_numbers(frame.df.select(quote(column)).distinct(), "__c", F.col(quote(column)).asc_nulls_first())
-    columns = few(columns)
+    columns = cut(columns)
     width = columns.count()
-    out = join_groups(join_groups(frame.df, few(rows), [row]), columns, [column])
+    out = beside(beside(frame.df, cut(rows), [row]), columns, [column])
     return frame._new(out.withColumn("panel", (F.col("__r") * width + F.col("__c") + 1).cast("bigint")).drop("__r", "__c"))
