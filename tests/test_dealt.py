@@ -52,3 +52,35 @@ def test_intervals(sides):
     assert told(j.range_join(f, g, ("lo", "hi"), ("lo2", "hi2"), 1.0), "a", "b") == meet
     inside = sorted((a, b) for a, _, x in left for b, _, y in right if x is not None and y is not None and x <= y and y + 1.5 <= x + 2)
     assert told(j.inner_join(g, f, j.join_by(j.within("lo2", "hi2", "lo", "hi"))), "a", "b") == inside
+
+
+def written(frame, folder):
+    """The rows written as a file, and its bytes a row."""
+    frame.df.write.parquet(str(folder))
+    made = frame.df.sparkSession.read.parquet(str(folder))
+    return made, sum(p.stat().st_size for p in folder.glob("*.parquet")) / made.count()
+
+
+def test_pairs_of_equal_keys_come_in_runs(spark, tmp_path):
+    """The pairs' files grow with the square of the rows, so a pair may take some bits only."""
+    f, g = Frame(spark.range(2000).selectExpr("id AS a", "1 AS k")), Frame(spark.range(6000).selectExpr("id * 7 AS b", "1 AS k"))
+    made, size = written(j.inner_join(f, g, "k").select("a", "b"), tmp_path / "pairs")
+    assert size < 0.3
+    assert tuple(made.selectExpr("count(*)", "sum(a)", "sum(b)", "count(DISTINCT a * 42000 + b)").first()) == (12_000_000, 6000 * 1999 * 1000, 2000 * 7 * 5999 * 3000, 12_000_000)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("pack", [1, 3, 256])
+def test_either_side_is_packed(spark, sides, monkeypatch, turned, pack):
+    """Texts, equal names, missing values and several comparisons, with the left or the right side in packs."""
+    left, right, f, g, dealt = sides
+    monkeypatch.setattr(theta, "PACK_OF_TEXTS", pack)
+    f = Frame(spark.createDataFrame([(a, k, x, None if a % 7 == 0 else f"t{a % 5}") for a, k, x in left], "a int, k int, x double, t string"))
+    g = Frame(spark.createDataFrame([(b, k, y, None if b % 9 == 0 else f"t{b % 6}") for b, k, y in right], "a int, k int, x double, t string"))
+    if not turned:
+        f, g = g, f
+    made = j.inner_join(f, g, j.join_by("k", col("x") >= col("x"), col("t") < col("t")), na_matches="never")
+    assert made.columns == ["a.x", "k", "x.x", "t.x", "a.y", "x.y", "t.y"] and dealt[-1].turned is turned
+    rows = [[tuple(r) for r in d.df.collect()] for d in (f, g)]
+    wanted = [(*p, q[0], *q[2:]) for p in rows[0] for q in rows[1] if p[1] is not None and p[1] == q[1] and None not in (p[2], q[2], p[3], q[3]) and p[2] >= q[2] and p[3] < q[3]]
+    assert wanted and sorted(tuple(r) for r in made.df.collect()) == sorted(wanted)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,13 +149,17 @@ def _bucket_width(l: DataFrame, r: DataFrame, interval: tuple[str, str, str, str
     return width if 0 < width < float("inf") else None
 
 
-def _bucketed(df: DataFrame, low: str, high: str, width: float, name: str) -> tuple[DataFrame, Column]:
-    """A row for each bucket that an interval touches, and the first of them; rows with a null or NaN end meet nothing."""
+def _bucketed(df: DataFrame, low: str, high: str, width: float, name: str) -> DataFrame:
+    """A row for each bucket ``name`` that an interval touches, with the first of them in ``name``0; rows with a null or NaN end meet nothing."""
     a, b = F.col(quote(low)).cast("double"), F.col(quote(high)).cast("double")
     first, last = F.floor(F.least(a, b) / width), F.floor(F.greatest(a, b) / width)
     known = df.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
-    out = known.withColumn(name + "0", first).withColumn(name, F.explode(F.sequence(first, last)))
-    return out, F.col(name + "0")
+    return known.withColumn(name + "0", first).withColumn(name, F.explode(F.sequence(first, last)))
+
+
+def _first_shared(l: Any, r: Any) -> Column:  # noqa: E741
+    """Whether the bucket of a pair is the first that both sides touch."""
+    return l[quote("__bx")] == F.greatest(l[quote("__bx0")], r[quote("__by0")])
 
 
 def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str], keep: bool, na_matches: str) -> Frame:
@@ -173,21 +178,21 @@ def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str],
         return _unequal(left, right, spec.theta, how, suffix, l, r)
     if width:
         x0, x1, y0, y1 = spec.interval
-        l, first_x = _bucketed(l, x0, x1, width, "__bx")  # noqa: E741
-        r, first_y = _bucketed(r, y0, y1, width, "__by")
-        condition = (F.col("__bx") == F.col("__by")) & (F.col("__bx") == F.greatest(first_x, first_y))
+        l, r = _bucketed(l, x0, x1, width, "__bx"), _bucketed(r, y0, y1, width, "__by")  # noqa: E741
     same = [(F.col("__bx"), F.col("__by"))] if width else [_aligned(l, r, a, b) for a, b in spec.equal]
-    if how == "inner" and same and theta.many_pairs(l, r, same) and (both := theta.dealt(l, r, same, na_matches == "na")):
-        l, r = both  # noqa: E741
-        condition = F.col("__u") == F.col("__v")
-        if width:
-            condition = condition & (F.col("__bx") == F.greatest(first_x, first_y))
-    for a, b in spec.equal if "__u" not in l.columns else ():
-        x, y = _aligned(l, r, a, b)
-        condition = condition & (x.eqNullSafe(y) if na_matches == "na" else x == y)
+    both = theta.dealt(l, r, same, na_matches == "na") if how == "inner" and same and theta.many_pairs(l, r, same) else None
+    if both:
+        pairs, l, r = both.met()  # noqa: E741
+    elif width:
+        condition = F.col("__bx") == F.col("__by")
+    else:
+        for x, y in same:
+            condition = condition & (x.eqNullSafe(y) if na_matches == "na" else x == y)
+    if width:
+        condition = condition & _first_shared(l, r)
     for a, op, b in spec.theta:
         condition = condition & theta.OPS[op](l[quote(a)], r[quote(b)])
-    joined = l.join(r, condition, how)
+    joined = pairs.where(condition) if both else l.join(r, condition, how)
     if how in ("left_semi", "left_anti"):
         return left._new(joined)
     return left._new(joined.select(*_renamed(left, right, spec.equal, suffix, not keep, how, l, r)))
@@ -213,7 +218,7 @@ def _unequal(left: Frame, right: Frame, pairs: Sequence[tuple[str, str, str]], h
         alone = theta.matched(lk, rk, ops, "__found").where("NOT __found").select(*columns[:size])
         out = out.unionByName(alone, allowMissingColumns=True)
     if how in ("right", "full"):
-        turned = [{"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op] for op in ops]
+        turned = [theta.TURNED[op] for op in ops]
         flipped = [d.withColumnsRenamed({f"__{a}{i}": f"__{b}{i}" for i in range(len(ops))}) for d, a, b in ((rk, "r", "l"), (lk, "l", "r"))]
         alone = theta.matched(*flipped, turned, "__found").where("NOT __found").select(*columns[size:])
         out = out.unionByName(alone, allowMissingColumns=True)
@@ -316,11 +321,11 @@ def range_join(left: Frame, right: Frame, x: tuple[str, str], y: tuple[str, str]
 
     A pair that shares several buckets is taken from the first one they share.
     """
-    l, first_x = _bucketed(left.df, x[0], x[1], width, "__bx")  # noqa: E741
-    r, first_y = _bucketed(right.df, y[0], y[1], width, "__by")
-    condition, same = F.col("__bx") == F.col("__by"), [(F.col("__bx"), F.col("__by"))]
-    if theta.many_pairs(l, r, same) and (both := theta.dealt(l, r, same, False)):
-        l, r = both  # noqa: E741
-        condition = F.col("__u") == F.col("__v")
-    joined = l.join(r, condition & (F.col("__bx") == F.greatest(first_x, first_y)) & (l[quote(x[0])] <= r[quote(y[1])]) & (r[quote(y[0])] <= l[quote(x[1])]))
+    l, r = _bucketed(left.df, x[0], x[1], width, "__bx"), _bucketed(right.df, y[0], y[1], width, "__by")  # noqa: E741
+    same, meet = [(F.col("__bx"), F.col("__by"))], [(x[0], "<=", y[1]), (x[1], ">=", y[0])]
+    both = theta.dealt(l, r, same, False) if theta.many_pairs(l, r, same) else None
+    if both:
+        pairs, l, r = both.met()  # noqa: E741
+    condition = reduce(lambda a, b: a & b, [theta.OPS[op](l[quote(a)], r[quote(b)]) for a, op, b in meet], _first_shared(l, r))
+    joined = pairs.where(condition) if both else l.join(r, (F.col("__bx") == F.col("__by")) & condition)
     return left._new(joined.select(*_renamed(left, right, [], suffix, False, "inner", l, r)))

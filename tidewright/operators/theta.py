@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,16 @@ TILE_BITS = 11
 FEW_PAIRS = 10_000_000
 
 OPS: dict[str, Callable[[Column, Column], Column]] = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
 #: Rows of a block: those of a key are dealt to blocks, and two blocks meet in one task.
 BLOCK = 4096
 #: Pairs of rows that a task compares.
 TASK_PAIRS = 32_000_000
+#: Rows of a pack, a multiple of 8 so that their repeated numbers in a file are the same bytes; fewer where rows may be long.
+PACK = 256
+PACK_OF_TEXTS = 32
 #: Rows that a task holds to leave out others, and up to which what is left meets every row.
 MOST_LEADING = 1000
 #: Pairs of tiles, or right rows, that one task may hold.
@@ -54,12 +59,46 @@ def many_pairs(left: DataFrame, right: DataFrame, same: Sequence[tuple[Column, C
     return n * m / max(p, q, 1) > max(FEW_PAIRS, 20 * (n + m))
 
 
-def dealt(left: DataFrame, right: DataFrame, same: Sequence[tuple[Column, Column]], nulls: bool) -> tuple[DataFrame, DataFrame] | None:
-    """Both sides with ``__u`` and ``__v``, which are equal for just the pairs of rows whose keys are, dealt so that a task's pairs are bounded.
+class Dealt(NamedTuple):
+    """Two sides dealt to blocks.  ``packs`` holds the rows of the side with more of them, some hundred to a row, with an array ``__p<i>`` for each of its columns."""
+
+    rows: DataFrame
+    packs: DataFrame
+    columns: list[str]
+    #: whether the left side is the one in packs
+    turned: bool
+    #: comparisons (column of rows, op, bound of a pack) that hold wherever a row of the pack matches
+    bounds: list[tuple[str, str, str]]
+
+    def met(self) -> tuple[DataFrame, Any, Any]:
+        """The pairs of rows with equal keys, and what gives the columns of the left and of the right side by their quoted names.
+
+        A pack meets one row after another, so that pairs come in runs: one
+        side's row stays while the other side's pack is repeated, which files
+        by columns hold in a tenth of a byte a pair.
+        """
+        condition = F.col("__u") == F.col("__v")
+        for a, op, b in self.bounds:
+            condition = condition & OPS[op](self.rows[quote(a)], F.col(b))
+        first, *others = [f"__p{i}" for i in range(len(self.columns))]
+        ours = [self.rows[quote(c)] for c in self.rows.columns]
+        # the coalesce leaves the partitions as they are and ends Spark's fused stage, which else holds all pairs of a pack at once
+        met = self.packs.join(self.rows.hint("shuffle_hash"), condition).select(*ours, first, *others).coalesce(1 << 30)
+        pairs = met.select(*[F.col(quote(c)) for c in self.rows.columns], F.posexplode(first).alias("__at", "__q0"), *others)
+        pairs = pairs.select(*ours, "__q0", *[F.get(c, "__at").alias(f"__q{i}") for i, c in enumerate(others, 1)])
+        theirs = {quote(c): F.col(f"__q{i}") for i, c in enumerate(self.columns)}
+        return (pairs, theirs, self.rows) if self.turned else (pairs, self.rows, theirs)
+
+
+def dealt(left: DataFrame, right: DataFrame, same: Sequence[tuple[Column, Column]], nulls: bool, thetas: Sequence[tuple[str, str, str]] = ()) -> Dealt | None:
+    """Both sides dealt to blocks, so that a task's pairs of rows with equal keys are bounded.
 
     The rows of a key are dealt to blocks, and a row is copied for each block
-    of the other side: rows divided by the size of a block.  None for too many
-    keys.  ``nulls``: whether they are equal.
+    of the other side: rows divided by the size of a block.  The side with more
+    rows is packed in the order of its compared columns, and packs that cannot
+    hold a match by ``thetas`` (column of the left side, op, column of the
+    right one) meet nothing.  None for too many keys.  ``nulls``: whether they
+    are equal.
     """
     spark = left.sparkSession
     names = [f"__g{i}" for i in range(len(same))]
@@ -72,21 +111,41 @@ def dealt(left: DataFrame, right: DataFrame, same: Sequence[tuple[Column, Column
     groups = both.select(*names, "__n", "__m").limit(MOST_GROUPS + 1).collect()
     if len(groups) > MOST_GROUPS:
         return None
+    turned = sum(g["__n"] for g in groups) > sum(g["__m"] for g in groups)
+    across = max(1, TASK_PAIRS // BLOCK)  # packed rows of a block
     made, first, pairs = [], 0, 0
     for *key, n, m in groups:
-        i, j = -(-n // BLOCK), -(-m // BLOCK)
+        i, j = -(-(m if turned else n) // BLOCK), -(-(n if turned else m) // across)
         made.append((*key, first, i, j))
         first, pairs = first + i * j, pairs + n * m
-    schema = T.StructType([*[T.StructField(f"__h{i}", sides[0].schema[c].dataType) for i, c in enumerate(names)], *[T.StructField(c, T.LongType()) for c in ("__first", "__bl", "__br")]])
+    schema = T.StructType([*[T.StructField(f"__h{i}", sides[0].schema[c].dataType) for i, c in enumerate(names)], *[T.StructField(c, T.LongType()) for c in ("__first", "__br", "__bp")]])
     few = F.broadcast(spark.createDataFrame(made, schema))
-    own, at = F.col("__id"), F.col("__first")
     l, r = (d.join(few, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__h{i}")) for i, c in enumerate(names)])) for d in sides)
-    l = l.select(*[F.col(quote(c)) for c in left.columns], F.explode(F.sequence(F.lit(0), F.col("__br") - 1)).alias("__j"), own.alias("__o"), at, "__bl", "__br")  # noqa: E741
-    l = l.select(*[F.col(quote(c)) for c in left.columns], (at + F.pmod("__o", "__bl") * F.col("__br") + F.col("__j")).alias("__u"))  # noqa: E741
-    r = r.select(*[F.col(quote(c)) for c in right.columns], F.explode(F.sequence(F.lit(0), F.col("__bl") - 1)).alias("__j"), own.alias("__o"), at, "__bl", "__br")
-    r = r.select(*[F.col(quote(c)) for c in right.columns], (at + F.col("__j") * F.col("__br") + F.pmod("__o", "__br")).alias("__v"))
+    rows, packed, ours, columns = (r, l, right.columns, left.columns) if turned else (l, r, left.columns, right.columns)
+    rows = rows.select(*[F.col(quote(c)) for c in ours], F.explode(F.sequence(F.lit(0), F.col("__bp") - 1)).alias("__j"), F.col("__id").alias("__o"), "__first", "__br", "__bp")
+    rows = rows.select(*[F.col(quote(c)) for c in ours], (F.col("__first") + F.pmod("__o", "__br") * F.col("__bp") + F.col("__j")).alias("__u"))
+    # equal rows of a key go to several tasks by their number, so that no task sorts them all
+    compared = list(dict.fromkeys(a if turned else b for a, _, b in thetas))
+    packed = packed.select(*[F.col(quote(c)).alias(f"__c{i}") for i, c in enumerate(columns)], *[F.col(c) for c in ("__first", "__br", "__bp")], *[F.col(quote(c)).alias(f"__s{i}") for i, c in enumerate(compared)], "__id")
+    order = ["__first", *[f"__s{i}" for i in range(len(compared))], "__id"]
+    laid = cut(packed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__id"))
+    fixed = all(isinstance(f.dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType) for f in laid.schema)
+    size = min(PACK if fixed else PACK_OF_TEXTS, across)
+    laid = laid.withColumn("__t", F.expr(f"monotonically_increasing_id() div {size}"))
+    bounds, ends = [], []
+    for k, (a, op, b) in enumerate(thetas):
+        mine, other = (b, a) if turned else (a, b)
+        x, y = (d.schema[c].dataType for d, c in ((left, a), (right, b)))
+        if x != y and not (isinstance(x, T.NumericType) and isinstance(y, T.NumericType)):
+            continue  # a text's order is not that of the number in it
+        low = (op in ("<", "<=")) == turned
+        ends.append((F.min if low else F.max)(f"__s{compared.index(other)}").alias(f"__e{k}"))
+        bounds.append((mine, TURNED[op] if turned else op, f"__e{k}"))
+    packs = laid.groupBy("__first", "__br", "__bp", "__t").agg(F.collect_list(F.struct(*[f"__c{i}" for i in range(len(columns))])).alias("__rows"), *ends)
+    packs = packs.select(*[F.col(f"__rows.__c{i}").alias(f"__p{i}") for i in range(len(columns))], *[b for _, _, b in bounds], "__first", "__bp", "__t", F.explode(F.sequence(F.lit(0), F.col("__br") - 1)).alias("__i"))
+    packs = packs.select(*[f"__p{i}" for i in range(len(columns))], *[b for _, _, b in bounds], (F.col("__first") + F.col("__i") * F.col("__bp") + F.pmod("__t", "__bp")).alias("__v"))
     n = _tasks(spark, pairs)
-    return l.repartition(n, "__u"), r.repartition(n, "__v").hint("shuffle_hash")
+    return Dealt(rows.repartition(n, "__u"), packs.repartition(n, "__v"), columns, turned, bounds)
 
 
 def _keys(side: str, ops: Sequence[str]) -> list[str]:
