@@ -84,3 +84,20 @@ def test_either_side_is_packed(spark, sides, monkeypatch, turned, pack):
     rows = [[tuple(r) for r in d.df.collect()] for d in (f, g)]
     wanted = [(*p, q[0], *q[2:]) for p in rows[0] for q in rows[1] if p[1] is not None and p[1] == q[1] and None not in (p[2], q[2], p[3], q[3]) and p[2] >= q[2] and p[3] < q[3]]
     assert wanted and sorted(tuple(r) for r in made.df.collect()) == sorted(wanted)
+
+
+def test_pairs_of_intervals_come_in_runs(spark, tmp_path):
+    """A point's packs stand in the order of the points, so that most are met whole or not at all."""
+    f = Frame(spark.range(12000).selectExpr("id AS a", "double(id * 7919 % 12000) AS x"))
+    g = Frame(spark.range(4000).selectExpr("id AS b", "double(id * 7919 % 12000) AS lo", "double(id * 7919 % 12000 + 2500) AS hi"))
+    made, size = written(j.inner_join(f, g, j.join_by(j.join_between("x", "lo", "hi"))).select("a", "b"), tmp_path / "pairs")
+    low = [b * 7919 % 12000 for b in range(4000)]
+    assert made.count() == sum(min(12000, x + 2501) - x for x in low) and size < 0.5
+    assert made.distinct().count() == made.count()
+
+
+def test_packs_without_a_match_are_left_out(sides):
+    """The bounds of packs join before their rows do."""
+    _, _, f, g, dealt = sides
+    j.inner_join(f, g, j.join_by("k", col("x") < col("y")))
+    assert [(a, op) for a, op, _ in dealt[-1].bounds] == [("y", ">")] and dealt[-1].turned

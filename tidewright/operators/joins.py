@@ -154,12 +154,14 @@ def _bucketed(df: DataFrame, low: str, high: str, width: float, name: str) -> Da
     a, b = F.col(quote(low)).cast("double"), F.col(quote(high)).cast("double")
     first, last = F.floor(F.least(a, b) / width), F.floor(F.greatest(a, b) / width)
     known = df.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
+    if low == high:  # a point's only bucket
+        return known.withColumn(name, first)
     return known.withColumn(name + "0", first).withColumn(name, F.explode(F.sequence(first, last)))
 
 
-def _first_shared(l: Any, r: Any) -> Column:  # noqa: E741
-    """Whether the bucket of a pair is the first that both sides touch."""
-    return l[quote("__bx")] == F.greatest(l[quote("__bx0")], r[quote("__by0")])
+def _first_shared(l: Any, r: Any, points: bool) -> Column:  # noqa: E741
+    """Whether the bucket of a pair is the first that both sides touch; points touch one."""
+    return F.lit(True) if points else l[quote("__bx")] == F.greatest(l[quote("__bx0")], r[quote("__by0")])
 
 
 def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str], keep: bool, na_matches: str) -> Frame:
@@ -176,11 +178,13 @@ def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str],
     width = _bucket_width(l, r, spec.interval) if spec.interval and how == "inner" and not spec.equal else None
     if spec.theta and not spec.equal and not width and l.count() * r.count() > theta.FEW_PAIRS:
         return _unequal(left, right, spec.theta, how, suffix, l, r)
+    points = False
     if width:
         x0, x1, y0, y1 = spec.interval
         l, r = _bucketed(l, x0, x1, width, "__bx"), _bucketed(r, y0, y1, width, "__by")  # noqa: E741
+        points = x0 == x1 or y0 == y1
     same = [(F.col("__bx"), F.col("__by"))] if width else [_aligned(l, r, a, b) for a, b in spec.equal]
-    both = theta.dealt(l, r, same, na_matches == "na") if how == "inner" and same and theta.many_pairs(l, r, same) else None
+    both = theta.dealt(l, r, same, na_matches == "na", spec.theta) if how == "inner" and same and theta.many_pairs(l, r, same) else None
     if both:
         pairs, l, r = both.met()  # noqa: E741
     elif width:
@@ -189,7 +193,7 @@ def _join(left: Frame, right: Frame, by: Any, how: str, suffix: tuple[str, str],
         for x, y in same:
             condition = condition & (x.eqNullSafe(y) if na_matches == "na" else x == y)
     if width:
-        condition = condition & _first_shared(l, r)
+        condition = condition & _first_shared(l, r, points)
     for a, op, b in spec.theta:
         condition = condition & theta.OPS[op](l[quote(a)], r[quote(b)])
     joined = pairs.where(condition) if both else l.join(r, condition, how)
@@ -323,9 +327,9 @@ def range_join(left: Frame, right: Frame, x: tuple[str, str], y: tuple[str, str]
     """
     l, r = _bucketed(left.df, x[0], x[1], width, "__bx"), _bucketed(right.df, y[0], y[1], width, "__by")  # noqa: E741
     same, meet = [(F.col("__bx"), F.col("__by"))], [(x[0], "<=", y[1]), (x[1], ">=", y[0])]
-    both = theta.dealt(l, r, same, False) if theta.many_pairs(l, r, same) else None
+    both = theta.dealt(l, r, same, False, meet) if theta.many_pairs(l, r, same) else None
     if both:
         pairs, l, r = both.met()  # noqa: E741
-    condition = reduce(lambda a, b: a & b, [theta.OPS[op](l[quote(a)], r[quote(b)]) for a, op, b in meet], _first_shared(l, r))
+    condition = reduce(lambda a, b: a & b, [theta.OPS[op](l[quote(a)], r[quote(b)]) for a, op, b in meet], _first_shared(l, r, x[0] == x[1] or y[0] == y[1]))
     joined = pairs.where(condition) if both else l.join(r, (F.col("__bx") == F.col("__by")) & condition)
     return left._new(joined.select(*_renamed(left, right, [], suffix, False, "inner", l, r)))
